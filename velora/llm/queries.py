@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velora.llm import bpe, crf, curriculum, line_dedup, toxicity, url_filter
+from velora.llm import bpe, crf, curriculum, jaccard_join, line_dedup, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Host, path and verdict of each rule.
@@ -44,6 +44,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
@@ -56,4 +60,4 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_line_dedup, op6_url_filter, op8_toxicity, op10_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_line_dedup, op6_url_filter, op7_jaccard_join, op8_toxicity, op10_curriculum)}
