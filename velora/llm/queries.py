@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velora.llm import bpe, crf, curriculum, jaccard_join, line_dedup, toxicity, url_filter
+from velora.llm import bpe, crf, curriculum, jaccard_join, line_dedup, lsh_search, segment_search, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Host, path and verdict of each rule.
@@ -39,6 +39,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
@@ -60,4 +68,4 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_line_dedup, op6_url_filter, op7_jaccard_join, op8_toxicity, op10_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_line_dedup, op4_lsh_search, op5_segment_search, op6_url_filter, op7_jaccard_join, op8_toxicity, op10_curriculum)}
