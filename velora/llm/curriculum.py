@@ -73,10 +73,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """One row a document: id_col, size, source_size, target, taken, position, sorted by position (never taken: null, last).
 
     taken is the whole epochs that the target holds, times the size, and of one more epoch the words up to the target;
-    position is the training time, 0 to 1, of the first copy; step is the distance in tokens to the next one's share.
+    position is the training time, 0 to 1, of the first copy, later those of further copies; version tells rows of one id apart by their text.
     """
     digest = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long")
-    rows = df.select(F.col(id_col).alias("m_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.coalesce(digest, F.lit((1 << 32) - 1)).alias("key"))
+    rows = df.select(F.col(id_col).alias("m_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.coalesce(digest, F.lit((1 << 32) - 1)).alias("key"))
     rows = staged(rows.withColumn("bucket", F.shiftright("key", 32 - BUCKET_BITS)), "mix-sizes")
     targets = source_targets(rows.select("source", "size"), weights, factor, most)
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -95,12 +95,15 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, position(share)))
     again = [F.when(F.col("taken") > k * F.col("size"), position(share + k * F.col("source_size") / F.col("target"))) for k in range(1, int(most) + 1)]
     rows = rows.withColumn("later", F.array_compact(F.array(*again)))
-    return rows.select(F.col("m_id").alias(id_col), F.col("size"), "source_size", "target", "taken", "position", "later").orderBy(F.col("position").asc_nulls_last(), id_col)
+    return rows.select(F.col("m_id").alias(id_col), F.col("size"), "source_size", "target", "taken", "position", "later", "version").orderBy(F.col("position").asc_nulls_last(), id_col)
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """df's columns, each document as often as the mix takes it (a part of half a document or more counts as one), in order of training position."""
-    plan = mix(df, id_col, **params).dropDuplicates([id_col]).where(F.col(id_col).isNotNull() & (F.col("taken") > 0))
-    copies = F.round(F.col("taken") / F.col("size")).cast("int")
-    plan = plan.select(F.col(id_col).alias("m_id"), F.explode(F.slice(F.concat(F.array("position"), F.col("later")), F.lit(1), copies)).alias("m_position"))
-    return df.join(plan, F.col(id_col) == F.col("m_id")).orderBy("m_position", id_col).select(*[F.col(f"`{c}`") for c in df.columns])
+    same = F.struct("position", "taken", "size", "later")
+    plan = mix(df, id_col, text_col=text_col, **params).where(F.col(id_col).isNotNull() & (F.col("taken") > 0)).groupBy(F.col(id_col).alias("m_id"), "version").agg(F.min(same).alias("p"))
+    copies = F.round(F.col("p.taken") / F.col("p.size")).cast("int")
+    plan = plan.select("m_id", "version", F.explode(F.slice(F.concat(F.array("p.position"), F.col("p.later")), F.lit(1), copies)).alias("m_position"))
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("m_version"))
+    both = rows.join(plan, (F.col(id_col) == F.col("m_id")) & (F.col("m_version") == F.col("version")))
+    return both.orderBy("m_position", id_col).select(*[F.col(f"`{c}`") for c in df.columns])

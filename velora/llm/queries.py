@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velora.llm import bpe, crf, curriculum, jaccard_join, line_dedup, lsh_search, segment_search, toxicity, url_filter
+from velora.llm import bpe, crf, curriculum, jaccard_join, line_dedup, lsh_search, segment_search, substring_dedup, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Host, path and verdict of each rule.
@@ -63,9 +63,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curriculum.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_line_dedup, op4_lsh_search, op5_segment_search, op6_url_filter, op7_jaccard_join, op8_toxicity, op10_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_line_dedup, op4_lsh_search, op5_segment_search, op6_url_filter, op7_jaccard_join, op8_toxicity, op9_substring_dedup, op10_curriculum)}
