@@ -30,9 +30,9 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = crf.fit(docs, remainder(3) != 1)
-    kept = crf.identify(docs.withColumn("p_text", F.col("text")), model, text_col="p_text")
+    kept = crf.identify(docs, model, names=("p_lang", "p_score"))
     if model is not None:  # nothing to learn from: nothing to reject by, but for texts without letters
-        kept = kept.where((F.col("lang_pred") != crf.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+        kept = kept.where((F.col("p_lang") != crf.UNKNOWN) & (F.col("p_score") >= LEAST_SHARE))
     else:
         kept = kept.where(F.col("text").rlike(r"\p{L}"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -269,16 +269,18 @@ def fit(df: DataFrame, train_rows: Column, text_col: str = "text", lang_col: str
     return train([r.t for r in got], [r.l for r in got])
 
 
-def identify(df: DataFrame, model: Model | None, text_col: str = "text", cols: list[str] | None = None) -> DataFrame:
-    """df's columns (or cols) with lang_pred and score."""
+def identify(df: DataFrame, model: Model | None, text_col: str = "text", cols: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """df's columns (or cols) with the language and its score under names; columns of those names are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    cols = [c for c in (cols or df.columns) if c not in ("lang_pred", "score")]
-    rows = df.select(F.col(f"`{text_col}`").cast("string").alias("w_text"), *[F.col(f"`{c}`") for c in cols])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    cols = [c for c in (cols or df.columns) if c not in names]
+    sent = cols if text_col in cols else [*cols, text_col]
+    rows = df.select(*[F.col(f"`{c}`") for c in sent])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(cols)])
+    at = sent.index(text_col)
 
     def run(batches):
         for b in batches:
-            langs, scores = predict(shared.value, b.column(0))
-            yield pa.record_batch([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*cols, "lang_pred", "score"])
+            langs, scores = predict(shared.value, b.column(at).cast(pa.string()))
+            yield pa.record_batch([*b.columns[: len(cols)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*cols, *names])
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
