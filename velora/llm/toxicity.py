@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from velora.llm.crf import cores
 from velora.llm.words import LOWER, Block, Rolling, _BYTES, blocks
 
-SAMPLE_LABELS, SAMPLE_CHARS = 8000, 20_000
+SAMPLE_LABELS, SAMPLE_CHARS = 5000, 10_000
 ROUNDS, DEPTH, RATE, BINS, LEAST = 60, 3, 0.2, 32, 8
 NEAR = 5
 STEMS = (4, 5, 6)  # bytes
@@ -95,33 +95,35 @@ def learn(texts: list[str], toxic: np.ndarray) -> Lexicons:
     """Words and stems far likelier in toxic texts, by the number of texts that hold them."""
     n1, n0 = toxic.sum(), (1 - toxic).sum()
 
-    def pick(keys: list, docs: list, least: int, odds: float) -> tuple[np.ndarray, np.ndarray]:
-        key, doc = np.concatenate(keys), np.concatenate(docs)
+    def once(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key once for each text."""
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        key, mark = key[new], toxic[doc[new]]
-        found, at = np.unique(key, return_inverse=True)
-        bad, all_ = np.bincount(at, weights=mark, minlength=len(found)), np.bincount(at, minlength=len(found))
-        score = np.log((bad + 0.5) / (n1 + 1)) - np.log((all_ - bad + 0.5) / (n0 + 1))
+        return key[new], doc[new]
+
+    def pick(pairs: list, least: int, odds: float) -> tuple[np.ndarray, np.ndarray]:
+        found, at = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
+        bad = np.bincount(at, weights=toxic[np.concatenate([p[1] for p in pairs])], minlength=len(found))
+        every = np.bincount(at, minlength=len(found))
+        score = np.log((bad + 0.5) / (n1 + 1)) - np.log((every - bad + 0.5) / (n0 + 1))
         own = (bad >= least) & (score > odds)
         return found[own], score[own]
 
-    words, stems, docs, stem_docs, base = [], [], [], [], 0
+    words, stems, base = [], [], 0
     for block in blocks(pa.array(texts, pa.string())):
         start, end, has, hashes, roll = _tokens(block)
         doc = block.text_of_word() + base
-        words.append(hashes[has]), docs.append(doc[has])
-        for own, h in _stems(roll, start, end):
-            stems.append(h), stem_docs.append(doc[own])
+        words.append(once(hashes[has], doc[has].astype(np.int32)))
+        stems += [once(h, doc[own].astype(np.int32)) for own, h in _stems(roll, start, end)]
         base += len(block.at)
     fixed = _hash_words(INSULTS)
     if not words:
         return Lexicons(Lexicon(fixed, np.full(len(fixed), 3.0)), Lexicon(fixed[:0], np.zeros(0)))
-    w, s = pick(words, docs, 3, 2.0)
+    w, s = pick(words, 3, 2.0)
     rest = fixed[~np.isin(fixed, w)]
-    return Lexicons(Lexicon(np.append(w, rest), np.append(s, np.full(len(rest), 3.0))), Lexicon(*pick(stems, stem_docs, 4, 2.5)))
+    return Lexicons(Lexicon(np.append(w, rest), np.append(s, np.full(len(rest), 3.0))), Lexicon(*pick(stems, 4, 2.5)))
 
 
 _YOU = None
