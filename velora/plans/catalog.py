@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from velora.plans import corpus_queries
+
+FLAGSHIP = "clean_dedup_split"
+_PARTS = (corpus_queries,)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
