@@ -30,6 +30,7 @@ from velora.llm.staging import staged
 TOP = 5
 TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 8, 8, 2.0, 110, 11
 SHARD = 4096
+HELD = 1 << 19  # results of a task before it keeps only each query's best of them
 
 
 def usable(vector: Column) -> Column:
@@ -123,9 +124,8 @@ def _search(top: int):
     """Rows (tab, shard, split, role, rep, bucket list, vector) by shard, queries (role 0) first: each query's nearest in its buckets."""
 
     def nearest(queries, rows):
-        if not queries or not rows:
-            return
-        q_rep, q_buckets, q = [r[0] for r in queries], [r[1] for r in queries], np.array([r[2] for r in queries], np.float64)
+        """(query, candidate, cosine): the best of each bucket that a query visits."""
+        q_rep, q_buckets, q = np.array([r[0] for r in queries]), [r[1] for r in queries], np.array([r[2] for r in queries], np.float64)
         v_rep, v_bucket, v = np.array([r[0] for r in rows]), np.array([r[1][0] for r in rows]), np.array([r[2] for r in rows], np.float64)
         q_norm, v_norm = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
         order = np.argsort(v_bucket, kind="stable")
@@ -137,44 +137,68 @@ def _search(top: int):
         at, who = at[hit], who[hit]
         by = np.argsort(at, kind="stable")
         at, who = at[by], who[by]
-        found_q, found_v, found_s = [], [], []
-        for lo, hi in zip(np.flatnonzero(np.diff(at, prepend=-1)), np.append(np.flatnonzero(np.diff(at)) + 1, len(at))):
+        found_q, found_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo, hi in zip(np.flatnonzero(np.diff(at, prepend=-1)), np.append(np.flatnonzero(np.diff(at)) + 1, len(at))[: len(at)]):
             mine, those = who[lo:hi], order[start[at[lo]] : end[at[lo]]]
             s = (q[mine] @ v[those].T) / np.outer(q_norm[mine], v_norm[those])
             k = min(len(those), 2 * top + 2)  # a margin for the rounding of the product
-            best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(those) else np.broadcast_to(np.arange(k), (len(mine), k))
-            found_q.append(np.repeat(mine, k)), found_v.append(those[best].ravel()), found_s.append(np.take_along_axis(s, best, 1).ravel())
-        if not found_q:
-            return
-        fq, fv, fs = np.concatenate(found_q), np.concatenate(found_v), np.concatenate(found_s)
-        by = np.lexsort((v_rep[fv], -fs, fq))
-        fq, fv = fq[by], fv[by]
-        first = np.flatnonzero(np.diff(fq, prepend=-1))
-        keep = np.arange(len(fq)) - np.repeat(first, np.diff(np.append(first, len(fq)))) < 2 * top + 2
-        fq, fv = fq[keep], fv[keep]
+            near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(those) else np.broadcast_to(np.arange(k), (len(mine), k))
+            found_q.append(np.repeat(mine, k)), found_v.append(those[near].ravel())
+        fq, fv = np.concatenate(found_q), np.concatenate(found_v)
         exact = (q[fq] * v[fv]).sum(1) / (q_norm[fq] * v_norm[fv])
-        yield pa.record_batch([pa.array([q_rep[i] for i in fq], pa.int64()), pa.array(v_rep[fv], pa.int64()), pa.array(exact)], names=["q", "rep", "score"])
+        return best(q_rep[fq], v_rep[fv], exact)
+
+    def best(q, rep, score):
+        """Each query's top + 1 different candidates."""
+        by = np.lexsort((rep, q))
+        q, rep, score = q[by], rep[by], score[by]
+        once = np.ones(len(q), bool)
+        once[1:] = (q[1:] != q[:-1]) | (rep[1:] != rep[:-1])
+        q, rep, score = q[once], rep[once], score[once]
+        by = np.lexsort((rep, -score, q))
+        q, rep, score = q[by], rep[by], score[by]
+        first = np.flatnonzero(np.diff(q, prepend=q[0] - 1)) if len(q) else np.empty(0, int)
+        keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) <= top
+        return q[keep], rep[keep], score[keep]
 
     def run(batches):
-        now, queries, rows = None, [], []
-        for b in batches:
-            keys = list(zip(*[b.column(k).to_pylist() for k in range(3)]))
-            roles, reps, buckets = (b.column(k).to_pylist() for k in (3, 4, 5))
-            vectors = b.column(6)
-            sizes, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+        now, queries, rows, held, size = None, [], [], [], 0
+        for b in _and_end(batches):
+            keys = [None] if b is None else list(zip(*[b.column(k).to_pylist() for k in range(3)]))
+            if b is not None:
+                roles, reps, buckets = (b.column(k).to_pylist() for k in (3, 4, 5))
+                vectors = b.column(6)
+                places, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
             for i, key in enumerate(keys):
-                if key != now:
-                    yield from nearest(queries, rows)
-                    now, queries, rows = key, [], []
-                (rows if roles[i] else queries).append((reps[i], buckets[i], flat[sizes[i] : sizes[i + 1]].copy()))
-                if len(rows) >= 2 * SHARD:  # a shard's rows need not be held all at once
-                    yield from nearest(queries, rows)
-                    rows = []
-        yield from nearest(queries, rows)
+                if key != now or len(rows) >= 2 * SHARD:  # a shard's rows need not be held all at once
+                    if queries and rows:
+                        held.append(nearest(queries, rows))
+                        size += len(held[-1][0])
+                    queries, rows = (queries if key == now else []), []
+                    now = key
+                if size >= HELD:  # shards of one task share queries: send each query's best of all of them
+                    held = [best(*[np.concatenate(x) for x in zip(*held)])]
+                    size = len(held[0][0])
+                    if size >= HELD // 2:
+                        yield _rows(held)
+                        held, size = [], 0
+                if b is not None:
+                    (rows if roles[i] else queries).append((reps[i], buckets[i], flat[places[i] : places[i + 1]].copy()))
+        if held:
+            yield _rows([best(*[np.concatenate(x) for x in zip(*held)])])
 
     return run
 
 
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def _rows(held: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(held[0][0]), pa.array(held[0][1]), pa.array(held[0][2])], names=["q", "rep", "score"])
+
+
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, count: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query (an expression on id_col) admits its nearest other rows."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("vector")))
