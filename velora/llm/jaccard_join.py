@@ -15,7 +15,7 @@ n - ceil(t n) + 1 grams. The steps:
    inequality of the Jaccard distance rules out members by their distance to the first; what is left is compared
    in blocks of BLOCK by BLOCK sets, where pairs already connected are skipped. Then components again.
 
-Equal sets are one node, so a group of exact copies makes no pairs at all. No link between different sets is lost.
+Equal sets are one node, named by 64 bits, so a group of exact copies makes no pairs at all. No link between different sets is lost.
 
 Cases: null or empty text, or no word: empty set, linked with nothing, its own component. Fewer words than n: the
 whole sequence is the one gram. Repeated rows: one result row each. A null id takes part in no link of its own.
@@ -39,6 +39,7 @@ HOT, HOT_LOCAL, STRETCH = 1 << 18, 4, 1 << 22
 SHORT_LIST, CHUNK, BLOCK = 64, 256, 256
 LEVEL_BITS = 58
 SEEN = 1 << 19
+FEW = 1 << 21  # ids of eight bytes that may be broadcast
 STEP = 64  # nodes of a trie path between two looks at the bound
 
 
@@ -57,8 +58,9 @@ def sets_of(block: Block, n: int) -> list[np.ndarray]:
     return out
 
 
-def digest(grams: np.ndarray) -> bytes:
-    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+def digest(grams: np.ndarray) -> int:
+    """64 bits that name a set."""
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 class Order:
@@ -145,7 +147,7 @@ def _scan(n: int):
             grams, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, int))
             own = counts >= HOT_LOCAL
             k = int(own.sum())
-            return pa.record_batch([pa.array(np.ones(k, np.int8)), pa.nulls(k, kind), pa.nulls(k, pa.binary()), pa.array(grams[own].astype(np.int64)), pa.array(counts[own].astype(np.int64))], names=names)
+            return pa.record_batch([pa.array(np.ones(k, np.int8)), pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.array(grams[own].astype(np.int64)), pa.array(counts[own].astype(np.int64))], names=names)
 
         names, kind = ["kind", "id", "digest", "x", "y"], pa.int64()
         for b in batches:
@@ -155,7 +157,7 @@ def _scan(n: int):
                 for grams in sets_of(block, n):
                     d = digest(grams) if len(grams) else None
                     digests.append(d), sizes.append(len(grams))
-                    if d and d not in seen:
+                    if d is not None and d not in seen:
                         seen.add(d)
                         held.append(grams)
                         size += len(grams)
@@ -163,7 +165,7 @@ def _scan(n: int):
                     yield frequent()
                     held, seen, size = [], set(), 0
             k = len(digests)
-            yield pa.record_batch([pa.array(np.zeros(k, np.int8)), b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+            yield pa.record_batch([pa.array(np.zeros(k, np.int8)), b.column(0), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int64())], names=names)
         yield frequent()
 
     return run
@@ -173,7 +175,7 @@ def _prefixes(n: int, percent: int, shared):
     def run(batches):
         order, seen = shared.value, set()
         for b in batches:
-            grams, digests, owner, sizes, places = [], [], [], [], []
+            grams, digests, places = [], [], []
             for block in blocks(b.column(0)):
                 for own in sets_of(block, n):
                     p = prefix(len(own), percent)
@@ -184,76 +186,68 @@ def _prefixes(n: int, percent: int, shared):
                         seen.clear()
                     seen.add(d)
                     grams.append(order.sort(own)[:p])
-                    owner.append(np.full(p, len(digests))), sizes.append(np.full(p, len(own))), places.append(np.arange(p))
-                    digests.append(d)
+                    digests.append(np.full(p, d)), places.append(np.arange(p) | len(own) << 32)
             if digests:
-                owner = pa.array(np.concatenate(owner))
-                yield pa.record_batch([pa.array(np.concatenate(grams).astype(np.int64)), pa.array(digests, pa.binary()).take(owner), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))], names=["gram", "digest", "n", "pos"])
+                yield pa.record_batch([pa.array(np.concatenate(grams).astype(np.int64)), pa.array(np.concatenate(digests)), pa.array(np.concatenate(places))], names=["gram", "digest", "place"])
 
     return run
 
 
 def _candidates(percent: int):
-    """From rows sorted by (gram, digest): kind 0: a pair (a, b); kind 1: a long list's first member a, its member b, and the gram."""
-    schema = pa.schema([("kind", pa.int8()), ("gram", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+    """From rows (gram, digest, place) sorted by the first two: kind 0: a pair (a, b); kind 1: a long list's first member a, its member b, and the gram."""
 
     def made(kind, grams, a, b):
-        return pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), pa.array(grams), a, b], schema=schema)
+        return pa.record_batch([pa.array(np.full(len(b), kind, np.int8)), pa.array(grams), pa.array(a), pa.array(b)], names=["kind", "gram", "a", "b"])
 
-    def pairs(t):
-        """All lists of t are whole."""
-        gram, digests, n, pos = t
+    def pairs(gram, node, place):
+        """All lists are whole."""
         new = np.ones(len(gram), bool)
         new[1:] = gram[1:] != gram[:-1]
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(gram)))
         length = np.repeat(size, size)
         for at, k in zip(first[size > SHORT_LIST], size[size > SHORT_LIST]):
-            yield made(1, gram[at : at + k], digests.take(pa.array(np.full(k, at))), digests.slice(at, k))
+            yield made(1, gram[at : at + k], np.full(k, node[at]), node[at : at + k])
         short = np.flatnonzero((length > 1) & (length <= SHORT_LIST))
-        g, m, p = gram[short], n[short].astype(np.int64), pos[short]
+        g, m, p = gram[short], place[short] >> 32, place[short] & 0xFFFFFFFF
         for shift in range(1, SHORT_LIST):
-            same = np.flatnonzero(g[shift:] == g[:-shift])
-            if not len(same):
+            i = np.flatnonzero(g[shift:] == g[:-shift])
+            if not len(i):
                 break
-            i, j = same, same + shift
+            j = i + shift
             bound = 1 + np.minimum(m[i] - p[i] - 1, m[j] - p[j] - 1)  # if this is the first gram that they share
             own = np.minimum(bound, np.minimum(m[i], m[j])) >= required(m[i], m[j], percent)
             if own.any():
-                yield made(0, g[i[own]], digests.take(pa.array(short[i[own]])), digests.take(pa.array(short[j[own]])))
+                yield made(0, g[i[own]], node[short[i[own]]], node[short[j[own]]])
 
     def run(batches):
         rest, long_gram, leader = None, None, None
         for b in batches:
-            b = pa.Table.from_batches([b])
+            t = [b.column(k).to_numpy() for k in range(3)]
             if rest is not None:
-                b = pa.concat_tables([rest, b])
-            gram, digests = b.column(0).to_numpy(), b.column(1).combine_chunks()
-            if len(gram) == 0:
+                t = [np.concatenate(x) for x in zip(rest, t)]
+            if not len(t[0]):
                 continue
-            fresh = np.ones(len(gram), bool)  # the same set can come from several tasks
-            same = np.flatnonzero(gram[1:] == gram[:-1]) + 1
-            if len(same):
-                fresh[same] = np.array([digests[int(i)].as_py() != digests[int(i) - 1].as_py() for i in same])
-            b = b.filter(pa.array(fresh))
-            gram, digests = b.column(0).to_numpy(), b.column(1).combine_chunks()
+            fresh = np.ones(len(t[0]), bool)  # the same set can come from several tasks
+            fresh[1:] = (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1])
+            t = [x[fresh] for x in t]
             if long_gram is not None:
-                k = int(np.searchsorted(gram, long_gram, "right"))
+                k = int(np.searchsorted(t[0], long_gram, "right"))
                 if k:
-                    yield made(1, gram[:k], pa.array([leader] * k, pa.binary()), digests.slice(0, k))
-                    b, gram, digests = b.slice(k), gram[k:], digests.slice(k)
-                if not len(gram):
+                    yield made(1, t[0][:k], np.full(k, leader), t[1][:k])
+                    t = [x[k:] for x in t]
+                if not len(t[0]):
                     continue
                 long_gram = None
-            last = int(np.searchsorted(gram, gram[-1], "left"))
-            yield from pairs((gram[:last], digests.slice(0, last), b.column(2).to_numpy()[:last], b.column(3).to_numpy()[:last]))
-            rest = b.slice(last)
-            if len(rest) > SHORT_LIST:
-                long_gram, leader = gram[-1], digests[last].as_py()
-                yield made(1, gram[last:], pa.array([leader] * len(rest), pa.binary()), digests.slice(last))
+            last = int(np.searchsorted(t[0], t[0][-1], "left"))
+            yield from pairs(*[x[:last] for x in t])
+            rest = [x[last:] for x in t]
+            if len(rest[0]) > SHORT_LIST:
+                long_gram, leader = rest[0][0], rest[1][0]
+                yield made(1, rest[0], np.full(len(rest[0]), leader), rest[1])
                 rest = None
-        if rest is not None and len(rest):
-            yield from pairs((rest.column(0).to_numpy(), rest.column(1).combine_chunks(), rest.column(2).to_numpy(), rest.column(3).to_numpy()))
+        if rest is not None:
+            yield from pairs(*rest)
 
     return run
 
@@ -336,30 +330,35 @@ def _blocks_join(n: int, percent: int, shared):
 
 def _spread(rows: DataFrame, docs: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
     """Rows with the text of their id, dealt out and sorted by keys."""
-    got = rows.join(docs.select(F.col("t_id"), F.col("t_text")), F.col("id") == F.col("t_id")).select(*keys, *rest, "digest", "t_text")
-    return got.repartition(*keys).sortWithinPartitions(*keys, *rest)
+    rows = staged(rows, "jaccard-wanted")
+    ids = rows.select(F.col("id").alias("w_id")).distinct()
+    if rows.count() <= FEW:  # so few ids can be sent to every task, which then drops the other texts before the shuffle
+        docs = docs.join(F.broadcast(ids), F.col("t_id") == F.col("w_id"), "left_semi")
+    got = rows.join(docs.select("t_id", "t_text"), F.col("id") == F.col("t_id")).select(*keys, *rest, "digest", "t_text")
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # groups differ in work, not only in bytes
+    return got.repartition(tasks, *keys).sortWithinPartitions(*keys, *rest)
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of df; ids are integers."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("t_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t_text"))
-    scan = staged(docs.mapInArrow(_scan(words), "kind byte, id long, digest binary, x long, y long"), "jaccard-scan")
+    scan = staged(docs.mapInArrow(_scan(words), "kind byte, id long, digest long, x long, y long"), "jaccard-scan")
     sets = scan.where("kind = 0").select("id", "digest", F.col("x").alias("n"))
     hot = scan.where("kind = 1").groupBy("x").agg(F.sum("y").alias("y")).orderBy(F.col("y").desc(), "x").limit(HOT).toArrow()  # at most HOT rows of two integers
     shared = spark.sparkContext.broadcast(Order(hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy()))
-    rows = staged(docs.select("t_text").mapInArrow(_prefixes(words, percent, shared), "gram long, digest binary, n int, pos int"), "jaccard-prefixes")
+    rows = staged(docs.select("t_text").mapInArrow(_prefixes(words, percent, shared), "gram long, digest long, place long"), "jaccard-prefixes")
     # lists of grams known to be frequent: at most HOT rows, which is the bound for broadcasting them
     big = rows.where(F.col("gram") >= F.lit(1 << LEVEL_BITS)).groupBy("gram").agg(F.count("*").alias("size"), F.min("digest").alias("a")).where(F.col("size") > SHORT_LIST)
     big = staged(big.select(F.col("gram").alias("big"), "a"), "jaccard-long-lists")
     cold = rows.join(F.broadcast(big), F.col("gram") == F.col("big"), "left_anti").repartition("gram").sortWithinPartitions("gram", "digest")
-    found = staged(cold.mapInArrow(_candidates(percent), "kind byte, gram long, a binary, b binary"), "jaccard-candidates")
+    found = staged(cold.mapInArrow(_candidates(percent), "kind byte, gram long, a long, b long"), "jaccard-candidates")
     star = rows.join(F.broadcast(big), F.col("gram") == F.col("big")).select("gram", "a", F.col("digest").alias("b")).distinct()
     star = staged(star.union(found.where("kind = 1").select("gram", "a", "b")), "jaccard-stars")
     nodes = staged(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id")).where("id is not null"), "jaccard-nodes")
     pairs = found.where("kind = 0").select("a", "b").union(star.where("a <> b").select("a", "b")).distinct()
     pairs = staged(pairs, "jaccard-pairs")
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).withColumnRenamed("a", "m")
+    many = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).withColumnRenamed("a", "m"), "jaccard-leaders")
     members = pairs.join(many, F.col("a") == F.col("m")).withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks"))
     leaders = many.select(F.col("m").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     both = members.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("digest")).union(leaders.select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("digest")))
