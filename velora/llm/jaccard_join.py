@@ -35,7 +35,7 @@ from velora.llm.staging import staged
 from velora.llm.words import Block, blocks, gram_hashes, gram_starts
 
 WORDS, PERCENT = 4, 85
-HOT, HOT_LOCAL, STRETCH = 1 << 18, 4, 1 << 22
+HOT, HOT_LOCAL, STRETCH = 1 << 18, 3, 1 << 21
 SHORT_LIST, CHUNK, BLOCK = 64, 256, 256
 LEVEL_BITS = 58
 SEEN = 1 << 19
@@ -256,7 +256,7 @@ def _groups(batches, n: int, shared, keys: int):
     """Of rows sorted by `keys` leading columns, then digest and text as the last two: for each group its rows and ordered sets."""
     order, rows, sets, now = shared.value, [], [], None
     for b in batches:
-        own = [s for block in blocks(b.column(b.num_columns - 1)) for s in sets_of(block, n)]
+        own = (s for block in blocks(b.column(b.num_columns - 1)) for s in sets_of(block, n))
         for row, s in zip(zip(*[b.column(k).to_pylist() for k in range(b.num_columns - 1)]), own):
             if row[:keys] != now:
                 if rows:

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch while a table is written: texts are long, and an executor holds a batch for each task on both sides.
+MOST_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -28,8 +31,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     real sizes for its choice of joins. A lost executor costs no recomputation.
     """
     spark = df.sparkSession
+    rows = int(spark.conf.get(_BATCH))
     path = f"{shared_folder(spark)}/velora-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark.conf.set(_BATCH, min(rows, MOST_ROWS) if rows > 0 else MOST_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
