@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(f):
+    """Evaluate array arguments once: each becomes the variable of a one-element transform, so that nested calls don't multiply expressions."""
+
+    @wraps(f)
+    def call(*args):
+        def bind(k: int, done: list) -> Column:
+            if k == len(args):
+                return f(*done)
+            return F.element_at(F.transform(F.array(args[k]), lambda x: bind(k + 1, [*done, x])), 1)
+
+        return bind(0, [])
+
+    return call
+
+
 def _at(a: Column, i: int) -> Column:
     return F.element_at(a, i + 1)
 
@@ -29,16 +46,19 @@ def q_inverse(q: Column) -> Column:
     return F.array(w, -x, -y, -z)
 
 
+@bound
 def q_normal(q: Column) -> Column:
     return F.array(*_scaled(_parts(q, 4)))
 
 
+@bound
 def q_mul(q: Column, r: Column) -> Column:
     a, b, c, d = _parts(q, 4)
     e, f, g, h = _parts(r, 4)
     return F.array(a * e - b * f - c * g - d * h, a * f + b * e + c * h - d * g, a * g - b * h + c * e + d * f, a * h + b * g - c * f + d * e)
 
 
+@bound
 def q_rotate(q: Column, v: Column) -> Column:
     """v turned by the unit quaternion q."""
     u, p = _parts(q, 4), _parts(v, 3)
@@ -47,6 +67,7 @@ def q_rotate(q: Column, v: Column) -> Column:
     return F.array(*[p[i] + 2 * (u[0] * c[i] + cc[i]) for i in range(3)])
 
 
+@bound
 def q_between(a: Column, b: Column) -> Column:
     """The rotation that takes direction a to direction b."""
     p, q = _parts(a, 3), _parts(b, 3)
@@ -67,6 +88,7 @@ def q_slerp(a: Column, b: Column, t: Column) -> Column:
     return q_mul(q_power(q_mul(b, q_inverse(a)), t), a)
 
 
+@bound
 def q_to_matrix(q: Column) -> Column:
     w, x, y, z = _parts(q, 4)
     s = 2 / (w * w + x * x + y * y + z * z)
@@ -77,6 +99,7 @@ def q_to_matrix(q: Column) -> Column:
     )
 
 
+@bound
 def matrix_to_q(m: Column) -> Column:
     """With w >= 0; from the largest of the four possible divisors."""
     a, b, c, d, e, f, g, h, i = _parts(m, 9)
@@ -92,6 +115,7 @@ def matrix_to_q(m: Column) -> Column:
     return F.array(*[p * sign for p in pick])
 
 
+@bound
 def axis_angle_to_q(v: Column) -> Column:
     p = _parts(v, 3)
     angle = F.sqrt(p[0] * p[0] + p[1] * p[1] + p[2] * p[2])
@@ -99,6 +123,7 @@ def axis_angle_to_q(v: Column) -> Column:
     return F.array(F.cos(angle / 2), *[x * s for x in p])
 
 
+@bound
 def q_to_axis_angle(q: Column) -> Column:
     w, *v = _parts(q, 4)
     length = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
@@ -107,6 +132,7 @@ def q_to_axis_angle(q: Column) -> Column:
     return F.array(*[x / s for x in v])
 
 
+@bound
 def six_to_matrix(d: Column) -> Column:
     """Gram-Schmidt on two rows of three values; the third row is their cross product."""
     v = _parts(d, 6)
@@ -120,6 +146,7 @@ def matrix_to_six(m: Column) -> Column:
     return F.slice(m, 1, 6)
 
 
+@bound
 def q_to_six(q: Column) -> Column:
     """The first two columns of the rotation."""
     m = _parts(q_to_matrix(q), 9)

@@ -21,17 +21,22 @@ def canonical(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(a).alias(b) for a, b in names.items() if a in df.columns])
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "file_id", form: str = "auto%07d") -> DataFrame:
-    """A synthetic id from the row's place, counted from 0.
+def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Each row's place in the whole order, from 0.
 
-    Places come from counts of sorted partitions, so no task sees all rows: a global row_number() would.
+    Places come from counts of sorted ranges, so no task sees all rows: a global row_number() would.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_part").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).select(F.col("_part").alias("_p"), "_start")
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    placed = ranged.withColumn("_nth", nth).join(starts, F.col("_part") == F.col("_p"))
-    return placed.withColumn(name, F.format_string(form, F.col("_start") + F.col("_nth"))).drop("_part", "_p", "_start", "_nth")
+    rows = ranged.withColumn("_nth", nth).join(starts, F.col("_part") == F.col("_p"))
+    return rows.withColumn(name, F.col("_start") + F.col("_nth")).drop("_part", "_p", "_start", "_nth")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "file_id", form: str = "auto%07d") -> DataFrame:
+    """A synthetic id from the row's place, counted from 0."""
+    return placed(df, order, "_place").withColumn(name, F.format_string(form, F.col("_place"))).drop("_place")
 
 
 def cleaned(df: DataFrame, columns: list[str]) -> DataFrame:
