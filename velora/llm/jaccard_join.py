@@ -1,13 +1,14 @@
 """Operator 7: n-gram Jaccard join by prefix trees.
 
 A document's set holds the 58-bit hashes of its distinct word n-grams in one global order: rare before frequent (by the
-power of two of a count over all documents), then by hash. Sets that link share one of their first
-n - ceil(t n) + 1 grams. The steps:
+power of two of a count over all documents), then by hash. Sets that link share two of their first
+n - ceil(t n) + 2 grams. The steps:
 
 1. One pass over the texts: size and digest of each set; grams frequent within a stretch of documents, of which
    the HOT most frequent overall make the order's upper levels. (The order affects speed, never results.)
 2. One pass: the prefix of each distinct set, as rows of (gram, set).
-3. Lists of sets by gram. Short lists give candidate pairs by size and position bounds. Of a long list
+3. Lists of sets by gram. Short lists give candidate pairs by size and position bounds; a pair counts once two lists
+   have given it (a linked pair that doesn't share two grams of short lists shares one of a long list). Of a long list
    every member is paired with the list's first member only.
 4. Candidates meet by leader: the members' ordered sets form a trie that the leader's set descends,
    sharing overlaps along common paths and leaving a subtree once what remains can't reach the bound.
@@ -35,7 +36,7 @@ from velora.llm.staging import staged
 from velora.llm.words import Block, blocks, gram_hashes, gram_starts
 
 WORDS, PERCENT = 4, 85
-HOT, HOT_LOCAL, STRETCH = 1 << 18, 3, 1 << 21
+HOT, HOT_LOCAL, STRETCH = 1 << 18, 2, 1 << 22
 SHORT_LIST, CHUNK, BLOCK = 64, 256, 256
 LEVEL_BITS = 58
 SEEN = 1 << 19
@@ -90,8 +91,8 @@ def required(a, b, percent: int):
 
 
 def prefix(n: int, percent: int) -> int:
-    """Grams of which a linked set shares one; none if no different set can link."""
-    return 0 if 100 * n < percent * (n + 1) else n - -(-percent * n // 100) + 1
+    """Grams of which a linked set shares two; none if no different set can link."""
+    return 0 if 100 * n < percent * (n + 1) else min(n, n - -(-percent * n // 100) + 2)
 
 
 class Trie:
@@ -215,7 +216,7 @@ def _candidates(percent: int):
             if not len(i):
                 break
             j = i + shift
-            bound = 1 + np.minimum(m[i] - p[i] - 1, m[j] - p[j] - 1)  # if this is the first gram that they share
+            bound = 2 + np.minimum(m[i] - p[i] - 1, m[j] - p[j] - 1)  # if this is the first or second gram that they share
             own = np.minimum(bound, np.minimum(m[i], m[j])) >= required(m[i], m[j], percent)
             if own.any():
                 yield made(0, g[i[own]], node[short[i[own]]], node[short[j[own]]])
@@ -356,7 +357,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     star = rows.join(F.broadcast(big), F.col("gram") == F.col("big")).select("gram", "a", F.col("digest").alias("b")).distinct()
     star = staged(star.union(found.where("kind = 1").select("gram", "a", "b")), "jaccard-stars")
     nodes = staged(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id")).where("id is not null"), "jaccard-nodes")
-    pairs = found.where("kind = 0").select("a", "b").union(star.where("a <> b").select("a", "b")).distinct()
+    twice = found.where("kind = 0").groupBy("a", "b").count().where("count >= 2")
+    pairs = twice.select("a", "b").union(star.where("a <> b").select("a", "b")).distinct()
     pairs = staged(pairs, "jaccard-pairs")
     many = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).withColumnRenamed("a", "m"), "jaccard-leaders")
     members = pairs.join(many, F.col("a") == F.col("m")).withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks"))
