@@ -9,7 +9,7 @@ their own label made. Boosting uses three quarters of the sample; the calibratio
 The model is fitted on the driver on a bounded sample: SAMPLE_LABELS labelled rows in the order of a hash,
 of each text SAMPLE_CHARS characters at most. Scoring reads whole texts.
 
-Cases: null and empty texts get the score of a text without words. No labels of one of the two kinds: the score is
+Cases: null and empty texts, and texts without words, get the lowest score that the calibration knows. No labels of one of the two kinds: the score is
 their share (0.5 without labels). A doc_id with several labels counts as toxic if one of them is. Null labels don't count.
 Repeated rows are scored alike. Extra columns pass through.
 """
@@ -254,7 +254,8 @@ class Model:
             if self.trees is None:
                 out[block.at] = self.knots[1][0]
             else:
-                out[block.at] = np.clip(np.interp(self.trees.raw(describe(self.lexicons, block)), *self.knots), 0, 1)
+                score = np.clip(np.interp(self.trees.raw(describe(self.lexicons, block)), *self.knots), 0, 1)
+                out[block.at] = np.where(block.counts > 0, score, np.clip(self.knots[1][0], 0, 1))
         return out
 
 
