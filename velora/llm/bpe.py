@@ -3,7 +3,7 @@
 Each piece of the pre-tokenisation is merged with a priority queue of (rank, place) over a doubly
 linked list of symbols; entries made stale by a merge are skipped when they come up. Decoding
 concatenates the vocabulary's strings. Pieces recur, so results are kept per piece in bounded
-dictionaries; a full dictionary starts anew, which changes the speed and never the result.
+dictionaries, which change the speed and never the result.
 
 Cases: a null text counts as empty: no tokens, empty decoded text. Texts are encoded whole.
 Rows repeat as they come. Extra columns pass through `encode`'s input untouched and are not read.
@@ -23,13 +23,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velora.llm.staging import small_batches
+from velora.llm.words import tidy
+
 #: The white space of Unicode.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: The public pattern that parts text into pieces.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Runs whose pieces don't depend on their neighbours: what lies between white space, with one space before it, or white space.
 RUNS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-KEPT_RUNS, KEPT_PIECES = 400_000, 200_000
+#: Entries of each of two generations.
+KEPT_RUNS, KEPT_PIECES = 120_000, 60_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -40,6 +44,24 @@ def printable_bytes() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Recent:
+    """A bounded dictionary in two generations: what is used stays, what isn't goes when the younger generation is full."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: str):
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Codec:
     """A vocabulary with its merges, by the path of a tokenizer file."""
 
@@ -59,8 +81,7 @@ class Codec:
         self.single = [self.vocab[bytes([b])] for b in range(256)]
         self.runs, self.pieces = re.compile(RUNS), regex.compile(PIECES)
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._runs: dict[str, tuple[str, int, bytes]] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._runs, self._pieces = Recent(KEPT_RUNS), Recent(KEPT_PIECES)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -92,9 +113,7 @@ class Codec:
             if (ids := self._pieces.get(piece)) is None:
                 ids = self.merge(piece.encode())
                 if len(piece) <= 64:
-                    if len(self._pieces) >= KEPT_PIECES:
-                        self._pieces.clear()
-                    self._pieces[piece] = ids
+                    self._pieces.put(piece, ids)
             out += ids
         return out
 
@@ -102,13 +121,11 @@ class Codec:
         """For each run: its ids as text, their number, and what they decode to."""
         known = self._runs
         for run in self.runs.findall(text):
-            if (got := known.get(run)) is None:
+            if (got := known.new.get(run)) is None and (got := known.get(run)) is None:
                 ids = self.run_ids(run)
                 got = ",".join(map(str, ids)), len(ids), self.joined(ids)
                 if len(run) <= 64:
-                    if len(known) >= KEPT_RUNS:
-                        known.clear()
-                    known[run] = got
+                    known.put(run, got)
             yield got
 
     def parts(self, text: str) -> list[tuple[str, int, bytes]]:
@@ -174,4 +191,5 @@ def round_trip(df: DataFrame, tokenizer: str) -> DataFrame:
                 texts.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    small_batches(df.sparkSession)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velora.llm.words import Block, Rolling, blocks, gram_starts
+from velora.llm.staging import small_batches
+from velora.llm.words import Block, Rolling, blocks, tidy
 
 SAMPLE_DOCS, SAMPLE_CHARS = 2400, 2500
 BITS = 18
@@ -263,9 +264,12 @@ def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], list[float
 
 def fit(df: DataFrame, train_rows: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model | None:
     """Train on a bounded sample of the labelled rows that train_rows admits."""
-    rows = df.where(train_rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.substring(F.col(text_col), 1, chars).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"))
-    got = rows.orderBy("h", "i", "t").limit(docs).collect()
+    rows = df.where(train_rows & F.col(lang_col).isNotNull())
+    # choose by id alone, so that a task sends the driver `docs` pairs of numbers at most, whatever it reads
+    own = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(docs)
+    own = df.sparkSession.createDataFrame(own.collect(), own.schema)
+    rows = rows.where(F.col(text_col).isNotNull()).select(F.substring(F.col(text_col), 1, chars).alias("t"), F.col(lang_col).cast("string").alias("l"), F.col(id_col).alias("d"))
+    got = rows.join(F.broadcast(own.distinct()), F.col("d").eqNullSafe(F.col("i"))).orderBy("h", "i", "t").limit(docs).collect()
     return train([r.t for r in got], [r.l for r in got])
 
 
@@ -283,4 +287,5 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text", cols: l
             langs, scores = predict(shared.value, b.column(at).cast(pa.string()))
             yield pa.record_batch([*b.columns[: len(cols)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*cols, *names])
 
-    return rows.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    small_batches(df.sparkSession)
+    return rows.mapInArrow(tidy(run), f"{schema}, `{names[0]}` string, `{names[1]}` double")
