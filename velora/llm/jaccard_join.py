@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 
 from velora.llm.components import components
 from velora.llm.staging import staged
-from velora.llm.words import Block, blocks, gram_hashes, gram_starts
+from velora.llm.words import Block, blocks, gram_hashes, gram_starts, tidy
 
 WORDS, PERCENT = 4, 85
-HOT, HOT_LOCAL, STRETCH = 1 << 18, 2, 1 << 22
+HOT, HOT_LOCAL, STRETCH = 1 << 18, 2, 1 << 21
 SHORT_LIST, CHUNK, BLOCK = 64, 256, 256
 LEVEL_BITS = 58
-SEEN = 1 << 19
+SEEN = 1 << 17
 FEW = 1 << 21  # ids of eight bytes that may be broadcast
 STEP = 64  # nodes of a trie path between two looks at the bound
 
@@ -169,7 +169,7 @@ def _scan(n: int):
             yield pa.record_batch([pa.array(np.zeros(k, np.int8)), b.column(0), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int64())], names=names)
         yield frequent()
 
-    return run
+    return tidy(run)
 
 
 def _prefixes(n: int, percent: int, shared):
@@ -191,7 +191,7 @@ def _prefixes(n: int, percent: int, shared):
             if digests:
                 yield pa.record_batch([pa.array(np.concatenate(grams).astype(np.int64)), pa.array(np.concatenate(digests)), pa.array(np.concatenate(places))], names=["gram", "digest", "place"])
 
-    return run
+    return tidy(run)
 
 
 def _candidates(percent: int):
@@ -250,7 +250,7 @@ def _candidates(percent: int):
         if rest is not None:
             yield from pairs(*rest)
 
-    return run
+    return tidy(run)
 
 
 def _groups(batches, n: int, shared, keys: int):
@@ -289,7 +289,7 @@ def _verify(n: int, percent: int, shared):
                 out = []
         yield _links(out)
 
-    return run
+    return tidy(run)
 
 
 def _links(out: list) -> pa.RecordBatch:
@@ -326,7 +326,7 @@ def _blocks_join(n: int, percent: int, shared):
                 out = []
         yield _links(out)
 
-    return run
+    return tidy(run)
 
 
 def _spread(rows: DataFrame, docs: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:

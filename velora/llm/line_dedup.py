@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velora.llm.staging import staged
+from velora.llm.words import tidy
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -60,7 +61,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     # rows that share an id are told apart by their text
     version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     held = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).cast("string"), version)
-    held = staged(held.mapInArrow(explode, f"l_id {kind}, l_version long, l_pos int, l_key binary"), "line-keys")
+    held = staged(held.mapInArrow(tidy(explode), f"l_id {kind}, l_version long, l_pos int, l_key binary"), "line-keys")
     often = held.select("l_key", "l_id").distinct().groupBy("l_key").agg(F.count("*").alias("n"), F.max("l_id").alias("l_last"))
     often = staged(often.where(F.col("n") >= min_docs).select("l_key", "l_last"), "line-often")
     gone = held.join(often, "l_key").where("l_id < l_last").groupBy("l_id", "l_version").agg(F.collect_set("l_pos").alias("l_gone"))

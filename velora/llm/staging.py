@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch while a table is written: texts are long, and an executor holds a batch for each task on both sides.
+#: Rows of an Arrow batch: texts are long, and an executor holds a batch for each task on both sides.
 MOST_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small from now on; a session that asks for smaller ones keeps them."""
+    rows = int(spark.conf.get(_BATCH))
+    if not 0 < rows <= MOST_ROWS:
+        spark.conf.set(_BATCH, MOST_ROWS)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
@@ -31,13 +38,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     real sizes for its choice of joins. A lost executor costs no recomputation.
     """
     spark = df.sparkSession
-    rows = int(spark.conf.get(_BATCH))
+    small_batches(spark)
     path = f"{shared_folder(spark)}/velora-{name}-{uuid.uuid4().hex}"
-    spark.conf.set(_BATCH, min(rows, MOST_ROWS) if rows > 0 else MOST_ROWS)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, rows)
+    df.write.parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velora.llm.staging import staged
-from velora.llm.words import Block, blocks, gram_hashes, gram_starts
+from velora.llm.words import Block, blocks, gram_hashes, gram_starts, tidy
 
 WINDOW, PHRASE = 50, 8
 SHARD_DOCS = 256
@@ -78,7 +78,7 @@ def _marks(window: int, phrase: int):
             if owners:
                 yield pa.record_batch([ids.take(pa.array(np.concatenate(owners))), pa.array(np.concatenate(names).view(np.int64))], names=["id", "phrase"])
 
-    return run
+    return tidy(run)
 
 
 def _located(block: Block, hashes: np.ndarray, mark: np.ndarray, wanted: list[np.ndarray], owner: np.ndarray, phrase: int) -> np.ndarray:
@@ -147,7 +147,7 @@ def _stretch_rows(window: int, phrase: int):
                     names=["id", "phrase", "whole", "at", "inner"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _kept(window: int):
@@ -169,7 +169,7 @@ def _kept(window: int):
                 digests.append(hashlib.sha256(texts[-1].encode()).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return run
+    return tidy(run)
 
 
 def _words(text: str) -> list[str]:

@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velora.llm.crf import cores
-from velora.llm.words import LOWER, Block, Rolling, _BYTES, blocks
+from velora.llm.staging import small_batches
+from velora.llm.words import LOWER, Block, Rolling, _BYTES, blocks, tidy
 
 SAMPLE_LABELS, SAMPLE_CHARS = 5000, 10_000
 ROUNDS, DEPTH, RATE, BINS, LEAST = 60, 3, 0.2, 32, 8
@@ -302,4 +303,5 @@ def score(df: DataFrame, model: Model, cols: list[str] | None = None, text_col:
         for b in batches:
             yield pa.record_batch([*b.columns[1:], pa.array(shared.value.score(b.column(0)), pa.float64())], names=[*cols, "score"])
 
-    return rows.mapInArrow(run, f"{schema}, score double")
+    small_batches(df.sparkSession)
+    return rows.mapInArrow(tidy(run), f"{schema}, score double")
