@@ -28,4 +28,14 @@ p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)',
 hit AS (SELECT page_id, r_host || r_path AS rule, r_verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r_host || r_path) DESC, r_verdict DESC) AS k
   FROM p JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
 SELECT p.page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM p LEFT JOIN hit ON p.page_id = hit.page_id AND k = 1""",
+    "op10_curriculum": rf"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^{_SPACE}]+')), 0) AS BIGINT) AS size, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][place % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS lim, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
+b AS (SELECT *, (total - coalesce(sum(lim) OVER (ORDER BY lim / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY lim / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, place, coalesce(least(lim, max(CASE WHEN lim / weight > level THEN level END) OVER () * weight), lim) AS target FROM b),
+r AS (SELECT doc_id, size, source_size, place, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, CAST(epochs * size + greatest(0, least(size, CAST(round(target - epochs * source_size) AS BIGINT) - before)) AS BIGINT) AS taken, least((before + size / 2) / target, 1) AS share FROM r)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN least(1, CASE place % 3 WHEN 0 THEN 2 * share / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE - 2 * share, 0))) WHEN 1 THEN 2 * share / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * share)) ELSE share END) END AS position FROM k""",
 }
