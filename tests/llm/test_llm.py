@@ -307,6 +307,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score(docs(spark, EDGES), none).collect()} == {0.5}
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(18)
+    make = lambda bad: " ".join(rng.choice(V) for _ in range(2600)) + (" grumwort" * 40 if bad else "")
+    rows = [(i, make(i % 3 == 0)) for i in range(150)]
+    assert all("grumwort" not in t[:10_000] for _, t in rows)
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    df = docs(spark, rows + rows[:20])  # repeated rows count once
+    got = {r.doc_id: r.score for r in toxicity.score(df, toxicity.fit(df, labels, F.col("doc_id") < 100)).collect()}
+    assert all((got[i] >= 0.5) == (i % 3 == 0) for i in range(100, 150))
+
+
 def test_isotonic_rises():
     x, y = toxicity.isotonic(np.array([3.0, 1, 2, 4, 5]), np.array([0.0, 0, 1, 1, 1]))
     assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all()

@@ -6,8 +6,9 @@ lexicon words behind such signs). The lexicon is the short fixed list below and
 that are far more frequent in texts marked toxic. It is cross-fitted, so that the trees never see a density that
 their own label made. Boosting uses three quarters of the sample; the calibration is fitted on the rest.
 
-The model is fitted on the driver on a bounded sample: SAMPLE_LABELS labelled rows in the order of a hash,
-of each text SAMPLE_CHARS characters at most. Scoring reads whole texts.
+The sample is bounded in rows only: SAMPLE_LABELS labelled rows in the order of a hash, of which a document's equal rows count once.
+Executors read the sampled texts whole, for the words and stems of the lexicons as for the features; the driver gets what the lexicons
+keep and one row of features for each text, and fits trees and calibration on those. Scoring reads whole texts too.
 
 Cases: null and empty texts, and texts without words, get the lowest score that the calibration knows. No labels of one of the two kinds: the score is
 their share (0.5 without labels). A doc_id with several labels counts as toxic if one of them is. Null labels don't count.
@@ -24,13 +25,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velora.llm.crf import cores
-from velora.llm.staging import small_batches
+from velora.llm.staging import small_batches, staged
 from velora.llm.words import LOWER, Block, Rolling, _BYTES, blocks, tidy
 
-SAMPLE_LABELS, SAMPLE_CHARS = 5000, 10_000
+SAMPLE_LABELS = 5000
 ROUNDS, DEPTH, RATE, BINS, LEAST = 60, 3, 0.2, 32, 8
 NEAR = 5
 STEMS = (4, 5, 6)  # bytes
+FOLDS = 4
+WORD, STEM = 0, 1
+#: Of words and of stems: the least number of toxic texts, and the log odds to exceed.
+LEAST_TEXTS, LEAST_ODDS = (3, 4), (2.0, 2.5)
 #: Insults that need no learning.
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "jerk", "dumm", "trottel", "abschaum", "imbécile", "crétin", "connard", "tonto", "imbécil", "basura")
 #: Words of address.
@@ -92,9 +97,12 @@ def _stems(roll: Rolling, start: np.ndarray, end: np.ndarray) -> list[tuple[np.n
     return out
 
 
-def learn(texts: list[str], toxic: np.ndarray) -> Lexicons:
-    """Words and stems far likelier in toxic texts, by the number of texts that hold them."""
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
+def _odds(bad, clean, n1: int, n0: int, log):
+    return log((bad + 0.5) / (n1 + 1)) - log((clean + 0.5) / (n0 + 1))
+
+
+def _held():
+    """(kind, key, cell, n): in how many texts of a fold and kind (cell: twice the fold, one more for toxic texts) each word and stem is."""
 
     def once(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each key once for each text."""
@@ -104,27 +112,48 @@ def learn(texts: list[str], toxic: np.ndarray) -> Lexicons:
         new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
         return key[new], doc[new]
 
-    def pick(pairs: list, least: int, odds: float) -> tuple[np.ndarray, np.ndarray]:
-        found, at = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
-        bad = np.bincount(at, weights=toxic[np.concatenate([p[1] for p in pairs])], minlength=len(found))
-        every = np.bincount(at, minlength=len(found))
-        score = np.log((bad + 0.5) / (n1 + 1)) - np.log((every - bad + 0.5) / (n0 + 1))
-        own = (bad >= least) & (score > odds)
-        return found[own], score[own]
-
-    words, stems, base = [], [], 0
-    for block in blocks(pa.array(texts, pa.string())):
-        start, end, has, hashes, roll = _tokens(block)
-        doc = block.text_of_word() + base
-        words.append(once(hashes[has], doc[has].astype(np.int32)))
-        stems += [once(h, doc[own].astype(np.int32)) for own, h in _stems(roll, start, end)]
-        base += len(block.at)
-    fixed = _hash_words(INSULTS)
-    if not words:
-        return Lexicons(Lexicon(fixed, np.full(len(fixed), 3.0)), Lexicon(fixed[:0], np.zeros(0)))
-    w, s = pick(words, 3, 2.0)
-    rest = fixed[~np.isin(fixed, w)]
-    return Lexicons(Lexicon(np.append(w, rest), np.append(s, np.full(len(rest), 3.0))), Lexicon(*pick(stems, 4, 2.5)))
+    def run(batches):
+        for b in batches:
+            cell = 2 * b.column(0).to_numpy() + b.column(1).to_numpy()
+            for block in blocks(b.column(2)):
+                start, end, has, hashes, roll = _tokens(block)
+                doc, own_cell = block.text_of_word(), cell[block.at]
+                pairs = [(WORD, hashes[has], doc[has]), *((STEM, h, doc[own]) for own, h in _stems(roll, start, end))]
+                for kind, key, at in pairs:
+                    key, at = once(key, at)
+                    found, back = np.unique(key, return_inverse=True)
+                    place, n = np.unique(back * (2 * FOLDS) + own_cell[at], return_counts=True)
+                    names = found[place // (2 * FOLDS)].view(np.int64)
+                    yield pa.record_batch([pa.array(np.full(len(n), kind)), pa.array(names), pa.array(place % (2 * FOLDS)), pa.array(n)], names=["kind", "key", "cell", "n"])
+
+    return tidy(run)
+
+
+def _lexicons(sampled: DataFrame) -> list[Lexicons]:
+    """Words and stems far likelier in toxic texts, by the number of texts that hold them: without each fold, then of all."""
+    texts = np.zeros((FOLDS, 2), np.int64)
+    for r in sampled.groupBy("fold", "toxic").count().collect():
+        texts[r.fold, r.toxic] = r["count"]
+    left = lambda cells: [sum(x for j, x in enumerate(cells) if j != k) for k in range(FOLDS + 1)]
+    n0, n1 = left(texts[:, 0].tolist()), left(texts[:, 1].tolist())
+    held = sampled.select("fold", "toxic", "text").mapInArrow(_held(), "kind long, key long, cell long, n long")
+    cell = lambda c: F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}")
+    held = held.groupBy("kind", "key").agg(*[cell(c) for c in range(2 * FOLDS)])
+    clean, bad = (left([F.col(f"c{2 * k + t}") for k in range(FOLDS)]) for t in (0, 1))
+    wanted = F.lit(False)
+    for kind in (WORD, STEM):  # what none of the lexicons keeps stays with the executors; the last word on equal odds is below
+        for k in range(FOLDS + 1):
+            wanted |= (F.col("kind") == kind) & (bad[k] >= LEAST_TEXTS[kind]) & (_odds(bad[k], clean[k], n1[k], n0[k], F.log) > LEAST_ODDS[kind] - 1e-9)
+    rows = np.array([tuple(r) for r in held.where(wanted).collect()], np.int64).reshape(-1, 2 + 2 * FOLDS)
+    fixed, out = _hash_words(INSULTS), []
+    clean, bad = (left([rows[:, 2 + 2 * k + t] for k in range(FOLDS)]) for t in (0, 1))
+    for k in range(FOLDS + 1):
+        score = _odds(bad[k], clean[k], n1[k], n0[k], np.log)
+        words, stems = ((rows[:, 0] == kind) & (bad[k] >= LEAST_TEXTS[kind]) & (score > LEAST_ODDS[kind]) for kind in (WORD, STEM))
+        w, s = rows[words, 1].view(np.uint64), score[words]
+        rest = fixed[~np.isin(fixed, w)]
+        out.append(Lexicons(Lexicon(np.append(w, rest), np.append(s, np.full(len(rest), 3.0))), Lexicon(rows[stems, 1].view(np.uint64), score[stems])))
+    return out
 
 
 _YOU = None
@@ -260,19 +289,23 @@ class Model:
         return out
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    y = np.array(toxic, float)
-    lexicons = learn(texts, y)
-    if len(y) == 0 or y.min() == y.max():
-        return Model(lexicons, None, (np.zeros(1), np.array([y.mean() if len(y) else 0.5])))
-    x = np.zeros((len(y), len(FEATURES)))
-    fold = np.arange(len(y)) % 4
-    for k in range(4):  # the lexicon of a text's features has not seen that text
-        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        lex, done = learn([texts[i] for i in rest], y[rest]), 0
-        for block in blocks(pa.array([texts[i] for i in own], pa.string())):
-            x[own[done : done + len(block.at)]] = describe(lex, block)
-            done += len(block.at)
+def _described(shared):
+    """(id, digest, toxic, features): the lexicon of a text's features has not seen that text."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(FOLDS):
+                part = b.filter(pa.array(b.column(2).to_numpy() == k))
+                for block in blocks(part.column(4)):
+                    own = part.slice(int(block.at[0]), len(block.at))
+                    x = describe(shared.value[k], block)
+                    x = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                    yield pa.record_batch([own.column(0), own.column(1), own.column(3), x], names=["doc_id", "digest", "toxic", "x"])
+
+    return tidy(run)
+
+
+def train(x: np.ndarray, y: np.ndarray, lexicons: Lexicons) -> Model:
     fit = np.random.default_rng(3).permutation(len(y)) % 4 != 0
     if y[fit].min() == y[fit].max() or y[~fit].min() == y[~fit].max():
         fit[:] = True
@@ -281,15 +314,27 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     return Model(lexicons, trees, isotonic(trees.raw(x[own]), y[own]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_ids: Column, rows: int = SAMPLE_LABELS, chars: int = SAMPLE_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_ids: Column, rows: int = SAMPLE_LABELS) -> Model:
     """Train on at most rows labelled documents whose doc_id train_ids (an expression on doc_id) admits."""
     # at most `rows` rows of two integers: small enough to broadcast whatever the corpus
-    own = labels.where(train_ids & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    own = labels.where(train_ids & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("long").alias("toxic"))
     own = own.select(F.col("doc_id").alias("t_id"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("t_id"))
-    # repeated documents may make more rows than labels: the bound holds for the rows too
-    got = got.select("text", "toxic", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(rows).collect()
-    return train([r.text for r in got], [int(r.toxic > 0) for r in got])
+    text = F.coalesce("text", F.lit(""))
+    got = docs.select("doc_id", text.alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("t_id"))
+    got = staged(got.select("doc_id", F.sha2("text", 256).alias("digest"), "toxic", "text"), "toxicity-labelled")
+    # documents with several texts may make more rows than labels: the bound holds for the rows too, chosen without their texts
+    chosen = got.select("doc_id", "digest").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(rows)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).alias("fold")
+    got = got.join(F.broadcast(chosen), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    got = staged(got.select("doc_id", "digest", fold, "toxic", "text"), "toxicity-sample")
+    kinds = {r.toxic: r["count"] for r in got.groupBy("toxic").count().collect()}
+    if len(kinds) < 2:
+        return Model(Lexicons(*[Lexicon(np.empty(0, np.uint64), np.zeros(0))] * 2), None, (np.zeros(1), np.array([float(*kinds) if kinds else 0.5])))
+    lexicons = _lexicons(got)
+    shared = got.sparkSession.sparkContext.broadcast(lexicons[:FOLDS])
+    found = got.mapInArrow(_described(shared), "doc_id long, digest string, toxic long, x array<double>")
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").select("toxic", "x").collect()  # `rows` rows at most
+    return train(np.array([r.x for r in found]), np.array([r.toxic for r in found], float), lexicons[FOLDS])
 
 
 def score(df: DataFrame, model: Model, cols: list[str] | None = None, text_col: str = "text") -> DataFrame:
