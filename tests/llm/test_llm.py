@@ -193,6 +193,26 @@ def test_segment_search_is_exact(spark, monkeypatch):
     assert [(r.vec_id, r.score) for r in segment_search.search(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
 
 
+def test_segment_search_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(6)
+    x = np.floor(256 * rng.normal(size=(40, 8))) / 256
+    best = np.argsort(-(x @ x[0]))
+    best = [int(i) for i in best if i != 0]
+    for scale in (1.0, 1e6):  # in doubles, and beyond their exact range
+        rows = [(i, (scale * v).tolist()) for i, v in enumerate(x)] + [(i, (scale * x[i]).tolist()) for i in best[:2] for _ in range(7)]
+        rows.append((best[0], (scale * (x[best[0]] + x[0] / 8)).tolist()))  # another vector of the first's id
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+        score = {}
+        for r in df.collect():
+            a, b = ([int(c) for c in np.floor(256 * np.array(e))] for e in (r.embedding, df.where("vec_id = 0").first().embedding))
+            if r.vec_id:
+                s = min(max(sum(p * q for p, q in zip(a, b)), -(1 << 63)), (1 << 63) - 1)
+                score[r.vec_id] = max(score.get(r.vec_id, s), s)
+        want = [(k, i, -s) for k, (s, i) in enumerate(sorted((-s, i) for i, s in score.items())[:5], 1)]
+        got = segment_search.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
+        assert [(r["rank"], r.vec_id, r.score) for r in got] == want
+
+
 def test_segment_bound_holds():
     rng = np.random.default_rng(5)
     a, b = np.floor(256 * rng.normal(size=(50, 33))), np.floor(256 * rng.normal(size=(60, 33)))

@@ -9,7 +9,7 @@ Queries are taken in blocks of about QUERIES (a bounded matrix that is broadcast
 all rows once; a task keeps only the k best of each query, which are merged after. No row is shipped for a pair.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of different lengths don't compare. Ties: smaller id.
-Rows with the query's own id are not its candidates. Fewer rows than k: all. Scores beyond 64 bits are cut to that range. Repeated rows count once. Empty table: empty result.
+Rows with the query's own id are not its candidates. Fewer rows than k: all. Scores beyond 64 bits are cut to that range. Rows of one id count once, by their best score. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 class Best:
-    """The k best rows of each query so far."""
+    """The k best rows of each query so far, each of another id."""
 
     def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
         self.x, self.ids, self.k = queries, ids, k
@@ -61,27 +61,35 @@ class Best:
                 return
         rows = np.flatnonzero(may.any(1))
         cols = np.flatnonzero(may.any(0))
-        part = may[np.ix_(rows, cols)]
+        part, names = may[np.ix_(rows, cols)], ids[cols]
         if part.mean() < 0.02:
             i, j = np.nonzero(part)
             value = (self.x[rows[i]] * v[cols[j]]).sum(1)
         else:
             full = np.where(part, self.x[rows] @ v[cols].T, -np.inf)
+            order = np.argsort(names, kind="stable")  # the best of each id, so that repeated rows don't fill a block's k places
+            names, first = np.unique(names[order], return_index=True)
+            if len(names) < len(order):
+                full = np.maximum.reduceat(full[:, order], first, axis=1)
+            else:
+                full = full[:, order]
             floor = worst[rows]
-            if len(cols) > self.k:  # what is below this block's own k-th best can't stay either; ties do
-                floor = np.maximum(floor, np.partition(full, len(cols) - self.k, axis=1)[:, len(cols) - self.k, None])
-            i, j = np.nonzero(part & (full >= floor))
+            if len(names) > self.k:  # what is below this block's own k-th best can't stay either; ties do
+                floor = np.maximum(floor, np.partition(full, len(names) - self.k, axis=1)[:, len(names) - self.k, None])
+            i, j = np.nonzero((full > -np.inf) & (full >= floor))
             value = full[i, j]
-        i, j = rows[i], cols[j]
+        i = rows[i]
         touched = np.unique(i)
         i = np.concatenate([i, np.repeat(touched, self.k)])
         value = np.concatenate([value, self.score[touched].ravel()])
-        found = np.concatenate([ids[j], self.found[touched].ravel()])
-        order = np.lexsort((found, -value, i))
+        found = np.concatenate([names[j], self.found[touched].ravel()])
+        order = np.lexsort((-value, found, i))
         i, value, found = i[order], value[order], found[order]
         again = np.zeros(len(i), bool)
-        again[1:] = (i[1:] == i[:-1]) & (found[1:] == found[:-1]) & (value[1:] == value[:-1]) & (found[1:] >= 0)  # a repeated row
+        again[1:] = (i[1:] == i[:-1]) & (found[1:] == found[:-1]) & np.isfinite(value[1:])  # another row of the id, no better
         i, value, found = i[~again], value[~again], found[~again]
+        order = np.lexsort((found, -value, i))
+        i, value, found = i[order], value[order], found[order]
         first = np.flatnonzero(np.diff(i, prepend=-1))
         nth = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
         keep = nth < self.k
@@ -93,8 +101,12 @@ def _exactly(x: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k
     v_int = [[int(c) for c in row] for row in v]
     for row, me in zip(x, q_ids):
         q_int = [int(c) for c in row]
-        scores = sorted((-sum(a * b for a, b in zip(q_int, w)), int(i)) for w, i in zip(v_int, ids) if i != me)[:k]
-        for s, i in scores:
+        best: dict = {}  # of each id
+        for w, i in zip(v_int, ids):
+            if i != me:
+                s = sum(a * b for a, b in zip(q_int, w))
+                best[int(i)] = max(best.get(int(i), s), s)
+        for s, i in sorted((-s, i) for i, s in best.items())[:k]:
             yield int(me), i, min(max(-s, _LOW), _HIGH)
 
 
@@ -123,10 +135,10 @@ def _scan(shared, k: int):
 
 def _cut(rows: list, k: int) -> list:
     out: dict = {}
-    for r in sorted(set(rows), key=lambda r: (r[0], -r[2], r[1])):
-        if len(out.setdefault(r[0], [])) < k:
-            out[r[0]].append(r)
-    return [r for x in out.values() for r in x]
+    for q, v, s in sorted(set(rows), key=lambda r: (r[0], -r[2], r[1])):
+        if len(out.setdefault(q, {})) < k:
+            out[q].setdefault(v, (q, v, s))
+    return [r for x in out.values() for r in x.values()]
 
 
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP) -> DataFrame:
