@@ -1,5 +1,7 @@
 """Hand-computed cases."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -99,6 +101,41 @@ def test_frechet_of_equal_sets_is_zero():
     assert abs(metrics.frechet(rows, 4, 0, 1)) < 1e-6
 
 
+def kernel_distance_by_force(rows, size, subsets):
+    out = []
+    for s in range(subsets):
+        x, y = (np.array([v for _, v in sorted((hashlib.md5(f"{s}:{i}".encode()).hexdigest(), v) for i, h, v in rows if h == g)[:size]]) for g in (0, 1))
+        k = lambda a, b: [[(float(p @ q) / len(p) + 1) ** 3 for q in b] for p in a]
+        same = sum(k(z, z)[i][j] for z in (x, y) for i in range(size) for j in range(size) if i != j) / (size * (size - 1)) if size < 20 else None
+        if same is None:
+            aa, bb = (((z @ z.T) / z.shape[1] + 1) ** 3 for z in (x, y))
+            same = (aa.sum() - np.trace(aa) + bb.sum() - np.trace(bb)) / (size * (size - 1))
+        out.append(same - 2 * np.mean(((x @ y.T) / x.shape[1] + 1) ** 3))
+    return out
+
+
+def test_kernel_distance_by_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 3 % 2, rng.normal(size=3).tolist()) for i in range(90)] + [(1, 1, [9.0, 9.0, 9.0])] * 4
+    df = spark.createDataFrame([*rows, (500, None, [0.0] * 3), (501, 0, None)], "i long, g int, v array<double>")
+    got = [r.d for r in metrics.kernel_distance(df, "v", "g", "i", subsets=3, size=12).orderBy("seed").collect()]
+    assert np.allclose(got, kernel_distance_by_force(rows, 12, 3), rtol=1e-9)
+    few = [r.d for r in metrics.kernel_distance(df, "v", "g", "i", subsets=2, size=5000).orderBy("seed").collect()]
+    assert np.allclose(few, kernel_distance_by_force(rows, 34, 2), rtol=1e-9)
+    assert metrics.kernel_distance(df.limit(0), "v", "g", "i").count() == 0
+
+
+def test_kid_draws_from_all_rows(spark, tmp_path):
+    from velora.plans import catalog
+
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 10, (rng.normal(size=3) + (i % 10 >= 5)).tolist()) for i in range(4000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = kernel_distance_by_force([(i, int(g >= 5), v) for i, g, v in rows], 1000, 100)
+    got = catalog.QUERIES["kid"](spark, str(tmp_path)).first()
+    assert np.allclose([got.kid, got.deviation], [np.mean(want), np.std(want)], rtol=1e-6)
+
+
 def test_procrustes_undoes_similarity():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(21, 3))

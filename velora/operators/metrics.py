@@ -131,15 +131,45 @@ def frechet(rows: list, dim: int, a: int, b: int, jitter: float = 1e-6) -> float
     return float(d @ d + np.trace(cov[a]) + np.trace(cov[b]) - 2 * roots.sum().real)
 
 
-def kernel_distance(x: np.ndarray, y: np.ndarray, subsets: int = 100, size: int = 100, seed: int = 0) -> tuple[float, float]:
-    """Mean and deviation of the unbiased squared discrepancy under (x y / d + 1)^3 over seeded subsets without replacement."""
-    rng, out, size = np.random.default_rng(seed), [], min(size, len(x), len(y))
+def discrepancy(x: np.ndarray, y: np.ndarray) -> float:
+    """Unbiased squared discrepancy of two sets of equally many vectors under (x y / d + 1)^3."""
+    n = len(x)
     k = lambda a, b: (a @ b.T / a.shape[1] + 1) ** 3
-    for _ in range(subsets):
-        a, b = x[rng.choice(len(x), size, replace=False)], y[rng.choice(len(y), size, replace=False)]
-        aa, bb = k(a, a), k(b, b)
-        out.append((aa.sum() - np.trace(aa) + bb.sum() - np.trace(bb)) / (size * (size - 1)) - 2 * k(a, b).mean())
-    return float(np.mean(out)), float(np.std(out))
+    aa, bb = k(x, x), k(y, y)
+    return float((aa.sum() - np.trace(aa) + bb.sum() - np.trace(bb)) / (n * (n - 1)) - 2 * k(x, y).mean())
+
+
+def kernel_distance(df: DataFrame, vector: str, group: str, id_col: str, subsets: int = 100, size: int = 1000) -> DataFrame:
+    """(seed, d): the discrepancy of groups 0 and 1 over seeded subsets without replacement.
+
+    Subset s of a group holds the `size` rows with the smallest md5 of "s:id", of all its rows; equal ids go by vector. If a group
+    has fewer rows than size, subsets are of that many; under two rows there is no result. A row goes to a subset's task only if its
+    digest is below a bound that leaves somewhat more than size rows.
+    """
+    rows = df.where(F.col(group).isin(0, 1) & F.col(vector).isNotNull())
+    n = {r.g: r.n for r in rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n")).collect()}
+    size = min(size, n.get(0, 0), n.get(1, 0))
+    seeds = F.explode(F.sequence(F.lit(0), F.lit(subsets - 1)))
+    digest = F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.coalesce(F.col("i"), F.lit(""))))
+    rows = rows.select(F.col(group).cast("long").alias("g"), F.col(id_col).cast("string").alias("i"), F.col(vector).alias("v"), seeds.alias("seed")).withColumn("digest", digest)
+    at = F.conv(F.substring("digest", 1, 12), 16, 10).cast("long") / float(16**12)
+
+    def subset(table: pa.Table) -> pa.Table:
+        g, digests, v = (table.column(c).to_pylist() for c in ("g", "digest", "v"))
+        halves = [[x for _, x in sorted((d, x) for h, d, x in zip(g, digests, v) if h == k)[:size]] for k in (0, 1)]
+        whole = min(map(len, halves)) == size
+        return pa.table({"seed": table.column("seed")[:1], "d": pa.array([discrepancy(*map(np.array, halves)) if whole else None], pa.float64())})
+
+    slack = 20.0
+    while size > 1:
+        bound = F.lit(0.0)
+        for k in (0, 1):
+            bound = F.when(F.col("g") == k, min(2.0, (size + slack * size**0.5) / n[k])).otherwise(bound)
+        out = rows.where(at < bound).groupBy("seed").applyInArrow(subset, "seed int, d double").collect()  # two numbers a subset
+        if len(out) == subsets and all(r.d is not None for r in out):
+            return df.sparkSession.createDataFrame(sorted(out), "seed int, d double")
+        slack *= 8  # many rows of one id fall in or out together
+    return df.sparkSession.createDataFrame([], "seed int, d double")
 
 
 def interval(df: DataFrame, by: list[str], value: str) -> DataFrame:

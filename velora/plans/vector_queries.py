@@ -158,10 +158,8 @@ def fid(spark, sf):
 
 
 def kid(spark, sf):
-    v = _vectors(spark, sf)
-    first = lambda half: np.array([r.v for r in v.where(half).orderBy(F.md5(F.col("vec_id").cast("string"))).limit(1000).select("v").collect()])  # noqa: E731  subsets of a bounded sample are the metric
-    mean, std = metrics.kernel_distance(first("label < 5"), first("label >= 5"))
-    return spark.createDataFrame([(mean, std)], "kid double, deviation double")
+    v = _vectors(spark, sf).withColumn("g", F.when(F.col("label") < 5, 0).when(F.col("label") >= 5, 1))
+    return metrics.kernel_distance(v, "v", "g", "vec_id").agg(F.avg("d").alias("kid"), F.stddev_pop("d").alias("deviation"))
 
 
 def quaternion_kit(spark, sf):
