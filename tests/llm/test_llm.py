@@ -288,6 +288,15 @@ def test_jaccard_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
 
 
+def test_one_of_each_decides_by_row(spark):
+    a, b, c, d = ("a b c d e f g h", "i j k l m n o p", "q r s t u v w x", "1 2 3 4 5 6 7 8")
+    rows = [(1, a), (1, a), (2, a), (None, a), (2, b), (None, c), (None, c), (7, d), (8, d), (9, ""), (9, ""), (None, None)]
+    kept = jaccard_join.one_of_each(docs(spark, rows))
+    want = [(1, a), (2, b), (None, c), (7, d), (9, ""), (9, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert kept.columns == docs(spark, rows).columns
+
+
 def test_trie_finds_what_a_scan_finds():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 120, 90).astype(np.uint64)) for _ in range(60)]

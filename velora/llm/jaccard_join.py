@@ -28,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velora.llm.components import components
@@ -408,7 +408,21 @@ def _open_lists(star: DataFrame, nodes: DataFrame, checked: DataFrame, parts: Da
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """df's rows without those of a group's documents that are not its smallest; among rows of one id one stays, unless its set is empty."""
-    groups = similar(df, id_col, text_col, words, percent)
-    gone = groups.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("g_id")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("g_id"), "left_anti")
+    """df's rows with one of each group: that of the smallest id, null ids last. Rows with an empty set all stay.
+
+    Rows, not ids, are grouped: they are named by a hash of id and text, so that null ids are compared too and two texts of one id are judged apart.
+    """
+    keyed = df.withColumn("w_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    names = keyed.groupBy(F.col("w_row").alias("r"), F.col(id_col).alias("i")).agg(F.count("*").alias("copies"))
+    groups = similar(keyed, "w_row", text_col, words, percent).where("n_shingles > 0").select("w_row", F.col("component_id").alias("c")).distinct()
+    rows = staged(groups.join(names, F.col("w_row") == F.col("r")).select("r", "c", F.struct(F.col("i").isNull(), "i", "r").alias("place"), "copies"), "jaccard-rows")
+    first = rows.groupBy(F.col("c").alias("f_c")).agg(F.min("place").alias("first"))
+    judged = staged(rows.join(first, F.col("c") == F.col("f_c")).select("r", (F.col("place") == F.col("first")).alias("stays"), "copies"), "jaccard-judged")
+    kept = keyed.join(judged.where("NOT stays").select("r"), F.col("w_row") == F.col("r"), "left_anti")
+    repeated = judged.where("stays AND copies > 1").select("r")
+    if not repeated.isEmpty():
+        order = Window.partitionBy("w_row").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        same = F.col("w_row") == F.col("r")
+        one = kept.join(repeated, same, "left_semi").withColumn("w_nth", F.row_number().over(order)).where("w_nth = 1").drop("w_nth")
+        kept = kept.join(repeated, same, "left_anti").unionByName(one)
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
