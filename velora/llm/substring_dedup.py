@@ -4,8 +4,8 @@ A window is WINDOW consecutive words. Of a window the PHRASE-word phrase with th
 equal marks, and neighbouring windows mostly share one, so marks are few. The steps:
 
 1. Recurring phrases: marks are counted over documents; those in two or more, with the smallest document, are confirmed.
-2. Sharded automata: every document with recurring phrases goes, with them, to a shard. A shard compiles its phrases
-   into an Aho-Corasick automaton and streams its documents through it, which locates every occurrence, compared as text.
+2. Occurrences are located by hash in every document with recurring phrases. An Aho-Corasick automaton of each block of documents,
+   compiled from the places found, compares them as text; it can only drop a place on a hash collision.
 3. Occurrences are grouped into stretches: the windows that one mark stands for. Stretches are matched whole by hash
    first; where a stretch as a whole has no smaller document, its windows are matched one by one, but only against one copy of each
    different stretch. So long copies cost a row for each stretch, not for each word.
