@@ -3,7 +3,7 @@
 Each piece of the pre-tokenisation is merged with a priority queue of (rank, place) over a doubly
 linked list of symbols; entries made stale by a merge are skipped when they come up. Decoding
 concatenates the vocabulary's strings. Pieces recur, so results are kept per piece in bounded
-dictionaries, which change the speed and never the result.
+dictionaries, which change the speed and never the result. A long text is handled a section at a time.
 
 Cases: a null text counts as empty: no tokens, empty decoded text. Texts are encoded whole.
 Rows repeat as they come. Extra columns pass through `encode`'s input untouched and are not read.
@@ -32,8 +32,10 @@ SPACE = "\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Runs whose pieces don't depend on their neighbours: what lies between white space, with one space before it, or white space.
 RUNS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Entries of each of two generations.
-KEPT_RUNS, KEPT_PIECES = 120_000, 60_000
+#: Entries of each of two generations, and the longest run or piece that is kept.
+KEPT_RUNS, KEPT_PIECES, LONGEST = 400_000, 200_000, 64
+#: Characters after which a section of a text ends at the next end of a run.
+SECTION = 1 << 18
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -74,77 +76,105 @@ class Codec:
         self.vocab: dict[bytes, int] = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings: dict[int, bytes] = {i: s for s, i in self.vocab.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
+        self.names = {i: str(i) for i in self.strings}
+        self.width = max(self.strings) + 1
+        #: rank by left * width + right; by rank: the two symbols and what they make
+        self.ranks: dict[int, int] = {}
+        self.merges: list[tuple[int, int, int]] = []
+        for pair in spec["model"]["merges"]:
             a, b = (raw(s) for s in (pair if isinstance(pair, list) else pair.split(" ")))
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.ranks.setdefault(self.vocab[a] * self.width + self.vocab[b], len(self.merges))
+            self.merges.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
         self.single = [self.vocab[bytes([b])] for b in range(256)]
         self.runs, self.pieces = re.compile(RUNS), regex.compile(PIECES)
+        self.edge = re.compile(f"[^{SPACE}](?=[{SPACE}])")
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._runs, self._pieces = Recent(KEPT_RUNS), Recent(KEPT_PIECES)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece."""
-        if (whole := self.vocab.get(piece)) is not None and len(piece) == 1:
-            return [whole]
+        """Ids of one piece. The queue holds rank and place in one integer, rank first; equal ranks come by place."""
         ids = [self.single[b] for b in piece]
-        n, merges = len(ids), self.merges
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        n, rank, merges, width = len(ids), self.ranks.get, self.merges, self.width
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        queue = [r << shift | i for i in range(n - 1) if (r := rank(ids[i] * width + ids[i + 1])) is not None]
+        if not queue:
+            return ids
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heapq.heapify(queue)
         while queue:
-            _, i, made, a, b = heapq.heappop(queue)
+            top = heapq.heappop(queue)
+            i = top & mask
+            a, b, made = merges[top >> shift]
             j = right[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            if ids[i] != a or j == n or ids[j] != b:
                 continue  # stale: one of the two has been merged since
             ids[i], ids[j] = made, -1
             right[i] = k = right[j]
-            if k >= 0:
+            if k < n:
                 left[k] = i
-                if m := merges.get((made, ids[k])):
-                    heapq.heappush(queue, (m[0], i, m[1], made, ids[k]))
-            if (h := left[i]) >= 0 and (m := merges.get((ids[h], made))):
-                heapq.heappush(queue, (m[0], h, m[1], ids[h], made))
+                if (r := rank(made * width + ids[k])) is not None:
+                    heapq.heappush(queue, r << shift | i)
+            if (h := left[i]) >= 0 and (r := rank(ids[h] * width + made)) is not None:
+                heapq.heappush(queue, r << shift | h)
         return [x for x in ids if x >= 0]
 
-    def run_ids(self, run: str) -> list[int]:
+    def run_ids(self, run: str) -> tuple[int, ...]:
         out: list[int] = []
         for piece in self.pieces.findall(run):
             if (ids := self._pieces.get(piece)) is None:
                 ids = self.merge(piece.encode())
-                if len(piece) <= 64:
+                if len(piece) <= LONGEST:
                     self._pieces.put(piece, ids)
             out += ids
-        return out
-
-    def _plain(self, text: str) -> Iterator[tuple[str, int, bytes]]:
-        """For each run: its ids as text, their number, and what they decode to."""
-        known = self._runs
-        for run in self.runs.findall(text):
-            if (got := known.new.get(run)) is None and (got := known.get(run)) is None:
-                ids = self.run_ids(run)
-                got = ",".join(map(str, ids)), len(ids), self.joined(ids)
-                if len(run) <= 64:
-                    known.put(run, got)
-            yield got
-
-    def parts(self, text: str) -> list[tuple[str, int, bytes]]:
+        return tuple(out)
+
+    def _plain(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text without special tokens, a section after another; sections end where a run does."""
+        known, lo = self._runs, 0
+        while lo < len(text):
+            end = self.edge.search(text, lo + SECTION) if len(text) - lo > SECTION else None
+            hi = end.end() if end else len(text)
+            ids: list[int] = []
+            for run in self.runs.findall(text, lo, hi):
+                if (got := known.new.get(run)) is None and (got := known.get(run)) is None:
+                    got = self.run_ids(run)
+                    if len(run) <= LONGEST:
+                        known.put(run, got)
+                ids += got
+            yield ids
+            lo = hi
+
+    def sections(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text, a section after another, so that a long text's working set stays small."""
         if self.apart is None or not any(s in text for s in self.special):
-            return list(self._plain(text))
-        out = []
+            yield from self._plain(text)
+            return
         for k, part in enumerate(self.apart.split(text)):
-            out += [(str(self.special[part]), 1, part.encode())] if k % 2 else self._plain(part)
-        return out
+            if k % 2:
+                yield [self.special[part]]
+            else:
+                yield from self._plain(part)
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for ids, _, _ in self.parts(text) for x in ids.split(",")]
+        return [i for ids in self.sections(text) for i in ids]
 
     def joined(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.strings.__getitem__, ids))
+        return b"".join([self.strings[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         return self.joined(ids).decode("utf-8", "replace")
 
+    def round_trip(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, digest of the ids, digest of the text that they decode to."""
+        n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+        for ids in self.sections(text):
+            if ids:
+                of_ids.update(((("," if n else "") + ",".join([self.names[i] for i in ids]))).encode())
+                of_text.update(self.decode(ids).encode())  # a section's ids make whole characters
+                n += len(ids)
+        return n, of_ids.hexdigest(), of_text.hexdigest()
+
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
@@ -182,13 +212,8 @@ def round_trip(df: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         c = codec(tokenizer)
         for b in batches:
-            counts, ids, texts = [], [], []
-            for text in b.column(1):
-                parts = c.parts(text.as_py() or "")
-                counts.append(sum(p[1] for p in parts))
-                ids.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
-                decoded = b"".join([p[2] for p in parts]).decode("utf-8", "replace")
-                texts.append(hashlib.sha256(decoded.encode()).hexdigest())
+            made = [c.round_trip(text.as_py() or "") for text in b.column(1)]
+            counts, ids, texts = zip(*made) if made else ((), (), ())
             yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(df.sparkSession)
