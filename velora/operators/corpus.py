@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velora.functions.text import bucket, comparison_key, strip
+from velora.sources.staging import staged
 
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,17 +22,22 @@ def canonical(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(a).alias(b) for a, b in names.items() if a in df.columns])
 
 
-def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
-    """Each row's place in the whole order, from 0.
+def placed(df: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """Each row's place in the whole order (columns or expressions), from 0; rows that tie come by a hash of their columns.
 
-    Places come from counts of sorted ranges, so no task sees all rows: a global row_number() would.
+    Rows are dealt to sorted ranges, numbered within their range and written once; a range's start follows from the counts of that same
+    table. Only one row a range is brought together, so no task sees all rows, as a global row_number() would. Dealing twice and matching
+    ranges by number would not do: bounds are sampled, and ranges merged, anew each time.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_part").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).select(F.col("_part").alias("_p"), "_start")
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    rows = ranged.withColumn("_nth", nth).join(starts, F.col("_part") == F.col("_p"))
-    return rows.withColumn(name, F.col("_start") + F.col("_nth")).drop("_part", "_p", "_start", "_nth")
+    nth, start = "_placed_nth", "_placed_start"
+    tie = F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema])
+    ranged = df.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
+    rows = staged(ranged.withColumn(nth, F.monotonically_increasing_id()), "placed")  # the range's number in the bits from 33 on, the row's below
+    part, low = F.shiftright(nth, 33), F.col(nth).bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_placed_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(part.alias("_placed_part")).count().select("_placed_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias(start))
+    rows = rows.join(F.broadcast(starts), part == F.col("_placed_part"))  # as many rows as there are shuffle partitions
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(start) + low).alias(name))
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "file_id", form: str = "auto%07d") -> DataFrame:
