@@ -2,75 +2,74 @@
 
 Lines are exploded with their positions and normalised; a 128-bit hash of each long key is counted
 over distinct documents, lines over the threshold go everywhere but in the largest document
-holding them, and each text is reassembled from the positions that stay. Only hashes and
-positions are shuffled for the counts; texts move once, to meet their dropped positions. A line
+holding them, and each text is reassembled from the positions that stay. Built-in functions do all of it.
+Only hashes and positions are shuffled for the counts; texts move once, to meet their dropped positions. A line
 that a third of all documents hold is pre-aggregated before the shuffle, and the join back on its
 hash is left to Spark to split.
 
 Cases: a null or empty text is one empty line, kept. Repeated rows of one doc_id are one document
 for the counts, and each is returned; rows without an id count for nothing and lose nothing. Keys
-shorter than min_chars never count. Extra columns pass through; n_lines and n_dropped of the input are replaced.
+shorter than min_chars never count. Extra columns pass through, whatever their names; n_lines and n_dropped of the input are replaced.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velora.llm.staging import staged
-from velora.llm.words import tidy
+from velora.llm.staging import free, staged
 
-SPACE = b" \t\n\x0b\x0c\r"
+SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_keys(text: str, min_chars: int = MIN_CHARS) -> list[tuple[int, bytes]]:
-    """Position and 128-bit hash of every line whose key is long enough to count."""
-    out = []
-    for k, line in enumerate(text.encode().split(b"\n")):
-        key = line.strip(SPACE)
-        if len(key) >= min_chars and (key.isascii() or len(key.decode()) >= min_chars):
-            out.append((k, hashlib.blake2b(key.lower(), digest_size=16).digest()))  # bytes.lower() is A-Z only
-    return out
+def line_key(line: Column) -> Column:
+    """The line without white space at both ends, A-Z lower-cased: of a line in ASCII that is all that lower() does, and faster."""
+    key = F.btrim(line, F.lit(SPACE))
+    return F.when(F.octet_length(key) == F.char_length(key), F.lower(key)).otherwise(F.translate(key, _UPPER, _LOWER))
 
 
-def _rest(text: str | None, gone) -> tuple[str, int, int]:
-    lines = (text or "").split("\n")
-    if gone is None or len(gone) == 0:
-        return text or "", len(lines), 0
-    drop = set(gone)
-    return "\n".join([x for k, x in enumerate(lines) if k not in drop]), len(lines), len(drop)
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """df's rows with text_col reduced to its kept lines, and n_lines (before) and n_dropped."""
-    kind = df.schema[id_col].dataType.simpleString()
+def without(lines: Column, gone: Column) -> Column:
+    """The elements of lines but for those at the places in gone (ascending, from 0): what lies between two of them is sliced out whole, so
+    the work grows with the lines, not with lines times places."""
 
-    def explode(batches):
-        for b in batches:
-            ids, versions, places, keys = [], [], [], []
-            for i, (text, version) in enumerate(zip(b.column(1), b.column(2))):
-                for k, key in line_keys(text.as_py() or "", min_chars):
-                    ids.append(i), versions.append(version.as_py()), places.append(k), keys.append(key)
-            yield pa.record_batch([b.column(0).take(pa.array(ids, pa.int32())), pa.array(versions, pa.int64()), pa.array(places, pa.int32()), pa.array(keys, pa.binary())], names=["l_id", "l_version", "l_pos", "l_key"])
+    def between(own: Column) -> Column:
+        edges = F.concat(F.array(F.lit(-1)), own.gone, F.array(F.size(own.lines)))
+        cut = lambda e, k: F.slice(e.lines, F.get(e.edges, k) + 2, F.get(e.edges, k + 1) - F.get(e.edges, k) - 1)
+        return _let(F.struct(own.lines.alias("lines"), edges.alias("edges")), lambda e: F.flatten(F.transform(F.sequence(F.lit(0), F.size(e.edges) - 2), lambda k: cut(e, k))))
+
+    return _let(F.struct(lines.alias("lines"), gone.alias("gone")), between)
 
-    # rows that share an id are told apart by their text
-    version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    held = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).cast("string"), version)
-    held = staged(held.mapInArrow(tidy(explode), f"l_id {kind}, l_version long, l_pos int, l_key binary"), "line-keys")
-    often = held.select("l_key", "l_id").distinct().groupBy("l_key").agg(F.count("*").alias("n"), F.max("l_id").alias("l_last"))
-    often = staged(often.where(F.col("n") >= min_docs).select("l_key", "l_last"), "line-often")
-    gone = held.join(often, "l_key").where("l_id < l_last").groupBy("l_id", "l_version").agg(F.collect_set("l_pos").alias("l_gone"))
 
-    @F.pandas_udf("struct<kept string, n long, dropped long>")
-    def rest(text: pd.Series, places: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_rest(t, g) for t, g in zip(text, places)], columns=["kept", "n", "dropped"])
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, not anew at each of its uses inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """df's rows with text_col reduced to its kept lines, and n_lines (before) and n_dropped."""
     keep = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    both = df.select(*[F.col(f"`{c}`") for c in keep], version.alias("l_of")).join(gone, (F.col(id_col) == F.col("l_id")) & (F.col("l_of") == F.col("l_version")), "left")
-    both = both.withColumn("l_out", rest(F.col(text_col).cast("string"), F.col("l_gone")))
-    return both.select(*[F.col("l_out.kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in keep], F.col("l_out.n").alias("n_lines"), F.col("l_out.dropped").alias("n_dropped"))
+    text = F.col(f"`{text_col}`").cast("string")
+    # rows that share an id are told apart by their text
+    version = F.xxhash64(F.coalesce(text, F.lit("")))
+    held = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), version.alias("version"), F.posexplode(_lines(text)).alias("pos", "line"))
+    held = held.where(F.char_length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
+    held = staged(held.select("id", "version", "pos", F.unhex(F.md5("key")).alias("key")), "line-keys")
+    often = held.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    often = staged(often.where(F.col("n") >= min_docs).select(F.col("key").alias("o_key"), "last"), "line-often")
+    gone = held.join(often, F.col("key") == F.col("o_key")).where("id < last").groupBy("id", "version").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    of, l_id, l_version, l_gone = free(df.columns, "l_of", "l_id", "l_version", "l_gone")
+    both = df.select(*[F.col(f"`{c}`") for c in keep], version.alias(of))
+    both = both.join(gone.toDF(l_id, l_version, l_gone), (F.col(f"`{id_col}`") == F.col(l_id)) & (F.col(of) == F.col(l_version)), "left")
+    rest = F.when(F.col(l_gone).isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(without(_lines(text), F.col(l_gone)), "\n"))
+    return both.select(
+        *[rest.alias(c) if c == text_col else F.col(f"`{c}`") for c in keep],
+        F.size(_lines(text)).cast("long").alias("n_lines"),
+        F.when(F.col(l_gone).isNull(), 0).otherwise(F.size(l_gone)).cast("long").alias("n_dropped"),
+    )

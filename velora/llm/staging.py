@@ -1,27 +1,17 @@
-"""Cut lineage by writing a table to the shared folder that the cluster names."""
+"""Staged tables for operators over long texts: small Arrow batches, and names that clash with no column."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from velora.sources import staging as base
+from velora.sources.staging import drop, shared_folder, tables
+
+__all__ = ["drop", "free", "shared_folder", "small_batches", "staged", "tables"]
+
 #: Rows of an Arrow batch: texts are long, and an executor holds a batch for each task on both sides.
 MOST_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that setting is absent (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='velora-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -31,27 +21,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, MOST_ROWS)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """names, each lengthened until no column has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again.
-
-    Unlike checkpoint() this computes the plan once, compresses the rows and gives Catalyst
-    real sizes for its choice of joins. A lost executor costs no recomputation.
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_folder(spark)}/velora-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _remove() -> None:
-    """Best effort: the tables of this driver go when it ends."""
-    for spark, path in _WRITTEN:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the JVM may have ended before
-            return
+    small_batches(df.sparkSession)
+    return base.staged(df, name)
