@@ -1,7 +1,7 @@
 """Operator 1: language identification by a linear-chain conditional random field.
 
-Every word has hashed affix, byte n-gram and lexicon (whole word) features; learned transitions tie
-neighbouring words, so code-switched text is labelled word by word with posteriors from the
+Every word has hashed affix and byte n-gram features, itself as a feature, and one for the language whose learned lexicon
+holds it; learned transitions tie neighbouring words, so code-switched text is labelled word by word with posteriors from the
 forward-backward recursions. A document's language is the one with the largest summed posterior over its
 words with letters, its score that sum's share.
 
@@ -9,43 +9,64 @@ The recursions are exact for any length: a text is cut into segments whose trans
 multiplied out side by side, the messages between segments follow from those, and the posteriors
 within segments from the messages. A long text thus takes few numpy steps and is never cut off.
 
-Training uses a bounded sample of labelled rows (SAMPLE_DOCS documents in the order of a hash, of each SAMPLE_CHARS
-characters at most), on the driver; sequences are spliced from stretches of different documents to show the model
-changes of language.
+Training uses a bounded sample of labelled rows (SAMPLE_DOCS documents in the order of a hash), each text whole. Executors cut
+the sampled texts into words; the driver gets each text's word hashes and the different words once, and learns from sequences
+spliced from stretches of different documents, which show the model changes of language.
 
-Cases: null text or text without a letter: `und`, score 0. No labelled row to learn from: `und`, score 0.
-Ties: the language first in code point order. Repeated rows are predicted alike. Extra columns pass through `identify`.
+Cases: null text or text without a letter (\\p{L}): `und`, score 0. No labelled row to learn from: `und`, score 0. Null labels don't count.
+Ties: the language first in code point order. Repeated rows are predicted alike; a document's equal rows are learned from once. An empty
+table gives an empty result. Extra columns pass through `identify`, whatever their names; columns of the result's names are replaced.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velora.llm.staging import small_batches
+from velora.llm.staging import free, small_batches, staged
 from velora.llm.words import Block, Rolling, blocks, tidy
 
-SAMPLE_DOCS, SAMPLE_CHARS = 2400, 2500
+SAMPLE_DOCS = 2400
+#: A word is in a language's lexicon if so many sampled documents of it hold it, and such a share of all that hold it.
+LEXICON_DOCS, LEXICON_SHARE = 3, 0.9
 BITS = 18
 NGRAMS, AFFIXES = (2, 3, 4), (1, 2, 3, 4)
 SEGMENT = 64
 EPOCHS, RATE, STRETCH, LENGTH, BATCH = 3, 0.4, (3, 24), 48, 128
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _CORE = np.zeros(256, bool)
 _CORE[65:91] = _CORE[97:123] = _CORE[128:] = True
 
 
+@dataclass
+class Lexicon:
+    """Hashes of words, ascending, and the place of each one's language."""
+
+    words: np.ndarray
+    owner: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes it holds, and the language of each that it does."""
+        if not len(self.words):
+            return np.zeros(len(hashes), bool), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        own = self.words[at] == hashes
+        return own, self.owner[at[own]]
+
+
 @dataclass
 class Model:
     classes: list[str]
     emission: np.ndarray  # (2**BITS, K) float32
     transition: np.ndarray  # (K, K)
+    lexicon: Lexicon
 
 
 def cores(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +79,7 @@ def cores(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, has
 
 
-def features(roll: Rolling, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def features(roll: Rolling, start: np.ndarray, end: np.ndarray, lexicon: Lexicon) -> list[tuple[np.ndarray, np.ndarray]]:
     """Groups of (feature indices, bounds by word): bounds[i] to bounds[i + 1] are word i's."""
     out, size = [], end - start
     shift = np.uint64(64 - BITS)
@@ -78,6 +99,8 @@ def features(roll: Rolling, start: np.ndarray, end: np.ndarray) -> list[tuple[np
         add(end[own] - n, end[own], own, 20 + n)
     own = size > 0
     add(start[own], end[own], own, 30)
+    own, language = lexicon.find(roll.slices(start, end))
+    out.append((language, np.concatenate(([0], np.cumsum(own)))))  # the first places are the lexicons' own
     return out
 
 
@@ -167,31 +190,66 @@ def posteriors(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, pa
     return gamma, a * (alpha[j - 1].T @ (right / norm[:, None]))
 
 
+def spelled(block: Block) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of a block's words with letters: the hash of each, the bounds of each text's, and the different words by ascending hash."""
+    start, end, has = cores(block)
+    hashes = block.rolling(lower=True).slices(start, end)[has]
+    _, where = np.unique(hashes, return_index=True)
+    start, end = start[has][where], end[has][where]
+    words = [block.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start, end)]
+    return hashes, np.concatenate(([0], np.cumsum(has)))[block.first], words
+
+
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
-    """Adagrad on the conditional log-likelihood of spliced sequences."""
+    """From whole texts with their languages."""
+    block = next(blocks(pa.array(texts, pa.string()), 1 << 40), None)
+    if block is None:
+        return None
+    hashes, first, words = spelled(block)
+    return learn([hashes[lo:hi] for lo, hi in zip(first, first[1:])], langs, words, seed)
+
+
+def lexicon_of(docs: list[np.ndarray], y: np.ndarray, names: np.ndarray, k: int) -> Lexicon:
+    """Words (places in names) that are one language's by the documents that hold them."""
+    held = np.zeros((len(names), k), np.int32)
+    for own, c in zip(docs, y):
+        held[np.unique(own), c] += 1
+    best = held.argmax(1)
+    most = held[np.arange(len(names)), best]
+    own = (most >= LEXICON_DOCS) & (most >= LEXICON_SHARE * held.sum(1))
+    return Lexicon(names[own], best[own])
+
+
+def learn(docs: list[np.ndarray], langs: list[str], words: list[str], seed: int = 7) -> Model | None:
+    """Adagrad on the conditional log-likelihood of spliced sequences. docs: each text's word hashes; words: the different words."""
     classes = sorted(set(langs))
     if not classes:
         return None
     label = {c: i for i, c in enumerate(classes)}
     k, rng = len(classes), np.random.default_rng(seed)
-    block = next(blocks(pa.array(texts, pa.string()), 1 << 40))
-    start, end, has = cores(block)
+    block = next(blocks(pa.array(words, pa.string()), 1 << 40), None)
+    if block is None:
+        return Model(classes, np.zeros((1 << BITS, k), np.float32), np.zeros((k, k)), Lexicon(np.empty(0, np.uint64), np.empty(0, np.int64)))
+    start, end, _ = cores(block)
     roll = block.rolling(lower=True)
-    hashes = roll.slices(start, end)
-    _, where, word = np.unique(hashes, return_index=True, return_inverse=True)
-    groups = features(roll, start[where], end[where])
-    flat = np.concatenate([g[0] for g in groups])
-    owner = np.concatenate([np.repeat(np.arange(len(where)), np.diff(g[1])) for g in groups])
+    names, where = np.unique(roll.slices(start, end), return_index=True)
+    docs = [np.searchsorted(names, own) for own in docs]
+    own_label = np.array([label[x] for x in langs])
+    lexicon = lexicon_of(docs, own_label, names, k)
+    groups = features(roll, start[where], end[where], lexicon)
+    flat = np.concatenate([g[0] for g in groups]).astype(np.int32)
+    owner = np.concatenate([np.repeat(np.arange(len(where), dtype=np.int32), np.diff(g[1])) for g in groups])
     by = np.argsort(owner, kind="stable")
     flat, ptr = flat[by], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(where)))))
-    y = np.repeat(np.array([label[x] for x in langs]), block.counts)
-    usable = np.flatnonzero(has)  # words without letters tell nothing
-    pieces, doc = [], block.text_of_word()[usable]
-    edges = np.flatnonzero(np.diff(doc, prepend=-1))
-    for lo, hi in zip(edges, np.append(edges[1:], len(usable))):
+    del owner, by, groups
+    word = np.concatenate(docs).astype(np.int32)
+    edges = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    y = np.repeat(own_label, np.diff(edges))
+    pieces = []
+    for lo, hi in zip(edges, edges[1:]):
         while lo < hi:
             step = int(rng.integers(*STRETCH))
-            pieces.append(usable[lo : min(lo + step, hi)])
+            pieces.append(np.arange(lo, min(lo + step, hi)))
             lo += step
     weights, transition = np.zeros((1 << BITS, k), np.float32), np.zeros((k, k))
     square, square_t = np.full((1 << BITS, k), 1e-6, np.float32), np.full((k, k), 1e-6)
@@ -224,7 +282,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
             np.subtract.at(expected, (y[at[j - 1]], y[at[j]]), 1)
             square_t += expected**2
             transition -= RATE * expected / np.sqrt(square_t)
-    return Model(classes, weights, transition)
+    return Model(classes, weights, transition, lexicon)
 
 
 def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
@@ -240,7 +298,7 @@ def _label(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray]:
     start, end, has = cores(block)
     roll = block.rolling(lower=True)
     _, where, word = np.unique(roll.slices(start, end), return_index=True, return_inverse=True)
-    scores = emissions(model.emission, features(roll, start[where], end[where]))
+    scores = emissions(model.emission, features(roll, start[where], end[where], model.lexicon))
     return posteriors(scores[word], block.first, model.transition), has
 
 
@@ -262,30 +320,57 @@ def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], list[float
     return langs, scores
 
 
-def fit(df: DataFrame, train_rows: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """Train on a bounded sample of the labelled rows that train_rows admits."""
+def _spelled_rows(batches):
+    """(lang, words) with the hashes of a text's words, and rows of a different word each: its hash and itself."""
+    names = ["h", "i", "digest", "lang", "words", "hash", "word"]
+    for b in batches:
+        for block in blocks(b.column(4)):
+            hashes, first, words = spelled(block)
+            own = b.slice(int(block.at[0]), len(block.at))
+            n = len(own)
+            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.record_batch([*own.columns[:4], lists, pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=names)
+            k = len(words)
+            empty = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))]
+            yield pa.record_batch([*empty, pa.array(np.unique(hashes).view(np.int64)), pa.array(words, pa.string())], names=names)
+
+
+def fit(df: DataFrame, train_rows: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs: int = SAMPLE_DOCS) -> Model | None:
+    """Train on at most docs of the labelled rows that train_rows admits, each text whole; ids are integers."""
     rows = df.where(train_rows & F.col(lang_col).isNotNull())
     # choose by id alone, so that a task sends the driver `docs` pairs of numbers at most, whatever it reads
-    own = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(docs)
+    own = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("long").alias("i")).orderBy("h", "i").limit(docs)
     own = df.sparkSession.createDataFrame(own.collect(), own.schema)
-    rows = rows.where(F.col(text_col).isNotNull()).select(F.substring(F.col(text_col), 1, chars).alias("t"), F.col(lang_col).cast("string").alias("l"), F.col(id_col).alias("d"))
-    got = rows.join(F.broadcast(own.distinct()), F.col("d").eqNullSafe(F.col("i"))).orderBy("h", "i", "t").limit(docs).collect()
-    return train([r.t for r in got], [r.l for r in got])
+    rows = rows.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"), F.sha2(F.col(text_col).cast("string"), 256).alias("digest"), F.col(lang_col).cast("string").alias("l"), F.col(id_col).cast("long").alias("d"))
+    rows = staged(rows.join(F.broadcast(own.distinct()), F.col("d").eqNullSafe(F.col("i"))).select("h", "i", "digest", "l", "t"), "field-sample")
+    # ids with several texts make more rows: the bound holds for rows too
+    chosen = rows.select("h", "i", "digest", "l").distinct().orderBy("h", "i", "digest", "l").limit(docs)
+    same = [rows[c].eqNullSafe(chosen[c]) for c in ("h", "i", "digest", "l")]
+    rows = rows.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(["h", "i", "digest", "l"])
+    made = staged(rows.mapInArrow(tidy(_spelled_rows), "h long, i long, digest string, lang string, words array<long>, hash long, word string"), "field-words")
+    texts = made.where("lang is not null").orderBy("h", "i", "digest", "lang").select("lang", "words").toArrow()
+    lists = texts.column(1).combine_chunks()
+    flat, edges = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    words = made.where("word is not null").groupBy("hash").agg(F.min("word").alias("word")).orderBy("hash").select("word").toArrow()
+    return learn([flat[lo:hi] for lo, hi in zip(edges, edges[1:])], texts.column(0).to_pylist(), words.column(0).to_pylist())
 
 
 def identify(df: DataFrame, model: Model | None, text_col: str = "text", cols: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """df's columns (or cols) with the language and its score under names; columns of those names are replaced."""
+    """df's columns (or cols) with the language and its score under names; columns of those names are replaced.
+
+    Only texts go to Python, and only a language and a score come back.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     cols = [c for c in (cols or df.columns) if c not in names]
-    sent = cols if text_col in cols else [*cols, text_col]
-    rows = df.select(*[F.col(f"`{c}`") for c in sent])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(cols)])
-    at = sent.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            langs, scores = predict(shared.value, b.column(at).cast(pa.string()))
-            yield pa.record_batch([*b.columns[: len(cols)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*cols, *names])
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            langs, scores = predict(shared.value, column.cast(pa.string()))
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
+    # not deterministic, as far as the planner need know: it is then computed once for each row, whatever uses it
+    label = F.arrow_udf(tidy(run), "struct<lang string, score double>").asNondeterministic()
+    (out,) = free(df.columns, "w_field")
     small_batches(df.sparkSession)
-    return rows.mapInArrow(tidy(run), f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    rows = df.select(*[F.col(f"`{c}`") for c in cols], label(F.col(f"`{text_col}`").cast("string")).alias(out))
+    return rows.select(*[F.col(f"`{c}`") for c in cols], F.col(out).lang.alias(names[0]), F.col(out).score.alias(names[1]))

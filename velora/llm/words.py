@@ -7,6 +7,7 @@ text's end, so a single long text makes a long block rather than a cut one.
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,11 @@ class _Powers:
     """Growing tables of base**i and base**-i modulo 2**64."""
 
     def __init__(self, base: int, inverse: int):
-        self.factors, self.tables = (base, inverse), [np.ones(1, np.uint64)] * 2
+        self.factors = base, inverse
+        self.forget()
+
+    def forget(self) -> None:
+        self.tables = [np.ones(1, np.uint64)] * 2
 
     def upto(self, n: int) -> list[np.ndarray]:
         if len(self.tables[0]) < n:
@@ -99,8 +104,10 @@ class Block:
 def tidy(run: Callable) -> Callable:
     """A function on Arrow batches that gives its worker's free memory back to the system when it ends: workers live on, and an executor has several."""
 
+    @functools.wraps(run)
     def whole(batches):
         yield from run(batches)
+        _BYTES.forget(), _WORDS.forget()
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
