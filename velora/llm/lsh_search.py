@@ -7,13 +7,14 @@ all tables are ranked by their exact cosine in double precision.
 
 Every row is indexed; nothing is fitted. Equal vectors are one candidate with its TOP + 1 smallest ids (no more can be among
 a query's TOP), so a vector that a third of all rows share makes no more pairs than any other. Buckets are dealt out in
-shards of about SHARD vectors; a query's vector goes once to each shard with some of its buckets; a bucket over
-SHARD vectors is split over several shards, and all of them are searched.
+shards of about SHARD vectors; a query's vector goes once to each shard with some of its buckets. A bucket over SHARD vectors is split,
+and so are its queries if they are more than SHARD: the bucket becomes a grid of bounded cells, and all of them are searched.
 
 Recall against brute force on uniformly random directions, the hardest case, is in the README.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part. Vectors of different lengths are never
-neighbours. Ties: smaller id. Fewer candidates than TOP: all that were found. Repeated ids count once with each vector. Empty table: empty result.
+neighbours. Ties: smaller id. Fewer candidates than TOP: all that were found. An id stands for all its rows: it asks with each of its vectors, its
+score is the best of them, and its own rows are not its candidates. Null ids take no part. Extra columns don't matter. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velora.llm.staging import staged
+from velora.operators.corpus import placed
 
 TOP = 5
 TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 8, 8, 2.0, 110, 11
 SHARD = 4096
+CELL = 1 << 21  # products that are held at once
 HELD = 1 << 19  # results of a task before it keeps only each query's best of them
 
 
@@ -121,7 +124,7 @@ def _probe_rows(tables: int, functions: int, width: float, count: int):
 
 
 def _search(top: int):
-    """Rows (tab, shard, split, role, rep, bucket list, vector) by shard, queries (role 0) first: each query's nearest in its buckets."""
+    """Rows (tab, shard, split, row, role, rep, bucket list, vector) by cell, queries (role 0) first: each query's nearest in its buckets."""
 
     def nearest(queries, rows):
         """(query, candidate, cosine): the best of each bucket that a query visits."""
@@ -140,10 +143,12 @@ def _search(top: int):
         found_q, found_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for lo, hi in zip(np.flatnonzero(np.diff(at, prepend=-1)), np.append(np.flatnonzero(np.diff(at)) + 1, len(at))[: len(at)]):
             mine, those = who[lo:hi], order[start[at[lo]] : end[at[lo]]]
-            s = (q[mine] @ v[those].T) / np.outer(q_norm[mine], v_norm[those])
             k = min(len(those), 2 * top + 2)  # a margin for the rounding of the product
-            near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(those) else np.broadcast_to(np.arange(k), (len(mine), k))
-            found_q.append(np.repeat(mine, k)), found_v.append(those[near].ravel())
+            few = max(1, CELL // len(those))
+            for part in (mine[j : j + few] for j in range(0, len(mine), few)):
+                s = (q[part] @ v[those].T) / np.outer(q_norm[part], v_norm[those])
+                near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(those) else np.broadcast_to(np.arange(k), (len(part), k))
+                found_q.append(np.repeat(part, k)), found_v.append(those[near].ravel())
         fq, fv = np.concatenate(found_q), np.concatenate(found_v)
         exact = (q[fq] * v[fv]).sum(1) / (q_norm[fq] * v_norm[fv])
         return best(q_rep[fq], v_rep[fv], exact)
@@ -164,10 +169,10 @@ def _search(top: int):
     def run(batches):
         now, queries, rows, held, size = None, [], [], [], 0
         for b in _and_end(batches):
-            keys = [None] if b is None else list(zip(*[b.column(k).to_pylist() for k in range(3)]))
+            keys = [None] if b is None else list(zip(*[b.column(k).to_pylist() for k in range(4)]))
             if b is not None:
-                roles, reps, buckets = (b.column(k).to_pylist() for k in (3, 4, 5))
-                vectors = b.column(6)
+                roles, reps, buckets = (b.column(k).to_pylist() for k in (4, 5, 6))
+                vectors = b.column(7)
                 places, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
             for i, key in enumerate(keys):
                 if key != now or len(rows) >= 2 * SHARD:  # a shard's rows need not be held all at once
@@ -203,25 +208,32 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     """(query_id, rank, vec_id, score): for each row that is_query (an expression on id_col) admits its nearest other rows."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     rows = rows.where(F.exists("vector", lambda x: x != 0)).distinct()
-    # equal vectors: their smallest id names them; top + 1 ids are all that can matter
-    of = rows.groupBy("vector").agg(F.min("id").alias("rep"), F.max("asks").alias("asked"))
-    of = staged(of, "lsh-vectors")
+    # equal vectors are one, named by its place in the order of their smallest ids; top + 1 ids are all that can matter
+    of = rows.groupBy("vector").agg(F.min("id").alias("least"), F.max("asks").alias("asked"))
+    of = placed(of, ["least"], "rep").select("rep", "vector", "asked")
     small = rows.withColumn("k", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("k") <= top + 1)
-    small = small.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("i_rep"), "ids")  # at most top + 1 of each
+    small = small.groupBy(F.col("vector").alias("i_vector")).agg(F.array_sort(F.collect_list("id")).alias("ids"))  # at most top + 1 of each
+    small = of.join(small, F.col("vector") == F.col("i_vector")).select(F.col("rep").alias("i_rep"), "ids")
     n = of.count()
     shards = max(1, -(-n // SHARD))
     index = staged(of.select("rep", "vector").mapInArrow(_hash_rows(tables, functions, width), _schema(of, "tab long, bucket long, rep long")), "lsh-index")
+    asked = of.where("asked").select("rep", "vector")
+    probed = staged(asked.mapInArrow(_probe_rows(tables, functions, width, count), "tab long, bucket long, rep long"), "lsh-probes")
+    # of buckets over SHARD: into how many parts rows and queries go
     wide = index.groupBy("tab", "bucket").count().where(F.col("count") > SHARD).select(F.col("tab").alias("w_tab"), F.col("bucket").alias("w_bucket"), F.ceil(F.col("count") / SHARD).alias("splits"))
-    wide = staged(wide, "lsh-wide-buckets")
-    shard = F.pmod(F.xxhash64("bucket"), F.lit(shards))
-    splits = F.coalesce("splits", F.lit(1).cast("long"))
     in_wide = (F.col("tab") == F.col("w_tab")) & (F.col("bucket") == F.col("w_bucket"))
-    held = index.join(wide, in_wide, "left").select("tab", shard.alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), splits).alias("split"), F.lit(1).alias("role"), "rep", F.array("bucket").alias("buckets"), "vector")
-    asked = of.where("asked").select("rep", "vector")
-    probed = asked.mapInArrow(_probe_rows(tables, functions, width, count), "tab long, bucket long, rep long").join(wide, in_wide, "left")
-    probed = probed.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1))).groupBy("tab", shard.alias("shard"), "split", "rep").agg(F.collect_list("bucket").alias("buckets"))
-    probed = probed.join(asked.withColumnRenamed("rep", "a_rep"), F.col("rep") == F.col("a_rep")).select("tab", "shard", "split", F.lit(0).alias("role"), "rep", "buckets", "vector")
-    dealt = held.union(probed).repartition("tab", "shard", "split").sortWithinPartitions("tab", "shard", "split", "role")
+    visits = probed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / SHARD).alias("rows"))
+    wide = staged(wide.join(visits, in_wide, "left").select("w_tab", "w_bucket", "splits", F.coalesce("rows", F.lit(1).cast("long")).alias("rows")), "lsh-wide-buckets")
+    shard = F.pmod(F.xxhash64("bucket"), F.lit(shards))
+    parts = lambda name: F.coalesce(name, F.lit(1).cast("long"))
+    own = lambda name: F.pmod(F.xxhash64("rep", F.lit(1)), parts(name))
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), parts(name) - 1))
+    cell = ["tab", "shard", "split", "row"]
+    held = index.join(wide, in_wide, "left").select("tab", shard.alias("shard"), own("splits").alias("split"), every("rows").alias("row"), F.lit(1).alias("role"), "rep", F.array("bucket").alias("buckets"), "vector")
+    probed = probed.join(wide, in_wide, "left").select("tab", "bucket", "rep", "splits", own("rows").alias("row")).withColumn("split", every("splits"))
+    probed = probed.groupBy("tab", shard.alias("shard"), "split", "row", "rep").agg(F.collect_list("bucket").alias("buckets"))
+    probed = probed.join(asked.withColumnRenamed("rep", "a_rep"), F.col("rep") == F.col("a_rep")).select(*cell, F.lit(0).alias("role"), "rep", "buckets", "vector")
+    dealt = held.union(probed).repartition(*cell).sortWithinPartitions(*cell, "role")
     found = dealt.mapInArrow(_search(top), "q long, rep long, score double")
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "rep")
     found = found.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("k", F.row_number().over(best)).where(F.col("k") <= top + 1)
