@@ -1,6 +1,7 @@
 """Hand-computed cases."""
 
 import hashlib
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -60,6 +61,33 @@ def test_greedy_lookup_takes_longest(spark):
     assert got.hints == ["abc=ABC", "ab=AB"]
 
 
+def test_lookup_by_force(spark):
+    """Against marking the characters of each text one by one."""
+    rng = random.Random(3)
+    stems = sorted({"".join(rng.choices("abc", k=rng.randrange(2, 5))) for _ in range(25)})
+    lex = spark.createDataFrame([(s, s.upper() + g, w) for s in stems for g, w in (("1", 2), ("2", 2))], "stem string, gloss string, weight long")
+    texts = [(i, "".join(rng.choices("abc []", k=rng.randrange(40)))) for i in range(30)] + [(40, None), (41, ""), (42, "a")]
+    got = {r.id: r.hints for r in lexicon.lookup(spark.createDataFrame(texts, "id int, t string"), lex, "id", "t", 3).collect()}
+    spots = {(r.id, r.stem): r.at for r in lexicon.matches(spark.createDataFrame(texts, "id int, t string"), lexicon.best(lex), "id", "t").collect()}
+    for i, t in texts:
+        plain, hits = (t or "").replace("[", "").replace("]", ""), []
+        marks = ["."] * len(plain)
+        assert {s: plain.index(s) + 1 for s in stems if s in plain} == {s: at for (k, s), at in spots.items() if k == i}
+        for s in sorted(stems, key=lambda s: (-len(s), s)):
+            places = [k for k in range(len(plain)) if plain.startswith(s, k) and "#" not in marks[k : k + len(s)]]
+            if places and len(hits) < 6:
+                marks[places[0] : places[0] + len(s)] = "#" * len(s)
+                hits.append((places[0], f"{s}={s.upper()}1"))
+        assert got.get(i, []) == [h for _, h in sorted(hits)[:3]]
+
+
+def test_lexicon_ties_by_first_seen(spark):
+    rows = [(2, "가나다 x", "가나다1 가나다2"), (1, "가나다 y", "가나다2"), (3, "가나다", "가나다1")]
+    lex = lexicon.build(spark.createDataFrame(rows, "n int, t string, g string"), "t", "g", order="n")
+    assert [(r.stem, r.gloss) for r in lexicon.best(lex).collect()] == [("가나다", "가나다2")]
+    assert lexicon.best(lex.drop("seen")).first().gloss == "가나다1"
+
+
 def test_word_error_rate(spark):
     got = metrics.sequence_scores(spark.createDataFrame([("a b c", "a x c"), ("a", "a b")], "p string, r string"), "p", "r").first()
     assert got.wer == 0.4
@@ -70,14 +98,43 @@ def test_token_f1(spark):
 
 
 def test_merged_paragraphs():
-    a = "x" * 100
-    assert [len(c) for c in chunking.merged([a, a, a])] == [201, 100]
-    assert [len(c) for c in chunking.merged(["y" * 700])] == [700]
-
-
-def test_page_parts():
-    page = "한국수어\n제 2 장 - 3\n수지요소\n본문 한 줄\n1) 각주\n12\n목차·····3\n끝\n77\n"
-    assert chunking.page_parts(page) == ("본문 한 줄\n끝", "제2장", "수지요소")
+    a, lens = "x" * 100, lambda p, *limits: [len(c) for c in chunking.merged(p, *limits)]
+    assert lens([a, a, a]) == [201, 100] and lens(["y" * 700]) == [700] and lens([]) == lens(["", " \n"]) == []
+    assert lens(["x" * 600]) == [600] and lens(["x" * 600, a]) == [600, 100]  # a paragraph that fills a chunk waits for the next
+    assert lens([a, "x" * 590, a]) == [100, 590, 100]
+    assert chunking.merged(["aa", "b" * 9, "cc"], 4, 8) == ["aa", "b" * 9, "cc"]
+    assert chunking.merged(["aa", "bbb. ccc. ddd. e", "f"], 4, 8) == ["aa", "bbb. ccc.", "ddd. e\nf"]
+    assert chunking.merged(["a한다.나간다.b. c d"], 3, 6) == ["a한다.", "나간다. b.", "c d"]
+    assert chunking.merged([" a ", "b"], 3, 9) == ["a\nb"]
+
+
+def test_chunks_are_numbered_over_all_documents(spark):
+    text = lambda n: "\n".join(f"{i} {'w' * 90}." for i in range(n))
+    pages = spark.createDataFrame([(d, p, text(4)) for d in (3, 1, 2) for p in (0, 1)], "doc int, page int, raw string")
+    got = chunking.chunks(pages, "doc", first_page=0).orderBy("chunk").collect()
+    assert [r.chunk for r in got] == [f"g{i:05d}" for i in range(len(got))] and [(r.doc, r.page) for r in got] == sorted((r.doc, r.page) for r in got)
+    assert {r.doc for r in got} == {1, 2, 3}
+
+
+def test_clean_page(spark):
+    """Page, then its text, chapter and section."""
+    cases = [
+        ("한국수어\n제 2 장 - 3\n수지요소\n본문 한 줄\n1) 각주\n12\n목차·····3\n끝\n77\n", "본문 한 줄\n끝", "제2장", "수지요소"),
+        ("제1장-2\n\n이름\n글", "이름\n글", "제1장", "이름"),  # a blank line between ends the header before the name
+        ("제1장-2\n이름이 문장이다.\n글", "이름이 문장이다.\n글", "제1장", ""),
+        ("제1장-2\n" + "긴" * 21 + "\n글", "긴" * 21 + "\n글", "제1장", ""),
+        ("제1장-1\n제2장-2\n이름\n글", "글", "제2장", "이름"),
+        ("제1장-1\n제2장-2\n\n\n\n글", "글", "제2장", "제2장-2"),
+        ("문법\n문법\n문법\n문법\n문법\n문법\n문법\n글", "문법\n글", "", ""),  # six are looked at
+        ("\n\n문법\n제1장-1\n제1장-1\n문법\n문법\n글", "문법\n글", "제1장", "문법"),
+        ("글\n9\n\n\n\n끝\n12\n\n", "글\n\n끝", "", ""),
+        ("글\n1234\n끝\n5\n\n\n\n\n", "글\n1234\n끝", "", ""),
+        ("a \t b\n\n\n\nc  \n2)d\n3) d", "a b\n\nc\n2)d", "", ""),
+        ("", "", "", ""), ("\n\n", "", "", ""), ("한국수어", "", "", ""), ("77", "", "", ""), ("제1장-1", "", "제1장", ""),
+    ]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)] + [(99, None)], "k int, page string")
+    got = {r.k: tuple(r.c) for r in df.select("k", chunking.clean_page(F.col("page")).alias("c")).collect()}
+    assert [got[k] for k in range(len(cases))] == [c[1:] for c in cases] and got[99] == ("", "", "")
 
 
 def test_keep_first_and_split(spark):
@@ -93,6 +150,29 @@ def test_numbered(spark):
     assert [r.file_id for r in got] == [f"auto{i:07d}" for i in range(100)]
 
 
+def test_places_hold_when_ranges_are_merged(spark):
+    """Many rows over many partitions, merged by size, with ties: every place once, and in order."""
+    n = 200_000
+    rows = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(5000)).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("id"), F.repeat(F.md5(F.col("id").cast("string")), 6).alias("load"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", 4 << 20)
+    try:
+        got = corpus.placed(rows, [F.col("k").desc()])
+        assert got.agg(F.count("*"), F.count_distinct("place"), F.min("place"), F.max("place")).first() == (n, n, 0, n - 1)
+        want = {}
+        for r in rows.groupBy("k").count().orderBy(F.col("k").desc()).collect():
+            want[r.k] = (sum(c for _, c in want.values()) if not want else want[last][0] + want[last][1], r["count"])  # noqa: F821
+            last = r.k  # noqa: F841
+        spans = got.groupBy("k").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).collect()
+        assert all((r.lo, r.hi) == (want[r.k][0], sum(want[r.k]) - 1) for r in spans) and got.columns == [*rows.columns, "place"]
+        numbers = corpus.numbered(rows.select("load"), ["load"], "n", "%d").orderBy("load").select("n").limit(50).collect()
+        assert [r.n for r in numbers] == [str(i) for i in range(50)]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_frechet_of_equal_sets_is_zero():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 4))

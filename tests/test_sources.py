@@ -63,14 +63,30 @@ def test_sign_segments(spark, tmp_path):
     assert tables.fullest_folder(spark, str(tmp_path)).first().folder.endswith("/d")
 
 
-def test_local_features_come_back():
+def test_local_features(spark):
+    """Against arithmetic with complex numbers: the plane's turn is a product with a unit number; then back again."""
     rng = np.random.default_rng(0)
-    clip = rng.normal(size=(12, 6, 3)).cumsum(0)
-    back = motion.from_local(motion.to_local(clip))
-    again = motion.from_local(motion.to_local(back))
-    assert np.allclose(back, again)
-    d = lambda x: np.linalg.norm(x[:, :, None] - x[:, None], axis=-1)
-    assert np.allclose(d(back), d(clip))
+    body = motion.Body(left_hip=1, right_hip=2, left_shoulder=3, right_shoulder=4, feet=(5, 6))
+    clips = {c: rng.normal(size=(n, 7, 3)).cumsum(0) for c, n in (("a", 12), ("b", 1), ("c", 3))}
+    df = spark.createDataFrame([(c, k, p.ravel().tolist()) for c, x in clips.items() for k, p in enumerate(x)], "clip string, frame int, pose array<double>").repartition(3)
+    local = motion.local_features(df, body=body)
+    got = {(r.clip, r.frame): np.array(r.features) for r in local.collect()}
+    back = {(r.clip, r.frame): np.array(r.pose).reshape(-1, 3) for r in motion.from_local(local).collect()}
+    for c, x in clips.items():
+        feet = x[:, [5, 6], 1].min(1)
+        floor = feet.min() - np.log(0.5 + np.exp(feet.min() - feet.max()))
+        plane = x[..., 0] + 1j * x[..., 2]
+        across = plane[:, 2] - plane[:, 1] + plane[:, 4] - plane[:, 3]
+        ahead = across / abs(across)  # cos and sin of the facing are its real and its negative imaginary part
+        facing = np.conj(ahead)
+        yaw = np.angle(facing)
+        for k in range(len(x)):
+            seen = (plane[k] - plane[k, 0]) * facing[k]
+            step = ((plane[k] - plane[k - 1])[0] if k else 0) * facing[k]
+            want = [x[k, 0, 1] - floor, *np.ravel([[s.real, h, s.imag] for s, h in zip(seen[1:], x[k, 1:, 1] - floor)]), yaw[k] - yaw[k - 1] if k else 0, np.real(step), np.imag(step)]
+            assert np.allclose(got[c, k], want)
+            home = (plane[k] - plane[0, 0]) * facing[0]  # the first frame at the origin, facing along z
+            assert np.allclose(back[c, k], np.column_stack([home.real, x[k, :, 1] - floor, home.imag]))
 
 
 def test_kinematics_and_scale():
@@ -85,8 +101,6 @@ def test_batches(spark):
     df = spark.createDataFrame([(k, [1.0] * k) for k in range(1, 6)], "id int, x array<double>")
     got = motion.batches(df, 2, "id", "x").orderBy("batch").collect()
     assert [(r.ids, r.lengths, [len(p) for p in r.padded]) for r in got] == [([1, 2], [1, 2], [2, 2]), ([3, 4], [3, 4], [4, 4]), ([5], [5], [5])]
-    poses = spark.createDataFrame([(1, f, [float(f + k) for k in range(18)]) for f in range(4)], "clip int, frame int, pose array<double>")
-    assert motion.local_features(poses).count() == 4
 
 
 def test_stream_of_moments(spark, tmp_path):

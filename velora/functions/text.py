@@ -122,27 +122,42 @@ def motion_codes(x: Column, size: int = 512) -> Column:
     return F.when(F.size(codes) == 0, F.array(F.lit(0))).otherwise(codes)
 
 
-def fill(template: Column, caption: Column, motion: Column, frames: Column, fps: float = 20.0, down: int = 4, size: int = 512, predict: float = 0.2, inbetween: float = 0.25) -> Column:
-    """Fill the seven placeholders of an instruction template."""
-    marks = F.split(motion, ">")
-    n = frames / F.lit(float(down))
-    head, lo, hi = ((n * F.lit(r) + 1).cast("int") for r in (predict, inbetween, 1 - inbetween))
-    first = lambda k: F.array_join(F.slice(marks, F.lit(1), k), ">")
-    rest = lambda k: F.array_join(F.slice(marks, k + 1, F.size(marks)), ">")
-    masked = F.concat(first(lo), F.lit(">"), F.repeat(F.lit(f"<motion_id_{size + 2}>"), hi - lo), rest(hi))
-    seconds = F.format_string("%.1f", F.floor(frames / F.lit(fps)).cast("double"))
-    out = template
-    for name, value in (
-        ("<Caption_Placeholder>", caption),
-        ("<Motion_Placeholder>", motion),
-        ("<Frame_Placeholder>", frames.cast("string")),
-        ("<Second_Placeholder>", seconds),
-        ("<Motion_Placeholder_s1>", F.concat(first(head), F.lit(f"><motion_id_{size + 1}>"))),
-        ("<Motion_Placeholder_s2>", F.concat(F.lit(f"<motion_id_{size}>"), rest(head))),
-        ("<Motion_Placeholder_Masked>", masked),
-    ):
-        out = F.replace(out, F.lit(name), value)
-    return out
+def marked(codes: Column) -> Column:
+    """Codes as marked text without start and end."""
+    return F.array_join(F.transform(codes, lambda c: F.concat(F.lit("<motion_id_"), c.cast("string"), F.lit(">"))), "")
+
+
+def motion_parts(codes: Column, frames: Column, down: int = 4, size: int = 512, predict: float = 0.2, inbetween: float = 0.25) -> dict[str, Column]:
+    """What the motion placeholders stand for, by slices of the codes between their start and end marks.
+
+    The cut falls behind so many marks as the ratio of the clip's units holds, counted from the start mark: head and tail split at predict, the
+    masked part lies between inbetween and the rest.
+    """
+    every = F.concat(F.array(F.lit(size)), codes.cast("array<int>"), F.array(F.lit(size + 1)))
+    cut = lambda ratio: F.least((frames / F.lit(float(down)) * F.lit(ratio) + 1).cast("int"), F.size(every))
+    head, lo, hi = cut(predict), cut(inbetween), cut(1 - inbetween)
+    upto = lambda k: F.slice(every, F.lit(1), k)
+    beyond = lambda k: F.slice(every, k + 1, F.size(every))
+    hidden = F.array_repeat(F.lit(size + 2), F.greatest(hi - lo, F.lit(0)))
+    return {
+        "<Motion_Placeholder>": marked(every),
+        "<Motion_Placeholder_s1>": marked(F.concat(upto(head), F.array(F.lit(size + 1)))),
+        "<Motion_Placeholder_s2>": marked(F.concat(F.array(F.lit(size)), beyond(head))),
+        "<Motion_Placeholder_Masked>": marked(F.concat(upto(lo), hidden, beyond(hi))),
+    }
+
+
+def fill(template: Column, caption: Column, codes: Column, frames: Column, fps: float = 20.0, quoted: bool = False, **parts) -> Column:
+    """Fill the seven placeholders of an instruction template; quoted puts the caption in quotation marks."""
+    values = {
+        "<Caption_Placeholder>": F.concat(F.lit('"'), caption, F.lit('"')) if quoted else caption,
+        "<Frame_Placeholder>": frames.cast("string"),
+        "<Second_Placeholder>": F.format_string("%.1f", F.floor(frames / F.lit(fps)).cast("double")),
+        **motion_parts(codes, frames, **parts),
+    }
+    for name, value in values.items():
+        template = F.replace(template, F.lit(name), value)
+    return template
 
 
 @F.pandas_udf(StringType())

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, not anew at each of its uses inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(x: Column) -> Column:
     return x.cast("array<double>")
 

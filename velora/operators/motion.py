@@ -1,47 +1,98 @@
-"""Whole-clip transforms of joint positions, by numpy over grouped clips: what needs every frame of a skeleton at once."""
+"""Whole-clip transforms of joint positions: rows (clip, frame, pose), a pose being the x, y, z of each joint in one flat array, the root first."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velora.functions import geometry as G
+from velora.functions.vector import doubles
+from velora.operators.corpus import placed
+from velora.operators.sequence import over, so_far
+
+AXES = 3
+#: Fixed value: how soft the minimum is that takes the floor from a clip's lowest feet.
+SOFTNESS = 0.5
+
+
+@dataclass(frozen=True)
+class Body:
+    """Places of the joints that tell where a body stands and which way it faces; the defaults are those of the usual 22 joints."""
+
+    left_hip: int = 1
+    right_hip: int = 2
+    left_shoulder: int = 16
+    right_shoulder: int = 17
+    feet: tuple[int, ...] = (7, 8, 10, 11)
+
+
+def joint(pose: Column, k: int) -> Column:
+    return F.slice(pose, AXES * k + 1, AXES)
+
+
+def axis_of(pose: Column, k: int, axis: int) -> Column:
+    return F.element_at(pose, AXES * k + axis + 1)
+
+
+def floor_height(feet: Column, clip: str) -> Column:
+    """The soft minimum over a clip of each frame's lowest foot."""
+    whole = Window.partitionBy(clip)
+    low, high = F.min(feet).over(whole), F.max(feet).over(whole)
+    return low - F.log(F.lit(SOFTNESS) + F.exp(low - high))
+
+
+def _turned(x: Column, z: Column, sin: Column, cos: Column) -> tuple[Column, Column]:
+    return x * cos - z * sin, x * sin + z * cos
 
-def turn(cos: np.ndarray, sin: np.ndarray) -> np.ndarray:
-    """Plane rotations for each frame."""
-    return np.stack([np.stack([cos, -sin], -1), np.stack([sin, cos], -1)], -2)
-
-
-def to_local(joints: np.ndarray, hips: tuple[int, int] = (1, 2), shoulders: tuple[int, int] = (3, 4)) -> np.ndarray:
-    """(frames, joints, 3) to rows of root height, root-relative joints that face forward, yaw step and local root step."""
-    p = joints - np.array([0, 1, 0]) * joints[..., 1].min()
-    root = p[:, 0].copy()
-    rest = p[:, 1:] - root[:, None] * np.array([1, 0, 1])
-    across = (p[:, hips[0]] - p[:, hips[1]]) + (p[:, shoulders[0]] - p[:, shoulders[1]])
-    yaw = np.arctan2(across[:, 2], across[:, 0])
-    facing = turn(np.cos(yaw), np.sin(yaw))
-    plane = np.einsum("fjk,fkl->fjl", rest[..., [0, 2]], facing)
-    local = np.stack([plane[..., 0], rest[..., 1], plane[..., 1]], -1)
-    step = np.diff(root[:, [0, 2]], axis=0, prepend=root[:1, [0, 2]])
-    return np.column_stack([root[:, 1], local.reshape(len(p), -1), np.diff(yaw, prepend=yaw[:1]), np.einsum("fk,fkl->fl", step, facing)])
-
-
-def from_local(rows: np.ndarray) -> np.ndarray:
-    """The inverse of to_local, up to the first frame's heading and place."""
-    height, body, step_yaw, step = rows[:, 0], rows[:, 1:-3], rows[:, -3], rows[:, -2:]
-    yaw = np.cumsum(step_yaw)
-    yaw -= yaw[0]
-    facing = turn(np.cos(yaw), -np.sin(yaw))
-    local = body.reshape(len(rows), -1, 3)
-    plane = np.einsum("fjk,fkl->fjl", local[..., [0, 2]], facing)
-    way = np.cumsum(np.einsum("fk,fkl->fl", step, facing), axis=0)
-    way -= way[0]
-    out = np.zeros((len(rows), local.shape[1] + 1, 3))
-    out[:, 1:] = np.stack([plane[..., 0], local[..., 1], plane[..., 1]], -1)
-    out[:, 0, 1] = height
-    out[..., [0, 2]] += way[:, None]
-    return out
+
+def local_features(clips: DataFrame, clip: str = "clip", frame: str = "frame", pose: str = "pose", body: Body = Body()) -> DataFrame:
+    """(clip, frame, features): height of the root over the floor, all other joints as the root and its facing see them, the facing's turn
+    since the last frame, and the root's step as the facing sees it. Turn and step of a first frame are 0.
+
+    Windows over a clip's frames; all else is arithmetic on one row.
+    """
+    w = over(clip, frame)
+    p = clips.select(clip, frame, doubles(F.col(pose)).alias("p"))
+    p = p.withColumn("floor", floor_height(F.least(*[axis_of(F.col("p"), k, 1) for k in body.feet]), clip))
+    ahead = G.forward_direction(*[joint(F.col("p"), k) for k in (body.right_hip, body.left_hip, body.right_shoulder, body.left_shoulder)])
+    p = p.withColumn("ahead", ahead).select(clip, frame, "p", "floor", F.get("ahead", F.lit(0)).alias("sin"), F.get("ahead", F.lit(1)).alias("cos"))
+    x, z = axis_of(F.col("p"), 0, 0), axis_of(F.col("p"), 0, 2)
+    since = lambda v: F.coalesce(v - F.lag(v).over(w), F.lit(0.0))
+    p = p.withColumns({"x": x, "z": z, "yaw": F.atan2("sin", "cos")})
+    p = p.withColumns({"dx": since(F.col("x")), "dz": since(F.col("z")), "turn": since(F.col("yaw"))})
+
+    def seen(k: Column) -> Column:
+        at = lambda axis: F.element_at("p", AXES * k + axis + 1)
+        side, front = _turned(at(0) - F.col("x"), at(2) - F.col("z"), F.col("sin"), F.col("cos"))
+        return F.array(side, at(1) - F.col("floor"), front)
+
+    others = F.flatten(F.transform(F.sequence(F.lit(1), (F.size("p") / AXES).cast("int") - 1), seen))
+    step = _turned(F.col("dx"), F.col("dz"), F.col("sin"), F.col("cos"))
+    return p.select(clip, frame, F.concat(F.array(axis_of(F.col("p"), 0, 1) - F.col("floor")), others, F.array(F.col("turn"), *step)).alias("features"))
+
+
+def from_local(rows: DataFrame, clip: str = "clip", frame: str = "frame", features: str = "features") -> DataFrame:
+    """(clip, frame, pose): the inverse of local_features, up to the first frame's place and facing: it stands at the origin and faces along z."""
+    sums, first = so_far(clip, frame), over(clip, frame)
+    f = F.col("f")
+    back = lambda k: F.element_at(f, -k)
+    r = rows.select(clip, frame, doubles(F.col(features)).alias("f"))
+    gone = lambda v: F.sum(v).over(sums) - F.first(v).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    r = r.withColumn("yaw", gone(back(3))).withColumns({"sin": -F.sin("yaw"), "cos": F.cos("yaw")})  # turned back
+    dx, dz = _turned(back(2), back(1), F.col("sin"), F.col("cos"))
+    r = r.withColumns({"dx": dx, "dz": dz}).withColumns({"x": gone(F.col("dx")), "z": gone(F.col("dz"))})
+
+    def placed_joint(k: Column) -> Column:
+        at = lambda axis: F.element_at(f, AXES * k + axis + 2)
+        side, front = _turned(at(0), at(2), F.col("sin"), F.col("cos"))
+        return F.array(side + F.col("x"), at(1), front + F.col("z"))
+
+    joints = ((F.size(f) - 1 - AXES) / AXES).cast("int")
+    others = F.flatten(F.transform(F.sequence(F.lit(0), joints - 1), placed_joint))
+    return r.select(clip, frame, F.concat(F.array(F.col("x"), F.element_at(f, 1), F.col("z")), others).alias("pose"))
 
 
 def forward_kinematics(rotations: np.ndarray, offsets: np.ndarray, root: np.ndarray, chains) -> np.ndarray:
@@ -64,22 +115,8 @@ def scaled_to(joints: np.ndarray, leg: tuple[int, int, int], target: float) -> n
     return joints * (target / (np.linalg.norm(a - b) + np.linalg.norm(b - c)))
 
 
-def local_features(clips: DataFrame, clip: str = "clip", frame: str = "frame", pose: str = "pose") -> DataFrame:
-    """(clip, frame, features) from rows of flat joint positions; a clip's frames go to one task, as its yaw needs them in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(frame)
-        x = np.stack(pdf[pose].to_numpy()).reshape(len(pdf), -1, 3)
-        return pd.DataFrame({clip: pdf[clip].to_numpy(), frame: pdf[frame].to_numpy(), "features": list(to_local(x))})
-
-    kinds = {f.name: f.dataType.simpleString() for f in clips.schema}
-    return clips.select(clip, frame, F.col(pose).cast("array<double>").alias(pose)).groupBy(clip).applyInPandas(run, f"`{clip}` {kinds[clip]}, `{frame}` {kinds[frame]}, features array<double>")
-
-
 def batches(df: DataFrame, size: int, order: str, values: str, zero: float = 0.0) -> DataFrame:
     """(batch, ids, lengths, padded): rows dealt into batches by place, arrays filled to their batch's longest."""
-    from velora.operators.corpus import placed
-
     rows = placed(df.select(order, values), [order], "_place").withColumn("batch", F.floor(F.col("_place") / size))
     z = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("_place", F.col(order).alias("id"), F.col(values).alias("x")))).alias("z"), F.max(F.size(values)).alias("longest"))
     fill = lambda r: F.concat(r["x"], F.array_repeat(F.lit(zero).cast("double"), F.col("longest") - F.size(r["x"])))

@@ -199,7 +199,7 @@ def task_cross(spark, sf):
 def template_fill(spark, sf):
     t = _tasks(spark, sf)
     frames = F.size("codes") * 4
-    fill = lambda c: T.fill(F.col(c), F.concat(F.lit("order "), F.col("id").cast("string")), T.motion_string(F.col("codes")), frames)
+    fill = lambda c: T.fill(F.col(c), F.concat(F.lit("order "), F.col("id").cast("string")), F.col("codes"), frames)
     return t.select("id", "task", fill("input").alias("input"), fill("output").alias("output"))
 
 
