@@ -5,11 +5,13 @@ of two vectors has the lower bound sum(l ((m - m')^2 + (s - s')^2)) over segment
 q v = (|q|^2 + |v|^2 - d^2) / 2 that is an upper bound sum(l (m m' + s s')) on the inner product. A query's rows go through the
 bounds coarse to fine; what may still reach its k-th best is computed exactly.
 
-Queries are taken in blocks of about QUERIES (a bounded matrix that is broadcast), and each block passes over
-all rows once; a task keeps only the k best of each query, which are merged after. No row is shipped for a pair.
+Queries are taken in blocks of about BLOCK_BYTES (a bounded matrix that is broadcast), and each block passes over
+all rows once; a task keeps only the k best of each query, which are merged after. No row is shipped for a pair. Within a task a block is
+compared QUERIES by ROWS at a time.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of different lengths don't compare. Ties: smaller id.
-Rows with the query's own id are not its candidates. Fewer rows than k: all. Scores beyond 64 bits are cut to that range. Rows of one id count once, by their best score. Empty table: empty result.
+An id stands for all its rows: the score of two ids is the best of their rows' scores, an id with several vectors asks with each, and its own
+rows are not its candidates. Fewer ids than k: all. Scores beyond 64 bits are cut to that range. Null ids take no part. Extra columns don't matter. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from velora.llm.staging import staged
 TOP = 5
 SCALE = 256
 QUERIES, ROWS = 2048, 512
+BLOCK_BYTES = 16 << 20
 LEVELS = (1, 4, 16)
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -118,17 +121,22 @@ def _scan(shared, k: int):
                 if (asked := shared.value.get(x.shape[1])) is None:
                     continue
                 ids, x = b.column(0).to_numpy()[own], np.floor(SCALE * x)
-                state = best.get(x.shape[1]) or best.setdefault(x.shape[1], Best(*asked, k))
+                if x.shape[1] not in best:
+                    best[x.shape[1]] = [Best(asked[0][lo : lo + QUERIES], asked[1][lo : lo + QUERIES], k) for lo in range(0, len(asked[1]), QUERIES)]
                 for lo in range(0, len(x), ROWS):
                     part, mine = x[lo : lo + ROWS], ids[lo : lo + ROWS]
-                    if state.limit * np.abs(part).max(initial=0) < 2**52:
-                        state.add(part, mine)
-                    else:
-                        odd += _exactly(*asked, part, mine, k)
-                        odd = [r for r in odd if r] if len(odd) < 100_000 else _cut(odd, k)
-        rows = odd + [(int(q), int(v), int(s)) for state in best.values() for q, vs, ss in zip(state.ids, state.found, state.score) for v, s in zip(vs, ss) if np.isfinite(s)]
-        q, v, s = zip(*rows) if rows else ((), (), ())
+                    widest = np.abs(part).max(initial=0)
+                    for state in best[x.shape[1]]:
+                        if state.limit * widest < 2**52:
+                            state.add(part, mine)
+                        else:
+                            odd += _exactly(state.x, state.ids, part, mine, k)
+                            odd = odd if len(odd) < 100_000 else _cut(odd, k)
+        q, v, s = zip(*odd) if odd else ((), (), ())
         yield pa.record_batch([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+        for state in (state for states in best.values() for state in states):
+            own = np.isfinite(state.score)
+            yield pa.record_batch([pa.array(np.repeat(state.ids, own.sum(1))), pa.array(state.found[own]), pa.array(state.score[own].astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -145,18 +153,18 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     """(query_id, rank, vec_id, score) for each row that is_query (an expression on id_col) admits."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("vector")))
-    asks = rows.where("asks").select("id", "vector")
-    number = max(1, -(-asks.count() // QUERIES))
-    asks = staged(asks.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(number))), "segment-queries")
+    asks = rows.where("asks").select("id", "vector").distinct()
+    size = asks.agg(F.sum(8 * F.size("vector").cast("long"))).first()[0] or 0
+    number = max(1, -(-size // BLOCK_BYTES))
+    asks = staged(asks.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(number))), "segment-queries")
     found = []
     for block in range(number):
-        got = asks.where(F.col("block") == block).select("id", "vector").toArrow().combine_chunks()  # about QUERIES rows
+        got = asks.where(F.col("block") == block).select("id", "vector").toArrow().combine_chunks()  # about BLOCK_BYTES
         parts = {}
         if got.num_rows:
             ids = got.column(0).combine_chunks().to_numpy()
             for own, x in _matrix(got.column(1).combine_chunks()):
-                once = np.unique(ids[own], return_index=True)[1]
-                parts[x.shape[1]] = (np.floor(SCALE * x[once]), ids[own][once])
+                parts[x.shape[1]] = (np.floor(SCALE * x), ids[own])
         out = rows.select("id", "vector").mapInArrow(_scan(spark.sparkContext.broadcast(parts), top), "query_id long, vec_id long, score long")
         found.append(staged(out, "segment-found") if number > 1 else out)
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
