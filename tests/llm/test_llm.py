@@ -86,11 +86,62 @@ def test_field_edges(spark, field):
     assert all(by[i].lang_pred != "und" for i in (3, 4, 5, 7))
     assert all(0 <= r.score <= 1 for r in got)
     assert {r.lang_pred for r in crf.identify(docs(spark, EDGES), None).collect()} == {"und"}
+    marks = docs(spark, [(0, "²"), (1, "½ ①"), (2, "Ⅷ"), (3, "ª"), (4, "x²")]).withColumn("lang_pred", F.lit("mine")).withColumn("w_field", F.lit(1))
+    got = crf.identify(marks, field[0])
+    assert [r.lang_pred != "und" for r in got.orderBy("doc_id").collect()] == [False, False, False, True, True]
+    assert got.columns == [c for c in marks.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
     empty = docs(spark, EDGES).limit(0)
     assert crf.fit(empty, F.lit(True)) is None
     assert crf.identify(empty, None).count() == 0
 
 
+def test_field_learns_from_whole_texts(spark, field):
+    """What tells two languages apart stands beyond 5,000 characters; executors' words and the driver's give one model."""
+    _, make = field
+    rows = [(i, " ".join(make("aa") for _ in range(9)) + " " + (" ".join(make("bb" if i % 2 else "cc") for _ in range(3)))) for i in range(60)]
+    assert all(len(t[:2500].split()) < 360 for _, t in rows)
+    df = spark.createDataFrame([(i, t, ["cc", "bb"][i % 2]) for i, t in rows] + [(0, rows[0][1], "cc"), (70, None, "cc"), (71, "x", None)], "doc_id long, text string, lang string")
+    model = crf.fit(df, F.col("doc_id") < 40)
+    got, _ = crf.predict(model, pa.array([make(x) for x in ("bb", "cc") * 10]))
+    assert got == ["bb", "cc"] * 10
+    order = sorted((r.h, r.doc_id) for r in df.where("doc_id < 40").select(F.xxhash64("doc_id").alias("h"), "doc_id").distinct().collect())
+    text = dict(rows)
+    same = crf.train([text[i] for _, i in order], [["cc", "bb"][i % 2] for _, i in order])
+    assert same.classes == model.classes and np.array_equal(same.emission, model.emission) and np.array_equal(same.lexicon.words, model.lexicon.words) and len(model.lexicon.words)
+    assert crf.fit(df, F.col("doc_id") < 40, docs=1).classes == [["cc", "bb"][order[0][1] % 2]]
+
+
+def test_language_query_by_force(spark, tmp_path):
+    """The registered query against word-by-word posteriors of a plain forward-backward pass over dictionaries of features."""
+    rng = random.Random(4)
+    parts = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "ver"]}
+    make = lambda lang: " ".join("".join(rng.choices(parts[lang], k=3)) for _ in range(rng.randrange(1, 12)))
+    rows = [(i, make(("aa", "bb")[i % 2]), ("aa", "bb")[i % 2]) for i in range(120)] + [(200, None, "aa"), (201, "12 - 3", "bb"), (202, "", None), (203, make("aa"), None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op1_language_id"](spark, str(tmp_path)).collect()}
+    model = crf.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    k = len(model.classes)
+    for i, text, _ in rows:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        words = WORD.findall(text or "")
+        if not re.search("[a-z]", text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        scores = []
+        for w in words:
+            block = next(blocks(pa.array([w])))
+            groups = crf.features(block.rolling(lower=True), block.starts, block.ends, model.lexicon)
+            scores.append(sum((model.emission[f].astype(float) for index, _ in groups for f in index), np.zeros(k)))
+        forth, back, n = [np.exp(scores[0])], [np.ones(k)], len(words)
+        a = np.exp(model.transition)
+        for s in scores[1:]:
+            forth.append((forth[-1] @ a) * np.exp(s))
+        for s in scores[:0:-1]:
+            back.append(a @ (np.exp(s) * back[-1]))
+        share = sum(f * b / (f * b).sum() for f, b in zip(forth, back[::-1])) / n
+        assert got[i].lang_pred == model.classes[int(share.argmax())] and abs(got[i].score - share.max()) < 1e-6
+
+
 # 2
 
 @pytest.fixture(scope="module")
@@ -119,6 +170,17 @@ def test_bpe_equals_the_library(spark, tokenizer):
         assert (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == want
 
 
+def test_bpe_sections_change_nothing(spark, tokenizer, monkeypatch):
+    c = bpe.codec(tokenizer)
+    texts = ["a  b \n\n c " * 9, "x" * 100 + " y", "   ", "é 日本  語\x85z" * 7, "", "p<|endoftext|>q " * 5]
+    whole = [c.round_trip(t) for t in texts]
+    assert [w[2] for w in whole] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    for size in (1, 3, 10):
+        monkeypatch.setattr(bpe, "SECTION", size)
+        assert [c.round_trip(t) for t in texts] == whole and len(list(c.sections(texts[0]))) > 1
+    assert bpe.round_trip(docs(spark, EDGES).limit(0), tokenizer).count() == 0
+
+
 # 3
 
 def test_line_dedup_by_force(spark):
@@ -171,6 +233,16 @@ def test_lsh_recall_and_form(spark):
     assert lsh_search.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_lsh_cells_change_nothing(spark, monkeypatch):
+    """Buckets of nearly all rows, split into cells of a few rows and queries."""
+    _, df = vectors(spark)
+    find = lambda: sorted(map(tuple, lsh_search.search(df, F.col("vec_id") % 5 == 0, width=30.0, count=3).collect()))
+    whole = find()
+    monkeypatch.setattr(lsh_search, "SHARD", 7)
+    monkeypatch.setattr(lsh_search, "CELL", 20)
+    assert find() == whole
+
+
 def test_probes_come_in_order():
     p = np.array([0.1, 2.6, -0.7])
     cells = lsh_search.probes(p, 20)
@@ -180,6 +252,7 @@ def test_probes_come_in_order():
 
 def test_segment_search_is_exact(spark, monkeypatch):
     monkeypatch.setattr(segment_search, "QUERIES", 2)
+    monkeypatch.setattr(segment_search, "BLOCK_BYTES", 300)
     _, df = vectors(spark)
     rows = {r.vec_id: np.floor(256 * np.array(r.embedding)).astype(int) for r in df.where("vec_id < 300 or vec_id in (401, 450)").collect()}
     want = []
@@ -213,6 +286,31 @@ def test_segment_search_counts_repeated_rows_once(spark):
         assert [(r["rank"], r.vec_id, r.score) for r in got] == want
 
 
+def test_searches_with_repeated_ids_agree_whatever_the_order(spark):
+    """An id stands for all its rows; both searches against brute force, rows shuffled."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.normal(size=8).round(2).tolist()) for i in [*range(30), 0, 0, 3, 3, 3, 7, 50]] + [(None, [1.0] * 8)]
+    cosine = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    whole = lambda a, b: int(np.floor(256 * a) @ np.floor(256 * b))
+    for module, score, digits in ((lsh_search, cosine, 9), (segment_search, whole, 0)):
+        seen = None
+        for turn in range(3):
+            df = spark.createDataFrame(rows if turn < 1 else [rows[k] for k in rng.permutation(len(rows))], "vec_id long, embedding array<float>")
+            got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, digits)) for r in module.search(df, F.col("vec_id") % 50 == 0).collect())
+            assert seen is None or got == seen
+            seen = got
+        vectors = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect() if r.vec_id is not None]
+        want = []
+        for q in (0, 50):
+            best = {}
+            for i, a in vectors:
+                for j, b in vectors:
+                    if i == q != j:
+                        best[j] = max(best.get(j, -np.inf), score(a, b))
+            want += [(q, k, j, round(s, digits)) for k, (s, j) in enumerate(sorted((-s, j) for j, s in best.items())[:5], 1) for s in [-s]]
+        assert seen == want
+
+
 def test_segment_bound_holds():
     rng = np.random.default_rng(5)
     a, b = np.floor(256 * rng.normal(size=(50, 33))), np.floor(256 * rng.normal(size=(60, 33)))
@@ -230,6 +328,10 @@ def test_url_rules(spark):
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, rules).collect() if r.page_id != 8)
     assert got[0] == got[1] == (0, "sub.example.org", "/es/1", "example.org/es/", "block")
     assert [g[3:] for g in got[2:]] == [("example.org/en/1", "block"), ("org/", "allow"), ("com/de/", "block"), ("com/fr/", "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("org/", "allow"), ("example.org/es/", "block")]
+    for digits in (1, 0):  # keys so short that most rules clash: the digest tells them apart
+        assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, rules, short=digits).collect() if r.page_id != 8) == got
+    plan = url_filter.judge(df, rules)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Join[^\n]*v_digest", plan) and re.search(r"Join[^\n]*v_short", plan)
     assert url_filter.judge(df.limit(0), rules).count() == 0 and url_filter.judge(df, rules.limit(0)).where("verdict = 'allow'").count() == len(urls) + 1
 
 
@@ -297,12 +399,43 @@ def test_one_of_each_decides_by_row(spark):
     assert kept.columns == docs(spark, rows).columns
 
 
-def test_trie_finds_what_a_scan_finds():
+def test_trie_finds_what_a_scan_finds(monkeypatch):
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 120, 90).astype(np.uint64)) for _ in range(60)]
-    for probe in sets[:10]:
-        want = {(k, len(np.intersect1d(probe, s))) for k, s in enumerate(sets) if 100 * len(np.intersect1d(probe, s)) >= 40 * len(np.union1d(probe, s))}
-        assert set(jaccard_join.Trie(sets).descend(probe, 40)) == want
+    sets += [sets[0], sets[1][:40], sets[1][:-1], np.array([7], np.uint64), np.unique(rng.integers(200, 900, 300).astype(np.uint64))]
+    sets += [np.append(sets[2][:50], rng.integers(200, 300, 5)).astype(np.uint64) for _ in range(9)]
+    sets = [np.unique(s) for s in sets]
+    probes = [*sets[:10], *sets[-16:]]
+    overlap = {(k, j): len(np.intersect1d(p, s)) for k, s in enumerate(sets) for j, p in enumerate(probes)}
+    for step in (3, 64):
+        monkeypatch.setattr(jaccard_join, "STEP", step)
+        for percent in (40, 85, 100):
+            want = sorted((k, j, n) for (k, j), n in overlap.items() if 100 * n >= percent * (len(sets[k]) + len(probes[j]) - n))
+            assert sorted(jaccard_join.Trie(sets).join(probes, percent)) == want
+    assert list(jaccard_join.Trie([]).join(probes, 85)) == list(jaccard_join.Trie(sets).join([], 85)) == []
+
+
+def test_trie_skips_subtrees(monkeypatch):
+    """A thousand sets below one node that no probe can follow cost one look at that node."""
+    looks = []
+    hits = jaccard_join.Probes.hits
+    monkeypatch.setattr(jaccard_join.Probes, "hits", lambda self, nodes: looks.append(len(nodes)) or hits(self, nodes))
+    common = np.arange(50, dtype=np.uint64)
+    sets = [np.append(common, np.array([100 + 2 * k, 101 + 2 * k], np.uint64)) for k in range(1000)]
+    assert list(jaccard_join.Trie(sets).join([np.arange(5000, 5050, dtype=np.uint64)], 85)) == [] and looks == [50]
+
+
+def test_names_that_clash_are_replaced(spark):
+    """With names of four bits most clash, and all still find their other half."""
+    rows = near_rows(40)
+    assert sorted(tuple(r) for r in jaccard_join.similar(docs(spark, rows), name_bits=4).collect()) == groups_by_force(rows, 4, 85)
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 5)
+    links = spark.createDataFrame([(7, i) for i in range(20, 60)] + [(59, 3), (100, 101)], "a long, b long")
+    got = {r.id: r.component for r in components.components(links).collect()}
+    assert got == {i: 3 for i in [3, 7, *range(20, 60)]} | {100: 100, 101: 100}
 
 
 def test_components(spark):
@@ -382,6 +515,33 @@ def test_substring_dedup_by_force(spark):
     assert substring_dedup.dedup_passages(docs(spark, EDGES).limit(0)).count() == 0
 
 
+def test_substring_dedup_needs_its_automata(spark, monkeypatch):
+    """Occurrences come from the automata alone: none found, nothing removed; of many small shards or one, the same."""
+    rng = random.Random(15)
+    passage = [rng.choice(V) for _ in range(120)]
+    rows = [(i, " ".join([rng.choice(V) for _ in range(20)] + passage + [rng.choice(V) for _ in range(i)])) for i in range(8)]
+    removed = lambda: sorted((r.doc_id, r.n_removed) for r in substring_dedup.dedup_passages(docs(spark, rows)).collect())
+    want = [(0, 0)] + [(i, 120) for i in range(1, 8)]
+    assert removed() == want
+    for size in (1, 100):
+        shards = substring_dedup.Shards([" a b ", " b c ", " c "])
+        monkeypatch.setattr(substring_dedup, "SHARD_BYTES", size)
+        assert sorted(substring_dedup.Shards([" a b ", " b c ", " c "]).ends(" a b c ")) == sorted(shards.ends(" a b c ")) == [4, 6, 6]
+    assert removed() == want
+    monkeypatch.setattr(substring_dedup.Shards, "ends", lambda self, text: np.empty(0, np.int64))
+    block = next(blocks(pa.array([rows[0][1]])))
+    assert not substring_dedup._located(block, [[" ".join(["", *passage[:8], ""])]], 8).any()
+
+
+def test_bit_map_holds_every_hash(spark, monkeypatch):
+    hashes = [0, 1, 2**15 - 1, 2**15, 2**15 + 1, -1, -(2**63), 2**63 - 1, 12345678901234]
+    for most in (1 << 15, 1 << 20):
+        monkeypatch.setattr(substring_dedup, "MOST_BITS", most)
+        monkeypatch.setattr(substring_dedup, "BITS_EACH", 1 << 18)
+        bits, size = substring_dedup._bit_map(spark.createDataFrame([(h,) for h in hashes], "p long"))
+        assert size == most and {int(p) for p in np.flatnonzero(np.unpackbits(bits, bitorder="little"))} == {h & (size - 1) for h in hashes}
+
+
 # 10
 
 def test_targets_by_force(spark):
@@ -420,6 +580,48 @@ def test_mix(spark):
     assert curriculum.mix(df.limit(0)).count() == 0 and curriculum.mix(docs(spark, EDGES)).count() == len(EDGES)
 
 
+def test_mix_agrees_whatever_the_order_of_rows(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(V, k=rng.randrange(1, 9))), f"s{i % 2}") for i in range(30)]
+    rows += [(3, rows[3][1], "s1")] * 3 + [(3, "another text", "s1"), (None, "no id", "s0"), (None, "no id", "s0"), (None, "nor this", None), (None, None, "s1"), (40, "", None)]
+    frame = lambda r: spark.createDataFrame([(i, t, s, 1, "v", 2, 3) for i, t, s in r], "doc_id long, text string, source string, version int, m_id string, m_version int, m_position int")
+    made, copies = [], []
+    for k in range(4):
+        df = frame(rows).repartition(3) if k else frame(rows)
+        made.append(sorted(map(repr, curriculum.mix(df).collect())))
+        copies.append([tuple(r) for r in curriculum.mixed_documents(df).collect()])
+        rng.shuffle(rows)
+    assert all(m == made[0] for m in made) and all(sorted(c, key=repr) == sorted(copies[0], key=repr) for c in copies)
+    assert len(made[0]) == len(rows) and curriculum.mixed_documents(frame(rows)).columns == frame(rows).columns
+    planned = {}
+    for r in curriculum.mix(frame(rows)).collect():
+        if r.size:
+            planned[r.doc_id, r.size] = planned.get((r.doc_id, r.size), 0) + int(r.taken / r.size + 0.5)
+    got = {}
+    for c in copies[0]:
+        at = (c[0], len(WORD.findall(c[1])))
+        got[at] = got.get(at, 0) + 1
+    assert got == {k: n for k, n in planned.items() if n} and any(c[0] is None for c in copies[0])
+
+
+def test_mix_query_by_force(spark, tmp_path):
+    """Sizes, targets and places of each document by plain arithmetic."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choices(V, k=rng.randrange(20))), rng.choice(["a", "b", "c", None])) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op10_curriculum"](spark, str(tmp_path)).collect()}
+    size = {i: len(WORD.findall(t)) for i, t, _ in rows}
+    for source in ("a", "b", "c", None):
+        own = sorted((i for i, _, s in rows if s == source), key=lambda i: (int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16), i))
+        whole, before = sum(size[i] for i in own), 0
+        target = got[own[0]].target
+        over = round(target - target // whole * whole)
+        for i in own:
+            assert (got[i].size, got[i].source_size) == (size[i], whole)
+            assert got[i].taken == target // whole * size[i] + max(0, min(size[i], over - before))
+            before += size[i]
+
+
 def test_schedule_is_inverted(spark):
     knots = ((0.0, 2.0), (0.25, 0.5), (1.0, 1.0))
     area = lambda t: sum((min(max(t, a), b) - a) * (u + u + (v - u) / (b - a) * (min(max(t, a), b) - a)) / 2 for (a, u), (b, v) in zip(knots, knots[1:]))
