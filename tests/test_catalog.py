@@ -7,7 +7,7 @@ import pytest
 
 from velora.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CATALOG_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -33,6 +33,12 @@ def test_nfkc(spark):
     assert spark.createDataFrame([("ﬁ①",), (None,)], "s string").select(T.nfkc("s").alias("x")).collect()[0].x == "fi1"
 
 
+def test_cleaning_brings_to_one_form(spark):
+    df = spark.createDataFrame([(1, "ﬁ x"), (2, "fi x"), (3, "\u00a0"), (4, "ａ①"), (5, None)], "id int, t string")
+    got = corpus.keep_first(corpus.cleaned(df, ["t"]), ["t"], "id").collect()
+    assert sorted((r.id, r.t) for r in got) == [(1, "fi x"), (4, "a1")]
+
+
 def test_feature_tags(spark):
     assert one(spark, T.feature_tags(F.lit("왜 안 가니?"))) == ["부정", "의문"]
     assert one(spark, T.feature_query(F.lit("a"))) == T.NO_FEATURE

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from velora.functions.text import bucket, comparison_key, strip
+from velora.functions.text import bucket, comparison_key, nfkc, strip
 from velora.sources.staging import staged
 
 
@@ -46,7 +46,12 @@ def numbered(df: DataFrame, order: list[str], name: str = "file_id", form: str =
 
 
 def cleaned(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Strip the columns and drop rows where one is then empty or null."""
+    """Strip the columns, bring them to Unicode's NFKC, and drop rows where one is then empty or null. Only rows with other than ASCII are sent to Python."""
+    plain = ~F.exists(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns]), lambda x: F.octet_length(x) != F.char_length(x))
+    same, other = df.where(plain), df.where(~plain)
+    for c in columns:
+        other = other.withColumn(c, nfkc(F.col(c)))
+    df = same.unionByName(other)
     for c in columns:
         df = df.withColumn(c, strip(F.col(c)))
     for c in columns:

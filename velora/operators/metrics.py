@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from velora.functions.arrow import matrix
 from velora.functions.text import tokens
 
 
@@ -90,7 +91,7 @@ def _partial_products(vector_at: int, group_at: int | None):
     def run(batches):
         sums: dict = {}
         for b in batches:
-            x = np.array(b.column(vector_at).to_pylist(), np.float64).reshape(len(b), -1)
+            x = matrix(b.column(vector_at))
             groups = np.zeros(len(b), int) if group_at is None else b.column(group_at).to_numpy()
             for g in np.unique(groups):
                 own = x[groups == g]

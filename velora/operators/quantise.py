@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velora.functions.arrow import matrix
+
 #: Codes of a codebook at most: it is broadcast, so its size is checked.
 MOST_CODES = 65_536
 
@@ -21,7 +23,7 @@ def nearest(rows: DataFrame, codebook: DataFrame, id_col: str, vector: str) -> D
     def run(batches):
         codes, book = shared.value
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float64).reshape(len(b), -1)
+            x = matrix(b.column(1))
             code, least = np.full(len(b), -1, np.int32), np.zeros(len(b))
             for lo in range(0, len(x) if len(book) else 0, 1024):
                 part = x[lo : lo + 1024]

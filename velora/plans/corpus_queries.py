@@ -161,7 +161,7 @@ def char_tfidf_weights(spark, sf):
 
 def _examples(spark, sf, exclude: bool):
     c, q = _spoken(spark, sf), _asked(spark, sf)
-    return retrieval.examples(retrieval.scored(c, q, "id", "id", "text"), c, q, "id", "id", "text", exclude_copies=exclude)
+    return retrieval.examples(retrieval.tfidf_top(c, q, "id", "id", "text", 2 + 10), c, q, "id", "id", "text", exclude_copies=exclude)
 
 
 def example_topk(spark, sf):

@@ -26,7 +26,7 @@ _L2 = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2])
 
 def dense_topk(spark, sf):
     v = _vectors(spark, sf)
-    return retrieval.dense_top(v, v.where("vec_id % 100 = 0"), "vec_id", "v", 5)
+    return retrieval.dense_top(v, v.where("vec_id % 100 = 0"), "vec_id", "vec_id", "v", 5)
 
 
 def _stats(v: DataFrame) -> DataFrame:
