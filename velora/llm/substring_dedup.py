@@ -3,19 +3,22 @@
 A window is WINDOW consecutive words. Of a window the PHRASE-word phrase with the smallest hash is its mark; equal windows have
 equal marks, and neighbouring windows mostly share one, so marks are few. The steps:
 
-1. Recurring phrases: marks are counted over documents; those in two or more, with the smallest document, are confirmed.
-2. Occurrences are located by hash in every document with recurring phrases. An Aho-Corasick automaton of each block of documents,
-   compiled from the places found, compares them as text; it can only drop a place on a hash collision.
-3. Occurrences are grouped into stretches: the windows that one mark stands for. Stretches are matched whole by hash
+1. Marks are counted over documents by hash; those of two or more may recur. A bit map of them, of bounded size, goes to a second pass over all
+   texts, which spells out the marks that it lets through. Those that two or more documents spell alike are the confirmed phrases.
+2. Every document that can hold a confirmed phrase is streamed through Aho-Corasick automata compiled from the table of confirmed phrases:
+   documents come with the phrases that they may hold, and an automaton is a shard of these of SHARD_BYTES at most. Occurrences are where the
+   automata find them; nothing else decides.
+3. Occurrences that are marks are grouped into stretches: the windows that one mark stands for. Stretches are matched whole
    first; where a stretch as a whole has no smaller document, its windows are matched one by one, but only against one copy of each
    different stretch. So long copies cost a row for each stretch, not for each word.
 4. Each document drops the words that its matched windows cover.
 
-Hashes are of 64 bits over whole words. Nothing is capped: a phrase that a third of all documents hold is pre-aggregated
+Phrases are compared as text. Stretches and windows are matched under one phrase by 64-bit hashes of their words, so that a clash would have to be one of
+the few texts around one phrase. Nothing is capped: a phrase that a third of all documents hold is pre-aggregated
 before each shuffle and its rows are split by Spark where they are joined.
 
 Cases: null text: no words. Fewer than WINDOW words: nothing goes. Repeated rows of one doc_id: a window needs a smaller doc_id, so
-they don't remove each other's words. Null ids neither lose words nor count. Extra columns don't matter.
+they don't remove each other's words. Null ids neither lose words nor count. Extra columns don't matter, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velora.llm.staging import staged
+from velora.llm.staging import drop, staged, tables
 from velora.llm.words import Block, blocks, gram_hashes, gram_starts, tidy
 
 WINDOW, PHRASE = 50, 8
-SHARD_DOCS = 256
+#: Bytes of phrases in one automaton, and of texts that come to it at a time.
+SHARD_BYTES, TEXT_BYTES = 1 << 18, 1 << 18
+#: Bits of the map for each mark that may recur, and its largest size: 16 MB.
+BITS_EACH, MOST_BITS = 16, 1 << 27
 
 
 def marks(hashes: np.ndarray, first: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,58 +87,96 @@ def _marks(window: int, phrase: int):
     return tidy(run)
 
 
-def _located(block: Block, hashes: np.ndarray, mark: np.ndarray, wanted: list[np.ndarray], owner: np.ndarray, phrase: int) -> np.ndarray:
-    """Of the marks, those that an automaton of the block's recurring phrases locates in their texts."""
-    names = gram_hashes(hashes, mark, phrase)
-    hit = np.zeros(len(mark), bool)
-    for i, w in enumerate(wanted):
-        if len(w):
-            lo, hi = np.searchsorted(owner, [i, i + 1])
-            hit[lo:hi] = np.isin(names[lo:hi], w)
-    if not hit.any():
-        return hit
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    spelled = lambda lo, hi: " " + " ".join(map(bytes.decode, (block.data[block.starts[lo] : block.ends[hi - 1]].tobytes().split()))) + " "
-    seen: set[int] = set()
-    for k in np.flatnonzero(hit):
-        if (name := int(names[k])) not in seen:
-            seen.add(name)
-            automaton.add_word(spelled(mark[k], mark[k] + phrase), phrase)
-    automaton.make_automaton()
-    found = np.zeros(len(hashes) + 1, bool)
-    for i in np.unique(owner[hit]):
-        lo, hi = block.first[i], block.first[i + 1]
-        text = spelled(lo, hi)
-        ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-        if len(ends):
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            gaps = np.flatnonzero(points == 32)  # gap k stands before word k
-            found[lo + np.searchsorted(gaps, ends) - phrase] = True
-    return hit & found[mark]
+def _spell(block: Block, lo: int, hi: int) -> str:
+    """Words lo to hi with one space before, between and after."""
+    return " " + b" ".join(block.data[block.starts[lo] : block.ends[hi - 1]].tobytes().split()).decode() + " "
+
+
+def _spelled(window: int, phrase: int, shared):
+    """(phrase hash, phrase, smallest and largest id) of the marks that the bit map lets through, once for each batch."""
 
+    def run(batches):
+        bits, size = shared.value
+        for b in batches:
+            ids, found = b.column(0).to_numpy(), {}
+            for block in blocks(b.column(1)):
+                hashes = block.word_hashes()
+                start, owner, mark = marks(hashes, block.first, window, phrase)
+                lo, _ = stretches(start, owner, mark)
+                at, names = mark[lo], gram_hashes(hashes, mark[lo], phrase)
+                place = (names & np.uint64(size - 1)).astype(np.int64)
+                maybe = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                for k, name, i in zip(at[maybe].tolist(), names[maybe].view(np.int64).tolist(), ids[block.at[owner[lo[maybe]]]].tolist()):
+                    key = name, _spell(block, k, k + phrase)
+                    had = found.get(key)
+                    found[key] = (min(had[0], i), max(had[1], i)) if had else (i, i)
+            h, text = zip(*found) if found else ((), ())
+            first, last = zip(*found.values()) if found else ((), ())
+            yield pa.record_batch([pa.array(h, pa.int64()), pa.array(text, pa.string()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["h", "spelled", "lo", "hi"])
 
-def _joined(b: pa.RecordBatch):
-    """Blocks of a batch (id, text, phrases), each with its documents' ids and phrases."""
-    ids, texts, phrases = b.column(0), b.column(1), b.column(2)
-    for lo in range(0, len(b), SHARD_DOCS):
-        part = b.slice(lo, SHARD_DOCS)
-        names = [np.array(x or [], np.int64).view(np.uint64) for x in part.column(2).to_pylist()]
-        for block in blocks(part.column(1)):
-            yield block, part.column(0), [names[i] for i in block.at]
+    return tidy(run)
+
+
+def _bit_map(often: DataFrame) -> tuple[np.ndarray, int]:
+    """A map of the hashes in often (p): at most MOST_BITS, whatever their number. A set bit of another hash costs a row more, never a result."""
+    n = often.count()
+    size = min(MOST_BITS, 1 << max(15, (BITS_EACH * n - 1).bit_length() if n else 15))
+    place = F.col("p").bitwiseAND(F.lit(size - 1)) + 1  # the built-in functions count from 1: buckets, and places over them
+    rows = often.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits, width = np.zeros(size // 8, np.uint8), 1 << 12  # a bucket is 2**15 bits
+    for r in rows:
+        bits[(r.bucket - 1) * width : r.bucket * width] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits, size
+
+
+class Shards:
+    """Automata of phrases, each of SHARD_BYTES at most."""
+
+    def __init__(self, phrases: list[str]):
+        self.automata, held = [], SHARD_BYTES
+        for p in phrases:
+            if held + len(p) > SHARD_BYTES:
+                self.automata.append(ahocorasick.Automaton(ahocorasick.STORE_INTS))
+                held = 0
+            self.automata[-1].add_word(p, len(p))
+            held += len(p)
+        for a in self.automata:
+            a.make_automaton()
+
+    def ends(self, text: str) -> np.ndarray:
+        """Places in text where an occurrence of a phrase ends."""
+        return np.fromiter((end for a in self.automata for end, _ in a.iter(text)), np.int64)
+
+
+def _located(block: Block, wanted: list[list[str]], phrase: int) -> np.ndarray:
+    """For each word of a block, whether an occurrence of a phrase begins there."""
+    shards = Shards(sorted(set().union(*wanted)))
+    found = np.zeros(len(block.starts) + 1, bool)
+    for i, own in enumerate(wanted):
+        lo, hi = block.first[i], block.first[i + 1]
+        if own and hi - lo >= phrase:
+            text = _spell(block, lo, hi)
+            ends = shards.ends(text)
+            if len(ends):
+                gaps = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)  # gap k stands before word k
+                found[lo + np.searchsorted(gaps, ends) - phrase] = True
+    return found
 
 
 def _stretch_rows(window: int, phrase: int):
-    """One row for each stretch with a recurring mark: (id, phrase, hash of all its words, first window, number of windows, hashes of its windows)."""
+    """One row for each stretch whose mark the automata locate: (id, phrase, hash of all its words, first window, number of windows, hashes of its windows)."""
 
     def run(batches):
         for b in batches:
-            for block, ids, wanted in _joined(b):
+            wanted = b.column(2).to_pylist()
+            for block in blocks(b.column(1), TEXT_BYTES):
+                found = _located(block, [wanted[i] or [] for i in block.at], phrase)
+                if not found.any():
+                    continue
                 hashes = block.word_hashes()
                 start, owner, mark = marks(hashes, block.first, window, phrase)
-                if not len(start):
-                    continue
                 lo, hi = stretches(start, owner, mark)
-                own = _located(block, hashes, mark[lo], wanted, owner[lo], phrase)
+                own = found[mark[lo]]
                 lo, hi = lo[own], hi[own]
                 if not len(lo):
                     continue
@@ -143,7 +187,7 @@ def _stretch_rows(window: int, phrase: int):
                 inner = gram_hashes(hashes, start[each], window).view(np.int64)
                 offset = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
                 yield pa.record_batch(
-                    [ids.take(pa.array(block.at[owner[lo]])), pa.array(gram_hashes(hashes, mark[lo], phrase).view(np.int64)), pa.array(whole.view(np.int64)), pa.array((first - block.first[owner[lo]]).astype(np.int32)), pa.ListArray.from_arrays(offset, pa.array(inner))],
+                    [b.column(0).take(pa.array(block.at[owner[lo]])), pa.array(gram_hashes(hashes, mark[lo], phrase).view(np.int64)), pa.array(whole.view(np.int64)), pa.array((first - block.first[owner[lo]]).astype(np.int32)), pa.ListArray.from_arrays(offset, pa.array(inner))],
                     names=["id", "phrase", "whole", "at", "inner"],
                 )
 
@@ -176,28 +220,37 @@ def _words(text: str) -> list[str]:
     return [w.decode() for w in text.encode().split()]  # bytes.split() parts at exactly the six ASCII spaces
 
 
+def confirmed_phrases(docs: DataFrame, held: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(c_h, spelled): the marks that two or more documents spell alike, with their hash."""
+    often = held.groupBy("phrase").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("phrase").alias("p"))
+    often = staged(often, "substring-often")
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(often))
+    rows = docs.mapInArrow(_spelled(window, phrase, shared), "h long, spelled string, lo long, hi long")
+    alike = rows.groupBy("h", "spelled").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    return staged(alike.select(F.col("h").alias("c_h"), "spelled"), "substring-confirmed")
+
+
 def matched_runs(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(r_id, runs): for documents (id, text) with windows that a smaller document has, where those windows start and how many follow on."""
     usable = docs.where("id is not null")
     held = staged(usable.mapInArrow(_marks(window, phrase), "id long, phrase long"), "substring-marks")
-    often = held.groupBy("phrase").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("phrase").alias("p"))
-    often = staged(often, "substring-recurring")
-    lists = held.join(often, F.col("phrase") == F.col("p")).groupBy("id").agg(F.collect_set("phrase").alias("phrases")).withColumnRenamed("id", "l_id")
+    confirmed = confirmed_phrases(usable, held, window, phrase)
+    lists = held.distinct().join(confirmed, F.col("phrase") == F.col("c_h")).groupBy("id").agg(F.collect_list("spelled").alias("phrases")).withColumnRenamed("id", "l_id")
     rows = usable.join(lists, F.col("id") == F.col("l_id")).select("id", "text", "phrases")
     rows = staged(rows.mapInArrow(_stretch_rows(window, phrase), "id long, phrase long, whole long, at int, inner array<long>"), "substring-stretches")
-    # whole stretches: the smallest document of each, with the number of windows to tell lengths apart
+    # whole stretches: the smallest document of each
     n = F.size("inner")
-    wholes = rows.groupBy("whole").agg(F.min("id").alias("first"), F.min("phrase").alias("w_phrase")).withColumnRenamed("whole", "w")
+    wholes = rows.groupBy("phrase", "whole").agg(F.min("id").alias("first")).toDF("w_phrase", "w", "first")
     wholes = staged(wholes, "substring-wholes")
-    judged = rows.join(wholes, F.col("whole") == F.col("w")).select("id", "phrase", "whole", "at", "inner", "first", (F.col("first") < F.col("id")).alias("whole_gone"))
+    judged = rows.join(wholes, (F.col("phrase") == F.col("w_phrase")) & (F.col("whole") == F.col("w"))).select("id", "phrase", "at", "inner", (F.col("first") < F.col("id")).alias("whole_gone"))
     judged = staged(judged, "substring-judged")
     done = judged.where("whole_gone").select("id", "at", n.alias("n"))
     # a phrase with one stretch only has nothing more to match; else one copy of each stretch offers its windows
     varied = staged(wholes.groupBy("w_phrase").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("w_phrase").alias("v")), "substring-varied")
-    open_ = judged.where(~F.col("whole_gone")).join(varied, F.col("phrase") == F.col("v")).select("id", "at", F.posexplode("inner").alias("k", "win"))
+    open_ = judged.where(~F.col("whole_gone")).join(varied, F.col("phrase") == F.col("v")).select("id", "phrase", "at", F.posexplode("inner").alias("k", "win"))
     open_ = staged(open_, "substring-windows")
-    earliest = open_.groupBy("win").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(F.col("win").alias("e_win"), "first")
-    single = open_.join(staged(earliest, "substring-earliest"), F.col("win") == F.col("e_win")).where("first < id").select("id", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
+    earliest = open_.groupBy("phrase", "win").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(F.col("phrase").alias("e_phrase"), F.col("win").alias("e_win"), "first")
+    single = open_.join(staged(earliest, "substring-earliest"), (F.col("phrase") == F.col("e_phrase")) & (F.col("win") == F.col("e_win"))).where("first < id").select("id", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
     # a stretch that isn't the first of its kind has been dealt with above, so `first < id` holds for its windows too
     return done.union(single).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("runs")).withColumnRenamed("id", "r_id")
 
@@ -205,7 +258,11 @@ def matched_runs(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
 def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(id_col, n_words, n_removed, kept_sha256, kept): kept holds the words that stay, one space between."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    runs = staged(matched_runs(docs, window, phrase), "substring-runs")
+    before = tables()
+    runs = matched_runs(docs, window, phrase)
+    used = tables() - before
+    runs = staged(runs, "substring-runs")
+    drop(used)
     rows = docs.join(runs, F.col("id") == F.col("r_id"), "left").select("id", "text", "runs")
     out = rows.mapInArrow(_kept(window), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumnRenamed("id", id_col)
