@@ -104,6 +104,25 @@ def pos_of(token: Column) -> Column:
     return F.coalesce(F.get(F.split(token, "/"), F.lit(1)), F.lit("OTHER"))
 
 
+def alphabetic(words: Column) -> Column:
+    """The words that are letters only."""
+    return F.filter(words, lambda w: w.rlike(r"^\p{L}+$"))
+
+
+def fixed_tokens(words: Column, size: int = 20) -> Column:
+    """struct(tokens, n): words of a caption between start and end marks, filled to size + 2; of longer captions the first size words."""
+    inner = F.slice(words, 1, size)
+    own = F.concat(F.array(F.lit("sos/OTHER")), inner, F.array(F.lit("eos/OTHER")))
+    fill = F.array_repeat(F.lit("unk/OTHER"), F.lit(size) - F.size(inner))
+    return F.struct(F.concat(own, fill).alias("tokens"), (F.size(inner) + 2).alias("n"))
+
+
+def natural_key(x: Column, width: int = 20) -> Column:
+    """A text to sort by, in which runs of digits compare as numbers."""
+    runs = F.regexp_extract_all(x, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, width, "0")).otherwise(r)), "")
+
+
 def motion_string(codes: Column, size: int = 512) -> Column:
     """Codes as marked text between the start and end marks."""
     return F.concat(F.lit(f"<motion_id_{size}>"), F.array_join(F.transform(codes, lambda c: F.concat(F.lit("<motion_id_"), c.cast("string"), F.lit(">"))), ""), F.lit(f"<motion_id_{size + 1}>"))

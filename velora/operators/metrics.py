@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,17 +12,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from velora.functions.arrow import matrix
+from velora.functions.sampling import below
 from velora.functions.text import tokens
+from velora.functions.vector import distance, let
+
+
+def _coded(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    codes: dict = {}
+    return tuple(np.array([codes.setdefault(x, len(codes)) for x in side], np.int64) for side in (a, b))
 
 
 def _edits(a: list, b: list) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+    """A row of the table at a time: what comes from the row above is taken at once, what comes from the left is a running minimum."""
+    x, y = _coded(a, b)
+    step = np.arange(len(y) + 1)
+    row = step.copy()
+    for c in x:
+        new = row + 1
+        np.minimum(new[1:], row[:-1] + (y != c), out=new[1:])
+        row = np.minimum.accumulate(new - step) + step
+    return int(row[-1])
 
 
 @F.pandas_udf(IntegerType())
@@ -30,12 +41,14 @@ def token_edits(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _common(a: list, b: list) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            row[j], diagonal = (diagonal + 1 if x == y else max(row[j], row[j - 1])), row[j]
-    return row[-1]
+    """A row of the table at a time; rows never fall, so what comes from the left is a running maximum."""
+    x, y = _coded(a, b)
+    row = np.zeros(len(y) + 1, np.int64)
+    for c in x:
+        new = row.copy()
+        np.maximum(new[1:], row[:-1] + (y == c), out=new[1:])
+        row = np.maximum.accumulate(new)
+    return int(row[-1])
 
 
 @F.pandas_udf(IntegerType())
@@ -45,9 +58,17 @@ def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the bag intersection of two token arrays."""
-    count = lambda t, x: F.size(F.filter(t, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    """Size of the bag intersection of two token arrays: both sorted together, each run of a token gives the lesser of its two counts."""
+    both = F.array_sort(F.concat(F.transform(a, lambda x: F.struct(x.alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(b, lambda x: F.struct(x.alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b")))))
+    begin = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("done"))
+
+    def step(run: Column, z: Column) -> Column:
+        same = run["t"].eqNullSafe(z["t"])
+        held = lambda side: F.when(same, run[side]).otherwise(0) + z[side]
+        done = run["done"] + F.when(same, 0).otherwise(F.least(run["a"], run["b"]))
+        return F.struct(z["t"].alias("t"), held("a").alias("a"), held("b").alias("b"), done.alias("done"))
+
+    return F.aggregate(both, begin, step, lambda run: run["done"] + F.least(run["a"], run["b"]))
 
 
 def token_f1(a: Column, b: Column) -> Column:
@@ -193,3 +214,66 @@ def procrustes(pred: np.ndarray, ref: np.ndarray) -> np.ndarray:
     turn = vt.T @ np.diag(z) @ u.T
     scale = (s * z).sum() / max((a * a).sum(), 1e-300)
     return scale * a @ turn.T + ref.mean(0)
+
+
+def bleu(pairs: DataFrame, id_col: str, pred: str, ref: str, orders: int = 4) -> DataFrame:
+    """One row with the corpus BLEU of white-space tokens, in percent: the geometric mean of the n-gram precisions times the brevity penalty. The k-th order
+    without a match counts as 100 / (2**k total); no match at all, or no n-gram of some order, makes 0."""
+    n = range(1, orders + 1)
+    counts = reduce(DataFrame.union, [clipped_ngrams(pairs, id_col, pred, ref, k) for k in n])
+    lengths = pairs.agg(F.sum(F.size(tokens(F.col(pred)))).alias("pred_len"), F.sum(F.size(tokens(F.col(ref)))).alias("ref_len"))
+    at = lambda name, k: F.coalesce(F.max(F.when(F.col("n") == k, F.col(name))), F.lit(0)).alias(f"{name}{k}")
+    row = counts.agg(*[at(name, k) for name in ("matched", "total") for k in n]).join(F.broadcast(lengths))  # one row each
+    logs, misses = F.lit(0.0), F.lit(0)
+    for k in n:
+        misses = misses + (F.col(f"matched{k}") == 0).cast("int")
+        hit = F.when(F.col(f"matched{k}") == 0, 1 / F.pow(F.lit(2.0), misses)).otherwise(F.col(f"matched{k}").cast("double"))
+        logs = logs + F.log(hit / F.col(f"total{k}"))
+    brief = F.when(F.col("pred_len") < F.col("ref_len"), F.exp(1 - F.col("ref_len") / F.col("pred_len"))).otherwise(1.0)
+    none = (F.greatest(*[F.col(f"matched{k}") for k in n]) == 0) | (F.least(*[F.col(f"total{k}") for k in n]) == 0)
+    return row.select("pred_len", "ref_len", F.when(none, 0.0).otherwise(100 * brief * F.exp(logs / orders)).alias("bleu"))
+
+
+def chrf(pairs: DataFrame, id_col: str, pred: str, ref: str, orders: int = 6, beta: float = 2.0) -> DataFrame:
+    """One row with the corpus chrF in percent: the F score of the mean precision and the mean recall of character n-grams without white space. Orders that one side lacks don't count."""
+    letters = lambda c: F.split(F.array_join(tokens(F.col(c)), ""), "")
+    sides = pairs.select(F.col(id_col).alias("id"), letters(pred).alias("p"), letters(ref).alias("r"))
+    count = lambda side, k, name: sides.select("id", F.explode(_runs(F.filter(side, lambda x: x != ""), k, "")).alias("g")).groupBy("id", "g").agg(F.count("*").alias(name))
+    parts = []
+    for k in range(1, orders + 1):
+        both = count("p", k, "a").join(count("r", k, "b").withColumnsRenamed({"id": "id2", "g": "g2"}), (F.col("id") == F.col("id2")) & (F.col("g") == F.col("g2")), "full")
+        parts.append(both.agg(F.sum(F.least("a", "b")).alias("m"), F.sum("a").alias("a"), F.sum("b").alias("b")))
+    both = reduce(DataFrame.union, parts).where("a > 0 AND b > 0")
+    means = both.agg(F.coalesce(F.avg(F.coalesce("m", F.lit(0)) / F.col("a")), F.lit(0.0)).alias("precision"), F.coalesce(F.avg(F.coalesce("m", F.lit(0)) / F.col("b")), F.lit(0.0)).alias("recall"))
+    p, r, w = F.col("precision"), F.col("recall"), beta * beta
+    return means.select("precision", "recall", F.when(p + r > 0, 100 * (1 + w) * p * r / (w * p + r)).otherwise(0.0).alias("chrf"))
+
+
+def _runs(items: Column | str, n: int, glue: str) -> Column:
+    """All runs of n neighbouring items, joined."""
+    items = F.col(items) if isinstance(items, str) else items
+    make = lambda own: F.transform(F.sequence(F.lit(1), F.size(own) - n + 1), lambda i: F.array_join(F.slice(own, i, F.lit(n)), glue))
+    return let(items, lambda own: F.when(F.size(own) >= n, make(own)).otherwise(F.array().cast("array<string>")))
+
+
+def variance(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Squared deviations from the mean over one less than their number."""
+    return df.groupBy(*by).agg(F.var_samp(value).alias("variance"))
+
+
+def valid_mean(error: Column, x: Column, missing: float = -2.0) -> Column:
+    """Mean over the joints whose first coordinate isn't the mark of a missing one."""
+    return F.avg(F.when(x != missing, error))
+
+
+def conditional_spread(rows: DataFrame, label: str, vector: str, order: str, labels: int, times: int) -> DataFrame:
+    """One row: multimodality, the mean distance of `times` seeded pairs with replacement within each label that occurs, over times * labels, whether they occur or not."""
+    own = Window.partitionBy("label")
+    ranked = rows.select(F.col(label).alias("label"), F.col(order).alias("o"), F.col(vector).alias("v")).withColumn("place", F.row_number().over(own.orderBy("o")) - 1)
+    n = ranked.groupBy("label").agg(F.count("*").alias("n"))
+    draws = n.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    for side in ("first", "second"):
+        draws = draws.withColumn(side, below(F.col("n"), side, F.col("label"), F.col("t")))
+        at = ranked.select(F.col("label").alias(f"{side}_label"), F.col("place").alias(f"{side}_place"), F.col("v").alias(f"{side}_v"))
+        draws = draws.join(at, (F.col("label") == F.col(f"{side}_label")) & (F.col(side) == F.col(f"{side}_place")))
+    return draws.agg((F.sum(distance(F.col("first_v"), F.col("second_v"))) / (times * labels)).alias("multimodality"))

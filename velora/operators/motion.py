@@ -121,3 +121,82 @@ def batches(df: DataFrame, size: int, order: str, values: str, zero: float = 0.0
     z = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("_place", F.col(order).alias("id"), F.col(values).alias("x")))).alias("z"), F.max(F.size(values)).alias("longest"))
     fill = lambda r: F.concat(r["x"], F.array_repeat(F.lit(zero).cast("double"), F.col("longest") - F.size(r["x"])))
     return z.select("batch", F.transform("z", lambda r: r["id"]).alias("ids"), F.transform("z", lambda r: F.size(r["x"])).alias("lengths"), F.transform("z", fill).alias("padded"))
+
+
+def mapped(pose: Column, places: list[int]) -> Column:
+    """A pose in another skeleton's joints: for each of those the place of the joint that stands for it."""
+    return F.flatten(F.array(*[joint(pose, k) for k in places]))
+
+
+def matching(names: list[str], wanted: list[str], other: dict[str, str] | None = None) -> list[int]:
+    """Places in names of the wanted joints, under other names where `other` has them; a ValueError names those that are missing."""
+    called = [(other or {}).get(w, w) for w in wanted]
+    missing = [c for c in called if c not in names]
+    if missing:
+        raise ValueError(f"no joints {missing}; there are {names}")
+    return [names.index(c) for c in called]
+
+
+def inverse_kinematics(poses: DataFrame, offsets: list[list[float]], chains: list[list[int]], clip: str = "clip", frame: str = "frame", pose: str = "pose", body: Body = Body()) -> DataFrame:
+    """(clip, frame, rotations): each joint's quaternion relative to its parent's on the chain, the root's first.
+
+    A joint's own rotation takes its offset's direction to where its bone points; relative to the joint before it on the chain, or to the root, that is the
+    product with the other's inverse. The root's turns the facing to z; a clip's first frame faces z already.
+    """
+    p = poses.select(clip, frame, doubles(F.col(pose)).alias("p"))
+    at = lambda k: joint(F.col("p"), k)
+    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    number = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    ahead = G.forward_direction(*[at(k) for k in (body.right_hip, body.left_hip, body.right_shoulder, body.left_shoulder)])
+    p = p.withColumn("ahead", ahead)
+    facing = F.array(-F.get("ahead", F.lit(0)), F.lit(0.0), -F.get("ahead", F.lit(1)))
+    first = F.col(frame) == F.min(frame).over(Window.partitionBy(clip))
+    own = {0: F.col("q0")}
+    p = p.withColumn("q0", F.when(first, number(1, 0, 0, 0)).otherwise(G.q_between(facing, number(0, 0, 1))))
+    local = {0: F.col("q0")}
+    for chain in chains:
+        before = own[0]
+        for parent, child in zip(chain, chain[1:]):
+            p = p.withColumn(f"q{child}", G.q_between(number(*offsets[child]), minus(at(child), at(parent))))
+            local[child] = G.q_mul(G.q_inverse(before), F.col(f"q{child}"))
+            before = F.col(f"q{child}")
+    none = number(0, 0, 0, 0)
+    return p.select(clip, frame, F.flatten(F.array(*[local.get(k, none) for k in range(len(offsets))])).alias("rotations"))
+
+
+def recovered(rows: DataFrame, joints: int, clip: str = "clip", frame: str = "frame", features: str = "features") -> DataFrame:
+    """(clip, frame, pose) from features: half the root's turn to the next frame, its step there (x, z) as the next frame sees it, its height, and the other joints as the root sees them."""
+    w, sums = over(clip, frame), so_far(clip, frame)
+    f = F.col("f")
+    value = lambda k: F.element_at(f, k + 1)
+    r = rows.select(clip, frame, doubles(F.col(features)).alias("f"))
+    before = lambda k: F.coalesce(F.lag(value(k)).over(w), F.lit(0.0))
+    r = r.withColumn("half", F.sum(value(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    r = r.withColumns({"sin": F.sin(2 * F.coalesce("half", F.lit(0.0))), "cos": F.cos(2 * F.coalesce("half", F.lit(0.0))), "vx": before(1), "vz": before(2)})
+    dx, dz = _turned(F.col("vx"), F.col("vz"), F.col("sin"), F.col("cos"))
+    r = r.withColumns({"dx": dx, "dz": dz}).withColumns({"x": F.sum("dx").over(sums), "z": F.sum("dz").over(sums)})
+
+    def seen(k: Column) -> Column:
+        at = lambda axis: F.element_at(f, AXES * k + axis + 5)
+        side, front = _turned(at(0), at(2), F.col("sin"), F.col("cos"))
+        return F.array(side + F.col("x"), at(1), front + F.col("z"))
+
+    others = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(joints - 2)), seen))
+    return r.select(clip, frame, F.concat(F.array(F.col("x"), value(3), F.col("z")), others).alias("pose"))
+
+
+def velocity_features(rows: DataFrame, clip: str = "clip", frame: str = "frame", place: str = "place", rotations: str = "rotations") -> DataFrame:
+    """(clip, frame, features): height (the third coordinate of the root's place), the root's step in the plane (0 in the first frame), all rotations as they are."""
+    w = over(clip, frame)
+    at = lambda k: F.element_at(F.col("p"), k)
+    r = rows.select(clip, frame, doubles(F.col(place)).alias("p"), doubles(F.col(rotations)).alias("r"))
+    step = lambda k: F.coalesce(at(k) - F.lag(at(k)).over(w), F.lit(0.0))
+    return r.select(clip, frame, F.concat(F.array(at(3), step(1), step(2)), F.col("r")).alias("features"))
+
+
+def from_velocity(rows: DataFrame, clip: str = "clip", frame: str = "frame", features: str = "features") -> DataFrame:
+    """(clip, frame, place, rotations): the inverse, from a first place of 0 in the plane."""
+    sums = so_far(clip, frame)
+    f = doubles(F.col(features))
+    gone = lambda k: F.sum(F.element_at(f, k)).over(sums) - F.first(F.element_at(f, k)).over(sums)
+    return rows.select(clip, frame, F.array(gone(2), gone(3), F.element_at(f, 1)).alias("place"), F.slice(f, F.lit(4), F.size(f)).alias("rotations"))

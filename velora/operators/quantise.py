@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velora.functions.arrow import matrix
+from velora.functions.sampling import sampled
 
 #: Codes of a codebook at most: it is broadcast, so its size is checked.
 MOST_CODES = 65_536
@@ -54,16 +55,27 @@ def perplexity(counts: DataFrame) -> DataFrame:
 
 
 def code_sums(rows: DataFrame, assigned: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(code, dim, total, n) of the vectors of each code."""
-    own = rows.select(F.col(id_col).alias("i"), F.posexplode(F.col(vector)).alias("dim", "x"))
-    return own.join(assigned.select(F.col(id_col).alias("a"), "code"), F.col("i") == F.col("a")).groupBy("code", "dim").agg(F.sum(F.col("x").cast("double")).alias("total"), F.count("*").alias("n"))
+    """(code, dim, total, n) of the vectors of each code: vectors meet their code whole, and are taken apart after."""
+    own = rows.select(F.col(id_col).alias("i"), F.col(vector).alias("v")).join(assigned.select(F.col(id_col).alias("a"), "code"), F.col("i") == F.col("a"))
+    return own.select("code", F.posexplode("v").alias("dim", "x")).groupBy("code", "dim").agg(F.sum(F.col("x").cast("double")).alias("total"), F.count("*").alias("n"))
 
 
-def moving_average(codebook: DataFrame, sums: DataFrame, mu: float = 0.99) -> DataFrame:
-    """(code, dim, value, count) after one step from counts of 1: codes whose moving count is below 1 keep their old vector, for want of a random one that reruns agree on."""
+def reset(codebook: DataFrame, counts: DataFrame, rows: DataFrame, id_col: str, vector: str, salt: str = "reset") -> DataFrame:
+    """(code, vector): codes without a row get the vectors of rows sampled by a seeded digest, in the order of codes; the others stay. counts: (code, n).
+    A codebook is small (MOST_CODES at most), and so is what takes the places of its codes."""
+    unused = codebook.join(counts.select(F.col("code").alias("u")), F.col("code") == F.col("u"), "left_anti").select(F.col("code").alias("e_code"), (F.row_number().over(Window.orderBy("code")) - 1).alias("nth"))
+    drawn = sampled(rows.select(id_col, F.col(vector).alias("new")), id_col, MOST_CODES, salt)
+    drawn = drawn.select("new", (F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(salt), F.col(id_col).cast("string"))), id_col)) - 1).alias("k"))
+    fresh = unused.join(drawn, F.col("nth") == F.col("k")).select("e_code", "new")
+    return codebook.join(fresh, F.col("code") == F.col("e_code"), "left").select("code", F.coalesce("new", "vector").alias("vector"))
+
+
+def moving_average(codebook: DataFrame, sums: DataFrame, mu: float = 0.99, keep: bool = True) -> DataFrame:
+    """(code, dim, value, count) after one step from counts of 1: codes whose moving count is below 1 keep their old vector, for want of a random one that reruns agree on;
+    without keep all take the average."""
     old = codebook.select(F.col("code").alias("o_code"), F.posexplode(F.col("vector")).alias("o_dim", "old"))
     both = old.join(sums, (F.col("o_code") == F.col("code")) & (F.col("o_dim") == F.col("dim")), "left")
     old_d = F.col("old").cast("double")
     total = mu * old_d + (1 - mu) * F.coalesce("total", F.lit(0.0))
     count = mu * F.lit(1.0) + (1 - mu) * F.coalesce("n", F.lit(0))
-    return both.select(F.col("o_code").alias("code"), F.col("o_dim").alias("dim"), F.when(count >= 1.0, total / count).otherwise(old_d).alias("value"), count.alias("count"))
+    return both.select(F.col("o_code").alias("code"), F.col("o_dim").alias("dim"), (F.when(count >= 1.0, total / count).otherwise(old_d) if keep else total / count).alias("value"), count.alias("count"))

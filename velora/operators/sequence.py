@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velora.functions.vector import dot
+
 
 def framed(df: DataFrame, clip: str, order: list[str], name: str = "frame") -> DataFrame:
     """Number each clip's rows from 0."""
@@ -54,15 +56,37 @@ def sentinels(df: DataFrame, mask: str, clip: str = "clip", frame: str = "frame"
     return rows.withColumn("span", F.when(F.col("_begins") == 1, number).when(F.col(mask) == 1, -1).otherwise(0)).drop("_begins")
 
 
-def smoothed(df: DataFrame, value: str, sigma: float, truncate: float = 4.0, clip: str = "clip", frame: str = "frame") -> DataFrame:
-    """Gaussian weights over neighbouring frames, zero beyond the ends."""
+def continuous(df: DataFrame, q: str, clip: str = "clip", frame: str = "frame") -> DataFrame:
+    """Quaternions (an array column) with the sign that keeps each near the one before: flipped after an odd number of negative products so far."""
+    rows = df.withColumn("_flips", (dot(F.col(q), F.lag(q).over(over(clip, frame))) < 0).cast("int"))
+    odd = F.coalesce(F.sum("_flips").over(so_far(clip, frame)), F.lit(0)) % 2 == 1
+    return rows.withColumn(q, F.when(odd, F.transform(q, lambda x: -x)).otherwise(F.col(q))).drop("_flips")
+
+
+def smoothed(df: DataFrame, value: str, sigma: float, truncate: float = 4.0, clip: str = "clip", frame: str = "frame", nearest: bool = False) -> DataFrame:
+    """Gaussian weights over neighbouring frames (numbered from 0); beyond the ends zero, or with nearest the values there."""
     radius = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
     weights = F.array(*[F.lit(r / sum(raw)) for r in raw])
     near = F.collect_list(F.struct(frame, value)).over(over(clip, frame).rowsBetween(-radius, radius))
     rows = df.withColumn("_near", near)
     part = F.aggregate("_near", F.lit(0.0), lambda a, z: a + z[value] * F.element_at(weights, (z[frame] - F.col(frame) + radius + 1).cast("int")))
-    return rows.withColumn("smooth", part).drop("_near")
+    if not nearest:
+        return rows.withColumn("smooth", part).drop("_near")
+    share = [sum(raw[:k]) / sum(raw) for k in range(radius + 1)]  # of the k outermost weights
+    whole = over(clip, frame).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lost = lambda inside: F.element_at(F.array(*map(F.lit, share)), F.greatest(radius - inside, F.lit(0)).cast("int") + 1)
+    rows = rows.withColumn("smooth", part).withColumns({"_first": F.first(value).over(whole), "_last": F.last(value).over(whole), "_end": F.max(frame).over(whole)})
+    ends = lost(F.col(frame)) * F.col("_first") + lost(F.col("_end") - F.col(frame)) * F.col("_last")
+    return rows.withColumn("smooth", F.col("smooth") + ends).drop("_near", "_first", "_last", "_end")
+
+
+def acceleration_error(df: DataFrame, pred: str, ref: str, clip: str = "clip", frame: str = "frame") -> DataFrame:
+    """One row: the sum of the differences of acceleration over all frames but two a clip, as one ratio over all clips."""
+    w = over(clip, frame)
+    rows = df.withColumn("_a", F.abs(acceleration(F.col(pred), w) - acceleration(F.col(ref), w)))
+    by = rows.groupBy(clip).agg(F.sum("_a").alias("a"), F.count("*").alias("n"))
+    return by.agg((F.sum("a") / (F.sum("n") - 2 * F.count("*"))).alias("error"))
 
 
 def every(df: DataFrame, last_rate: float, new_rate: float, frame: str = "frame") -> DataFrame:
