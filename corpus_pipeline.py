@@ -64,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, copies included; a null text is an empty one."""
-    return bpe.round_trip(docs, public_tokenizers.path(TOKENIZER))
+    return bpe.round_trip(docs, public_tokenizers.path(TOKENIZER), bpe.FEW_KEPT)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
