@@ -373,10 +373,12 @@ def groups_by_force(rows, n, percent):
     return sorted((i, len(a), find(i)) for i, a in sets.items())
 
 
-@pytest.mark.parametrize("n, percent, short", [(4, 85, 8), (5, 80, 64)])
-def test_jaccard_join_by_force(spark, monkeypatch, n, percent, short):
+@pytest.mark.parametrize("n, percent, short, pivots", [(4, 85, 8, 0), (4, 85, 1, 2), (5, 80, 64, 2)])
+def test_jaccard_join_by_force(spark, monkeypatch, n, percent, short, pivots):
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "BUCKET", 64)
     rows = near_rows()
     got = jaccard_join.similar(docs(spark, rows), words=n, percent=percent).collect()
     assert sorted(tuple(r) for r in got) == groups_by_force(rows, n, percent)
