@@ -32,8 +32,13 @@ SPACE = "\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Runs whose pieces don't depend on their neighbours: what lies between white space, with one space before it, or white space.
 RUNS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Entries of each of two generations, and the longest run or piece that is kept.
-KEPT_RUNS, KEPT_PIECES, LONGEST = 400_000, 200_000, 64
+#: Of runs and of pieces: how many that came once, and that came again (in each of two generations), are kept; about 150 MB in a worker.
+KEPT = (300_000, 200_000), (150_000, 100_000)
+#: The same for a worker that has to share its memory with other stages: a third of that, and a fifth more time.
+FEW_KEPT = (80_000, 80_000), (50_000, 50_000)
+Kept = tuple[tuple[int, int], tuple[int, int]] | None
+#: The longest run or piece that is kept.
+LONGEST = 64
 #: Characters after which a section of a text ends at the next end of a run.
 SECTION = 1 << 18
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -47,21 +52,27 @@ def printable_bytes() -> dict[int, str]:
 
 
 class Recent:
-    """A bounded dictionary in two generations: what is used stays, what isn't goes when the younger generation is full."""
+    """A bounded dictionary. What comes once goes when the young part is full; what comes again moves to a part kept in two generations, of which the
+    older goes, but for what was used meanwhile, when the newer is full."""
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self, young: int, kept: int):
+        self.most_young, self.most_kept = young, kept
+        self.young, self.new, self.old = {}, {}, {}
 
     def get(self, key: str):
         got = self.new.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
+        if got is None:
+            if (got := self.old.get(key)) is None and (got := self.young.pop(key, None)) is None:
+                return None
+            if len(self.new) >= self.most_kept:
+                self.old, self.new = self.new, {}
+            self.new[key] = got
         return got
 
     def put(self, key: str, value) -> None:
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+        if len(self.young) >= self.most_young:
+            self.young = {}
+        self.young[key] = value
 
 
 class Codec:
@@ -86,18 +97,25 @@ class Codec:
             self.ranks.setdefault(self.vocab[a] * self.width + self.vocab[b], len(self.merges))
             self.merges.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
         self.single = [self.vocab[bytes([b])] for b in range(256)]
+        pairs = ((a, b) for a in self.single for b in self.single)
+        self.byte_ranks = [self.ranks.get(a * self.width + b) for a, b in pairs]  # by first byte * 256 + second
         self.runs, self.pieces = re.compile(RUNS), regex.compile(PIECES)
         self.edge = re.compile(f"[^{SPACE}](?=[{SPACE}])")
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._runs, self._pieces = Recent(KEPT_RUNS), Recent(KEPT_PIECES)
+        self.forget()
+
+    def forget(self, kept: Kept = None) -> None:
+        """Give back what the dictionaries hold: a worker lives on after its task, for tasks that need the memory. kept: how much they may hold from now on."""
+        runs, pieces = kept or KEPT
+        self._runs, self._pieces = Recent(*runs), Recent(*pieces)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece. The queue holds rank and place in one integer, rank first; equal ranks come by place."""
-        ids = [self.single[b] for b in piece]
-        n, rank, merges, width = len(ids), self.ranks.get, self.merges, self.width
+        n, first, rank, merges, width = len(piece), self.byte_ranks, self.ranks.get, self.merges, self.width
         shift = n.bit_length()
         mask = (1 << shift) - 1
-        queue = [r << shift | i for i in range(n - 1) if (r := rank(ids[i] * width + ids[i + 1])) is not None]
+        queue = [r << shift | i for i, (a, b) in enumerate(zip(piece, piece[1:])) if (r := first[a << 8 | b]) is not None]
+        ids = [self.single[b] for b in piece]
         if not queue:
             return ids
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -206,15 +224,17 @@ def decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str =
     return df.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def round_trip(df: DataFrame, tokenizer: str) -> DataFrame:
-    """Encode every text, decode it again, and return the count and digests of both, in one pass without a shuffle."""
+def round_trip(df: DataFrame, tokenizer: str, kept: Kept = None) -> DataFrame:
+    """Encode every text, decode it again, and return the count and digests of both, in one pass without a shuffle. kept: sizes of the dictionaries."""
 
     def run(batches):
         c = codec(tokenizer)
+        c.forget(kept)
         for b in batches:
             made = [c.round_trip(text.as_py() or "") for text in b.column(1)]
             counts, ids, texts = zip(*made) if made else ((), (), ())
             yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)
