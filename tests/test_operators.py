@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from velora.functions import geometry as G
 from velora.functions import text as T
+from velora.functions import vector as V
 from velora.operators import chunking, corpus, lexicon, metrics
 
 
@@ -33,6 +34,20 @@ def test_nfkc(spark):
     assert spark.createDataFrame([("ﬁ①",), (None,)], "s string").select(T.nfkc("s").alias("x")).collect()[0].x == "fi1"
 
 
+def test_small_functions(spark):
+    assert one(spark, T.hangul_runs(F.lit("가나 x 다가나, 가나"))) == ["가나", "다가나"]
+    assert one(spark, T.collapse(F.lit(" a \t\n b　c "))) == "a b c"
+    assert [one(spark, V.clamp(F.lit(x), 2, 5)) for x in (1, 3, 9)] == [2, 3, 5]
+    assert abs(one(spark, V.soft_min(F.array(F.lit(1.0), F.lit(4.0), F.lit(2.0)))) - (1 - np.log(0.5 + np.exp(1 - 4)))) < 1e-12
+    assert [T_natural for T_natural in sorted(["f10", "f9", "g1", "f9b"], key=lambda x: one(spark, T.natural_key(F.lit(x))))] == ["f9", "f9b", "f10", "g1"]
+    loss = lambda a, b, n: one(spark, V.sequence_loss(F.array(*map(F.lit, a)), F.array(*map(F.lit, b)), F.lit(n)))
+    assert loss([1.0, 2.0, 9.0], [1.5, 4.0, 0.0], 2) == (0.125 + 1.5) / 2 + 0.5 * (1.5 - 0.5) and loss([1.0], [1.0], 0) == 0 and loss([3.0], [1.0], 1) == 1.5
+    pages = spark.createDataFrame([(1, "a\fb")], "k int, value string")
+    assert [tuple(r) for r in chunking.pages_of(pages).collect()] == [(1, 0, "a"), (1, 1, "b")]
+    places = sorted(r.place for r in corpus.rotated(spark.range(7).withColumnRenamed("id", "place"), "place", "turn").collect())
+    assert places == list(range(7)) and corpus.rotated(spark.range(0).withColumnRenamed("id", "place"), "place", "turn").count() == 0
+
+
 def test_cleaning_brings_to_one_form(spark):
     df = spark.createDataFrame([(1, "ﬁ x"), (2, "fi x"), (3, "\u00a0"), (4, "ａ①"), (5, None)], "id int, t string")
     got = corpus.keep_first(corpus.cleaned(df, ["t"]), ["t"], "id").collect()

@@ -51,6 +51,25 @@ def test_round_trips(spark, tmp_path):
     assert sorted(r.id for r in left.collect()) == [1, 2]
 
 
+def test_sinks_and_bad_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\nb"), (2, None)], "k int, t string")
+    tables.write_jsonl(rows, str(tmp_path / "j"))
+    assert sorted(tuple(r) for r in tables.read_jsonl(spark, str(tmp_path / "j"), "k int, t string").collect()) == [(1, "a\nb"), (2, "")]
+    tables.write_metrics(rows, str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).count() == 2 and len(list((tmp_path / "m").glob("part-*"))) == 1
+    tables.write_stats(spark.createDataFrame([([1.0], [2.0])], "mean array<double>, std array<double>"), str(tmp_path / "s"))
+    assert tuple(spark.read.parquet(str(tmp_path / "s")).first()) == ([1.0], [2.0])
+    with pytest.raises(ValueError, match="one row"):
+        tables.write_stats(rows, str(tmp_path / "s"))
+    (tmp_path / "c.txt").write_text("x#y#0#nan\nx#y#bad#1\n")
+    bad = tables.read_captions(spark, str(tmp_path / "c.txt"), keep_bad=True)
+    assert sorted((r["from"] is None, r["to"]) for r in bad.collect()) == [(False, 0.0), (True, 1.0)]
+    np.save(tmp_path / "m.npy", np.arange(2.0))
+    prompts = spark.createDataFrame([("a", "x/m.npy"), ("b", None), ("c", "n.npy")], "text string, features string")
+    got = tables.with_features(prompts, tables.read_arrays(spark, str(tmp_path))).collect()
+    assert sorted((r.text, r["values"]) for r in got if r["values"]) == [("a", [0.0, 1.0])] and len(got) == 3
+
+
 def test_sign_segments(spark, tmp_path):
     (tmp_path / "d").mkdir()
     points = [[float(i), 0.0, 0.0] for i in range(10)]
@@ -61,6 +80,8 @@ def test_sign_segments(spark, tmp_path):
     got = tables.read_signs(spark, str(tmp_path)).orderBy("segment").collect()
     assert [(r.gloss, r.lo, r.hi, len(r.motion), len(r.motion[0])) for r in got] == [("G", 2, 3, 1, 9), ("H", 6, 10, 4, 9)]
     assert tables.fullest_folder(spark, str(tmp_path)).first().folder.endswith("/d")
+    (tmp_path / "d" / "c.json").write_text(json.dumps({**good, "landmarks": {**good["landmarks"], tables.TIERS[1]: []}}))
+    assert tuple(tables.sign_audit(spark, str(tmp_path)).first()) == (4, 1, 2)
 
 
 def test_local_features(spark):

@@ -83,6 +83,16 @@ def smooth_l1(a: Column, b: Column) -> Column:
     return F.when(d < 1, d * d / 2).otherwise(d - 0.5)
 
 
+def sequence_loss(pred: Column, ref: Column, n: Column, velocity: float = 0.5) -> Column:
+    """Mean smooth L1 over the first n values of two sequences, and with a weight that of their steps; 0 for an empty sequence."""
+    steps = lambda x: F.zip_with(F.slice(x, F.lit(2), n - 1), F.slice(x, F.lit(1), n - 1), lambda a, b: a - b)
+    first = lambda x: F.slice(x, F.lit(1), n)
+    mean = lambda a, b, k: total(F.zip_with(a, b, smooth_l1)) / F.greatest(k, F.lit(1))
+    pred, ref = doubles(pred), doubles(ref)
+    moved = F.when(n > 1, mean(steps(pred), steps(ref), n - 1)).otherwise(F.lit(0.0))
+    return F.when(n > 0, mean(first(pred), first(ref), n) + F.lit(velocity) * moved).otherwise(F.lit(0.0))
+
+
 def soft_min(x: Column, softness: float = 0.5) -> Column:
     """A smooth minimum of an array: -(M + s ln(sum exp((v - M) / s))) of the negated values, with M their maximum."""
     neg = F.transform(doubles(x), lambda v: -v)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from velora.functions.sampling import below
 from velora.functions.text import bucket, comparison_key, nfkc, strip
 from velora.sources.staging import staged
 
@@ -40,6 +41,13 @@ def placed(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(start) + low).alias(name))
 
 
+def rotated(df: DataFrame, place: str, salt: str) -> DataFrame:
+    """Places counted from a seeded start instead of the first row's, around the end."""
+    n = df.agg(F.count("*").alias("_n"))
+    start = F.when(F.col("_n") > 0, below(F.greatest(F.col("_n"), F.lit(1)), salt))
+    return df.join(F.broadcast(n)).withColumn(place, F.pmod(F.col(place) - start, F.col("_n"))).drop("_n")  # one row
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "file_id", form: str = "auto%07d") -> DataFrame:
     """A synthetic id from the row's place, counted from 0."""
     return placed(df, order, "_place").withColumn(name, F.format_string(form, F.col("_place"))).drop("_place")

@@ -130,12 +130,13 @@ def _spoken(spark, sf):
 
 
 def _asked(spark, sf):
-    """Every conversation turn whose id is divisible by 100, and the benchmark's passages."""
-    own = _spoken(spark, sf).where(F.col("id") % 100 == 0).select("id", "text")
+    """Every conversation turn whose id is divisible by 100, whatever other turns say the same, and the benchmark's passages."""
+    c = table(spark, sf, "conversations").where("text is not null")
+    own = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").where(F.col("id") % 100 == 0)
     return own.union(table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("id"), "text"))
 
 
-_SPOKEN = "spoken AS (SELECT min(conv_id * 1000 + turn) AS id, text FROM conversations WHERE text IS NOT NULL GROUP BY text), asked AS (SELECT id, text FROM spoken WHERE id % 100 = 0 UNION ALL SELECT -1 - item_id, text FROM benchmark)"
+_SPOKEN = "spoken AS (SELECT min(conv_id * 1000 + turn) AS id, text FROM conversations WHERE text IS NOT NULL GROUP BY text), asked AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE text IS NOT NULL AND (conv_id * 1000 + turn) % 100 = 0 UNION ALL SELECT -1 - item_id, text FROM benchmark)"
 
 
 def _grams_sql(name: str, src: str) -> str:

@@ -85,10 +85,10 @@ def even_sampling(spark, sf):
 
 
 def interval_slice(spark, sf):
-    """Frames inside the annotated ranges: one range for each tenth event of a user, its value the start in seconds at 2 frames a second."""
+    """Frames inside the annotated ranges: one range for each event of a user, its value the start in seconds at 2 frames a second."""
     f = _frames(spark, sf)
     n = f.groupBy("clip").agg(F.count("*").cast("int").alias("n")).withColumnRenamed("clip", "n_clip")
-    tags = f.where("frame % 10 = 0").join(n, F.col("clip") == F.col("n_clip"))
+    tags = f.join(n, F.col("clip") == F.col("n_clip"))
     lo, hi = S.bounds(F.col("x"), F.col("x") + 2.25, F.lit(2.0), F.col("n"))
     tags = tags.select(F.col("clip").alias("r_clip"), F.col("frame").alias("segment"), lo.alias("lo"), hi.alias("hi"))
     out = S.sliced(f, tags)
@@ -231,7 +231,7 @@ ORACLES = {
     "subsample": f"WITH {_F} SELECT clip, count(*) AS n, round(sum(x), 4) AS total FROM f WHERE frame % 4 = 0 GROUP BY clip",
     "upsample_lerp": f"WITH {_F}, n AS (SELECT *, lead(x) OVER {_W} AS nx FROM f), k AS (SELECT *, unnest(CASE WHEN nx IS NULL THEN [0] ELSE [0, 1, 2, 3] END) AS k FROM n) SELECT clip, frame * 4 + k AS frame, round(coalesce((1 - k / 4.0::DOUBLE) * x + k / 4.0::DOUBLE * nx, x), 6) AS x FROM k",
     "even_sampling": f"WITH {_F}, n AS (SELECT clip, count(*) AS n FROM f GROUP BY clip), k AS (SELECT clip, n, unnest(range(0, 8)) AS k FROM n) SELECT clip, CAST(k AS INTEGER) AS k, CAST(round_even(k * (n - 1) / 7.0::DOUBLE, 0) AS INTEGER) AS at FROM k",
-    "interval_slice": f"""WITH {_F}, n AS (SELECT clip, count(*) AS n FROM f GROUP BY clip), t AS (SELECT clip, frame AS segment, CAST(greatest(0, least(n, round_even(x * 2, 0))) AS INTEGER) AS lo, CAST(greatest(0, least(n, round_even((x + 2.25) * 2, 0))) AS INTEGER) AS h FROM f JOIN n USING (clip) WHERE frame % 10 = 0)
+    "interval_slice": f"""WITH {_F}, n AS (SELECT clip, count(*) AS n FROM f GROUP BY clip), t AS (SELECT clip, frame AS segment, CAST(greatest(0, least(n, round_even(x * 2, 0))) AS INTEGER) AS lo, CAST(greatest(0, least(n, round_even((x + 2.25) * 2, 0))) AS INTEGER) AS h FROM f JOIN n USING (clip))
 SELECT f.clip, segment, min(lo) AS lo, count(*) AS n, round(sum(x), 4) AS total FROM f JOIN t ON f.clip = t.clip AND frame >= lo AND frame < greatest(h, lo + 1) GROUP BY 1, 2""",
     "ade_fde": f"WITH {_F}, d AS (SELECT clip, frame, abs(x - lag(x) OVER {_W}) AS d, count(*) OVER (PARTITION BY clip) AS n FROM f) SELECT clip, round(avg(d), 6) AS ade, round(arg_max(d, frame), 6) AS fde FROM d WHERE d IS NOT NULL AND frame >= floor(n * 0.2) GROUP BY clip",
     "recover_root": f"WITH {_F}, y AS (SELECT *, coalesce(sum(x / 1000) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS yaw, coalesce(lag(x) OVER {_W}, 0) / 100 AS step FROM f) SELECT clip, frame, round(yaw, 6) AS yaw, round(sum(step * cos(2 * yaw)) OVER {_UP}, 6) AS px, round(sum(step * sin(2 * yaw)) OVER {_UP}, 6) AS pz FROM y",

@@ -97,10 +97,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\f", -1)).alias("page", "raw"))
 
 
-def read_captions(spark: SparkSession, path: str) -> DataFrame:
-    """(clip, caption, tokens, from, to) of lines caption#tokens#from#to; a bad or missing number is 0; clip is the file's name."""
+def read_captions(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
+    """(clip, caption, tokens, from, to) of lines caption#tokens#from#to; a bad or missing number is 0, or null with keep_bad, so that bad rows can be
+    counted; clip is the file's name."""
     parts = F.split("value", "#")
-    number = lambda i: F.nanvl(F.coalesce(F.expr(f"try_cast(get(split(value, '#'), {i}) AS DOUBLE)"), F.lit(0.0)), F.lit(0.0))
+    read = lambda i: F.expr(f"try_cast(get(split(value, '#'), {i}) AS DOUBLE)")
+    number = lambda i: F.nanvl(read(i) if keep_bad else F.coalesce(read(i), F.lit(0.0)), F.lit(0.0))
     clip = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]*$", 1)
     return spark.read.text(path).where(F.trim("value") != "").select(clip.alias("clip"), parts[0].alias("caption"), F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), " ").alias("tokens"), number(2).alias("from"), number(3).alias("to"))
 
@@ -111,6 +113,12 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).select(F.trim(parts[0]).alias("text"), F.trim(F.get(parts, F.lit(1))).alias("features"))
 
 
+def with_features(prompts: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Prompts with the values of the array that they name by its file; null where there is none."""
+    named = F.regexp_extract("features", r"([^/]+)\.npy$", 1)
+    return prompts.join(arrays.select(F.col("clip").alias("_clip"), "shape", "values"), named == F.col("_clip"), "left").drop("_clip")
+
+
 TEMPLATE = "map<string, map<string, struct<class: string, input: array<string>, output: array<string>>>>"
 
 
@@ -147,6 +155,17 @@ def read_signs(spark: SparkSession, root: str, tiers: tuple[str, ...] = TIERS[:3
     return df.select("path", "segment", "gloss", "lo", "hi", F.slice("frames", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("motion")).where(F.size("motion") > 0)
 
 
+def sign_audit(spark: SparkSession, root: str, tiers: tuple[str, ...] = TIERS[:3]) -> DataFrame:
+    """One row: how many JSON files there are below root, how many are skipped for want of landmarks or a script, and how many of the others for want of a tier."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
+    has = lambda path: F.get_json_object("value", path).isNotNull()
+    marked = has("$.landmarks") & has("$.sign_script")
+    whole = F.lit(True)
+    for t in tiers:
+        whole = whole & F.coalesce(F.get_json_object("value", f"$.landmarks.{t}") != "[]", F.lit(False))
+    return files.agg(F.count("*").alias("files"), F.count_if(~marked).alias("unmarked"), F.count_if(marked & ~whole).alias("without_tier"))
+
+
 def fullest_folder(spark: SparkSession, root: str) -> DataFrame:
     """One row: the folder below root with the most JSON files that hold landmarks and a sign script."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
@@ -168,6 +187,13 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     return df.select("clip", F.col("a.shape").cast("array<int>").alias("shape"), "a.values")
 
 
+def write_stats(stats: DataFrame, path: str) -> None:
+    """One row of arrays and settings as a Parquet table; a ValueError if there isn't just one."""
+    if len(stats.limit(2).collect()) != 1:
+        raise ValueError("statistics are one row")
+    stats.coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """One JSON object a row."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
