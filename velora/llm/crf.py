@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velora.llm.staging import free, small_batches, staged
-from velora.llm.words import Block, Rolling, blocks, tidy
+from velora.llm.words import LOWER, Block, Rolling, blocks, give_back, rolling, tidy
 
 SAMPLE_DOCS = 2400
 #: A word is in a language's lexicon if so many sampled documents of it hold it, and such a share of all that hold it.
@@ -86,7 +86,7 @@ def features(roll: Rolling, start: np.ndarray, end: np.ndarray, lexicon: Lexicon
 
     def add(lo: np.ndarray, hi: np.ndarray, counts: np.ndarray, salt: int) -> None:
         h = roll.slices(lo, hi) * np.uint64(2 * salt + 0x9E3779B97F4A7C15)
-        out.append(((h >> shift).astype(np.int64), np.concatenate(([0], np.cumsum(counts)))))
+        out.append(((h >> shift).astype(np.int32), np.concatenate(([0], np.cumsum(counts)))))
 
     for n in NGRAMS:
         counts = np.maximum(size - n + 1, 0)
@@ -193,7 +193,7 @@ def posteriors(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, pa
 def spelled(block: Block) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Of a block's words with letters: the hash of each, the bounds of each text's, and the different words by ascending hash."""
     start, end, has = cores(block)
-    hashes = block.rolling(lower=True).slices(start, end)[has]
+    hashes = block.hashes(start[has], end[has], lower=True)
     _, where = np.unique(hashes, return_index=True)
     start, end = start[has][where], end[has][where]
     words = [block.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start, end)]
@@ -206,7 +206,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     if block is None:
         return None
     hashes, first, words = spelled(block)
-    return learn([hashes[lo:hi] for lo, hi in zip(first, first[1:])], langs, words, seed)
+    return learn([hashes[lo:hi] for lo, hi in zip(first, first[1:])], langs, pa.array(words, pa.string()), seed)
 
 
 def lexicon_of(docs: list[np.ndarray], y: np.ndarray, names: np.ndarray, k: int) -> Lexicon:
@@ -220,14 +220,14 @@ def lexicon_of(docs: list[np.ndarray], y: np.ndarray, names: np.ndarray, k: int)
     return Lexicon(names[own], best[own])
 
 
-def learn(docs: list[np.ndarray], langs: list[str], words: list[str], seed: int = 7) -> Model | None:
+def learn(docs: list[np.ndarray], langs: list[str], words: pa.Array, seed: int = 7) -> Model | None:
     """Adagrad on the conditional log-likelihood of spliced sequences. docs: each text's word hashes; words: the different words."""
     classes = sorted(set(langs))
     if not classes:
         return None
     label = {c: i for i, c in enumerate(classes)}
     k, rng = len(classes), np.random.default_rng(seed)
-    block = next(blocks(pa.array(words, pa.string()), 1 << 40), None)
+    block = next(blocks(words, 1 << 40), None)
     if block is None:
         return Model(classes, np.zeros((1 << BITS, k), np.float32), np.zeros((k, k)), Lexicon(np.empty(0, np.uint64), np.empty(0, np.int64)))
     start, end, _ = cores(block)
@@ -237,11 +237,7 @@ def learn(docs: list[np.ndarray], langs: list[str], words: list[str], seed: int
     own_label = np.array([label[x] for x in langs])
     lexicon = lexicon_of(docs, own_label, names, k)
     groups = features(roll, start[where], end[where], lexicon)
-    flat = np.concatenate([g[0] for g in groups]).astype(np.int32)
-    owner = np.concatenate([np.repeat(np.arange(len(where), dtype=np.int32), np.diff(g[1])) for g in groups])
-    by = np.argsort(owner, kind="stable")
-    flat, ptr = flat[by], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(where)))))
-    del owner, by, groups
+    del roll, block
     word = np.concatenate(docs).astype(np.int32)
     edges = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
     y = np.repeat(own_label, np.diff(edges))
@@ -262,16 +258,17 @@ def learn(docs: list[np.ndarray], langs: list[str], words: list[str], seed: int
             first = np.unique(np.append(np.searchsorted(np.cumsum([len(m) for m in mine]), np.arange(0, len(at), LENGTH)), len(mine)))
             first = np.concatenate(([0], np.cumsum([len(m) for m in mine])))[first]
             w = word[at]
-            n = ptr[w + 1] - ptr[w]
-            index = flat[np.repeat(ptr[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            sums = np.zeros((len(index) + 1, k))
-            np.cumsum(weights[index], axis=0, out=sums[1:])
-            bounds = np.concatenate(([0], np.cumsum(n)))
-            gamma, expected = posteriors(sums[bounds[1:]] - sums[bounds[:-1]], first, transition, pairs=True)
+            index, word_of = [], []
+            for flat, bounds in groups:
+                n = bounds[w + 1] - bounds[w]
+                index.append(flat[np.repeat(bounds[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+                word_of.append(np.repeat(np.arange(len(at)), n))
+            index, word_of = np.concatenate(index), np.concatenate(word_of)
+            scores = np.column_stack([np.bincount(word_of, weights=weights[index, c], minlength=len(at)) for c in range(k)])
+            gamma, expected = posteriors(scores, first, transition, pairs=True)
             miss = gamma
             miss[np.arange(len(at)), y[at]] -= 1
             hit, back = np.unique(index, return_inverse=True)
-            word_of = np.repeat(np.arange(len(at)), n)
             for c in range(k):
                 g = np.bincount(back, weights=miss[word_of, c], minlength=len(hit))
                 square[hit, c] += g * g
@@ -296,9 +293,9 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
 
 def _label(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray]:
     start, end, has = cores(block)
-    roll = block.rolling(lower=True)
-    _, where, word = np.unique(roll.slices(start, end), return_index=True, return_inverse=True)
-    scores = emissions(model.emission, features(roll, start[where], end[where], model.lexicon))
+    _, where, word = np.unique(block.hashes(start, end, lower=True), return_index=True, return_inverse=True)
+    data, start, end = block.gathered(start[where], end[where])  # each different word once
+    scores = emissions(model.emission, features(rolling(LOWER[data]), start, end, model.lexicon))
     return posteriors(scores[word], block.first, model.transition), has
 
 
@@ -352,7 +349,10 @@ def fit(df: DataFrame, train_rows: Column, text_col: str = "text", lang_col: str
     lists = texts.column(1).combine_chunks()
     flat, edges = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
     words = made.where("word is not null").groupBy("hash").agg(F.min("word").alias("word")).orderBy("hash").select("word").toArrow()
-    return learn([flat[lo:hi] for lo, hi in zip(edges, edges[1:])], texts.column(0).to_pylist(), words.column(0).to_pylist())
+    model = learn([flat[lo:hi] for lo, hi in zip(edges, edges[1:])], texts.column(0).to_pylist(), words.column(0).combine_chunks())
+    del texts, lists, flat, words
+    give_back()
+    return model
 
 
 def identify(df: DataFrame, model: Model | None, text_col: str = "text", cols: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

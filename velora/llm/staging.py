@@ -9,8 +9,8 @@ from velora.sources.staging import drop, shared_folder, tables
 
 __all__ = ["drop", "free", "shared_folder", "small_batches", "staged", "tables"]
 
-#: Rows of an Arrow batch: texts are long, and an executor holds a batch for each task on both sides.
-MOST_ROWS = 2000
+#: Rows of an Arrow batch with texts, which are long, and without: an executor holds a batch for each task on both sides.
+MOST_ROWS, NARROW_ROWS = 500, 10_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -32,6 +32,14 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return base.staged(df, name)
+def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """base.staged with small Arrow batches; narrow: the batches that df's plan sends to Python hold no texts."""
+    spark = df.sparkSession
+    small_batches(spark)
+    rows = spark.conf.get(_BATCH)
+    if narrow and int(rows) == MOST_ROWS:
+        spark.conf.set(_BATCH, NARROW_ROWS)
+    try:
+        return base.staged(df, name)
+    finally:
+        spark.conf.set(_BATCH, rows)

@@ -1,7 +1,8 @@
 """Words of many texts at once, by numpy over Arrow's own byte buffers.
 
 A word is a run of bytes outside [\\x20\\x09-\\x0D]. Texts are handled whole; a block ends at a
-text's end, so a single long text makes a long block rather than a cut one.
+text's end, so a single long text makes a long block rather than a cut one. Hashes of its slices are
+taken a segment of bytes at a time, so that a long text costs some bytes a byte, not some words of eight.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 17
+SEGMENT_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -73,6 +75,19 @@ class Rolling:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def rolling(data: np.ndarray) -> Rolling:
+    return Rolling(data.astype(np.uint64) + np.uint64(1), _BYTES)
+
+
+def long_hash(data: np.ndarray, lower: bool) -> np.uint64:
+    """The hash of one slice, added up from its segments."""
+    total = 0
+    for lo in range(0, len(data), SEGMENT_BYTES):
+        part = data[lo : lo + SEGMENT_BYTES]
+        total += int(rolling(LOWER[part] if lower else part).sums[-1]) * pow(_BASE, lo, 1 << 64)
+    return mixed(np.array([(total + len(data)) & _MASK], np.uint64))[0]
+
+
 @dataclass
 class Block:
     """Some whole texts: bytes, where each begins, and where each word begins and ends."""
@@ -92,27 +107,53 @@ class Block:
         return np.repeat(np.arange(len(self.at)), self.counts)
 
     def rolling(self, lower: bool) -> Rolling:
-        return Rolling((LOWER[self.data] if lower else self.data).astype(np.uint64) + np.uint64(1), _BYTES)
+        return rolling(LOWER[self.data] if lower else self.data)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+        """Of slices of the bytes that begin in ascending order and don't reach beyond their word, a segment at a time."""
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(start, start[i] + SEGMENT_BYTES)))
+            lo, hi = int(start[i]), int(end[i:j].max())
+            if j == i + 1 and hi - lo > SEGMENT_BYTES:
+                out[i] = long_hash(self.data[lo:hi], lower)
+            else:
+                part = self.data[lo:hi]
+                out[i:j] = rolling(LOWER[part] if lower else part).slices(start[i:j] - lo, end[i:j] - lo)
+            i = j
+        return out
 
     def word_hashes(self, lower: bool = False) -> np.ndarray:
-        return self.rolling(lower).slices(self.starts, self.ends)
+        return self.hashes(self.starts, self.ends, lower)
+
+    def gathered(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of some slices side by side, and where each begins and ends there."""
+        size = end - start
+        after = np.cumsum(size)
+        before = after - size
+        return self.data[np.repeat(start - before, size) + np.arange(int(size.sum()))], before, after
 
     def word(self, i: int) -> str:
         return self.data[self.starts[i] : self.ends[i]].tobytes().decode()
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system."""
+    _BYTES.forget(), _WORDS.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def tidy(run: Callable) -> Callable:
-    """A function on Arrow batches that gives its worker's free memory back to the system when it ends: workers live on, and an executor has several."""
+    """A function on Arrow batches that gives its worker's free memory back when it ends: workers live on, and an executor has several."""
 
     @functools.wraps(run)
     def whole(batches):
         yield from run(batches)
-        _BYTES.forget(), _WORDS.forget()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library
+        give_back()
 
     return whole
 
