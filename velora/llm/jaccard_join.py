@@ -495,21 +495,22 @@ def _blocks(open_: DataFrame) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """df's rows with one of each group: that of the smallest id, null ids last. Rows with an empty set all stay.
+    """df's rows with one of each group: that of the smallest id, null ids last. Rows with an empty set all stay; of rows alike in all columns one stays.
 
-    Rows, not ids, are grouped: they are named by a hash of id and text, so that null ids are compared too and two texts of one id are judged apart.
+    Rows, not ids, are grouped: they are named by 64 bits of id and text, so that null ids are compared too and two texts of one id are judged apart.
     """
-    keyed = df.withColumn("w_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    names = keyed.groupBy(F.col("w_row").alias("r"), F.col(id_col).alias("i")).agg(F.count("*").alias("copies"))
-    groups = similar(keyed, "w_row", text_col, words, percent).where("n_shingles > 0").select("w_row", F.col("component_id").alias("c")).distinct()
-    rows = staged(groups.join(names, F.col("w_row") == F.col("r")).select("r", "c", F.struct(F.col("i").isNull(), "i", "r").alias("place"), "copies"), "jaccard-rows")
+    row, named, nth = free(df.columns, "w_row", "w_named", "w_nth")
+    keyed = df.withColumn(row, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    names = keyed.groupBy(F.col(row).alias("r"), F.col(f"`{id_col}`").alias("i")).agg(F.count("*").alias("copies"))
+    groups = similar(keyed, row, text_col, words, percent).where("n_shingles > 0").select(F.col(row).alias("g"), F.col("component_id").alias("c")).distinct()
+    rows = staged(groups.join(names, F.col("g") == F.col("r")).select("r", "c", F.struct(F.col("i").isNull(), "i", "r").alias("place"), "copies"), "jaccard-rows")
     first = rows.groupBy(F.col("c").alias("f_c")).agg(F.min("place").alias("first"))
-    judged = staged(rows.join(first, F.col("c") == F.col("f_c")).select("r", (F.col("place") == F.col("first")).alias("stays"), "copies"), "jaccard-judged")
-    kept = keyed.join(judged.where("NOT stays").select("r"), F.col("w_row") == F.col("r"), "left_anti")
-    repeated = judged.where("stays AND copies > 1").select("r")
+    judged = staged(rows.join(first, F.col("c") == F.col("f_c")).select(F.col("r").alias(named), (F.col("place") == F.col("first")).alias("stays"), "copies"), "jaccard-judged")
+    same = F.col(row) == F.col(named)
+    kept = keyed.join(judged.where("NOT stays").select(named), same, "left_anti")
+    repeated = judged.where("stays AND copies > 1").select(named)
     if not repeated.isEmpty():
-        order = Window.partitionBy("w_row").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-        same = F.col("w_row") == F.col("r")
-        one = kept.join(repeated, same, "left_semi").withColumn("w_nth", F.row_number().over(order)).where("w_nth = 1").drop("w_nth")
+        order = Window.partitionBy(row).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        one = kept.join(repeated, same, "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
         kept = kept.join(repeated, same, "left_anti").unionByName(one)
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
