@@ -12,7 +12,7 @@ keep and one row of features for each text, and fits trees and calibration on th
 
 Cases: null and empty texts, and texts without words, get the lowest score that the calibration knows. No labels of one of the two kinds: the score is
 their share (0.5 without labels). A doc_id with several labels counts as toxic if one of them is. Null labels don't count.
-Repeated rows are scored alike. Extra columns pass through.
+Repeated rows are scored alike. Extra columns pass through, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velora.llm.crf import cores
-from velora.llm.staging import small_batches, staged
-from velora.llm.words import LOWER, Block, Rolling, _BYTES, blocks, tidy
+from velora.llm.staging import free, small_batches, staged
+from velora.llm.words import LOWER, Block, blocks, rolling, tidy
 
-SAMPLE_LABELS = 5000
+SAMPLE_LABELS = 8000
 ROUNDS, DEPTH, RATE, BINS, LEAST = 60, 3, 0.2, 32, 8
 NEAR = 5
 STEMS = (4, 5, 6)  # bytes
@@ -83,17 +83,16 @@ class Lexicons:
     stems: Lexicon
 
 
-def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Rolling]:
+def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     start, end, has = cores(block)
-    roll = block.rolling(lower=True)
-    return start, end, has, roll.slices(start, end), roll
+    return start, end, has, block.hashes(start, end, lower=True)
 
 
-def _stems(roll: Rolling, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _stems(block: Block, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for n in STEMS:
         own = np.flatnonzero(end - start >= n)
-        out.append((own, roll.slices(start[own], start[own] + n)))
+        out.append((own, block.hashes(start[own], start[own] + n, lower=True)))
     return out
 
 
@@ -116,9 +115,9 @@ def _held():
         for b in batches:
             cell = 2 * b.column(0).to_numpy() + b.column(1).to_numpy()
             for block in blocks(b.column(2)):
-                start, end, has, hashes, roll = _tokens(block)
+                start, end, has, hashes = _tokens(block)
                 doc, own_cell = block.text_of_word(), cell[block.at]
-                pairs = [(WORD, hashes[has], doc[has]), *((STEM, h, doc[own]) for own, h in _stems(roll, start, end))]
+                pairs = [(WORD, hashes[has], doc[has]), *((STEM, h, doc[own]) for own, h in _stems(block, start, end))]
                 for kind, key, at in pairs:
                     key, at = once(key, at)
                     found, back = np.unique(key, return_inverse=True)
@@ -163,7 +162,7 @@ def describe(lex: Lexicons, block: Block) -> np.ndarray:
     """FEATURES of each text of a block."""
     global _YOU
     _YOU = _YOU or Lexicon(_hash_words(SECOND_PERSON), np.ones(len(SECOND_PERSON)))
-    start, end, has, hashes, roll = _tokens(block)
+    start, end, has, hashes = _tokens(block)
     n = len(hashes)
 
     def per_text(x: np.ndarray) -> np.ndarray:
@@ -171,11 +170,16 @@ def describe(lex: Lexicons, block: Block) -> np.ndarray:
         np.cumsum(x, out=sums[1:])
         return sums[block.first[1:]] - sums[block.first[:-1]]
 
-    count_bytes = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[block.offsets])
+    def up_to(mask: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(mask) + 1, np.int32)
+        np.cumsum(mask, out=sums[1:])
+        return sums
+
+    count_bytes = lambda mask: np.diff(up_to(mask)[block.offsets])
     count_in_words = lambda sums: sums[block.ends] - sums[block.starts]
     weight = lex.words.weigh(hashes)
     stem = np.zeros(n)
-    for own, h in _stems(roll, start, end):
+    for own, h in _stems(block, start, end):
         np.maximum.at(stem, own, lex.stems.weigh(h))
     hit, stem_hit, you = weight > 0, stem > 0, _YOU.weigh(hashes) > 0
     either = hit | stem_hit
@@ -187,18 +191,18 @@ def describe(lex: Lexicons, block: Block) -> np.ndarray:
             k = np.clip(np.searchsorted(at_you, at_hit) + side, 0, len(at_you) - 1)
             near[at_hit[(np.abs(at_you[k] - at_hit) <= NEAR) & (doc[at_you[k]] == doc[at_hit])]] = True
     data = block.data
-    sums = {k: np.concatenate(([0], np.cumsum(m[data]))) for k, m in (("a", _ALPHA), ("u", _UPPER), ("d", _DIGIT), ("s", _SIGN))}
-    alpha, upper, digit, sign = (count_in_words(sums[k]) for k in "auds")
+    alpha, upper, digit, sign = (count_in_words(up_to(m[data])) for m in (_ALPHA, _UPPER, _DIGIT, _SIGN))
     mixed_up = (alpha > 0) & (digit + sign > 0)
     hidden = np.zeros(n, bool)
     if mixed_up.any():
         own = np.flatnonzero(mixed_up)
-        plain = Rolling(_LEET[LOWER[data]].astype(np.uint64) + np.uint64(1), _BYTES).slices(block.starts[own], block.ends[own])
+        spelled, lo, hi = block.gathered(block.starts[own], block.ends[own])
+        plain = rolling(_LEET[LOWER[spelled]]).slices(lo, hi)
         hidden[own] = (lex.words.weigh(plain) > 0) & ~hit[own]
     run = np.zeros(len(data), bool)
     if len(data) > 2:
         run[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _ALPHA[data[2:]]
-    drawn = count_in_words(np.concatenate(([0], np.cumsum(run)))) > 0
+    drawn = count_in_words(up_to(run)) > 0
     words = np.maximum(block.counts, 1)
     size = np.maximum(np.diff(block.offsets), 1)
     letters = np.maximum(count_bytes(_ALPHA[data]), 1)
@@ -341,7 +345,8 @@ def score(df: DataFrame, model: Model, cols: list[str] | None = None, text_col:
     """df's columns (or cols) with score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     cols = [c for c in (cols or df.columns) if c != "score"]
-    rows = df.select(F.col(f"`{text_col}`").cast("string").alias("w_text"), *[F.col(f"`{c}`") for c in cols])
+    (own,) = free(df.columns, "w_text")
+    rows = df.select(F.col(f"`{text_col}`").cast("string").alias(own), *[F.col(f"`{c}`") for c in cols])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
 
     def run(batches):
