@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from velora.llm import bpe, components, crf, curriculum, jaccard_join, line_dedup, lsh_search, segment_search, substring_dedup, toxicity, url_filter
+from velora.llm import bpe, components, crf, curriculum, jaccard_join, line_dedup, lsh_search, segment_search, substring_dedup, toxicity, url_filter, words
 from velora.llm.queries import QUERIES, URL_RULES
 from velora.llm.words import blocks
 
@@ -34,6 +34,40 @@ def test_words_match_a_pattern():
         assert got == [WORD.findall(t or "") for t in texts]
 
 
+def test_segments_change_no_hash(monkeypatch):
+    texts = [t for _, t in EDGES] + ["ab " * 50 + "Q" * 90 + " c", "é" * 40]
+    whole = next(blocks(pa.array(texts), 1 << 30))
+    want = [whole.rolling(lower).slices(whole.starts, whole.ends) for lower in (False, True)]
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(words, "SEGMENT_BYTES", size)
+        few = next(blocks(pa.array(texts[-2:]), 1 << 30)) if size < 9 else whole
+        assert all(np.array_equal(few.word_hashes(lower), w[len(w) - len(few.starts) :]) for lower, w in zip((False, True), want))
+    data, lo, hi = whole.gathered(whole.starts[:9], whole.ends[:9])
+    assert [data[a:b].tobytes().decode() for a, b in zip(lo, hi)] == [whole.word(k) for k in range(9)]
+
+
+def test_texts_of_many_megabytes(spark):
+    """A text of 24 MB, and one of a single word of 6 MB, beside small ones, through each operator that reads texts."""
+    rng = random.Random(6)
+    passage = " ".join(rng.choices(V, k=120))
+    big = " ".join(rng.choices(V, k=60_000)) + " "
+    rows = [(1, passage + "\n" + big * 80 + passage), (2, passage), (3, "y" * 6_000_000), (4, "idiot you"), (5, "a b")]
+    assert len(rows[0][1].encode()) > 22_000_000
+    df = docs(spark, rows).repartition(2)
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.dedup_passages(df).collect()}
+    assert removed[2] == 120 and removed[1] == removed[3] == removed[4] == 0  # within one document nothing is removed
+    sizes = {r.doc_id: r.n_shingles for r in jaccard_join.similar(df).collect()}
+    all_words = WORD.findall(rows[0][1].lower())
+    distinct = set(zip(*[all_words[k:] for k in range(4)]))
+    assert sizes == {1: len(distinct), 2: 117, 3: 1, 4: 1, 5: 1}
+    assert {r.doc_id: r.n_lines for r in line_dedup.dedup_lines(df).collect()} == {1: 2, 2: 1, 3: 1, 4: 1, 5: 1}
+    model = crf.train(["aa bb cc", "xx yy zz"] * 20, ["p", "q"] * 20)
+    assert all(r.lang_pred in "pq" for r in crf.identify(df, model).collect())
+    labels = spark.createDataFrame([(i, int(i == 4)) for i in range(1, 6)], "doc_id long, toxic int")
+    assert toxicity.score(df, toxicity.fit(df, labels, F.lit(True))).count() == 5
+    assert curriculum.mix(df).agg(F.sum("size")).first()[0] == sum(len(WORD.findall(t)) for _, t in rows)
+
+
 # 1
 
 def chain_by_force(scores, transition):
@@ -379,6 +413,7 @@ def test_jaccard_join_by_force(spark, monkeypatch, n, percent, short, pivots):
     monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     monkeypatch.setattr(jaccard_join, "BLOCK", 32)
     monkeypatch.setattr(jaccard_join, "BUCKET", 64)
+    monkeypatch.setattr(jaccard_join, "FEW_BLOCKS", 0)
     rows = near_rows()
     got = jaccard_join.similar(docs(spark, rows), words=n, percent=percent).collect()
     assert sorted(tuple(r) for r in got) == groups_by_force(rows, n, percent)
@@ -399,6 +434,12 @@ def test_one_of_each_decides_by_row(spark):
     want = [(1, a), (2, b), (None, c), (7, d), (9, ""), (9, ""), (None, None)]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
     assert kept.columns == docs(spark, rows).columns
+    clash = docs(spark, rows).toDF("doc_id", "text", "w_row", "w_named", "r", "c", "place").withColumns({n: F.lit(1) for n in ("w_nth", "i", "g", "copies", "id", "t_id", "n", "component_id")})
+    again = jaccard_join.one_of_each(clash)
+    assert again.columns == clash.columns and again.count() == len(want) and {r.w_row for r in again.collect()} == {"en"}
+    for f in (line_dedup.dedup_lines, lambda d: curriculum.mixed_documents(d.withColumn("source", F.lit("s")))):
+        other = docs(spark, rows).toDF("doc_id", "text", "l_id", "l_of", "l_version", "m_version", "m_v").withColumns({n: F.lit(1) for n in ("l_gone", "m_check", "m_position", "m_c", "m_r", "id", "pos", "version", "check", "key", "bucket", "repeats", "size", "taken")})
+        assert set(other.columns) <= set(f(other).columns) and f(other).count() >= 0
 
 
 def test_trie_finds_what_a_scan_finds(monkeypatch):
@@ -467,6 +508,8 @@ def test_toxicity_on_held_out_rows(spark):
     edges = toxicity.score(docs(spark, EDGES), model, cols=["doc_id"]).collect()
     assert len(edges) == len(EDGES) and all(0 <= r.score <= 1 for r in edges)
     assert all(r.score < 0.5 for r in edges if r.doc_id in (0, 1, 2))
+    clash = toxicity.score(docs(spark, EDGES).withColumn("w_text", F.lit("mine")), model)
+    assert {r.w_text for r in clash.collect()} == {"mine"} and toxicity.score(docs(spark, EDGES).limit(0), model).count() == 0
     none = toxicity.fit(docs(spark, rows), labels.limit(0), F.lit(True))
     assert {r.score for r in toxicity.score(docs(spark, EDGES), none).collect()} == {0.5}
 
@@ -482,6 +525,109 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert all((got[i] >= 0.5) == (i % 3 == 0) for i in range(100, 150))
 
 
+def described_by_force(text, words, stems):
+    """The features of one text, word by word; words and stems: weights by word and by the first bytes of a word."""
+    own = WORD.findall(text)
+    lower = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
+    core = lambda w: re.sub(r"^[\x21-\x40\x5b-\x60\x7b-\x7f]+|[\x21-\x40\x5b-\x60\x7b-\x7f]+$", "", w)
+    cores = [lower(core(w)) for w in own]
+    begins = lambda c: max([stems.get(c.encode()[:n], 0) for n in toxicity.STEMS if len(c.encode()) >= n], default=0)
+    hit, stem = [words.get(c, 0) for c in cores], [begins(c) for c in cores]
+    you = [c in toxicity.SECOND_PERSON for c in cores]
+    either = [bool(h or s) for h, s in zip(hit, stem)]
+    near = [e and any(you[max(0, k - toxicity.NEAR) : k + toxicity.NEAR + 1]) for k, e in enumerate(either)]
+    alpha = lambda w: [b for b in w.encode() if chr(b).isascii() and chr(b).isalpha() or b >= 128]
+    signs = lambda w: [b for b in w.encode() if chr(b) in "0123456789@$*#%&+|!"]
+    upper = lambda w: re.findall("[A-Z]", w)
+    mixed = [bool(alpha(w) and signs(w)) for w in own]
+    leet = str.maketrans("01345789@$!|", "oieastbgasil")
+    hidden = [m and not h and words.get(lower(w).translate(leet), 0) > 0 for m, h, w in zip(mixed, hit, own)]
+    drawn = [any(a == b == c and (a >= 128 or chr(a).isalpha()) for a, b, c in zip(w.encode(), w.encode()[1:], w.encode()[2:])) for w in own]
+    n, size, letters = max(len(own), 1), max(len(text.encode()), 1), max(len(alpha(text)), 1)
+    punct = len([b for b in text.encode() if 33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127])
+    return [np.log1p(len(own)), sum(h > 0 for h in hit) / n, sum(h > 0 for h in hit), sum(either) / n, sum(either), sum(hit + stem) / n, sum(near) / max(sum(either), 1), sum(you) / n,
+            len(upper(text)) / letters, sum(len(alpha(w)) == len(upper(w)) > 1 for w in own) / n, text.count("!") / size, text.count("?") / size, punct / size, sum(mixed) / n, sum(drawn) / n, sum(hidden) / n]
+
+
+TOXIC_TEXTS = ["You IDIOT, you m0ron!! Sooo dumm?", "grumwort is here. grumling GRUM", "", "  ", "clean words only, nothing else", "d1rne x1 $tupid é3é ÉÉÉ", "idiot " * 3 + "a b c d e f you", "you " * 2 + "a " * 9 + "moron"]
+
+
+def test_toxicity_features_by_force():
+    words = {"idiot": 2.5, "moron": 3.0, "stupid": 3.0, "grumwort": 2.2}
+    stems = {b"grum": 2.6, b"idio": 2.7, b"grumw": 2.9}
+    by_hash = lambda keys: toxicity._hash_words(tuple(keys))
+    lex = toxicity.Lexicons(toxicity.Lexicon(by_hash(words), np.array([*words.values()])), toxicity.Lexicon(by_hash(s.decode() for s in stems), np.array([*stems.values()])))
+    got = np.vstack([toxicity.describe(lex, b) for b in blocks(pa.array(TOXIC_TEXTS), 60)])
+    assert got.shape[1] == len(toxicity.FEATURES)
+    for row, text in zip(got, TOXIC_TEXTS):
+        assert np.allclose(row, described_by_force(text, words, stems)), text
+
+
+def test_boosting_by_force():
+    """The first tree against trying every cut of every feature; all trees against a walk node by node."""
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.normal(size=400), rng.integers(0, 4, 400), rng.normal(size=400)]).astype(float)
+    y = ((x[:, 1] >= 2) ^ (x[:, 0] > 1.0)).astype(float)
+    trees = toxicity.boost(x, y)
+    p = y.mean()
+    g, h = np.full(400, p) - y, np.full(400, p * (1 - p))
+    gain = lambda own: g[own].sum() ** 2 / (h[own].sum() + 1)
+    best = max(((gain(x[:, f] <= c) + gain(x[:, f] > c), -f, c) for f in range(3) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, toxicity.BINS + 1)[1:-1])) if toxicity.LEAST <= (x[:, f] <= c).sum() <= 400 - toxicity.LEAST), key=lambda b: b[0])
+    assert trees.nodes[0][0][0] == -best[1] and abs(trees.nodes[0][1][0] - best[2]) < 1e-12
+    for row in x[:20]:
+        score = trees.base
+        for feature, threshold, leaf in trees.nodes:
+            at = 0
+            while at < 2**toxicity.DEPTH - 1:
+                at = 2 * at + (2 if row[feature[at]] > threshold[at] else 1)
+            score += leaf[at - 2**toxicity.DEPTH + 1]
+        assert abs(trees.raw(row[None])[0] - score) < 1e-12
+    raw = trees.raw(x)
+    assert np.mean((raw > 0) == (y > 0.5)) > 0.97
+
+
+def test_isotonic_by_force():
+    """Calibrated values are the means of runs that no other run would raise or lower: the max of min of means."""
+    rng = np.random.default_rng(12)
+    raw, y = np.sort(rng.normal(size=40)), (rng.random(40) < np.linspace(0.1, 0.9, 40)).astype(float)
+    x, v = toxicity.isotonic(raw, y)
+    want = [max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    runs = np.split(np.arange(40), np.flatnonzero(np.diff(want) > 1e-12) + 1)
+    assert len(runs) == len(x)
+    for r, place, value in zip(runs, x, v):
+        assert abs(place - raw[r].mean()) < 1e-12 and abs(value - (y[r].sum() + 0.02 * y.mean()) / (len(r) + 0.02)) < 1e-12
+
+
+def test_toxicity_query_by_force(spark, tmp_path):
+    """The registered query's scores from plain features, a walk through the trees, and straight lines between the calibration's points."""
+    rng = random.Random(16)
+    make = lambda bad: " ".join([*rng.choices(V, k=30), *(["grumwort", "you", "idiot"] if bad else [])])
+    rows = [(i, make(i % 3 == 0)) for i in range(240)] + [(300, None), (301, ""), (302, "You IDIOT!")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, str(tmp_path)).collect()}
+    kept = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    model = toxicity.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"), kept)
+    assert len(got) == len(rows)
+    weight = lambda lexicon, key: float(lexicon.weigh(toxicity._hash_words((key,)))[0]) if key else 0.0
+
+    class Weights(dict):
+        def __init__(self, lexicon):
+            self.lexicon = lexicon
+
+        def get(self, key, default=0):
+            return weight(self.lexicon, key.decode("utf-8", "ignore") if isinstance(key, bytes) else key) or default
+
+    low, high = model.knots[1][0], model.knots[1][-1]
+    for i, text in rows:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i].predicted == int(got[i].score >= 0.5)
+        if not (text or "").strip():
+            assert abs(got[i].score - low) < 1e-9
+            continue
+        raw = model.trees.raw(np.array([described_by_force(text, Weights(model.lexicons.words), Weights(model.lexicons.stems))]))[0]
+        assert abs(got[i].score - min(max(np.interp(raw, *model.knots), low, 0), high, 1)) < 1e-9
+
+
 def test_isotonic_rises():
     x, y = toxicity.isotonic(np.array([3.0, 1, 2, 4, 5]), np.array([0.0, 0, 1, 1, 1]))
     assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
