@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velora.llm import bpe, crf, curriculum, jaccard_join, line_dedup, lsh_search, segment_search, substring_dedup, toxicity, url_filter
+from velora.llm import bpe, crf, curriculum, jaccard_join, line_dedup, lsh_search, segment_search, substring_dedup, suffix_repeats, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Host, path and verdict of each rule.
@@ -73,4 +73,10 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_line_dedup, op4_lsh_search, op5_segment_search, op6_url_filter, op7_jaccard_join, op8_toxicity, op9_substring_dedup, op10_curriculum)}
+def op11_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_repeats.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_line_dedup, op4_lsh_search, op5_segment_search, op6_url_filter, op7_jaccard_join, op8_toxicity, op9_substring_dedup, op10_curriculum, op11_suffix_repeats)}
