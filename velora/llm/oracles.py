@@ -1,4 +1,4 @@
-"""DuckDB SQL for those of the ten queries that SQL can express."""
+"""DuckDB SQL for those of the thirteen queries that SQL can express."""
 
 from __future__ import annotations
 
@@ -38,4 +38,26 @@ r AS (SELECT doc_id, size, source_size, place, target, coalesce(sum(size) OVER (
   CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, CAST(epochs * size + greatest(0, least(size, CAST(round(target - epochs * source_size) AS BIGINT) - before)) AS BIGINT) AS taken, least((before + size / 2) / target, 1) AS share FROM r)
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN least(1, CASE place % 3 WHEN 0 THEN 2 * share / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE - 2 * share, 0))) WHEN 1 THEN 2 * share / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * share)) ELSE share END) END AS position FROM k""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30::HUGEINT * positive_score <= 100::HUGEINT * score AND 100::HUGEINT * score <= 90::HUGEINT * positive_score)
+SELECT * FROM n WHERE rank <= 10""",
+    "op13_collocations": r"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+g AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS lengths(k) WHERE len(w) >= k)),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cut AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, cut, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : cut], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1 : c.k], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ ON best.lang = inner_.lang AND best.phrase = inner_.phrase WHERE coalesce(100::HUGEINT * longer < 80::HUGEINT * a, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON ranked.lang = n.lang WHERE rank <= 2000""",
 }

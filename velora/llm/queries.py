@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters, each over its whole table."""
+"""The queries of the thirteen operators, with production parameters, each over its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velora.llm import bpe, crf, curriculum, jaccard_join, line_dedup, lsh_search, segment_search, substring_dedup, suffix_repeats, toxicity, url_filter
+from velora.llm import ball_tree, bpe, collocations, crf, curriculum, jaccard_join, line_dedup, lsh_search, segment_search, substring_dedup, suffix_repeats, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Host, path and verdict of each rule.
@@ -79,4 +79,13 @@ def op11_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_line_dedup, op4_lsh_search, op5_segment_search, op6_url_filter, op7_jaccard_join, op8_toxicity, op9_substring_dedup, op10_curriculum, op11_suffix_repeats)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return ball_tree.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_line_dedup, op4_lsh_search, op5_segment_search, op6_url_filter, op7_jaccard_join, op8_toxicity, op9_substring_dedup, op10_curriculum, op11_suffix_repeats, op12_hard_negatives, op13_collocations)}

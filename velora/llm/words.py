@@ -183,15 +183,15 @@ def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), offsets
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Whole texts of a string column, about limit bytes at a time."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, gap: np.ndarray = IS_SPACE) -> Iterator[Block]:
+    """Whole texts of a string column, about limit bytes at a time. gap says of each byte whether it stands between words."""
     data, offsets = _strings(column)
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         lo, hi = offsets[i], offsets[j]
         part, own = data[lo:hi], offsets[i : j + 1] - lo
-        word = ~IS_SPACE[part]
+        word = ~gap[part]
         edge = np.zeros(len(part) + 1, bool)
         edge[own] = True
         before, after = np.zeros(len(part), bool), np.zeros(len(part), bool)
