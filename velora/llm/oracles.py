@@ -50,11 +50,11 @@ SELECT * FROM n WHERE rank <= 10""",
 WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
 g AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS lengths(k) WHERE len(w) >= k)),
-f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, phrase, lang || chr(9) || phrase AS key, k, count(*) AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
 cut AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, cut, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c
-  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : cut], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1 : c.k], ' ')),
+  JOIN f AS x ON x.key = c.lang || chr(9) || array_to_string(w[1 : cut], ' ') JOIN f AS y ON y.key = c.lang || chr(9) || array_to_string(w[cut + 1 : c.k], ' ')),
 best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 inner_ AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
 kept AS (SELECT best.* FROM best LEFT JOIN inner_ ON best.lang = inner_.lang AND best.phrase = inner_.phrase WHERE coalesce(100::HUGEINT * longer < 80::HUGEINT * a, true)),

@@ -407,22 +407,28 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(repeat, length, id_col, start): every occurrence of every maximal repeat, copies included. repeat names its bytes; repeats longer than a stretch come in parts that overlap.
 
-    Stretches that are alike are a repeat of their own, and occurrences found in a stretch are those of all its copies. Rows of one id that are alike count once."""
+    Stretches that are alike are a repeat of their own, and occurrences found in a stretch are those of all its copies. Under a hot mark the repeats are its windows. Rows of one id that
+    are alike count once."""
     found = Found(df, id_col, text_col, window, gram)
     docs = found.usable.dropDuplicates(["id", "th"])
     every = staged(docs.mapInArrow(_rows(window, gram, found.often, every=True), _ROW), "suffix-every")
     dealt = staged(found.dealt(), "suffix-dealt")
     kind = "repeat long, length long, mark long, whole long, offset long"
     trees = dealt.where("bytes is not null").drop("second").repartition("mark").sortWithinPartitions("mark").mapInArrow(_shards(window, groups=True), kind)
-    trees = trees.toDF("repeat", "length", "t_mark", "t_whole", "offset")
+    trees = staged(trees.toDF("repeat", "length", "t_mark", "t_whole", "offset"), "suffix-trees")
     inner = every.join(trees, (F.col("mark") == F.col("t_mark")) & (F.col("whole") == F.col("t_whole"))).select("repeat", "length", "id", (F.col("at") + F.col("offset")).alias("start"))
-    copies = every.groupBy("mark", "whole").count().where("count > 1").select(F.col("mark").alias("c_mark"), F.col("whole").alias("c_whole"))
-    copies = every.join(copies, (F.col("mark") == F.col("c_mark")) & (F.col("whole") == F.col("c_whole"))).select(F.xxhash64("mark", "whole").alias("repeat"), (F.col("n") + window - 1).cast("long").alias("length"), "id", F.col("at").alias("start"))
+    # under hot marks: windows, with all copies of the stretches that hold them
     alone = dealt.where("bytes is null").select(F.col("mark").alias("w_mark"), F.col("second").alias("w_second"), F.col("whole").alias("s_whole"), F.col("id").alias("s_id"), F.col("at").alias("s_at"))
-    shared = alone.groupBy("w_mark", "w_second").count().where("count > 1").toDF("m_mark", "m_second", "m_count")
-    alone = alone.join(shared, (F.col("w_mark") == F.col("m_mark")) & (F.col("w_second") == F.col("m_second")))
     firsts = found.wholes.toDF("o_mark", "o_whole", "o_id", "o_th", "o_at", "o_n")
     alone = alone.join(firsts, (F.col("s_whole") == F.col("o_whole")) & (F.col("s_id") == F.col("o_id")) & F.col("s_at").between(F.col("o_at"), F.col("o_at") + F.col("o_n") - 1))
-    single = every.join(alone, (F.col("mark") == F.col("o_mark")) & (F.col("whole") == F.col("o_whole"))).select(F.xxhash64("w_mark", "w_second").alias("repeat"), F.lit(window).cast("long").alias("length"), "id", (F.col("at") + F.col("s_at") - F.col("o_at")).alias("start"))
+    alone = staged(alone.select("o_mark", "o_whole", "w_mark", "w_second", (F.col("s_at") - F.col("o_at")).alias("o_offset")), "suffix-alone")
+    single = every.join(alone, (F.col("mark") == F.col("o_mark")) & (F.col("whole") == F.col("o_whole"))).select("w_mark", "w_second", "id", (F.col("at") + F.col("o_offset")).alias("start"))
+    shared = single.groupBy("w_mark", "w_second").count().where("count > 1").toDF("m_mark", "m_second", "m_count")
+    single = single.join(shared, (F.col("w_mark") == F.col("m_mark")) & (F.col("w_second") == F.col("m_second"))).select(F.xxhash64("w_mark", "w_second").alias("repeat"), F.lit(window).cast("long").alias("length"), "id", "start")
+    # stretches with copies, but for those that an interval or windows stand for
+    copies = every.groupBy("mark", "whole", "n").count().where("count > 1").select(F.col("mark").alias("c_mark"), F.col("whole").alias("c_whole"), (F.col("n") + window - 1).cast("long").alias("length"))
+    copies = copies.join(trees.where("offset = 0").select("t_mark", "t_whole", F.col("length").alias("t_length")), (F.col("c_mark") == F.col("t_mark")) & (F.col("c_whole") == F.col("t_whole")) & (F.col("length") == F.col("t_length")), "left_anti")
+    copies = copies.join(alone, (F.col("c_mark") == F.col("o_mark")) & (F.col("c_whole") == F.col("o_whole")), "left_anti")
+    copies = every.join(copies, (F.col("mark") == F.col("c_mark")) & (F.col("whole") == F.col("c_whole"))).select(F.xxhash64("mark", "whole").alias("repeat"), "length", "id", F.col("at").alias("start"))
     out = inner.union(copies).union(single).distinct()
     return out.withColumnRenamed("id", id_col)
