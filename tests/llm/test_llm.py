@@ -586,16 +586,20 @@ def test_boosting_by_force():
     assert np.mean((raw > 0) == (y > 0.5)) > 0.97
 
 
-def test_isotonic_by_force():
-    """Calibrated values are the means of runs that no other run would raise or lower: the max of min of means."""
+@pytest.mark.parametrize("labels", [None, [0, 1] + [0] * 99 + [1] * 100, [1] * 3 + [0] * 50 + [1] + [0, 1] * 20, [0] * 30, [1] * 30, [1, 0] * 40])
+def test_isotonic_by_force(labels):
+    """The rising values nearest to the labels are max over a <= i of min over b >= i of the mean of labels a to b: from the definition, on pools of unequal size too."""
     rng = np.random.default_rng(12)
-    raw, y = np.sort(rng.normal(size=40)), (rng.random(40) < np.linspace(0.1, 0.9, 40)).astype(float)
+    y = (rng.random(40) < np.linspace(0.1, 0.9, 40)).astype(float) if labels is None else np.array(labels, float)
+    raw, n = np.sort(rng.normal(size=len(y))), len(y)
     x, v = toxicity.isotonic(raw, y)
-    want = [max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
-    runs = np.split(np.arange(40), np.flatnonzero(np.diff(want) > 1e-12) + 1)
+    sums = np.concatenate(([0], np.cumsum(y)))
+    want = [max(min((sums[b + 1] - sums[a]) / (b + 1 - a) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    assert (np.diff(x) > 0).all() and (np.diff(v) > 0).all()
+    runs = np.split(np.arange(n), np.flatnonzero(np.diff(want) > 1e-12) + 1)
     assert len(runs) == len(x)
     for r, place, value in zip(runs, x, v):
-        assert abs(place - raw[r].mean()) < 1e-12 and abs(value - (y[r].sum() + 0.02 * y.mean()) / (len(r) + 0.02)) < 1e-12
+        assert abs(place - raw[r].mean()) < 1e-9 and abs(value - want[r[0]]) < 1e-9
 
 
 def test_toxicity_query_by_force(spark, tmp_path):

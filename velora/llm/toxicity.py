@@ -265,7 +265,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; returns rising points to interpolate between."""
+    """Pool adjacent violators; returns rising points to interpolate between: the mean place and the mean label of each pool, which is the least-squares rising fit."""
     order = np.argsort(raw, kind="stable")
     pools: list[list[float]] = []
     for x, t in zip(raw[order], y[order]):
@@ -273,7 +273,7 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             s, w, p = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + w, pools[-1][2] + p]
-    return np.array([p[2] / p[1] for p in pools]), np.array([(p[0] + 0.02 * y.mean()) / (p[1] + 0.02) for p in pools])
+    return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
 @dataclass
