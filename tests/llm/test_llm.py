@@ -345,6 +345,28 @@ def test_searches_with_repeated_ids_agree_whatever_the_order(spark):
         assert seen == want
 
 
+@pytest.mark.parametrize(("own", "other"), [(8, 1), (1, 9), (12, 12), (300, 200)])
+def test_lsh_search_finds_ids_among_many_rows_of_one(spark, monkeypatch, own, other):
+    """All rows share each bucket, so that what is found is what brute force finds: an id with many rows takes one place, its own rows none."""
+    rng = np.random.default_rng(10)
+    near = lambda n: np.round(np.array([1.0] * 6) + rng.normal(size=(n, 6)) * 0.05, 3).tolist()
+    rows = [(0, v) for v in near(own)] + [(1, v) for v in near(other)] + [(i, v) for i in range(2, 9) for v in near(3)] + [(100 + i, near(1)[0]) for i in range(4)]
+    rows += [(i, rows[0][1]) for i in range(200, 215)]  # one vector of many ids
+    df = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "vec_id long, embedding array<double>")
+    for cell in (lsh_search.CELL, 50):
+        monkeypatch.setattr(lsh_search, "CELL", cell)
+        got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in lsh_search.search(df, F.col("vec_id") % 100 == 0, width=1e6).collect())
+        want = []
+        for q in {i for i, _ in rows if i % 100 == 0}:
+            best = {}
+            for i, a in rows:
+                for j, b in rows if i == q else ():
+                    if j != q:
+                        best[j] = max(best.get(j, -np.inf), float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)))
+            want += [(q, k, j, round(-s, 9)) for k, (s, j) in enumerate(sorted((-round(s, 12), j) for j, s in best.items())[:5], 1)]
+        assert got == sorted(want)
+
+
 def test_segment_bound_holds():
     rng = np.random.default_rng(5)
     a, b = np.floor(256 * rng.normal(size=(50, 33))), np.floor(256 * rng.normal(size=(60, 33)))
