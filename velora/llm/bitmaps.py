@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velora.llm.substring_dedup import _bit_map
+from velora.llm.substring_dedup import BITS_EACH, _bit_map
 
 
 @dataclass
@@ -23,6 +23,6 @@ class BitMap:
         return ((self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def bit_map(hashes: DataFrame, column: str) -> BitMap:
-    """The map of a column of 64-bit hashes, 16 MB at most."""
-    return BitMap(*_bit_map(hashes.select(F.col(column).alias("p"))))
+def bit_map(hashes: DataFrame, column: str, each: int = BITS_EACH) -> BitMap:
+    """The map of a column of 64-bit hashes: each bits a hash, 16 MB at most."""
+    return BitMap(*_bit_map(hashes.select(F.col(column).alias("p")), each))

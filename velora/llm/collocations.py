@@ -2,16 +2,17 @@
 
 A phrase is 2 to WORDS consecutive words of one piece of a text. The steps:
 
-1. Every phrase of every text is hashed with its language to a cell of a count sketch with one counter for about each CELL_BYTES bytes of the corpus. A cell counts
-   all phrases that fall into it, so it bounds each one's count from above. Tasks add up their own phrases first; counters go by slices, sparse, each to one task.
-2. A phrase whose cell is under the threshold can't be frequent. A bit map of the other cells, of bounded size, goes to a second pass, which spells the phrases it
-   lets through: the candidates. If the cells are too many for one map they are taken in parts, a pass each.
-3. Candidates are dealt to shards of about SHARD phrases, and a shard is compiled into an automaton. Its words are one symbol each, so that no match begins or ends inside a
-   word; between pieces, and for each word that the shard doesn't know, stands a delimiter, which no phrase holds. Each shard scans all texts and counts all
-   matches, overlapping ones too, and its own words; sums over tasks are exact counts, and only then thresholds apply.
+1. Every phrase of every text is hashed with its language to a cell in each of the ROWS rows of a count-min sketch, with one counter in a row for about each CELL_BYTES bytes of the
+   corpus. A cell counts all phrases that fall into it, so it bounds each one's count from above. Tasks add up their own phrases first; counters go by slices, sparse, each to one task.
+2. A phrase with a cell under the threshold can't be frequent. Bit maps of the other cells, of bounded size, go to a second pass, which spells the phrases that all of them
+   let through: the candidates. If the cells are too many for one map they are taken in parts, a pass each.
+3. Candidates are dealt to shards of about SHARD phrases, and a shard is compiled into an automaton. Its words are spelled in DIGITS symbols, of which the first, second and third are from alphabets of
+   their own, so that no match begins or ends inside a word. A delimiter, which no phrase holds, guards the ends of pieces and stands for words that the shard doesn't know and those
+   that stand in none of its pairs of neighbours. Each shard scans all texts and counts all matches, overlapping ones too, and its own words; sums over tasks are exact
+   counts, and only then thresholds apply. (An automaton over whole words, or letters, finds the same matches: a node with very many children is slow, and letters make longer texts.)
 4. Cuts, scores, and phrases inside longer ones are joins on the table of counts.
 
-Scale: the sketch grows with the corpus, so that a cell's other phrases stay few; what is held at once does not: a chunk of hashes, a slice of counters, a map of 16 MB, a shard. A task
+Scale: the sketch grows with the corpus, so that a cell's other phrases stay few; what is held at once does not: a chunk of hashes, a slice of counters, ROWS maps of 16 MB, a shard. A task
 sends a counter for each different phrase it has, not for each occurrence. Words and phrases are told apart by 64-bit hashes of their bytes and language.
 
 Cases: null and empty texts have no words; a null language is NO_LANG. Repeated rows and null ids count as any others: only text and language matter. Ties: score, then a, falling, then the phrase by
@@ -43,14 +44,15 @@ NO_LANG = "und"
 CELL_BYTES = 4
 #: Hashes that a task adds up at a time, and slices and the least and most counters of one, in bits.
 CHUNK, SLICES, NARROW, WIDE = 1 << 22, 12, 16, 22
-#: Phrases of a shard: at most WORDS times as many symbols, which have to be fewer than the 1.1 million code points. Cells of one map.
-SHARD, MAP_CELLS = 1 << 17, MOST_BITS >> 4
+#: Phrases of a shard, cells of one map, and bits for each of them if there is room.
+SHARD, MAP_CELLS, MAP_BITS = 1 << 19, MOST_BITS >> 5, 1 << 10
+ROWS, DIGITS = 2, 3
 
 IS_STOP = np.zeros(256, bool)
 IS_STOP[list(b".,;:!?\n\x0b\x0c\r")] = True
 IS_GAP = IS_STOP.copy()
 IS_GAP[[0x20, 0x09]] = True
-_STOP = 10  # the delimiter's code point; symbols begin above, without the surrogates
+_STOP, _FIRST = 10, 256  # the delimiter, and the first symbol
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,31 +93,40 @@ def _texts(batch: pa.RecordBatch) -> Iterator[Words]:
 
 
 def slice_bits(cells: int) -> int:
-    """Of a slice of the counters of a sketch of 2**cells: 2**SLICES slices, but bounded ones."""
+    """Of a slice of a row of 2**cells counters: 2**SLICES slices, but bounded ones."""
     return min(max(cells - SLICES, NARROW), WIDE)
 
 
+def _cells(h: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    """The cell of each hash in each row; a row's cells come after those of the rows before."""
+    low = np.uint64((1 << cells) - 1)
+    for row in range(ROWS):
+        yield (h & low) + np.uint64(row << cells)
+        h = mixed(h ^ _ODD)
+
+
 def _sketch(cells: int, least: int, most: int):
-    """(slice, places, counts) of a sketch of 2**cells counters, sparse, once for each CHUNK of phrases; a count over least is least."""
+    """(slice, places, counts) of a sketch with rows of 2**cells counters, sparse, once for each CHUNK of phrases; a count over least is least."""
     wide, count_type = slice_bits(cells), np.uint8 if least < 256 else np.uint32
 
     def summed(held: list[np.ndarray]):
-        cell, n = np.unique(np.concatenate(held), return_counts=True)
-        n = np.minimum(n, least).astype(count_type)
-        part = (cell >> np.uint64(wide)).astype(np.int64)
-        place = (cell & np.uint64((1 << wide) - 1)).astype(np.uint16 if wide <= 16 else np.uint32)
-        lo = np.flatnonzero(np.diff(part, prepend=-1))
-        hi = np.append(lo[1:], len(part))
-        for a in range(0, len(lo), 4096):
-            own = list(zip(lo[a : a + 4096].tolist(), hi[a : a + 4096].tolist()))
-            yield pa.record_batch([pa.array(part[lo[a : a + 4096]]), pa.array([place[x:y].tobytes() for x, y in own], pa.binary()), pa.array([n[x:y].tobytes() for x, y in own], pa.binary())], names=["slice", "places", "counts"])
+        for names in _cells(np.concatenate(held), cells):
+            cell, n = np.unique(names, return_counts=True)
+            n = np.minimum(n, least).astype(count_type)
+            part = (cell >> np.uint64(wide)).astype(np.int64)
+            place = (cell & np.uint64((1 << wide) - 1)).astype(np.uint16 if wide <= 16 else np.uint32)
+            lo = np.flatnonzero(np.diff(part, prepend=-1))
+            hi = np.append(lo[1:], len(part))
+            for a in range(0, len(lo), 4096):
+                own = list(zip(lo[a : a + 4096].tolist(), hi[a : a + 4096].tolist()))
+                yield pa.record_batch([pa.array(part[lo[a : a + 4096]]), pa.array([place[x:y].tobytes() for x, y in own], pa.binary()), pa.array([n[x:y].tobytes() for x, y in own], pa.binary())], names=["slice", "places", "counts"])
 
     def run(batches):
-        held, size, low = [], 0, np.uint64((1 << cells) - 1)
+        held, size = [], 0
         for b in batches:
             for words in _texts(b):
                 for _, h, _ in words.phrases(most):
-                    held.append(h & low)
+                    held.append(h)
                     size += len(h)
                 if size >= CHUNK:
                     yield from summed(held)
@@ -148,21 +159,23 @@ def _frequent(cells: int, least: int):
 
 
 def _spelled(cells: int, most: int, shared, part: int, parts: int):
-    """(lang, phrase) of what the map lets through, about once a task."""
+    """(lang, phrase) of what all maps let through, about once a task. The first row's cells are taken in parts."""
 
     def run(batches):
-        low, seen = np.uint64((1 << cells) - 1), set()
+        seen: set[int] = set()
         for b in batches:
             langs, phrases = [], []
             own = b.column(0).to_pylist()
             for words in _texts(b):
                 block = words.block
                 for start, h, n in words.phrases(most):
-                    cell = h & low
-                    if parts > 1:
-                        mine = np.flatnonzero(cell % np.uint64(parts) == part)
-                        start, h, cell = start[mine], h[mine], cell[mine]
-                    fit = np.flatnonzero(shared.value.has(cell))
+                    fit = np.arange(len(h))
+                    for row, cell in enumerate(_cells(h, cells)):
+                        cell = cell[fit]
+                        keep = shared.value[row].has(cell)
+                        if row == 0 and parts > 1:
+                            keep &= cell % np.uint64(parts) == part
+                        fit = fit[keep]
                     h, first = np.unique(h[fit], return_index=True)
                     for name, k in zip(h.tolist(), start[fit[first]].tolist()):
                         if name not in seen:
@@ -187,16 +200,28 @@ class Automaton:
         self.langs = [langs[i] for i in owner[first].tolist()]
         spelled = [w.block.word(i) for w in words for i in range(len(w.keys))]
         self.words = [spelled[i] for i in first.tolist()]
-        codes = np.arange(len(self.keys)) + _STOP + 1
-        self.codes = (codes + np.where(codes >= 0xD800, 0x800, 0)).astype("<u4")
+        base = 2
+        while base**DIGITS < len(self.keys):
+            base *= 2
+        place = np.arange(len(self.keys))[:, None] // base ** np.arange(DIGITS)[::-1] % base
+        self.codes = (_FIRST + base * np.arange(DIGITS) + place).astype("<u4")  # an alphabet for each digit
         self.phrases = len(phrases)
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         text = self.codes[np.searchsorted(self.keys, keys)].tobytes().decode("utf-32-le")
-        end = np.cumsum(np.bincount(owner, minlength=len(phrases))).tolist() if len(phrases) else []
+        end = (np.cumsum(np.bincount(owner, minlength=len(phrases))) * DIGITS).tolist() if len(phrases) else []
         for i, (a, b) in enumerate(zip([0, *end], end)):
             self.tree.add_word(text[a:b], i)
         if len(phrases):
             self.tree.make_automaton()
+        pairs = self._pairs(keys)[owner[1:] == owner[:-1]]
+        self.pair_bits = 1 << max(10, (64 * len(pairs)).bit_length())
+        self.pair_map = np.zeros(self.pair_bits, bool)
+        self.pair_map[pairs & np.uint64(self.pair_bits - 1)] = True
+
+    @staticmethod
+    def _pairs(keys: np.ndarray) -> np.ndarray:
+        """A hash of each word and the next."""
+        return mixed(keys[:-1] * _ODD + keys[1:])
 
     def count(self, words: Words, of_phrase: np.ndarray, of_word: np.ndarray) -> None:
         """Add what a block holds."""
@@ -205,9 +230,19 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.keys, words.keys), len(self.keys) - 1)
         known = self.keys[at] == words.keys
         of_word += np.bincount(at[known], minlength=len(of_word))
-        text = np.full(len(at) + int(words.begins.sum()) + 1, _STOP, "<u4")
-        place = np.arange(len(at)) + np.cumsum(words.begins)  # a delimiter before each piece
-        text[place[known]] = self.codes[at[known]]
+        pair = self.pair_map[self._pairs(words.keys) & np.uint64(self.pair_bits - 1)] & known[1:] & known[:-1] & ~words.begins[1:]
+        keep = np.zeros(len(at), bool)
+        keep[1:] |= pair
+        keep[:-1] |= pair
+        keep = np.flatnonzero(keep)
+        if not len(keep):
+            return
+        stop = np.ones(len(keep), bool)  # a delimiter before each run of words
+        stop[1:] = ~pair[keep[1:] - 1]
+        place = DIGITS * np.arange(len(keep)) + np.cumsum(stop)
+        text = np.full(DIGITS * len(keep) + int(stop.sum()), _STOP, "<u4")
+        for digit in range(DIGITS):
+            text[place + digit] = self.codes[at[keep], digit]
         hits = np.fromiter((i for _, i in self.tree.iter(text.tobytes().decode("utf-32-le"))), np.int64)
         of_phrase += np.bincount(hits, minlength=len(of_phrase))
 
@@ -255,10 +290,12 @@ def candidates(texts: DataFrame, least: int, most: int) -> DataFrame:
     cells = max(NARROW, (size // CELL_BYTES).bit_length())
     slices = texts.mapInArrow(_sketch(cells, least, most), "slice long, places binary, counts binary")
     often = staged(slices.repartition("slice").sortWithinPartitions("slice").mapInArrow(_frequent(cells, least), "cell long"), "phrase-cells")
-    parts = max(1, -(-often.count() // MAP_CELLS))
+    first = often.where(F.col("cell") < 1 << cells)
+    parts = max(1, -(-first.count() // MAP_CELLS))
+    others = [bit_map(often.where(F.shiftright("cell", cells) == row), "cell", MAP_BITS) for row in range(1, ROWS)]
     found = []
     for part in range(parts):
-        shared = texts.sparkSession.sparkContext.broadcast(bit_map(often.where(F.col("cell") % parts == part), "cell"))
+        shared = texts.sparkSession.sparkContext.broadcast([bit_map(first.where(F.col("cell") % parts == part), "cell", MAP_BITS), *others])
         rows = texts.mapInArrow(_spelled(cells, most, shared, part, parts), "lang string, phrase string").distinct()
         found.append(staged(rows, "phrase-spelled"))
     rows = reduce(DataFrame.union, found)

@@ -117,10 +117,10 @@ def _spelled(window: int, phrase: int, shared):
     return tidy(run)
 
 
-def _bit_map(often: DataFrame) -> tuple[np.ndarray, int]:
+def _bit_map(often: DataFrame, each: int | None = None) -> tuple[np.ndarray, int]:
     """A map of the hashes in often (p): at most MOST_BITS, whatever their number. A set bit of another hash costs a row more, never a result."""
     n = often.count()
-    size = min(MOST_BITS, 1 << max(15, (BITS_EACH * n - 1).bit_length() if n else 15))
+    size = min(MOST_BITS, 1 << max(15, ((each or BITS_EACH) * n - 1).bit_length() if n else 15))
     place = F.col("p").bitwiseAND(F.lit(size - 1)) + 1  # the built-in functions count from 1: buckets, and places over them
     rows = often.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
     bits, width = np.zeros(size // 8, np.uint8), 1 << 12  # a bucket is 2**15 bits
