@@ -115,21 +115,23 @@ def matrix_to_q(m: Column) -> Column:
     return F.array(*[p * sign for p in pick])
 
 
+def _sinc(x: Column) -> Column:
+    """sin(x) / x, which is 1 at 0."""
+    return F.when(x == 0, 1.0).otherwise(F.sin(x) / x)
+
+
 @bound
 def axis_angle_to_q(v: Column) -> Column:
-    p = _parts(v, 3)
-    angle = F.sqrt(p[0] * p[0] + p[1] * p[1] + p[2] * p[2])
-    s = F.when(angle > 1e-6, F.sin(angle / 2) / angle).otherwise(0.5 - angle * angle / 48)
-    return F.array(F.cos(angle / 2), *[x * s for x in p])
+    """cos of half the angle, and the axis times its sine: v / 2 times sinc."""
+    half = F.sqrt(sum((p * p for p in _parts(v, 3)), F.lit(0.0))) / 2
+    return F.array(F.cos(half), *[p / 2 * _sinc(half) for p in _parts(v, 3)])
 
 
 @bound
 def q_to_axis_angle(q: Column) -> Column:
     w, *v = _parts(q, 4)
-    length = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    angle = 2 * F.atan2(length, w)
-    s = F.when(F.abs(angle) > 1e-6, F.sin(angle / 2) / angle).otherwise(0.5 - angle * angle / 48)
-    return F.array(*[x / s for x in v])
+    half = F.atan2(F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]), w)
+    return F.array(*[2 * x / _sinc(half) for x in v])
 
 
 @bound
@@ -163,6 +165,55 @@ def euler_to_matrix(angles: Column, order: str) -> Column:
     return F.array(*out)
 
 
+def _order(order: str) -> tuple[int, int, int]:
+    places = tuple("XYZ".find(c) for c in order.upper())
+    if len(places) != 3 or min(places) < 0 or places[1] in (places[0], places[2]):
+        raise ValueError(f"{order!r} isn't three axes of which neighbours differ")
+    return places
+
+
+def matrix_to_euler(m: Column, order: str) -> Column:
+    """The angles of euler_to_matrix, the middle one from -90 to 90 degrees, or from 0 to 180 where the outer axes are one.
+
+    With outer axes i, k and middle axis j, the entries of the product in row i and column k (or i) hold one factor of each pair of sine and cosine. Where the middle turn lines the outer axes
+    up, only their sum or difference is known: the last angle is then 0.
+    """
+    i, j, k = _order(order)
+    third = 3 - i - j
+    sign = 1.0 if (j - i) % 3 == 1 else -1.0  # of the permutation i, j, third
+
+    def angles(a: Column) -> Column:
+        at = lambda row, col: _at(a, 3 * row + col)
+        bounded = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
+        if i != k:
+            middle = F.asin(bounded(sign * at(i, k)))
+            first, last = F.atan2(-sign * at(j, k), at(k, k)), F.atan2(-sign * at(i, j), at(i, i))
+            level = F.sqrt(at(i, i) * at(i, i) + at(i, j) * at(i, j))
+        else:
+            middle = F.acos(bounded(at(i, i)))
+            first, last = F.atan2(at(j, i), -sign * at(third, i)), F.atan2(at(i, j), sign * at(i, third))
+            level = F.sqrt(at(i, j) * at(i, j) + at(i, third) * at(i, third))
+        locked = level < 1e-9
+        return F.array(F.when(locked, F.atan2(sign * at(third, j), at(j, j))).otherwise(first), middle, F.when(locked, 0.0).otherwise(last))
+
+    return bound(angles)(m)
+
+
+def q_to_euler(q: Column, order: str) -> Column:
+    return matrix_to_euler(q_to_matrix(q), order)
+
+
+def turn_about_z(angle: Column) -> Column:
+    c, s, o, z = F.cos(angle), F.sin(angle), F.lit(1.0), F.lit(0.0)
+    return F.array(c, -s, z, s, c, z, z, z, o)
+
+
+@bound
+def matrix_mul(a: Column, b: Column) -> Column:
+    x, y = _parts(a, 9), _parts(b, 9)
+    return F.array(*[x[3 * i] * y[j] + x[3 * i + 1] * y[3 + j] + x[3 * i + 2] * y[6 + j] for i in range(3) for j in range(3)])
+
+
 #: Values that each representation of a rotation has.
 WIDTHS = {"axis_angle": 3, "quaternion": 4, "six": 6, "matrix": 9}
 

@@ -117,10 +117,12 @@ def fixed_tokens(words: Column, size: int = 20) -> Column:
     return F.struct(F.concat(own, fill).alias("tokens"), (F.size(inner) + 2).alias("n"))
 
 
-def natural_key(x: Column, width: int = 20) -> Column:
-    """A text to sort by, in which runs of digits compare as numbers."""
+def natural_key(x: Column) -> Column:
+    """A text to sort by, in which runs of digits compare as numbers, however long: the number of digits that count, then those digits."""
     runs = F.regexp_extract_all(x, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, width, "0")).otherwise(r)), "")
+    number = lambda r: F.regexp_replace(r, "^0+(?=[0-9])", "")
+    key = lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(r)).cast("string"), 10, "0"), number(r))).otherwise(r)
+    return F.array_join(F.transform(runs, key), "")
 
 
 def motion_string(codes: Column, size: int = 512) -> Column:

@@ -41,6 +41,14 @@ def placed(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(start) + low).alias(name))
 
 
+def placed_within(df: DataFrame, group: str, order: list, name: str = "place") -> DataFrame:
+    """Each row's place within its group, from 0: its place in the whole, sorted by group first, less that of the group's first row. No task sees a whole group."""
+    rows = staged(placed(df, [group, *order], "_whole"), "placed-within")
+    starts = rows.groupBy(F.col(group).alias("_group")).agg(F.min("_whole").alias("_start"))
+    rows = rows.join(starts, F.col(group).eqNullSafe(F.col("_group")))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_whole") - F.col("_start")).alias(name))
+
+
 def rotated(df: DataFrame, place: str, salt: str) -> DataFrame:
     """Places counted from a seeded start instead of the first row's, around the end."""
     n = df.agg(F.count("*").alias("_n"))

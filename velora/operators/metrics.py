@@ -15,6 +15,7 @@ from velora.functions.arrow import matrix
 from velora.functions.sampling import below
 from velora.functions.text import tokens
 from velora.functions.vector import distance, let
+from velora.operators.corpus import placed, placed_within
 
 
 def _coded(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
@@ -266,14 +267,72 @@ def valid_mean(error: Column, x: Column, missing: float = -2.0) -> Column:
     return F.avg(F.when(x != missing, error))
 
 
-def conditional_spread(rows: DataFrame, label: str, vector: str, order: str, labels: int, times: int) -> DataFrame:
-    """One row: multimodality, the mean distance of `times` seeded pairs with replacement within each label that occurs, over times * labels, whether they occur or not."""
-    own = Window.partitionBy("label")
-    ranked = rows.select(F.col(label).alias("label"), F.col(order).alias("o"), F.col(vector).alias("v")).withColumn("place", F.row_number().over(own.orderBy("o")) - 1)
-    n = ranked.groupBy("label").agg(F.count("*").alias("n"))
+def conditional_spread(rows: DataFrame, label: str, vector: str, order: str, labels: int, times: int, whole: int = 200) -> DataFrame:
+    """One row: diversity, the mean distance of `whole` seeded pairs with replacement of all rows; and multimodality, that of `times` such pairs within each label that occurs, over
+    times * labels, whether they occur or not. Rows are found by their places, which are counted over sorted ranges: no label is one task's."""
+    ranked = rows.select(F.col(label).alias("label"), F.col(order).alias("o"), F.col(vector).alias("v"))
+    inner = placed_within(ranked, "label", ["o"]).select("label", "place", "v")
+    n = inner.groupBy("label").agg(F.count("*").alias("n"))
+    drawn = _pairs_at(n, inner, times, "label").agg((F.sum(distance(F.col("first_v"), F.col("second_v"))) / (times * labels)).alias("multimodality"))
+    every = placed(ranked, ["o"]).select(F.lit(0).alias("all"), "place", "v")
+    total = every.groupBy("all").agg(F.count("*").alias("n"))
+    wide = _pairs_at(total, every, whole, "all").agg((F.sum(distance(F.col("first_v"), F.col("second_v"))) / whole).alias("diversity"))
+    return wide.join(F.broadcast(drawn))  # one row each
+
+
+def _pairs_at(n: DataFrame, rows: DataFrame, times: int, by: str) -> DataFrame:
+    """(first_v, second_v): vectors at two seeded places below n for each of `times` draws of each group."""
     draws = n.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     for side in ("first", "second"):
-        draws = draws.withColumn(side, below(F.col("n"), side, F.col("label"), F.col("t")))
-        at = ranked.select(F.col("label").alias(f"{side}_label"), F.col("place").alias(f"{side}_place"), F.col("v").alias(f"{side}_v"))
-        draws = draws.join(at, (F.col("label") == F.col(f"{side}_label")) & (F.col(side) == F.col(f"{side}_place")))
-    return draws.agg((F.sum(distance(F.col("first_v"), F.col("second_v"))) / (times * labels)).alias("multimodality"))
+        draws = draws.withColumn(side, below(F.col("n"), side, F.col(by), F.col("t")))
+        at = rows.select(F.col(by).alias(f"{side}_by"), F.col("place").alias(f"{side}_place"), F.col("v").alias(f"{side}_v"))
+        draws = draws.join(at, (F.col(by) == F.col(f"{side}_by")) & (F.col(side) == F.col(f"{side}_place")))
+    return draws
+
+
+#: Fixed value: how far lengths may differ, in words, before a caption's score falls.
+LENGTH_SPREAD = 6.0
+
+
+def cider(preds: DataFrame, refs: DataFrame, id_col: str, ref_col: str, text: str, orders: int = 4) -> DataFrame:
+    """(id, cider) of predictions (id, text) against the references (id, ref, text) of the same id, ten at best.
+
+    N-grams of 1 to orders words are weighed by their count and the log of how few reference sets hold them. For each order and reference: the cosine of both weights, in which
+    a prediction's weight counts up to the reference's, times a normal curve of the difference of lengths. The score is the mean over orders and references. Joins on n-grams
+    of one id; an id without a prediction has no row, one without references none either."""
+    cut = lambda df, *own: df.select(*own, tokens(F.col(text)).alias("w")).withColumn("size", F.size("w"))
+    p, r = cut(preds, F.col(id_col).alias("id")), cut(refs, F.col(id_col).alias("id"), F.col(ref_col).alias("ref"))
+
+    def grams(df: DataFrame, *by: str) -> DataFrame:
+        parts = [df.select(*by, F.lit(n).alias("k"), F.explode(_runs("w", n, " ")).alias("g")) for n in range(1, orders + 1)]
+        return reduce(DataFrame.union, parts).groupBy(*by, "k", "g").agg(F.count("*").alias("tf"))
+
+    ref_grams = grams(r, "id", "ref")
+    seen = ref_grams.select("id", "k", "g").distinct().groupBy("k", "g").agg(F.count("*").alias("df")).toDF("d_k", "d_g", "df")
+    sets = r.select("id").distinct().agg(F.count("*").alias("sets"))
+    same = (F.col("k") == F.col("d_k")) & (F.col("g") == F.col("d_g"))
+    weigh = lambda df: df.join(seen, same, "left").drop("d_k", "d_g").join(F.broadcast(sets)).withColumn("weight", F.col("tf") * (F.log("sets") - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)))))  # noqa: E731  one row
+    a, b = weigh(grams(p, "id")), weigh(ref_grams)
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
+    a_len = a.groupBy("id", "k").agg(length.alias("a_len")).toDF("al_id", "al_k", "a_len")
+    b_len = b.groupBy("id", "ref", "k").agg(length.alias("b_len")).toDF("bl_id", "bl_ref", "bl_k", "b_len")
+    met = a.select(F.col("id").alias("a_id"), F.col("k").alias("a_k"), F.col("g").alias("a_g"), F.col("weight").alias("a_w"))
+    met = met.join(b.select("id", "ref", "k", "g", "weight"), (F.col("a_id") == F.col("id")) & (F.col("a_k") == F.col("k")) & (F.col("a_g") == F.col("g")))
+    met = met.groupBy("id", "ref", "k").agg(F.sum(F.least("a_w", "weight") * F.col("weight")).alias("common"))
+    met = met.join(a_len, (F.col("id") == F.col("al_id")) & (F.col("k") == F.col("al_k"))).join(b_len, (F.col("id") == F.col("bl_id")) & (F.col("ref") == F.col("bl_ref")) & (F.col("k") == F.col("bl_k")))
+    met = met.where((F.col("a_len") > 0) & (F.col("b_len") > 0)).groupBy("id", "ref").agg(F.sum(F.col("common") / (F.col("a_len") * F.col("b_len"))).alias("cosines")).toDF("m_id", "m_ref", "cosines")
+    pairs = p.select("id", F.col("size").alias("p_size")).join(r.select(F.col("id").alias("r_id"), "ref", F.col("size").alias("r_size")), F.col("id") == F.col("r_id"))
+    apart = F.col("p_size") - F.col("r_size")
+    curve = F.exp(-(apart * apart) / (2 * LENGTH_SPREAD * LENGTH_SPREAD))
+    pairs = pairs.join(met, (F.col("id") == F.col("m_id")) & (F.col("ref") == F.col("m_ref")), "left")
+    return pairs.groupBy("id").agg((10 * F.avg(F.coalesce("cosines", F.lit(0.0)) * curve) / orders).alias("cider"))
+
+
+def span_error(rows: DataFrame, clip: str, frame: str, error: str, part: str, ratio: float) -> DataFrame:
+    """(clip, ade, fde): mean and last error over a part of each clip of n frames: `after` the first floor(ratio n), `between` as many at both ends, or `all`."""
+    n = F.count("*").over(Window.partitionBy(clip))
+    r = rows.withColumn("_cut", F.floor(n * F.lit(ratio))).withColumn("_n", n)
+    inside = {"all": F.lit(True), "after": F.col(frame) >= F.col("_cut"), "between": (F.col(frame) >= F.col("_cut")) & (F.col(frame) < F.col("_n") - F.col("_cut"))}
+    if part not in inside:
+        raise ValueError(f"{part!r} is none of {sorted(inside)}")
+    return r.where(inside[part] & F.col(error).isNotNull()).groupBy(clip).agg(F.avg(error).alias("ade"), F.max_by(error, frame).alias("fde"))

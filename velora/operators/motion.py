@@ -200,3 +200,70 @@ def from_velocity(rows: DataFrame, clip: str = "clip", frame: str = "frame", fea
     f = doubles(F.col(features))
     gone = lambda k: F.sum(F.element_at(f, k)).over(sums) - F.first(F.element_at(f, k)).over(sums)
     return rows.select(clip, frame, F.array(gone(2), gone(3), F.element_at(f, 1)).alias("place"), F.slice(f, F.lit(4), F.size(f)).alias("rotations"))
+
+
+def canonical_turn(rows: DataFrame, clip: str = "clip", frame: str = "frame", place: str = "place", rotations: str = "rotations", kind: str = "matrix", quarter: bool = True) -> DataFrame:
+    """(clip, frame, place, rotations, turn): whole clips turned about the upright axis (the third), so that each begins with the same heading.
+
+    turn is the part about that axis of the root's rotation in the clip's first frame, as an axis times an angle, and a quarter turn more if quarter; places in the plane and the root's
+    rotations are turned back by it, all else stays. rotations: those of all joints in one array, the root's first, each as kind says.
+    """
+    w = over(clip, frame).rowsBetween(Window.unboundedPreceding, 0)
+    r = rows.select(clip, frame, doubles(F.col(place)).alias("p"), doubles(F.col(rotations)).alias("r"))
+    axis = G.matrix_to("axis_angle", G.to_matrix(kind, F.slice("r", 1, G.WIDTHS[kind])))
+    r = r.withColumn("own", F.element_at(axis, 3) + (np.pi / 2 if quarter else 0.0)).withColumn("turn", F.first("own").over(w))
+    return _whole_turned(r, clip, frame, place, rotations, kind, -F.col("turn"))
+
+
+def turned_back(rows: DataFrame, clip: str = "clip", frame: str = "frame", place: str = "place", rotations: str = "rotations", kind: str = "matrix", turn: str = "turn") -> DataFrame:
+    """(clip, frame, place, rotations, turn): the inverse of canonical_turn."""
+    r = rows.select(clip, frame, doubles(F.col(place)).alias("p"), doubles(F.col(rotations)).alias("r"), F.col(turn).alias("turn"))
+    return _whole_turned(r, clip, frame, place, rotations, kind, F.col("turn"))
+
+
+def _whole_turned(r: DataFrame, clip: str, frame: str, place: str, rotations: str, kind: str, angle: Column) -> DataFrame:
+    x, y = _turned(F.element_at("p", 1), F.element_at("p", 2), F.sin(angle), F.cos(angle))
+    root = G.matrix_to(kind, G.matrix_mul(G.turn_about_z(angle), G.to_matrix(kind, F.slice("r", 1, G.WIDTHS[kind]))))
+    others = F.slice("r", F.lit(G.WIDTHS[kind] + 1), F.greatest(F.size("r") - G.WIDTHS[kind], F.lit(0)))
+    return r.select(clip, frame, F.array(x, y, F.element_at("p", 3)).alias(place), F.concat(root, others).alias(rotations), "turn")
+
+
+def _chain_ends(chains: list[list[int]]) -> list[tuple[int, int]]:
+    return [(a, b) for c in chains for a, b in zip(c, c[1:])]
+
+
+def posed(rows: DataFrame, offsets: list[list[float]], chains: list[list[int]], clip: str = "clip", frame: str = "frame", rotations: str = "rotations", root: str = "root") -> DataFrame:
+    """(clip, frame, pose) from the quaternions of inverse_kinematics, the root's place and each bone's offset: forward kinematics along the chains, each of which begins with the root's rotation.
+
+    One column for each joint on its way, so that no expression grows with a chain's length."""
+    p = rows.select(clip, frame, doubles(F.col(rotations)).alias("r"), doubles(F.col(root)).alias("j0"))
+    own = lambda k: F.slice("r", 4 * k + 1, 4)
+    for chain in chains:
+        turn = own(chain[0] if chain[0] == 0 else 0)
+        for parent, child in zip(chain, chain[1:]):
+            p = p.withColumn(f"t{child}", G.q_mul(turn, own(child)))
+            turn = F.col(f"t{child}")
+            bone = G.q_rotate(turn, F.array(*[F.lit(float(x)) for x in offsets[child]]))
+            p = p.withColumn(f"j{child}", F.zip_with(F.col(f"j{parent}"), bone, lambda a, b: a + b))
+    zero = F.array(*[F.lit(0.0)] * AXES)
+    there = {0, *(b for _, b in _chain_ends(chains))}
+    return p.select(clip, frame, F.flatten(F.array(*[F.col(f"j{k}") if k in there else zero for k in range(len(offsets))])).alias("pose"))
+
+
+def retargeted(poses: DataFrame, directions: list[list[float]], offsets: list[list[float]], chains: list[list[int]], leg: tuple[int, int], clip: str = "clip", frame: str = "frame", pose: str = "pose", body: Body = Body()) -> DataFrame:
+    """(clip, frame, pose): each clip's movement on another skeleton, whose bones are offsets; directions are those of the bones at rest.
+
+    The clip's leg, both bones as long as in its first frame, to the other's leg is the ratio by which the root's path is scaled. Then inverse kinematics with the
+    directions, and forward kinematics with the other's offsets. A bone's length counts along its direction's largest axis, as the offsets' do."""
+    w = over(clip, frame).rowsBetween(Window.unboundedPreceding, 0)
+    up = {b: a for a, b in _chain_ends(chains)}
+    p = poses.select(clip, frame, doubles(F.col(pose)).alias("pose"))
+    at = lambda k: joint(F.col("pose"), k)
+    length = lambda k: F.sqrt(F.aggregate(F.zip_with(at(k), at(up[k]), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)) * max(abs(float(x)) for x in directions[k])
+    wanted = sum(max(abs(float(x)) for x in offsets[k]) for k in leg)
+    ratio = F.lit(wanted) / F.first(length(leg[0]) + length(leg[1])).over(w)
+    p = p.withColumn("root", F.transform(at(0), lambda x: x)).withColumn("ratio", ratio).withColumn("root", F.transform("root", lambda x: x * F.col("ratio")))
+    turns = inverse_kinematics(p, directions, chains, clip, frame, "pose", body)
+    roots = p.select(F.col(clip).alias("_clip"), F.col(frame).alias("_frame"), "root")
+    both = turns.join(roots, (F.col(clip) == F.col("_clip")) & (F.col(frame) == F.col("_frame"))).select(clip, frame, "rotations", "root")
+    return posed(both, offsets, chains, clip, frame)

@@ -117,6 +117,16 @@ def bounds(start: Column, end: Column, fps: Column, n: Column) -> tuple[Column,
     return lo, F.greatest(at(end), lo + 1)
 
 
+#: Frames of a bucket in which frames and ranges meet.
+BUCKET = 64
+
+
 def sliced(frames: DataFrame, ranges: DataFrame, clip: str = "clip", frame: str = "frame") -> DataFrame:
-    """Frames inside each range [lo, hi) of their clip; ranges: (r_clip, segment, lo, hi)."""
-    return frames.join(ranges, (F.col(clip) == F.col("r_clip")) & (F.col(frame) >= F.col("lo")) & (F.col(frame) < F.col("hi"))).drop("r_clip")
+    """Frames inside each range [lo, hi) of their clip; ranges: (r_clip, segment, lo, hi).
+
+    Both sides meet in buckets of BUCKET frames of a clip, and only there are bounds compared: a range goes to the buckets that it touches, so that work grows with what
+    is found and a long clip is many keys. Ranges that hold nothing meet nothing."""
+    bucket = lambda x: F.floor(x / BUCKET)
+    spread = ranges.where(F.col("lo") < F.col("hi")).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi") - 1))))
+    met = (F.col(clip) == F.col("r_clip")) & (bucket(F.col(frame)) == F.col("_bucket"))
+    return frames.join(spread, met & (F.col(frame) >= F.col("lo")) & (F.col(frame) < F.col("hi"))).drop("r_clip", "_bucket")

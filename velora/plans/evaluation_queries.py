@@ -117,7 +117,7 @@ def _side(side: str, n: int) -> str:
 
 
 _CHRF = " UNION ALL ".join(f"SELECT sum(least(a.n, b.n)) AS m, sum(a.n) AS a, sum(b.n) AS b FROM {_side('p', n)} a FULL JOIN {_side('r', n)} b ON a.k = b.k AND a.g = b.g" for n in range(1, 7))
-_KEY = "array_to_string(list_transform(regexp_extract_all(p_brand, '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 20, '0') ELSE r END), '')"
+_KEY = "array_to_string(list_transform(regexp_extract_all(p_brand, '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(CAST(length(regexp_replace(r, '^0+([0-9])', '\\1')) AS VARCHAR), 10, '0') || regexp_replace(r, '^0+([0-9])', '\\1') ELSE r END), '')"
 
 ORACLES = {
     "bleu_score": f"""WITH b AS ({Q._BLEU}), c AS (SELECT n, matched, total, sum(CASE WHEN matched = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS miss FROM b), {_PAIRS},
