@@ -108,7 +108,7 @@ def test_sums_are_exact_beyond_64_bits(spark, monkeypatch):
 
 
 def test_automaton_counts_overlaps_and_stops():
-    tree = Automaton(["en", "en", "de"], ["a a", "a a b", "a a"])
+    tree = Automaton(pa.array(["en", "en", "de"]), pa.array(["a a", "a a b", "a a"]))
     langs = ["en", "de", "en"]
     phrases, words = np.zeros(3, np.int64), np.zeros(len(tree.keys), np.int64)
     for block in collocations.blocks(pa.array(["A a a a b", "a a. a a b a", "a, a c a"]), gap=collocations.IS_GAP):

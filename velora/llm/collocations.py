@@ -36,16 +36,16 @@ from pyspark.sql import functions as F
 from velora.llm.bitmaps import bit_map
 from velora.llm.staging import staged
 from velora.llm.substring_dedup import MOST_BITS
-from velora.llm.words import Block, blocks, gram_hashes, mixed, tidy
+from velora.llm.words import Block, blocks, give_back, gram_hashes, mixed, tidy
 
 LEAST, WORDS, TOP, SHARE = 30, 4, 2000, 80
 SCALE = 2_000_000
 NO_LANG = "und"
 CELL_BYTES = 4
 #: Hashes that a task adds up at a time, and slices and the least and most counters of one, in bits.
-CHUNK, SLICES, NARROW, WIDE = 1 << 22, 12, 16, 22
+CHUNK, SLICES, NARROW, WIDE = 1 << 21, 12, 16, 22
 #: Phrases of a shard, cells of one map, and bits for each of them if there is room.
-SHARD, MAP_CELLS, MAP_BITS = 1 << 19, MOST_BITS >> 5, 1 << 10
+SHARD, MAP_CELLS, MAP_BITS = 1 << 18, MOST_BITS >> 5, 1 << 10
 ROWS, DIGITS = 2, 3
 
 IS_STOP = np.zeros(256, bool)
@@ -122,6 +122,7 @@ def _sketch(cells: int, least: int, most: int):
                 yield pa.record_batch([pa.array(part[lo[a : a + 4096]]), pa.array([place[x:y].tobytes() for x, y in own], pa.binary()), pa.array([n[x:y].tobytes() for x, y in own], pa.binary())], names=["slice", "places", "counts"])
 
     def run(batches):
+        _forget()
         held, size = [], 0
         for b in batches:
             for words in _texts(b):
@@ -162,6 +163,7 @@ def _spelled(cells: int, most: int, shared, part: int, parts: int):
     """(lang, phrase) of what all maps let through, about once a task. The first row's cells are taken in parts."""
 
     def run(batches):
+        _forget()
         seen: set[int] = set()
         for b in batches:
             langs, phrases = [], []
@@ -182,7 +184,7 @@ def _spelled(cells: int, most: int, shared, part: int, parts: int):
                             seen.add(name)
                             langs.append(own[block.at[words.owner[k]]])
                             phrases.append(b" ".join(block.data[block.starts[k] : block.ends[k + n - 1]].tobytes().lower().split()).decode())
-            if len(seen) > CHUNK // 4:
+            if len(seen) > CHUNK // 8:
                 seen = set()
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(phrases, pa.string())], names=["lang", "phrase"])
 
@@ -192,14 +194,17 @@ def _spelled(cells: int, most: int, shared, part: int, parts: int):
 class Automaton:
     """A shard's phrases over its own words, which are a symbol each."""
 
-    def __init__(self, langs: list[str], phrases: list[str]):
-        words = [Words(block, np.array([_salt(langs[i]) for i in block.at], np.uint64)) for block in blocks(pa.array(phrases, pa.string()), gap=IS_GAP)]
+    def __init__(self, langs: pa.Array, phrases: pa.Array):
+        salts = np.array([_salt(x) for x in langs.to_pylist()], np.uint64)
+        words = [Words(block, salts[block.at]) for block in blocks(phrases, gap=IS_GAP)]
         keys = np.concatenate([w.keys for w in words]) if words else np.empty(0, np.uint64)
         self.keys, first = np.unique(keys, return_index=True)
         owner = np.concatenate([w.block.at[w.owner] for w in words]) if words else np.empty(0, np.int64)
-        self.langs = [langs[i] for i in owner[first].tolist()]
-        spelled = [w.block.word(i) for w in words for i in range(len(w.keys))]
-        self.words = [spelled[i] for i in first.tolist()]
+        self.langs = [langs[i].as_py() for i in owner[first].tolist()]
+        begin = np.cumsum([0, *(len(w.keys) for w in words)])
+        part = np.searchsorted(begin, first, "right") - 1
+        self.words = [words[k].block.word(i) for k, i in zip(part.tolist(), (first - begin[part]).tolist())]
+        del words
         base = 2
         while base**DIGITS < len(self.keys):
             base *= 2
@@ -253,11 +258,17 @@ _BUILT: dict[str, Automaton] = {}
 def _automaton(name: str, shared) -> Automaton:
     """One for all tasks of a worker; name tells shards apart."""
     if name not in _BUILT:
-        _BUILT.clear()
+        _forget()
         _BUILT[name] = Automaton(*shared.value[1:])
     return _BUILT[name]
 
 
+def _forget() -> None:
+    """Workers live on: what an earlier pass built goes before the next needs its memory."""
+    _BUILT.clear()
+    give_back()
+
+
 def _counted(name: str, shared):
     """(no, lang, word, n): sums of a task over its texts, of phrases by number, of the shard's words and, with neither, of all words."""
 
@@ -273,7 +284,7 @@ def _counted(name: str, shared):
                     total[langs[i]] = total.get(langs[i], 0) + n
         own, seen = np.flatnonzero(of_phrase), np.flatnonzero(of_word)
         none, lang = pa.nulls(len(own), pa.string()), list(total)
-        yield pa.record_batch([pa.array(np.array(numbers, np.int64)[own]), none, none, pa.array(of_phrase[own])], names=["no", "lang", "word", "n"])
+        yield pa.record_batch([pa.array(numbers[own]), none, none, pa.array(of_phrase[own])], names=["no", "lang", "word", "n"])
         yield pa.record_batch([pa.nulls(len(seen), pa.int64()), pa.array([tree.langs[i] for i in seen]), pa.array([tree.words[i] for i in seen]), pa.array(of_word[seen])], names=["no", "lang", "word", "n"]) if len(seen) else _no_rows()
         yield pa.record_batch([pa.nulls(len(lang), pa.int64()), pa.array(lang, pa.string()), pa.nulls(len(lang), pa.string()), pa.array(list(total.values()), pa.int64())], names=["no", "lang", "word", "n"])
 
@@ -312,8 +323,8 @@ def counts(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> tuple[Dat
     shards = [r.shard for r in cand.select("shard").distinct().collect()]  # as many as there are passes
     found, context = [], texts.sparkSession.sparkContext
     for shard in sorted(shards) or [None]:
-        rows = cand.where(F.col("shard") == shard).select("no", "lang", "phrase").toArrow().to_pydict()
-        shared = context.broadcast((rows["no"], rows["lang"], rows["phrase"]))
+        rows = cand.where(F.col("shard") == shard).select("no", "lang", "phrase").toArrow().combine_chunks()
+        shared = context.broadcast((rows["no"].to_numpy(), *(rows[c].combine_chunks() for c in ("lang", "phrase"))))
         sums = texts.mapInArrow(_counted(uuid.uuid4().hex, shared), "no long, lang string, word string, n long").groupBy("no", "lang", "word").agg(F.sum("n").alias("n"))
         found.append(staged(sums, "phrase-counts"))
         shared.unpersist()
