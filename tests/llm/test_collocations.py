@@ -94,7 +94,17 @@ def test_collocations_of_nothing(spark):
 
 
 def test_slices_are_bounded():
-    assert [collocations.slice_bits(c) for c in (16, 20, 28, 30, 34, 40)] == [16, 16, 16, 18, 22, 22]
+    assert [collocations.slice_bits(c) for c in (16, 20, 28, 30, 34, 40)] == [16, 16, 20, 22, 22, 22]
+
+
+def test_places_come_back():
+    rng = np.random.default_rng(1)
+    for k, least in ((1, 30), (50, 30), (50, 300), (5000, 30)):
+        place = np.sort(rng.choice(1 << 22, k, replace=False))
+        for p in (place, np.array([0]), np.array([0xFFFF, 0x1FFFE, 0x1FFFF])):
+            n = rng.integers(1, least + 1, len(p))
+            a, b = collocations.unpacked(*collocations.packed(p, n, least), least)
+            assert a.tolist() == p.tolist() and b.tolist() == n.tolist()
 
 
 def test_sums_are_exact_beyond_64_bits(spark, monkeypatch):

@@ -43,7 +43,7 @@ SCALE = 2_000_000
 NO_LANG = "und"
 CELL_BYTES = 4
 #: Hashes that a task adds up at a time, and slices and the least and most counters of one, in bits.
-CHUNK, SLICES, NARROW, WIDE = 1 << 21, 12, 16, 22
+CHUNK, SLICES, NARROW, WIDE = 1 << 21, 8, 16, 22
 #: Phrases of a shard, cells of one map, and bits for each of them if there is room.
 SHARD, MAP_CELLS, MAP_BITS = 1 << 18, MOST_BITS >> 5, 1 << 10
 ROWS, DIGITS = 2, 3
@@ -93,10 +93,31 @@ def _texts(batch: pa.RecordBatch) -> Iterator[Words]:
 
 
 def slice_bits(cells: int) -> int:
-    """Of a slice of a row of 2**cells counters: 2**SLICES slices, but bounded ones."""
+    """Of a slice of a row of 2**cells counters: 2**SLICES slices, whatever the size, as long as a slice is no wider than 2**WIDE."""
     return min(max(cells - SLICES, NARROW), WIDE)
 
 
+def _count_type(least: int) -> type:
+    return np.uint8 if least < 256 else np.uint32
+
+
+def packed(place: np.ndarray, n: np.ndarray, least: int) -> tuple[bytes, bytes]:
+    """Rising places as 16-bit gaps, and their counts; a gap too wide comes as several, with counts of 0."""
+    gap = np.diff(place, prepend=0)
+    steps = gap // 0xFFFF
+    if steps.any():
+        last = np.cumsum(steps + 1) - 1
+        wide, counts = np.full(last[-1] + 1, 0xFFFF), np.zeros(last[-1] + 1, np.int64)
+        wide[last], counts[last] = gap % 0xFFFF, n
+        gap, n = wide, counts
+    return gap.astype(np.uint16).tobytes(), n.astype(_count_type(least)).tobytes()
+
+
+def unpacked(gaps: bytes, counts: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
+    place, n = np.cumsum(np.frombuffer(gaps, np.uint16), dtype=np.int64), np.frombuffer(counts, _count_type(least))
+    return place[n > 0], n[n > 0]
+
+
 def _cells(h: np.ndarray, cells: int) -> Iterator[np.ndarray]:
     """The cell of each hash in each row; a row's cells come after those of the rows before."""
     low = np.uint64((1 << cells) - 1)
@@ -106,20 +127,19 @@ def _cells(h: np.ndarray, cells: int) -> Iterator[np.ndarray]:
 
 
 def _sketch(cells: int, least: int, most: int):
-    """(slice, places, counts) of a sketch with rows of 2**cells counters, sparse, once for each CHUNK of phrases; a count over least is least."""
-    wide, count_type = slice_bits(cells), np.uint8 if least < 256 else np.uint32
+    """(slice, gaps, counts) of a sketch with rows of 2**cells counters, sparse, once for each CHUNK of phrases; a count over least is least."""
+    wide = slice_bits(cells)
 
     def summed(held: list[np.ndarray]):
         for names in _cells(np.concatenate(held), cells):
             cell, n = np.unique(names, return_counts=True)
-            n = np.minimum(n, least).astype(count_type)
-            part = (cell >> np.uint64(wide)).astype(np.int64)
-            place = (cell & np.uint64((1 << wide) - 1)).astype(np.uint16 if wide <= 16 else np.uint32)
+            n, part = np.minimum(n, least), (cell >> np.uint64(wide)).astype(np.int64)
+            place = (cell & np.uint64((1 << wide) - 1)).astype(np.int64)
             lo = np.flatnonzero(np.diff(part, prepend=-1))
             hi = np.append(lo[1:], len(part))
             for a in range(0, len(lo), 4096):
-                own = list(zip(lo[a : a + 4096].tolist(), hi[a : a + 4096].tolist()))
-                yield pa.record_batch([pa.array(part[lo[a : a + 4096]]), pa.array([place[x:y].tobytes() for x, y in own], pa.binary()), pa.array([n[x:y].tobytes() for x, y in own], pa.binary())], names=["slice", "places", "counts"])
+                gaps, counts = zip(*(packed(place[x:y], n[x:y], least) for x, y in zip(lo[a : a + 4096].tolist(), hi[a : a + 4096].tolist())))
+                yield pa.record_batch([pa.array(part[lo[a : a + 4096]]), pa.array(gaps, pa.binary()), pa.array(counts, pa.binary())], names=["slice", "gaps", "counts"])
 
     def run(batches):
         _forget()
@@ -141,18 +161,18 @@ def _sketch(cells: int, least: int, most: int):
 def _frequent(cells: int, least: int):
     """The cells of at least least, from rows in order of slice."""
     wide = slice_bits(cells)
-    place_type, count_type = np.uint16 if wide <= 16 else np.uint32, np.uint8 if least < 256 else np.uint32
 
     def run(batches):
         now, sums = None, None
         out = lambda: pa.record_batch([pa.array((now << wide) + np.flatnonzero(sums >= least))], names=["cell"])
         for b in batches:
-            for part, places, counts in zip(*(c.to_pylist() for c in b.columns)):
+            for part, gaps, counts in zip(*(c.to_pylist() for c in b.columns)):
                 if part != now:
                     if now is not None:
                         yield out()
                     now, sums = part, np.zeros(1 << wide, np.int64)
-                sums[np.frombuffer(places, place_type)] += np.frombuffer(counts, count_type)  # places of a row differ
+                place, n = unpacked(gaps, counts, least)
+                sums[place] += n  # places of a row differ
         if now is not None:
             yield out()
 
@@ -299,7 +319,7 @@ def candidates(texts: DataFrame, least: int, most: int) -> DataFrame:
     """(no, lang, phrase, shard): every phrase of texts (lang, text) that occurs least times, and some that don't, each once."""
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     cells = max(NARROW, (size // CELL_BYTES).bit_length())
-    slices = texts.mapInArrow(_sketch(cells, least, most), "slice long, places binary, counts binary")
+    slices = texts.mapInArrow(_sketch(cells, least, most), "slice long, gaps binary, counts binary")
     often = staged(slices.repartition("slice").sortWithinPartitions("slice").mapInArrow(_frequent(cells, least), "cell long"), "phrase-cells")
     first = often.where(F.col("cell") < 1 << cells)
     parts = max(1, -(-first.count() // MAP_CELLS))
