@@ -407,6 +407,16 @@ def _led(members: DataFrame) -> DataFrame:
     return staged(members.join(leader, F.col("gram") == F.col("l_gram")).select("gram", "a", "b"), "jaccard-stars")
 
 
+def _several(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): links through ids that have several texts, from the smallest of their nodes to the others."""
+    own = sets.where("n > 0 AND id IS NOT NULL")
+    many = own.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select(F.col("id").alias("m"))
+    own = own.join(many, F.col("id") == F.col("m")).select("m", F.col("digest").alias("s")).distinct()
+    own = staged(own.join(nodes, F.col("s") == F.col("digest")).select("m", F.col("id").alias("b")).distinct(), "jaccard-several-texts")
+    least = own.groupBy(F.col("m").alias("l")).agg(F.min("b").alias("a"))
+    return own.join(least, F.col("m") == F.col("l")).where("a <> b").select("a", "b").distinct()
+
+
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, name_bits: int = NAME_BITS) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of df; ids are integers."""
     spark, start = df.sparkSession, tables()
@@ -434,6 +444,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     pairs = staged(twice.select("a", "b").union(star.where("a <> b").select("a", "b")).distinct(), "jaccard-pairs")
     checked = _checked(pairs, nodes, docs, words, percent, shared)
     links = checked.where("linked").select("a", "b")
+    several = _several(sets, nodes)
+    if not several.isEmpty():
+        links = links.union(several)
     parts = components(links)
     open_ = _open_lists(star, nodes, checked, parts)
     for _ in range(PIVOTS):
