@@ -659,6 +659,54 @@ def test_isotonic_rises():
     assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
 
 
+# 2, 7: long words, ids with several texts
+
+def test_long_words_merge_alike(monkeypatch):
+    """Words of thousands of bytes in typed arrays: the same ids as the short way and the library give."""
+    import public_tokenizers
+    import tokenizers
+    from velora.llm.queries import TOKENIZER
+
+    path = public_tokenizers.path(TOKENIZER)
+    codec, library, rng = bpe.Codec(path), tokenizers.Tokenizer.from_file(path), random.Random(17)
+    made = lambda letters, k: "".join(rng.choices(letters, k=k))
+    texts = [made("abcdefghijklmnopqrstuvwxyz", 20_000), "a" * 9_999, "ab" * 6_000, made("etaoin", 30_000), made("0123456789", 5_000), made("é日本ß", 4_000), made("=-_", 8_000), made(["ing", "the", "tion", "s"], 9_000)]
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert codec.merge(text.encode()) == want
+        with monkeypatch.context() as m:
+            m.setattr(bpe, "LONG_PIECE", 1 << 60)
+            assert codec.merge(text.encode()) == want
+    for k in range(60):
+        word = made("abcdeé-", rng.randrange(1, 60)).encode()
+        assert codec._merge_long(word) == codec.merge(word)
+
+
+def test_a_word_of_many_megabytes():
+    """5 MB without a space: bounded memory, which grows with the word, and the ids spell it."""
+    import resource
+
+    import public_tokenizers
+    from velora.llm.queries import TOKENIZER
+
+    codec, rng = bpe.Codec(public_tokenizers.path(TOKENIZER)), np.random.default_rng(18)
+    word = rng.choice(np.frombuffer(b"etaoinshrdlu", np.uint8), 5_000_000).tobytes()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids = codec.merge(word)
+    assert b"".join(codec.strings[i] for i in ids) == word
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1e3 < 500  # MB, the ids' list and the check above included
+
+
+def test_ids_with_several_texts_link_their_groups(spark):
+    """An id's texts are one document: what links with either links with it, whichever id is smallest."""
+    make = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    for rows in ([(3, "A"), (5, "A"), (5, "B"), (7, "B")], [(5, "A"), (5, "B"), (7, "B")], [(5, "A"), (5, "B"), (7, "B"), (2, "C"), (7, "C"), (9, "D"), (None, "D"), (5, "")]):
+        got = jaccard_join.similar(docs(spark, [(i, make(t) if t else "") for i, t in rows])).collect()
+        low = min(i for i, t in rows if i is not None and t in "ABC" and t)
+        want = sorted((i if not t else 9 if t == "D" else low) for i, t in rows)
+        assert sorted(r.component_id for r in got) == want
+
+
 # 9
 
 def test_substring_dedup_by_force(spark):
