@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velora.functions import geometry as G
-from velora.functions.vector import doubles
+from velora.functions.vector import doubles, let
 from velora.operators.corpus import placed
 from velora.operators.sequence import over, so_far
 
@@ -267,3 +267,43 @@ def retargeted(poses: DataFrame, directions: list[list[float]], offsets: list[li
     roots = p.select(F.col(clip).alias("_clip"), F.col(frame).alias("_frame"), "root")
     both = turns.join(roots, (F.col(clip) == F.col("_clip")) & (F.col(frame) == F.col("_frame"))).select(clip, frame, "rotations", "root")
     return posed(both, offsets, chains, clip, frame)
+
+
+def standardised(poses: DataFrame, places: list[int], axes: tuple[int, int, int] = (0, 1, 2), signs: tuple[int, int, int] = (1, 1, 1), scale: float = 1.0, rebase: bool = True, clip: str = "clip", frame: str = "frame", pose: str = "pose") -> DataFrame:
+    """(clip, frame, pose) in another convention: the joints at places, in that order; each one's axes swapped (axes says which old axis each new one is) and
+    turned round where signs says so; lengths times scale; and with rebase from where the first joint is in the clip's first frame."""
+    swapped = lambda p, k: [F.element_at(p, AXES * k + a + 1) * F.lit(float(s * scale)) for a, s in zip(axes, signs)]
+    r = poses.select(clip, frame, doubles(F.col(pose)).alias("p"))
+    r = r.select(clip, frame, F.array(*[x for k in places for x in swapped(F.col("p"), k)]).alias("p"))
+    if not rebase:
+        return r.withColumnRenamed("p", "pose")
+    r = r.withColumn("o", F.first(F.slice("p", 1, AXES)).over(over(clip, frame).rowsBetween(Window.unboundedPreceding, 0)))
+    return r.select(clip, frame, F.transform("p", lambda x, i: x - F.element_at("o", (i % AXES + 1).cast("int"))).alias("pose"))
+
+
+def camera_translation(points: Column, image: Column, weights: Column, focal: float = 5000.0, size: float = 224.0) -> Column:
+    """Where a camera has to stand for points (x, y, z of each joint) to fall on image (u, v of each): weighted least squares of three unknowns; null if they aren't determined.
+
+    With t the unknown, each joint asks for f (X + t0) = (u - c) (Z + t2), and likewise for v. The first two normal equations give t0 and t1 by t2, which leaves one."""
+    n = F.size(weights)
+    c = size / 2
+    at = lambda a, i: F.element_at(doubles(a), i.cast("int"))
+
+    def terms(i: Column) -> Column:
+        w, x, y, z = at(weights, i + 1), at(points, 3 * i + 1), at(points, 3 * i + 2), at(points, 3 * i + 3)
+        u, v = at(image, 2 * i + 1) - c, at(image, 2 * i + 2) - c
+        du, dv = u * z - focal * x, v * z - focal * y
+        return F.array(w, -w * u, -w * v, w * (u * u + v * v), w * du, w * dv, -w * (u * du + v * dv))
+
+    zero = F.array(*[F.lit(0.0)] * 7)
+    joints = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), terms)).otherwise(F.array(zero))
+    sums = F.aggregate(joints, zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+
+    def solved(s: Column) -> Column:
+        w, u, v, uv, bx, by, bz = (F.element_at(s, k) for k in range(1, 8))
+        rest = uv - (u * u + v * v) / w
+        deep = (bz - (u * bx + v * by) / w) / rest
+        found = F.array((bx - u * deep) / (w * focal), (by - v * deep) / (w * focal), deep)
+        return F.when((w > 0) & (rest > 1e-12 * uv), found)
+
+    return let(sums, solved)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velora.functions import geometry as G
-from velora.operators import metrics, motion
+from velora.functions import vector as V
+from velora.operators import metrics, motion, retrieval
 from velora.operators import sequence as S
 from velora.plans import corpus_queries as Q
 from velora.plans import sequence_queries as SQ
@@ -93,7 +94,49 @@ def spread_quotas(spark, sf):
     return out.select(F.round("diversity", 6).alias("diversity"), F.round("multimodality", 6).alias("multimodality"))
 
 
-QUERIES = {f.__name__: f for f in (retarget, canonical_turn, turn_round_trip, euler_angles, rotation_values, cider, ade_between, spread_quotas)}
+def camera(spark, sf):
+    """Where a camera stands that sees eight joints of a vector at places from its other values."""
+    v = VQ._vectors(spark, sf)
+    image = F.transform(F.slice("v", 25, 16), lambda x: 112 + 100 * x)
+    weights = F.transform(F.slice("v", 41, 8), lambda x: F.abs(x))
+    t = v.select("vec_id", motion.camera_translation(F.slice("v", 1, 24), image, weights, 1000.0).alias("t"))
+    return t.select("vec_id", *[F.round(F.col("t")[k], 4).alias(f"t{k}") for k in range(3)])
+
+
+def standard_pose(spark, sf):
+    """Four joints of a body in another order, with its axes swapped, twice as long, from the clip's first place on."""
+    out = motion.standardised(_bodies(spark, sf), [1, 0, 4, 7], axes=(0, 2, 1), signs=(1, 1, -1), scale=2.0)
+    return out.select("clip", "frame", *[F.round(F.col("pose")[k], 6).alias(f"p{k}") for k in (0, 1, 2, 5, 6, 10)])
+
+
+def facing(spark, sf):
+    """Which way a body faces, and its softly lowest height, kept within bounds."""
+    b = _bodies(spark, sf)
+    at = lambda k: motion.joint(F.col("pose"), k)
+    ahead = G.forward_direction(at(BODY.right_hip), at(BODY.left_hip), at(BODY.right_shoulder), at(BODY.left_shoulder))
+    heights = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.element_at("pose", 3 * k + 2))
+    b = b.withColumn("ahead", ahead).withColumn("low", V.soft_min(heights))
+    return b.select("clip", "frame", F.round(F.col("ahead")[0], 6).alias("x"), F.round(F.col("ahead")[1], 6).alias("z"), F.round("low", 6).alias("low"), F.round(V.clamp(F.col("low"), -0.2, 0.2), 6).alias("bounded"))
+
+
+def body_features(spark, sf):
+    """What a body's features keep whatever way it faces: how high its root stands over the floor, how long its step was, and how far off a joint is."""
+    f = motion.local_features(_bodies(spark, sf), body=motion.Body(BODY.left_hip, BODY.right_hip, BODY.left_shoulder, BODY.right_shoulder, (2, 4)))
+    value = lambda k: F.element_at("features", k)
+    return f.select("clip", "frame", F.round(value(1), 6).alias("height"), F.round(F.hypot(value(-2), value(-1)), 6).alias("step"), F.round(F.hypot(value(2), value(4)), 6).alias("off"))
+
+
+def hits_but_some(spark, sf):
+    """The five nearest of some vectors, without those of the labels before and after their own, which are excluded one by one."""
+    v = VQ._vectors(spark, sf)
+    asked = v.where("vec_id % 100 = 0")
+    q = asked.select(F.col("vec_id").alias("q"), F.explode(F.array(F.col("label") - 1, F.col("label") + 1)).alias("not"))
+    exclude = q.join(v.select(F.col("vec_id").alias("id"), "label"), F.col("label") == F.col("not")).select("q", "id")
+    hits = retrieval.search("dense", v.select("vec_id", "v"), asked.select("vec_id", "v"), "vec_id", "vec_id", "v", 5, exclude)
+    return hits.select("q", F.col("rank").cast("int").alias("rank"), "id", "score")
+
+
+QUERIES = {f.__name__: f for f in (camera, standard_pose, facing, body_features, hits_but_some, retarget, canonical_turn, turn_round_trip, euler_angles, rotation_values, cider, ade_between, spread_quotas)}
 
 _V = VQ._V
 _BONE = "sqrt((v[{b}+1]-v[{a}+1])**2 + (v[{b}+2]-v[{a}+2])**2 + (v[{b}+3]-v[{a}+3])**2)"
@@ -103,7 +146,21 @@ _WANTED = sum(max(map(abs, OFFSETS[k])) for k in LEG)
 _LENGTHS = sum(max(map(abs, OFFSETS[b])) for _, b in motion._chain_ends(CHAINS))
 _BELOW = "CAST(('0x' || substr(md5('{side}:' || {key} || ':' || t), 1, 8)) AS BIGINT) % n"
 _CIDER_GRAMS = "SELECT id, ref, size, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM s, (VALUES (1), (2), (3), (4)) AS orders(k) WHERE len(w) >= k)"
+_LOW = "least(v[8], v[14])"  # the lower foot
 ORACLES = {
+    "camera": f"""WITH {_V}, j AS (SELECT vec_id, abs(v[40 + i]) AS w, v[3 * i - 2] AS x, v[3 * i - 1] AS y, v[3 * i] AS z, 100 * v[23 + 2 * i] AS u, 100 * v[24 + 2 * i] AS s FROM v, range(1, 9) AS r(i)),
+e AS (SELECT vec_id, sum(w) AS w, sum(w * u) AS wu, sum(w * s) AS ws, sum(w * (u * u + s * s)) AS q, sum(w * (u * z - 1000 * x)) AS bx, sum(w * (s * z - 1000 * y)) AS by_, sum(w * (u * (u * z - 1000 * x) + s * (s * z - 1000 * y))) AS bz FROM j GROUP BY vec_id),
+d AS (SELECT *, (wu * bx / w + ws * by_ / w - bz) / (q - (wu * wu + ws * ws) / w) AS t2 FROM e)
+SELECT vec_id, round((bx + wu * t2) / (1000 * w), 4) AS t0, round((by_ + ws * t2) / (1000 * w), 4) AS t1, round(t2, 4) AS t2 FROM d""",
+    "standard_pose": f"""WITH {_V}, p AS (SELECT label, vec_id, list_transform([4, 6, 5, 1, 3, 2, 13, 15, 14, 22, 24, 23], lambda k, i: 2 * v[k] * CASE WHEN i % 3 = 0 THEN -1 ELSE 1 END) AS p FROM v), o AS (SELECT *, first_value(p) OVER {_FIRST} AS o FROM p)
+SELECT label AS clip, vec_id AS frame, round(p[1] - o[1], 6) AS p0, round(p[2] - o[2], 6) AS p1, round(p[3] - o[3], 6) AS p2, round(p[6] - o[3], 6) AS p5, round(p[7] - o[1], 6) AS p6, round(p[11] - o[2], 6) AS p10 FROM o""",
+    "facing": f"""WITH {_V}, h AS (SELECT label, vec_id, v[10] - v[4] + v[22] - v[19] AS ax, v[12] - v[6] + v[24] - v[21] AS az, list_transform(range(0, 8), lambda k: v[3 * k + 2]) AS y FROM v),
+l AS (SELECT *, list_min(y) - ln(0.5::DOUBLE + exp(list_min(y) - list_max(y))) AS low FROM h)
+SELECT label AS clip, vec_id AS frame, round(-az / sqrt(ax * ax + az * az), 6) AS x, round(ax / sqrt(ax * ax + az * az), 6) AS z, round(low, 6) AS low, round(greatest(least(low, 0.2::DOUBLE), -0.2::DOUBLE), 6) AS bounded FROM l""",
+    "body_features": f"""WITH {_V}, l AS (SELECT label, vec_id, v, min({_LOW}) OVER (PARTITION BY label) AS a, max({_LOW}) OVER (PARTITION BY label) AS b, lag(v[1]) OVER {_FIRST} AS x, lag(v[3]) OVER {_FIRST} AS z FROM v)
+SELECT label AS clip, vec_id AS frame, round(v[2] - (a - ln(0.5::DOUBLE + exp(a - b))), 6) AS height, round(coalesce(sqrt((v[1] - x) ** 2 + (v[3] - z) ** 2), 0), 6) AS step, round(sqrt((v[4] - v[1]) ** 2 + (v[6] - v[3]) ** 2), 6) AS off FROM l""",
+    "hits_but_some": f"""WITH {_V}, s AS (SELECT q.vec_id AS q, c.vec_id AS id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM v q JOIN v c ON abs(q.label - c.label) <> 1 WHERE q.vec_id % 100 = 0)
+SELECT q, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""",
     "retarget": f"""WITH {_V}, r AS (SELECT label, vec_id, v, {_WANTED}::DOUBLE / first_value({_LEGS}) OVER {_FIRST} AS ratio FROM v)
 SELECT label AS clip, vec_id AS frame, round(v[1] * ratio, 6) AS root_x, round(v[3] * ratio, 6) AS root_z, {_LENGTHS}::DOUBLE AS bones, {max(map(abs, OFFSETS[4]))}::DOUBLE AS shin FROM r""",
     "canonical_turn": f"""WITH {_V}, t AS (SELECT label, vec_id, v, first_value(2 * v[6]) OVER {_FIRST} + pi() / 2 AS turn, v[1] - lag(v[1]) OVER {_FIRST} AS dx, v[2] - lag(v[2]) OVER {_FIRST} AS dy FROM v)

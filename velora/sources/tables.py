@@ -31,13 +31,15 @@ def _there(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"{path} is not there; near it: {candidates(spark, path)}")
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; empty stays empty. Tab for .tsv and .txt, else comma; if that gives one column and the other gives more, the other."""
+def read_delimited(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """All columns as text; empty stays empty. Tab for .tsv and .txt, else comma; if that gives one column and the other gives more, the other.
+
+    A quoted value may hold line ends, and so each file is one task's; lines=False, for files without such values, lets a large file be parted."""
     _there(spark, path)
     first = "\t" if path.rsplit(".", 1)[-1].lower() in ("tsv", "txt") else ","
 
     def read(sep: str) -> DataFrame:
-        df = spark.read.option("sep", sep).option("header", True).option("inferSchema", False).option("nullValue", "\x00").option("emptyValue", "").option("quote", '"').option("escape", '"').csv(path)
+        df = spark.read.option("sep", sep).option("header", True).option("inferSchema", False).option("nullValue", "\x00").option("emptyValue", "").option("quote", '"').option("escape", '"').option("multiLine", lines).csv(path)
         df = df.toDF(*[c.lstrip(BOM) for c in df.columns])
         return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
