@@ -179,14 +179,20 @@ def _frequent(cells: int, least: int):
     return tidy(run)
 
 
+def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is among known ones, which are in order."""
+    at = np.searchsorted(known, x)
+    return (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == x) if len(known) else np.zeros(len(x), bool)
+
+
 def _spelled(cells: int, most: int, shared, part: int, parts: int):
     """(lang, phrase) of what all maps let through, about once a task. The first row's cells are taken in parts."""
 
     def run(batches):
         _forget()
-        seen: set[int] = set()
+        seen = np.empty(0, np.uint64)  # in order; what a batch adds is merged after it
         for b in batches:
-            langs, phrases = [], []
+            langs, phrases, fresh = [], [], set()
             own = b.column(0).to_pylist()
             for words in _texts(b):
                 block = words.block
@@ -199,13 +205,13 @@ def _spelled(cells: int, most: int, shared, part: int, parts: int):
                             keep &= cell % np.uint64(parts) == part
                         fit = fit[keep]
                     h, first = np.unique(h[fit], return_index=True)
-                    for name, k in zip(h.tolist(), start[fit[first]].tolist()):
-                        if name not in seen:
-                            seen.add(name)
+                    new = ~_within(h, seen)
+                    for name, k in zip(h[new].tolist(), start[fit[first[new]]].tolist()):
+                        if name not in fresh:
+                            fresh.add(name)
                             langs.append(own[block.at[words.owner[k]]])
                             phrases.append(b" ".join(block.data[block.starts[k] : block.ends[k + n - 1]].tobytes().lower().split()).decode())
-            if len(seen) > CHUNK // 8:
-                seen = set()
+            seen = np.union1d(seen, np.fromiter(fresh, np.uint64, len(fresh))) if len(seen) + len(fresh) <= 2 * CHUNK else np.empty(0, np.uint64)
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(phrases, pa.string())], names=["lang", "phrase"])
 
     return tidy(run)
