@@ -47,6 +47,8 @@ CHUNK, SLICES, NARROW, WIDE = 1 << 21, 8, 16, 22
 #: Phrases of a shard, cells of one map, and bits for each of them if there is room.
 SHARD, MAP_CELLS, MAP_BITS = 1 << 18, MOST_BITS >> 5, 1 << 10
 ROWS, DIGITS = 2, 3
+#: Lists of spelled phrases that a task sends.
+BUCKETS = 256
 
 IS_STOP = np.zeros(256, bool)
 IS_STOP[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -186,13 +188,19 @@ def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _spelled(cells: int, most: int, shared, part: int, parts: int):
-    """(lang, phrase) of what all maps let through, about once a task. The first row's cells are taken in parts."""
+    """(bucket, langs, phrases) of what all maps let through, about once a task, in lists by BUCKETS buckets of their hash. The first row's cells are taken in parts."""
+
+    def listed(held: list[list[tuple[str, str]]]) -> pa.RecordBatch:
+        own = [k for k in range(BUCKETS) if held[k]]
+        kind = pa.list_(pa.string())
+        return pa.record_batch([pa.array(own, pa.int32()), *(pa.array([[x[side] for x in held[k]] for k in own], kind) for side in (0, 1))], names=["bucket", "langs", "phrases"])
 
     def run(batches):
         _forget()
         seen = np.empty(0, np.uint64)  # in order; what a batch adds is merged after it
+        held, size = [[] for _ in range(BUCKETS)], 0
         for b in batches:
-            langs, phrases, fresh = [], [], set()
+            fresh: set[int] = set()
             own = b.column(0).to_pylist()
             for words in _texts(b):
                 block = words.block
@@ -209,14 +217,34 @@ def _spelled(cells: int, most: int, shared, part: int, parts: int):
                     for name, k in zip(h[new].tolist(), start[fit[first[new]]].tolist()):
                         if name not in fresh:
                             fresh.add(name)
-                            langs.append(own[block.at[words.owner[k]]])
-                            phrases.append(b" ".join(block.data[block.starts[k] : block.ends[k + n - 1]].tobytes().lower().split()).decode())
+                            phrase = b" ".join(block.data[block.starts[k] : block.ends[k + n - 1]].tobytes().lower().split()).decode()
+                            held[name % BUCKETS].append((own[block.at[words.owner[k]]], phrase))
             seen = np.union1d(seen, np.fromiter(fresh, np.uint64, len(fresh))) if len(seen) + len(fresh) <= 2 * CHUNK else np.empty(0, np.uint64)
-            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(phrases, pa.string())], names=["lang", "phrase"])
+            size += len(fresh)
+            if size >= CHUNK // 8:
+                yield listed(held)
+                held, size = [[] for _ in range(BUCKETS)], 0
+        if size:
+            yield listed(held)
 
     return tidy(run)
 
 
+def _once(batches):
+    """(lang, phrase), each once, from lists in order of bucket: what is held at once is a bucket's."""
+    now, held = None, {}
+    out = lambda: pa.record_batch([pa.array([x[side] for x in held], pa.string()) for side in (0, 1)], names=["lang", "phrase"])
+    for b in batches:
+        for bucket, langs, phrases in zip(*(c.to_pylist() for c in b.columns)):
+            if bucket != now:
+                if held:
+                    yield out()
+                now, held = bucket, {}
+            held.update(dict.fromkeys(zip(langs, phrases)))
+    if held:
+        yield out()
+
+
 class Automaton:
     """A shard's phrases over its own words, which are a symbol each."""
 
@@ -333,7 +361,8 @@ def candidates(texts: DataFrame, least: int, most: int) -> DataFrame:
     found = []
     for part in range(parts):
         shared = texts.sparkSession.sparkContext.broadcast([bit_map(first.where(F.col("cell") % parts == part), "cell", MAP_BITS), *others])
-        rows = texts.mapInArrow(_spelled(cells, most, shared, part, parts), "lang string, phrase string").distinct()
+        rows = texts.mapInArrow(_spelled(cells, most, shared, part, parts), "bucket int, langs array<string>, phrases array<string>")
+        rows = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_once, "lang string, phrase string")
         found.append(staged(rows, "phrase-spelled"))
     rows = reduce(DataFrame.union, found)
     shards = max(1, -(-rows.count() // SHARD))
