@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -261,3 +262,31 @@ def test_library_does_not_need_the_llm_package():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "velora.llm" not in p.read_text(), p
+
+
+def test_grams_of_long_texts_and_of_rows_that_share_an_id(spark):
+    """Texts are cut into words once, not once for each of their n-grams; rows of one id count as one."""
+    from collections import Counter
+
+    rows = [(1, "a b c a b", "a b a b d"), (2, "a b c", "x a b c d"), (2, "b c \U0001f600", "b c"), (3, "", "a b"), (4, " ".join(f"w{k % 977}" for k in range(20_000)), " ".join(f"w{k % 983}" for k in range(20_000)))]
+    begun = time.monotonic()
+    df = spark.createDataFrame(rows, "k int, p string, r string")
+    got = {r.n: (r.matched, r.total) for r in metrics.clipped_ngrams(df, "k", "p", "r", 4).collect()}
+    chars = {r.n: tuple(r)[1:] for r in metrics.gram_matches(df.where("k < 4").selectExpr("k id", "replace(p, ' ', '') p", "replace(r, ' ', '') r"), 3, "").collect()}
+    assert time.monotonic() - begun < 60
+    grams = lambda x, n: [tuple(x[i : i + n]) for i in range(len(x) - n + 1)]
+
+    def both(n, of, own):
+        out = {}
+        for k, p, r in own:
+            for side, x in ((0, p), (1, r)):
+                out.setdefault(k, (Counter(), Counter()))[side].update(grams(of(x), n))
+        return list(out.values())
+
+    for n in range(1, 5):
+        own = both(n, str.split, rows)
+        assert got[n] == (sum((a & b).total() for a, b in own), sum(a.total() for a, _ in own))
+    for n in range(1, 4):
+        own = both(n, lambda x: x.replace(" ", ""), rows[:4])
+        apart = sum(sum(v for g, v in x.items() if g not in y) for a, b in own for x, y in ((a, b), (b, a)))
+        assert chars[n] == (sum((a & b).total() for a, b in own), sum(a.total() for a, _ in own), sum(b.total() for _, b in own), apart)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -16,6 +17,7 @@ from velora.functions.sampling import below
 from velora.functions.text import tokens
 from velora.functions.vector import distance, let
 from velora.operators.corpus import placed, placed_within
+from velora.sources.staging import staged
 
 
 def _coded(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
@@ -92,12 +94,52 @@ def sequence_scores(pairs: DataFrame, pred: str, ref: str) -> DataFrame:
     )
 
 
-def clipped_ngrams(pairs: DataFrame, id_col: str, pred: str, ref: str, n: int) -> DataFrame:
-    """(matched, total) of corpus BLEU for n-grams: counts of the prediction clipped by the reference's."""
-    gram = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-    count = lambda c, name: pairs.select(id_col, F.explode(gram(tokens(F.col(c)))).alias("g")).groupBy(id_col, "g").agg(F.count("*").alias(name))
-    both = count(pred, "a").join(count(ref, "b"), [id_col, "g"], "left")
-    return both.agg(F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("matched"), F.sum("a").alias("total")).withColumn("n", F.lit(n))
+def _common_grams(orders: int):
+    """(n, matched, a, b, apart) of a task's rows (p, r): n-grams of both sides by order, each row for itself. apart: grams of one side only."""
+
+    def run(batches):
+        sums = np.zeros((orders, 4), np.int64)
+        for batch in batches:
+            for p, r in zip(*(c.to_pylist() for c in batch.columns)):
+                p, r = (x if isinstance(x, str) else tuple(x) for x in (p, r))
+                for n in range(1, orders + 1):
+                    a, b = (Counter([x[i : i + n] for i in range(len(x) - n + 1)]) for x in (p, r))
+                    both = a.keys() & b.keys()
+                    known_a, known_b = sum(map(a.__getitem__, both)), sum(map(b.__getitem__, both))
+                    a_all, b_all = max(len(p) - n + 1, 0), max(len(r) - n + 1, 0)
+                    sums[n - 1] += sum(map(min, map(a.__getitem__, both), map(b.__getitem__, both))), a_all, b_all, a_all - known_a + b_all - known_b
+        yield pa.record_batch([pa.array(range(1, orders + 1), pa.int32()), *(pa.array(sums[:, k]) for k in range(4))], names=["n", "matched", "a", "b", "apart"])
+
+    return run
+
+
+def gram_matches(sides: DataFrame, orders: int, glue: str) -> DataFrame:
+    """(n, matched, a, b, apart) for n-grams of 1 to orders items of rows (id, p, r): of all ids, how many p and r share (each counted up to the other side's), how many either has, and
+    how many are on one side only.
+
+    p and r are both arrays of items, or both texts whose letters are the items. Rows are written once. A row whose id is its own is counted where it is; rows that share an id
+    are counted as one, over their n-grams.
+    """
+    rows = staged(sides.select("id", "p", "r").where("p is not null and r is not null"), "gram-sides")
+    shared = staged(rows.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("id").alias("_id")), "gram-ids")
+    own = rows.join(shared, F.col("id").eqNullSafe(F.col("_id")), "left_anti").select("p", "r").mapInArrow(_common_grams(orders), "n int, matched long, a long, b long, apart long")
+    items = lambda side: F.regexp_extract_all(side, F.lit("(?s)."), F.lit(0)) if dict(rows.dtypes)[side] == "string" else F.col(side)
+    named = lambda n: lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+    grams = lambda side: F.flatten(F.array(*[F.transform(_runs(items(side), n, glue), named(n)) for n in range(1, orders + 1)]))
+    again = rows.join(shared, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    one = lambda side, a, b: again.select("id", F.explode(grams(side)).alias("z"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    many = one("p", 1, 0).union(one("r", 0, 1)).groupBy("id", "z.n", "z.g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    apart = F.when(F.least("a", "b") == 0, F.greatest("a", "b")).otherwise(0)
+    many = many.select("n", F.least("a", "b").alias("matched"), "a", "b", apart.alias("apart"))
+    return own.union(many).groupBy("n").agg(*[F.sum(c).alias(c) for c in ("matched", "a", "b", "apart")])
+
+
+def clipped_ngrams(pairs: DataFrame, id_col: str, pred: str, ref: str, orders: int) -> DataFrame:
+    """(matched, total, n) of corpus BLEU for n-grams of 1 to orders words: counts of the prediction clipped by the reference's. Both are null for an order without n-grams."""
+    found = gram_matches(pairs.select(F.col(id_col).alias("id"), tokens(F.col(pred)).alias("p"), tokens(F.col(ref)).alias("r")), orders, " ").where("a > 0")
+    at = lambda name, n: F.max(F.when(F.col("n") == n, F.col(name)))
+    row = found.agg(F.array(*[F.struct(at("matched", n).alias("matched"), at("a", n).alias("total"), F.lit(n).alias("n")) for n in range(1, orders + 1)]).alias("all"))
+    return row.select(F.explode("all").alias("z")).select("z.matched", "z.total", "z.n")
 
 
 def moments(df: DataFrame, vector: str, least: float = 1e-6) -> DataFrame:
@@ -221,7 +263,7 @@ def bleu(pairs: DataFrame, id_col: str, pred: str, ref: str, orders: int = 4) ->
     """One row with the corpus BLEU of white-space tokens, in percent: the geometric mean of the n-gram precisions times the brevity penalty. The k-th order
     without a match counts as 100 / (2**k total); no match at all, or no n-gram of some order, makes 0."""
     n = range(1, orders + 1)
-    counts = reduce(DataFrame.union, [clipped_ngrams(pairs, id_col, pred, ref, k) for k in n])
+    counts = clipped_ngrams(pairs, id_col, pred, ref, orders)
     lengths = pairs.agg(F.sum(F.size(tokens(F.col(pred)))).alias("pred_len"), F.sum(F.size(tokens(F.col(ref)))).alias("ref_len"))
     at = lambda name, k: F.coalesce(F.max(F.when(F.col("n") == k, F.col(name))), F.lit(0)).alias(f"{name}{k}")
     row = counts.agg(*[at(name, k) for name in ("matched", "total") for k in n]).join(F.broadcast(lengths))  # one row each
@@ -237,14 +279,9 @@ def bleu(pairs: DataFrame, id_col: str, pred: str, ref: str, orders: int = 4) ->
 
 def chrf(pairs: DataFrame, id_col: str, pred: str, ref: str, orders: int = 6, beta: float = 2.0) -> DataFrame:
     """One row with the corpus chrF in percent: the F score of the mean precision and the mean recall of character n-grams without white space. Orders that one side lacks don't count."""
-    letters = lambda c: F.split(F.array_join(tokens(F.col(c)), ""), "")
-    sides = pairs.select(F.col(id_col).alias("id"), letters(pred).alias("p"), letters(ref).alias("r"))
-    count = lambda side, k, name: sides.select("id", F.explode(_runs(F.filter(side, lambda x: x != ""), k, "")).alias("g")).groupBy("id", "g").agg(F.count("*").alias(name))
-    parts = []
-    for k in range(1, orders + 1):
-        both = count("p", k, "a").join(count("r", k, "b").withColumnsRenamed({"id": "id2", "g": "g2"}), (F.col("id") == F.col("id2")) & (F.col("g") == F.col("g2")), "full")
-        parts.append(both.agg(F.sum(F.least("a", "b")).alias("m"), F.sum("a").alias("a"), F.sum("b").alias("b")))
-    both = reduce(DataFrame.union, parts).where("a > 0 AND b > 0")
+    letters = lambda c: F.array_join(tokens(F.col(c)), "")
+    found = gram_matches(pairs.select(F.col(id_col).alias("id"), letters(pred).alias("p"), letters(ref).alias("r")), orders, "")
+    both = found.where("a > 0 AND b > 0").select((F.col("matched") + F.col("apart")).alias("m"), "a", "b")  # as in the SQL, what one side lacks counts as the other has it
     means = both.agg(F.coalesce(F.avg(F.coalesce("m", F.lit(0)) / F.col("a")), F.lit(0.0)).alias("precision"), F.coalesce(F.avg(F.coalesce("m", F.lit(0)) / F.col("b")), F.lit(0.0)).alias("recall"))
     p, r, w = F.col("precision"), F.col("recall"), beta * beta
     return means.select("precision", "recall", F.when(p + r > 0, 100 * (1 + w) * p * r / (w * p + r)).otherwise(0.0).alias("chrf"))
