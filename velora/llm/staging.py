@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from velora.sources import staging as base
-from velora.sources.staging import drop, shared_folder, tables
+from velora.sources.staging import BATCH as _BATCH
+from velora.sources.staging import MOST_ROWS, drop, shared_folder, small_batches, tables
 
 __all__ = ["drop", "free", "shared_folder", "small_batches", "staged", "tables"]
 
-#: Rows of an Arrow batch with texts, which are long, and without: an executor holds a batch for each task on both sides.
-MOST_ROWS, NARROW_ROWS = 500, 10_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small from now on; a session that asks for smaller ones keeps them."""
-    rows = int(spark.conf.get(_BATCH))
-    if not 0 < rows <= MOST_ROWS:
-        spark.conf.set(_BATCH, MOST_ROWS)
+#: Rows of an Arrow batch without texts.
+NARROW_ROWS = 10_000
 
 
 def free(columns: list[str], *names: str) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velora.functions.sampling import below
 from velora.functions.text import bucket, comparison_key, nfkc, strip
-from velora.sources.staging import staged
+from velora.sources.staging import small_batches, staged
 
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -62,7 +62,9 @@ def numbered(df: DataFrame, order: list[str], name: str = "file_id", form: str =
 
 
 def cleaned(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Strip the columns, bring them to Unicode's NFKC, and drop rows where one is then empty or null. Only rows with other than ASCII are sent to Python."""
+    """Strip the columns, bring them to Unicode's NFKC, and drop rows where one is then empty or null. Only rows with other than ASCII are sent to Python, each column
+    a small batch at a time."""
+    small_batches(df.sparkSession)
     plain = ~F.exists(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns]), lambda x: F.octet_length(x) != F.char_length(x))
     same, other = df.where(plain), df.where(~plain)
     for c in columns:
