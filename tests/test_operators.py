@@ -290,3 +290,38 @@ def test_grams_of_long_texts_and_of_rows_that_share_an_id(spark):
         own = both(n, lambda x: x.replace(" ", ""), rows[:4])
         apart = sum(sum(v for g, v in x.items() if g not in y) for a, b in own for x, y in ((a, b), (b, a)))
         assert chars[n] == (sum((a & b).total() for a, b in own), sum(a.total() for a, _ in own), sum(b.total() for _, b in own), apart)
+
+
+def test_features_are_sought_once_and_alike(spark):
+    """Texts without Hangul are searched for the few patterns that fit them."""
+    texts = ["왜 안 가니?", "12 red", "why?", "", None, "a?1", "가장 더 크다 3", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.array_compact(F.array(*[F.when(F.col("t").rlike(p), F.lit(n)) for n, p, _ in T.FEATURES]))
+    terms = F.concat_ws(" ", *[F.when(F.col("t").rlike(p), F.lit(w)) for _, p, w in T.FEATURES])
+    want = df.select("t", plain, F.when(terms == "", T.NO_FEATURE).otherwise(terms)).collect()
+    assert [tuple(r) for r in df.select("t", T.feature_tags(F.col("t")), T.feature_query(F.col("t"))).collect()] == [tuple(r) for r in want]
+    begun = time.monotonic()
+    long = spark.range(1).select(F.repeat(F.lit("nothing to see here "), 500_000).alias("t"))
+    assert long.select(T.feature_tags(F.col("t")).alias("a"), T.feature_query(F.col("t")).alias("b")).first() == ([], T.NO_FEATURE)
+    assert time.monotonic() - begun < 10
+
+
+def test_values_of_placeholders_are_made_where_asked(spark):
+    """A placeholder in the caption counts; what no template asks for isn't made."""
+    df = spark.createDataFrame([("<Caption_Placeholder>, <Motion_Placeholder>", "in <Frame_Placeholder>", [1, 2], 8), ("x", "c", None, 8)], "t string, c string, k array<int>, f int")
+    got = [r[0] for r in df.select(T.fill(F.col("t"), F.col("c"), F.col("k"), F.col("f"))).collect()]
+    assert got == ["in 8, <motion_id_512><motion_id_1><motion_id_2><motion_id_513>", None]
+    own = df.select(T.fill(F.col("t"), F.col("c"), F.col("k"), F.col("f")).alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert own.count("contains(") >= 7
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """Whatever the session asks for: an executor holds a batch for each of its tasks."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 10_000)
+    try:
+        corpus.cleaned(spark.createDataFrame([("Å",)], "t string"), ["t"])
+        assert int(spark.conf.get(name)) <= 500
+    finally:
+        spark.conf.set(name, before)
