@@ -127,3 +127,21 @@ def test_facing_is_level_and_of_length_one(spark):
     hips = [[-1.0, 0.3, 0.0], [1.0, 0.1, 0.0]]  # right, left: it looks along z
     ahead = spark.range(1).select(G.forward_direction(*[F.array(*[F.lit(x) for x in v]) for v in (hips[0], hips[1], hips[0], hips[1])])).first()[0]
     assert math.isclose(math.hypot(*ahead), 1) and abs(ahead[0]) < 1e-12
+
+
+def test_excluded_rows_do_not_widen_the_dense_search(spark, monkeypatch):
+    """However many rows a query excludes, no task keeps more than k for it."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] , "i long, v array<double>")
+    asked = rows.where("i < 3").union(spark.createDataFrame([(1, rng.normal(size=6).tolist())], "i long, v array<double>"))
+    out = [(q, i) for q in range(3) for i in range(q, 90, q + 2)] + [(77, 5), (0, 1000)]
+    kept, plain = [], retrieval.dense_top
+    monkeypatch.setattr(retrieval, "dense_top", lambda *a, **how: kept.append(a[5]) or plain(*a, **how))
+    got = retrieval.search("dense", rows, asked, "i", "i", "v", 4, spark.createDataFrame(out, "q long, id long")).collect()
+    assert kept == [4]
+    unit = lambda v: v / np.linalg.norm(v)
+    for q in (0, 2):
+        want = sorted(((-round(float(unit(x[q]) @ unit(x[i])), 6), i) for i in range(90) if (q, i) not in out))[:4]
+        assert [(-r.score, r.id) for r in sorted(got, key=lambda r: r["rank"]) if r.q == q] == want
+    assert {r.id for r in got if r.q == 1}.isdisjoint(i for q, i in out if q == 1)
