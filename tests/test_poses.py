@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -244,3 +245,14 @@ def test_tfidf_with_many_short_queries(spark, monkeypatch):
         s = sorted((-round(sum(x * v.get(t, 0) for t, x in w.items()), 6), i) for i, v in own.items())
         full += [(q, k, i, -x) for k, (x, i) in enumerate((r for r in s if r[0] < 0), 1) if k <= 4]
     assert len(want) == len(full) and sum(x == y for x, y in zip(want, sorted(full))) > 0.98 * len(full)
+
+
+def test_cider_deals_its_texts_by_size(spark, monkeypatch):
+    """A task adds up the n-grams of a bounded part of the texts, whatever the files are like."""
+    monkeypatch.setattr(metrics, "TASK_BYTES", 64)
+    rows = spark.createDataFrame([(k, j, f"a b{k} c{j} d e") for k in range(20) for j in range(2)], "i int, k int, t string").coalesce(1)
+    out = metrics.cider(rows.where("k = 0").select("i", "t"), rows.where("k = 1"), "i", "k", "t")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[id#\d+L?\], (\d+)", plan)]
+    assert dealt and min(dealt) > 1
+    assert out.count() == 20

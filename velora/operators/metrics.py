@@ -329,6 +329,8 @@ def _pairs_at(n: DataFrame, rows: DataFrame, times: int, by: str) -> DataFrame:
 
 #: Fixed value: how far lengths may differ, in words, before a caption's score falls.
 LENGTH_SPREAD = 6.0
+#: Bytes of the texts whose n-grams a task adds up: n-grams take some fifty times as much.
+TASK_BYTES = 1 << 20
 
 
 def cider(preds: DataFrame, refs: DataFrame, id_col: str, ref_col: str, text: str, orders: int = 4) -> DataFrame:
@@ -336,13 +338,16 @@ def cider(preds: DataFrame, refs: DataFrame, id_col: str, ref_col: str, text: st
 
     N-grams of 1 to orders words are weighed by their count and the log of how few reference sets hold them. For each order and reference: the cosine of both weights, in which
     a prediction's weight counts up to the reference's, times a normal curve of the difference of lengths. The score is the mean over orders and references. Joins on n-grams
-    of one id; an id without a prediction has no row, one without references none either."""
+    of one id; an id without a prediction has no row, one without references none either. Texts are dealt to tasks by id, so that a task has the n-grams of about TASK_BYTES."""
+    dealt = lambda df, source: df.repartition(max(1, -(-(source.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0) // TASK_BYTES)), "id")
     cut = lambda df, *own: df.select(*own, tokens(F.col(text)).alias("w")).withColumn("size", F.size("w"))
-    p, r = cut(preds, F.col(id_col).alias("id")), cut(refs, F.col(id_col).alias("id"), F.col(ref_col).alias("ref"))
+    p, r = dealt(cut(preds, F.col(id_col).alias("id")), preds), dealt(cut(refs, F.col(id_col).alias("id"), F.col(ref_col).alias("ref")), refs)
+
+    named = lambda n: lambda g: F.struct(F.lit(n).alias("k"), g.alias("g"))
 
     def grams(df: DataFrame, *by: str) -> DataFrame:
-        parts = [df.select(*by, F.lit(n).alias("k"), F.explode(_runs("w", n, " ")).alias("g")) for n in range(1, orders + 1)]
-        return reduce(DataFrame.union, parts).groupBy(*by, "k", "g").agg(F.count("*").alias("tf"))
+        every = F.flatten(F.array(*[F.transform(_runs("w", n, " "), named(n)) for n in range(1, orders + 1)]))
+        return df.select(*by, F.explode(every).alias("z")).select(*by, "z.k", "z.g").groupBy(*by, "k", "g").agg(F.count("*").alias("tf"))
 
     ref_grams = grams(r, "id", "ref")
     seen = ref_grams.select("id", "k", "g").distinct().groupBy("k", "g").agg(F.count("*").alias("df")).toDF("d_k", "d_g", "df")
