@@ -247,6 +247,33 @@ def test_tfidf_with_many_short_queries(spark, monkeypatch):
     assert len(want) == len(full) and sum(x == y for x, y in zip(want, sorted(full))) > 0.98 * len(full)
 
 
+def test_tfidf_weighs_rows_where_they_are(spark, monkeypatch):
+    """No term is shuffled while the terms fit; cut in slices of any size or joined, the weights are the same. An id's texts are one."""
+    rng = random.Random(11)
+    rows = [(i // 2, "".join(rng.choices("aBcdé 한\n", k=rng.randrange(0, 40)))) for i in range(80)] + [(50, None), (51, " ")]
+    a = spark.createDataFrame(rows, "i long, t string")
+    plain = defaultdict(lambda: defaultdict(int))
+    for i, t in rows:
+        for w in (t or "").lower().split():
+            for n in (2, 3, 4):
+                for k in range(len(w) + 3 - n):
+                    plain[i][f" {w} "[k : k + n]] += 1
+    want, n_docs = {}, len(rows)
+    for i, own in plain.items():
+        w = {g: (1 + np.log(n)) * (np.log((1 + n_docs) / (1 + sum(g in other for other in plain.values()))) + 1) for g, n in own.items()}
+        want[i] = {g: x / np.sqrt(sum(y * y for y in w.values())) for g, x in w.items()}
+    for grams, terms in ((1 << 20, 1 << 20), (50, 1 << 20), (1 << 20, 0)):
+        monkeypatch.setattr(retrieval, "GRAMS", grams)
+        monkeypatch.setattr(retrieval, "MOST_TERMS", terms)
+        got, idf = retrieval.tfidf_rows(a, "i", "t")
+        found = {r.id: dict(zip(r.terms, r.weights)) for r in got.collect()}
+        assert found.keys() == want.keys() and all(found[i].keys() == want[i].keys() and all(abs(found[i][g] - x) < 1e-12 for g, x in want[i].items()) for i in want)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not terms or ("Exchange" not in plan and "Join" not in plan)
+        flat = retrieval.tfidf(a, "i", "t")[0].collect()
+        assert len(flat) == sum(len(w) for w in want.values()) and all(abs(want[r.id][r.term] - r.weight) < 1e-12 for r in flat)
+
+
 def test_cider_deals_its_texts_by_size(spark, monkeypatch):
     """A task adds up the n-grams of a bounded part of the texts, whatever the files are like."""
     monkeypatch.setattr(metrics, "TASK_BYTES", 64)
