@@ -274,6 +274,26 @@ def test_tfidf_weighs_rows_where_they_are(spark, monkeypatch):
         assert len(flat) == sum(len(w) for w in want.values()) and all(abs(want[r.id][r.term] - r.weight) < 1e-12 for r in flat)
 
 
+@pytest.mark.parametrize("n_rows, n_asked", [(90, 25), (12, 70)])
+def test_tfidf_search_in_blocks_of_either_side(spark, monkeypatch, n_rows, n_asked):
+    """The smaller side goes to the tasks, in one block or many, with all, some or no terms dense: the same hits as by force."""
+    rng = random.Random(12)
+    text = lambda: "".join(rng.choices("abcdefg ", k=rng.randrange(0, 30)))
+    rows, asked = [(i, text()) for i in range(n_rows)] + [(None, "abc")], [(1000 + i // 2, text()) for i in range(n_asked)] + [(7, None)]
+    a, b = spark.createDataFrame(rows, "i long, t string"), spark.createDataFrame(asked, "q long, t string")
+    _, idf = retrieval.tfidf_rows(a, "i", "t")
+    of = lambda x, i: {r.id: dict(zip(r.terms, r.weights)) for r in retrieval.weighted(retrieval.words_of(x.where(f"{i} is not null"), i, "t"), idf).collect()}
+    own, other, want = of(a, "i"), of(b, "q"), []
+    for q, w in other.items():
+        s = sorted((-round(sum(x * v.get(t, 0) for t, x in w.items()), 6), i) for i, v in own.items())
+        want += [(q, k, i, -x) for k, (x, i) in enumerate((r for r in s if r[0] < 0), 1) if k <= 3]
+    for texts, head in ((4096, 2048), (9, 20), (4096, 0)):
+        monkeypatch.setattr(retrieval, "TEXTS", texts)
+        monkeypatch.setattr(retrieval, "HEAD", head)
+        got = retrieval.tfidf_top(a, b, "i", "q", "t", 3).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_cider_deals_its_texts_by_size(spark, monkeypatch):
     """A task adds up the n-grams of a bounded part of the texts, whatever the files are like."""
     monkeypatch.setattr(metrics, "TASK_BYTES", 64)
