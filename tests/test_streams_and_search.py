@@ -66,6 +66,20 @@ def test_searches_leave_out_what_is_excluded(spark, kind):
     assert retrieval.search(kind, a, b, "i", "i", "x", 3, exclude.limit(0)).count() == sum(r["rank"] <= 3 for r in full)
 
 
+@pytest.mark.parametrize("prefix", [2, 3, 8])
+def test_stems_are_joined_on_more_than_two_characters(spark, monkeypatch, prefix):
+    """Every place of every stem, shorter and longer than what is joined on; many stems with one beginning meet no place that only begins alike."""
+    monkeypatch.setattr(lexicon, "PREFIX", prefix)
+    rng = random.Random(4)
+    texts = [(i, "".join(rng.choices("ab한😀", k=60))) for i in range(8)] + [(8, ""), (9, "a"), (10, None)]
+    stems = {texts[i % 8][1][k : k + n] for i, (k, n) in enumerate((rng.randrange(48), rng.randrange(1, 13)) for _ in range(120))} | {f"ab{i:03d}" for i in range(200)}
+    lex = spark.createDataFrame([(s, f"g{k}", 1) for s in sorted(stems) for k in range(1 + len(s) % 2)], "stem string, gloss string, weight long")
+    found = lexicon.occurrences(spark.createDataFrame(texts, "i long, t string"), lex, "i", "t")
+    want = sorted((i, s, f"g{k}", at + 1) for i, t in texts if t for s in stems if len(s) > 1 for at in range(len(t)) if t.startswith(s, at) for k in range(1 + len(s) % 2))
+    assert sorted((r.i, r.stem, r.gloss, r["at"]) for r in found.collect()) == want
+    assert found.columns == ["i", "at", "stem", "gloss"]
+
+
 def test_quoted_line_ends_stay_in_their_value(spark, tmp_path):
     at = f"{tmp_path}/c.csv"
     with open(at, "w", encoding="utf-8", newline="") as f:
