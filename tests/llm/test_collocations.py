@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -125,3 +126,76 @@ def test_automaton_counts_overlaps_and_stops():
         tree.count(Words(block, np.array([collocations._salt(langs[i]) for i in block.at], np.uint64)), phrases, words)
     assert phrases.tolist() == [3, 1, 2]
     assert Counter(dict(zip(zip(tree.langs, tree.words), words.tolist()))) == {("en", "a"): 7, ("en", "b"): 1, ("de", "a"): 5}
+
+
+def test_passes_do_not_grow_with_candidates(spark, monkeypatch):
+    """Texts are read for their size, the sketch and the stretches, whatever the number of maps and shards."""
+    rows, read = made(7), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    for name, value in (("MAP_CELLS", 40), ("SHARD", 30)):
+        monkeypatch.setattr(collocations, name, value)
+    assert found(docs(spark, rows).mapInArrow(seen, SHAPE), least=3) == by_force(rows, 3, 2000)
+    assert read.value == 3 * len(rows)
+
+
+def test_automaton_counts_what_begins_a_stretch():
+    tree = Automaton(pa.array(["en", "en", "en", "de"]), pa.array(["a a", "a a b", "a b", "a b"]))
+    stretches, langs, times = ["a a b", "a b", "a a", "c", "a b"], ["en", "en", "en", "en", "de"], np.array([5, 7, 2, 9, 4])
+    phrases, words = np.zeros(4, np.int64), np.zeros(len(tree.keys), np.int64)
+    for block in collocations.blocks(pa.array(stretches), gap=collocations.IS_GAP):
+        tree.count(Words(block, np.array([collocations._salt(langs[i]) for i in block.at], np.uint64)), phrases, words, times[block.at])
+    assert phrases.tolist() == [7, 5, 7, 4]
+    assert dict(zip(zip(tree.langs, tree.words), words.tolist())) == {("en", "a"): 14, ("en", "b"): 0, ("de", "a"): 4, ("de", "b"): 0}
+
+
+@pytest.mark.parametrize("some", [False, True])
+def test_stretches_in_small_parts(monkeypatch, some):
+    """Stretches of full lists, folds and shards add up. Where maps leave phrases out, those that pass with all their parts are still whole."""
+    monkeypatch.setattr(collocations, "CHUNK", 200)
+    has = lambda h: (h % np.uint64(3) > 0) if some else np.ones(len(h), bool)
+    shared = SimpleNamespace(value=[[SimpleNamespace(has=has)]] * collocations.ROWS)
+    rows = [(t or "", lang or "und") for t, lang in made(9)]
+    batches = [pa.record_batch([pa.array([x[k] for x in rows[i : i + 20]], pa.string()) for k in (1, 0)], names=["lang", "text"]) for i in range(0, len(rows), 20)]
+    lists = pa.Table.from_batches(list(collocations._stretches(16, 4, shared, 1)(batches))).sort_by("bucket")
+    assert len(lists) > lists["bucket"].combine_chunks().unique().__len__()
+    got = Counter()
+    for b in collocations._counted(4, 30)(lists.to_batches(max_chunksize=7)):
+        for lang, phrase, n in zip(*(c.to_pylist() for c in b.columns)):
+            got[lang, phrase] += n
+    want, passing = Counter(), {}
+    for text, lang in rows:
+        for w in pieces(text):
+            want[lang, ""] += len(w)
+            for k in range(1, 5):
+                want.update((lang, " ".join(w[i : i + k])) for i in range(len(w) - k + 1))
+    if some:
+        for block in collocations.blocks(pa.array([p for _, p in want]), gap=collocations.IS_GAP):
+            keys = list(want)
+            words = Words(block, np.array([collocations._salt(keys[i][0]) for i in block.at], np.uint64))
+            size, _, _ = words.stretches(4, lambda h: np.logical_and.reduce([has(c) for c in collocations._cells(h, 16)]))
+            passing |= {keys[i]: size[first] == last - first for i, first, last in zip(block.at.tolist(), block.first, block.first[1:])}
+        want = Counter({k: n for k, n in want.items() if passing[k] or not k[1]})
+        assert 50 < len(want) < len(passing)
+        assert all(got[k] == n for k, n in want.items())
+    else:
+        assert got == want
+
+
+def test_tally_adds_up():
+    rng, tally, want = np.random.default_rng(2), collocations.Tally(), Counter()
+    for _ in range(40):
+        names, n = np.unique(rng.integers(0, 200_000, 5000).astype(np.uint64), return_counts=True)
+        assert tally.add(names, n).tolist() == [x not in want for x in names.tolist()]
+        want.update(dict(zip(names.tolist(), n.tolist())))
+    assert tally.of(np.array(list(want), np.uint64)).tolist() == list(want.values())
+
+
+def test_phrases_are_spelled():
+    block = next(collocations.blocks(pa.array(["Éa  B\tc. Dé", "", "e"]), gap=collocations.IS_GAP))
+    words = Words(block, np.zeros(3, np.uint64))
+    assert words.spelled(np.array([0, 1, 3, 4, 0]), np.array([3, 1, 1, 1, 2])).to_pylist() == ["Éa b c", "b", "dé", "e", "Éa b"]

@@ -4,16 +4,19 @@ A phrase is 2 to WORDS consecutive words of one piece of a text. The steps:
 
 1. Every phrase of every text is hashed with its language to a cell in each of the ROWS rows of a count-min sketch, with one counter in a row for about each CELL_BYTES bytes of the
    corpus. A cell counts all phrases that fall into it, so it bounds each one's count from above. Tasks add up their own phrases first; counters go by slices, sparse, each to one task.
-2. A phrase with a cell under the threshold can't be frequent. Bit maps of the other cells, of bounded size, go to a second pass, which spells the phrases that all of them
-   let through: the candidates. If the cells are too many for one map they are taken in parts, a pass each.
-3. Candidates are dealt to shards of about SHARD phrases, and a shard is compiled into an automaton. Its words are spelled in DIGITS symbols, of which the first, second and third are from alphabets of
-   their own, so that no match begins or ends inside a word. A delimiter, which no phrase holds, guards the ends of pieces and stands for words that the shard doesn't know and those
-   that stand in none of its pairs of neighbours. Each shard scans all texts and counts all matches, overlapping ones too, and its own words; sums over tasks are exact
-   counts, and only then thresholds apply. (An automaton over whole words, or letters, finds the same matches: a node with very many children is slow, and letters make longer texts.)
+2. A phrase with a cell under the threshold can't be frequent, nor can one that holds such a phrase. Bit maps of the other cells go to a second pass. It takes at each word of a text the longest
+   phrase that begins there and that, like all phrases in it, the maps let through: a stretch. Every occurrence of a frequent phrase begins a stretch, so a task sends a stretch once, with the number of
+   times it came, and no text. Stretches are dealt to buckets by their first two words.
+3. A bucket's candidates are the phrases that begin its stretches. About SHARD of them at most are compiled into an automaton. Its words are spelled in DIGITS symbols, of which the first, second and
+   third are from alphabets of their own, so that no match begins or ends inside a word. A delimiter, which no phrase holds, guards the ends of pieces and stands for words that the shard doesn't know and
+   those that stand in none of its pairs of neighbours. It scans the bucket's stretches, and a match at a stretch's beginning counts as often as the stretch came (matches further on begin stretches of
+   their own); sums over buckets are exact counts, and only then thresholds apply. (An automaton over whole words, or letters, finds the same matches: a node with very many children is slow,
+   and letters make longer texts.)
 4. Cuts, scores, and phrases inside longer ones are joins on the table of counts.
 
-Scale: the sketch grows with the corpus, so that a cell's other phrases stay few; what is held at once does not: a chunk of hashes, a slice of counters, ROWS maps of 16 MB, a shard. A task
-sends a counter for each different phrase it has, not for each occurrence. Words and phrases are told apart by 64-bit hashes of their bytes and language.
+Scale: two passes over the texts, whatever their number and that of the candidates. The sketch grows with the corpus, so that a cell's other phrases stay few; what is held at once does not: a chunk of
+hashes, a slice of counters, MAPS maps of 16 MB for each row, CHUNK >> 2 stretches of a task, a shard. With over MAPS * MAP_CELLS cells the maps get fuller and let more through, at most a stretch a word.
+A task sends a counter for each different phrase of a chunk, not for each occurrence. Words and phrases are told apart by 64-bit hashes of their bytes and language.
 
 Cases: null and empty texts have no words; a null language is NO_LANG. Repeated rows and null ids count as any others: only text and language matter. Ties: score, then a, falling, then the phrase by
 bytes. Extra columns don't matter. Long texts are handled whole. Empty table: empty result.
@@ -23,9 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import uuid
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from velora.llm.bitmaps import bit_map
 from velora.llm.staging import staged
 from velora.llm.substring_dedup import MOST_BITS
-from velora.llm.words import Block, blocks, give_back, gram_hashes, mixed, tidy
+from velora.llm.words import LOWER, Block, blocks, give_back, gram_hashes, mixed, tidy
 
 LEAST, WORDS, TOP, SHARE = 30, 4, 2000, 80
 SCALE = 2_000_000
@@ -44,11 +45,11 @@ NO_LANG = "und"
 CELL_BYTES = 4
 #: Hashes that a task adds up at a time, and slices and the least and most counters of one, in bits.
 CHUNK, SLICES, NARROW, WIDE = 1 << 21, 8, 16, 22
-#: Phrases of a shard, cells of one map, and bits for each of them if there is room.
-SHARD, MAP_CELLS, MAP_BITS = 1 << 18, MOST_BITS >> 5, 1 << 10
+#: Phrases of a shard, cells of one map, bits for each of them if there is room, and the most maps of a row.
+SHARD, MAP_CELLS, MAP_BITS, MAPS = 1 << 18, MOST_BITS >> 3, 1 << 10, 4
 ROWS, DIGITS = 2, 3
-#: Lists of spelled phrases that a task sends.
-BUCKETS = 256
+#: Lists of stretches that a task sends, and bytes of stretches that it holds.
+BUCKETS, HELD_BYTES = 512, 1 << 26
 
 IS_STOP = np.zeros(256, bool)
 IS_STOP[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -77,14 +78,45 @@ class Words:
         self.begins[1:] = (stops[1:] != stops[:-1]) | (owner[1:] != owner[:-1])
 
     def phrases(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(first word, hash, length) of all phrases of 2 to most words."""
+        """(first word, hash, length) of all words, and of all phrases of 2 to most words."""
         piece = np.cumsum(self.begins)
-        for n in range(2, most + 1):
+        for n in range(1, most + 1):
             if len(piece) < n:
                 return
             start = np.flatnonzero(piece[n - 1 :] == piece[: len(piece) - n + 1])
             yield start, gram_hashes(self.keys, start, n), n
 
+    def stretches(self, most: int, passes: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: how many words the longest phrase has that begins there and passes with all phrases in it (0: none), its hash, and the hash of its first two words."""
+        piece, total = np.cumsum(self.begins), len(self.keys)
+        size, names, lead = np.zeros(total, np.int64), np.zeros(total, np.uint64), np.zeros(total, np.uint64)
+        whole = np.ones(total + 1, bool)  # whether the phrase of n - 1 words passes
+        for n in range(1, min(most, total) + 1):
+            end = total - n + 1
+            start = np.flatnonzero(whole[:end] & whole[1 : end + 1] & (piece[n - 1 :] == piece[:end]))
+            h = gram_hashes(self.keys, start, n)
+            keep = passes(h)
+            start, h = start[keep], h[keep]
+            size[start], names[start] = n, h
+            if n <= 2:
+                lead[start] = h
+            whole = np.zeros(total + 1, bool)
+            whole[start] = True
+        return size, names, lead
+
+    def spelled(self, at: np.ndarray, size: np.ndarray) -> pa.Array:
+        """Phrases of size words from each place on, lower-cased, with one space between words."""
+        after = np.cumsum(size)
+        word = np.repeat(at - (after - size), size) + np.arange(int(size.sum()))
+        space = np.ones(len(word), np.int64)
+        space[after - 1] = 0
+        start, length = self.block.starts[word], self.block.ends[word] - self.block.starts[word] + space
+        end = np.cumsum(length)
+        data = LOWER[self.block.data[np.minimum(np.repeat(start - (end - length), length) + np.arange(int(length.sum())), len(self.block.data) - 1)]]
+        data[end[space > 0] - 1] = 0x20
+        offsets = np.concatenate(([0], end[after - 1])).astype(np.int32)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+
 
 def _texts(batch: pa.RecordBatch) -> Iterator[Words]:
     """The words of a batch (lang, text), block by block."""
@@ -187,64 +219,89 @@ def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == x) if len(known) else np.zeros(len(x), bool)
 
 
-def _spelled(cells: int, most: int, shared, part: int, parts: int):
-    """(bucket, langs, phrases) of what all maps let through, about once a task, in lists by BUCKETS buckets of their hash. The first row's cells are taken in parts."""
+class Tally:
+    """How often each hash came. Names are in order; new ones lie apart until they are many."""
+
+    def __init__(self):
+        self.old = self.new = np.empty(0, np.uint64), np.empty(0, np.int64)
 
-    def listed(held: list[list[tuple[str, str]]]) -> pa.RecordBatch:
-        own = [k for k in range(BUCKETS) if held[k]]
-        kind = pa.list_(pa.string())
-        return pa.record_batch([pa.array(own, pa.int32()), *(pa.array([[x[side] for x in held[k]] for k in own], kind) for side in (0, 1))], names=["bucket", "langs", "phrases"])
+    @staticmethod
+    def _merged(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        names, n = (np.concatenate(z) for z in zip(x, y))
+        order = np.argsort(names, kind="stable")
+        return names[order], n[order]
+
+    def add(self, names: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Count names, in order and each once; whether each is new."""
+        fresh = np.ones(len(names), bool)
+        for known, counts in (self.old, self.new):
+            hit = _within(names, known)
+            counts[np.searchsorted(known, names[hit])] += n[hit]
+            fresh &= ~hit
+        self.new = self._merged(self.new, (names[fresh], n[fresh]))
+        if len(self.new[0]) > max(1 << 15, len(self.old[0]) >> 2):
+            self.old, self.new = self._merged(self.old, self.new), Tally().new
+        return fresh
+
+    def of(self, names: np.ndarray) -> np.ndarray:
+        known, counts = self._merged(self.old, self.new)
+        return counts[np.searchsorted(known, names)]
+
+
+def _stretches(cells: int, most: int, shared, parts: int):
+    """(bucket, langs, phrases, times) of a task's different stretches, in lists by BUCKETS buckets of their first two words. An empty phrase stands for all words of its language."""
+
+    def passes(h: np.ndarray) -> np.ndarray:
+        fit = np.arange(len(h))
+        for row, cell in enumerate(_cells(h, cells)):
+            cell = cell[fit]
+            within, keep = cell // np.uint64(parts), np.zeros(len(cell), bool)
+            part = cell % np.uint64(parts)
+            for k, known in enumerate(shared.value[row]):
+                own = np.flatnonzero(part == k) if parts > 1 else slice(None)
+                keep[own] = known.has(within[own])
+            fit = fit[keep]
+        out = np.zeros(len(h), bool)
+        out[fit] = True
+        return out
+
+    def listed(bucket: np.ndarray, langs: pa.Array, phrases: pa.Array, times: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        offsets = pa.array(np.append(first, len(bucket)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (langs.take(pa.array(order)), phrases.take(pa.array(order)), pa.array(times[order]))]
+        return pa.record_batch([pa.array(bucket[first], pa.int32()), *lists], names=["bucket", "langs", "phrases", "times"])
 
     def run(batches):
         _forget()
-        seen = np.empty(0, np.uint64)  # in order; what a batch adds is merged after it
-        held, size = [[] for _ in range(BUCKETS)], 0
+        tally, held, size, weight, total = Tally(), [], 0, 0, {}
+        whole = lambda: listed(np.concatenate([x[1] for x in held]), pa.concat_arrays([x[2] for x in held]), pa.concat_arrays([x[3] for x in held]), tally.of(np.concatenate([x[0] for x in held])))
         for b in batches:
-            fresh: set[int] = set()
-            own = b.column(0).to_pylist()
+            own = b.column(0)
             for words in _texts(b):
-                block = words.block
-                for start, h, n in words.phrases(most):
-                    fit = np.arange(len(h))
-                    for row, cell in enumerate(_cells(h, cells)):
-                        cell = cell[fit]
-                        keep = shared.value[row].has(cell)
-                        if row == 0 and parts > 1:
-                            keep &= cell % np.uint64(parts) == part
-                        fit = fit[keep]
-                    h, first = np.unique(h[fit], return_index=True)
-                    new = ~_within(h, seen)
-                    for name, k in zip(h[new].tolist(), start[fit[first[new]]].tolist()):
-                        if name not in fresh:
-                            fresh.add(name)
-                            phrase = b" ".join(block.data[block.starts[k] : block.ends[k + n - 1]].tobytes().lower().split()).decode()
-                            held[name % BUCKETS].append((own[block.at[words.owner[k]]], phrase))
-            seen = np.union1d(seen, np.fromiter(fresh, np.uint64, len(fresh))) if len(seen) + len(fresh) <= 2 * CHUNK else np.empty(0, np.uint64)
-            size += len(fresh)
-            if size >= CHUNK // 8:
-                yield listed(held)
-                held, size = [[] for _ in range(BUCKETS)], 0
+                for i, n in zip(own.take(pa.array(words.block.at)).to_pylist(), words.block.counts.tolist()):
+                    total[i] = total.get(i, 0) + n
+                length, name, lead = words.stretches(most, passes)
+                place = np.flatnonzero(length)
+                h, first, n = np.unique(name[place], return_index=True, return_counts=True)
+                fresh = tally.add(h, n)
+                at = place[first[fresh]]
+                if len(at):
+                    phrases = words.spelled(at, length[at])
+                    held.append((h[fresh], (lead[at] % np.uint64(BUCKETS)).astype(np.int64), own.take(pa.array(words.block.at[words.owner[at]])), phrases))
+                    size, weight = size + len(at), weight + phrases.nbytes
+                if size >= CHUNK >> 2 or weight >= HELD_BYTES:
+                    yield whole()
+                    tally, held, size, weight = Tally(), [], 0, 0
         if size:
-            yield listed(held)
+            yield whole()
+        if total:
+            yield listed(np.zeros(len(total), np.int64), pa.array(list(total), pa.string()), pa.array([""] * len(total)), np.array(list(total.values()), np.int64))
 
     return tidy(run)
 
 
-def _once(batches):
-    """(lang, phrase), each once, from lists in order of bucket: what is held at once is a bucket's."""
-    now, held = None, {}
-    out = lambda: pa.record_batch([pa.array([x[side] for x in held], pa.string()) for side in (0, 1)], names=["lang", "phrase"])
-    for b in batches:
-        for bucket, langs, phrases in zip(*(c.to_pylist() for c in b.columns)):
-            if bucket != now:
-                if held:
-                    yield out()
-                now, held = bucket, {}
-            held.update(dict.fromkeys(zip(langs, phrases)))
-    if held:
-        yield out()
-
-
 class Automaton:
     """A shard's phrases over its own words, which are a symbol each."""
 
@@ -264,10 +321,10 @@ class Automaton:
             base *= 2
         place = np.arange(len(self.keys))[:, None] // base ** np.arange(DIGITS)[::-1] % base
         self.codes = (_FIRST + base * np.arange(DIGITS) + place).astype("<u4")  # an alphabet for each digit
-        self.phrases = len(phrases)
+        self.phrases, self.sizes = len(phrases), np.bincount(owner, minlength=len(phrases))
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         text = self.codes[np.searchsorted(self.keys, keys)].tobytes().decode("utf-32-le")
-        end = (np.cumsum(np.bincount(owner, minlength=len(phrases))) * DIGITS).tolist() if len(phrases) else []
+        end = (np.cumsum(self.sizes) * DIGITS).tolist()
         for i, (a, b) in enumerate(zip([0, *end], end)):
             self.tree.add_word(text[a:b], i)
         if len(phrases):
@@ -282,13 +339,17 @@ class Automaton:
         """A hash of each word and the next."""
         return mixed(keys[:-1] * _ODD + keys[1:])
 
-    def count(self, words: Words, of_phrase: np.ndarray, of_word: np.ndarray) -> None:
-        """Add what a block holds."""
+    def count(self, words: Words, of_phrase: np.ndarray, of_word: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Add what a block holds. times: the block's texts are stretches, of which each came so often; what begins a stretch counts, so often."""
         if not len(words.keys) or not self.phrases:
             return
         at = np.minimum(np.searchsorted(self.keys, words.keys), len(self.keys) - 1)
         known = self.keys[at] == words.keys
-        of_word += np.bincount(at[known], minlength=len(of_word))
+        first = np.diff(words.owner, prepend=-1) > 0
+        if times is None:
+            of_word += np.bincount(at[known], minlength=len(of_word))
+        else:
+            np.add.at(of_word, at[known & first], times[words.owner[known & first]])
         pair = self.pair_map[self._pairs(words.keys) & np.uint64(self.pair_bits - 1)] & known[1:] & known[:-1] & ~words.begins[1:]
         keep = np.zeros(len(at), bool)
         keep[1:] |= pair
@@ -302,92 +363,100 @@ class Automaton:
         text = np.full(DIGITS * len(keep) + int(stop.sum()), _STOP, "<u4")
         for digit in range(DIGITS):
             text[place + digit] = self.codes[at[keep], digit]
-        hits = np.fromiter((i for _, i in self.tree.iter(text.tobytes().decode("utf-32-le"))), np.int64)
-        of_phrase += np.bincount(hits, minlength=len(of_phrase))
-
-
-_BUILT: dict[str, Automaton] = {}
-
-
-def _automaton(name: str, shared) -> Automaton:
-    """One for all tasks of a worker; name tells shards apart."""
-    if name not in _BUILT:
-        _forget()
-        _BUILT[name] = Automaton(*shared.value[1:])
-    return _BUILT[name]
+        hits = np.fromiter(self.tree.iter(text.tobytes().decode("utf-32-le")), np.dtype("i8,i8"))
+        end, hits = hits["f0"], hits["f1"]
+        if times is None:
+            of_phrase += np.bincount(hits, minlength=len(of_phrase))
+        else:
+            often = np.zeros(len(text), np.int64)  # of the stretch that begins at a symbol
+            often[place[first[keep]]] = times[words.owner[keep[first[keep]]]]
+            np.add.at(of_phrase, hits, often[end + 1 - DIGITS * self.sizes[hits]])
 
 
 def _forget() -> None:
-    """Workers live on: what an earlier pass built goes before the next needs its memory."""
-    _BUILT.clear()
+    """Workers live on: what an earlier pass held goes before the next needs its memory."""
     give_back()
 
 
-def _counted(name: str, shared):
-    """(no, lang, word, n): sums of a task over its texts, of phrases by number, of the shard's words and, with neither, of all words."""
+def _shard(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, n) of all phrases that begin the stretches in rows (lang, phrase, n), and of their first words."""
+    known: dict[tuple[str, str], None] = {}
+    langs, stretches, times = rows["lang"].to_pylist(), rows["phrase"].combine_chunks(), rows["n"].to_numpy()
+    alone: dict[tuple[str, str], int] = {}
+    for lang, stretch, n in zip(langs, stretches.to_pylist(), times.tolist()):
+        end = stretch.find(" ")
+        head = lang, stretch if end < 0 else stretch[:end]
+        alone[head] = alone.get(head, 0) + n
+        while end >= 0:
+            end = stretch.find(" ", end + 1)
+            known[lang, stretch if end < 0 else stretch[:end]] = None
+    own = [pa.array([x[side] for x in known], pa.string()) for side in (0, 1)]
+    tree = Automaton(*own)
+    of_phrase, of_word = np.zeros(len(known), np.int64), np.zeros(len(tree.keys), np.int64)
+    salts = np.array([_salt(x) for x in langs], np.uint64)
+    for block in blocks(stretches, gap=IS_GAP):
+        tree.count(Words(block, salts[block.at]), of_phrase, of_word, times[block.at])
+    yield pa.record_batch([*own, pa.array(of_phrase)], names=["lang", "phrase", "n"])
+    yield pa.record_batch([*(pa.array([x[side] for x in alone], pa.string()) for side in (0, 1)), pa.array(list(alone.values()), pa.int64())], names=["lang", "phrase", "n"])
+
+
+def _counted(most: int, shard: int):
+    """(lang, phrase, n): a bucket's sums, from lists of stretches in order of bucket. Equal rows of several shards are parts of a sum."""
+    each = max(1, shard // max(1, most - 1))  # stretches that have shard phrases at most
+
+    def folded(held: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        return rows.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
+
+    def counted(rows: pa.Table):
+        for at in range(0, len(rows), each):
+            yield from _shard(rows.slice(at, each))
 
     def run(batches):
-        numbers = shared.value[0]
-        tree = _automaton(name, shared)
-        of_phrase, of_word, total = np.zeros(len(numbers), np.int64), np.zeros(len(tree.keys), np.int64), {}
+        _forget()
+        now, held, size = None, [], 0
         for b in batches:
-            langs = b.column(0).to_pylist()
-            for words in _texts(b):
-                tree.count(words, of_phrase, of_word)
-                for i, n in zip(words.block.at.tolist(), words.block.counts.tolist()):
-                    total[langs[i]] = total.get(langs[i], 0) + n
-        own, seen = np.flatnonzero(of_phrase), np.flatnonzero(of_word)
-        none, lang = pa.nulls(len(own), pa.string()), list(total)
-        yield pa.record_batch([pa.array(numbers[own]), none, none, pa.array(of_phrase[own])], names=["no", "lang", "word", "n"])
-        yield pa.record_batch([pa.nulls(len(seen), pa.int64()), pa.array([tree.langs[i] for i in seen]), pa.array([tree.words[i] for i in seen]), pa.array(of_word[seen])], names=["no", "lang", "word", "n"]) if len(seen) else _no_rows()
-        yield pa.record_batch([pa.nulls(len(lang), pa.int64()), pa.array(lang, pa.string()), pa.nulls(len(lang), pa.string()), pa.array(list(total.values()), pa.int64())], names=["no", "lang", "word", "n"])
+            bucket = b.column(0).to_numpy()
+            first = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+            for x, y in zip(first, [*first[1:], len(bucket)]):
+                if bucket[x] != now:
+                    if held:
+                        yield from counted(folded(held))
+                    now, held, size = bucket[x], [], 0
+                rows = b.slice(x, y - x)
+                held.append(pa.table([rows.column(k).flatten() for k in (1, 2, 3)], names=["lang", "phrase", "n"]))
+                size += len(held[-1])
+                if size >= 4 * each:
+                    held = [folded(held)]
+                    size = len(held[0])
+                    if size >= 2 * each:  # else it would soon be folded again
+                        yield from counted(held[0])
+                        held, size = [], 0
+        if held:
+            yield from counted(folded(held))
 
     return tidy(run)
 
 
-def _no_rows() -> pa.RecordBatch:
-    return pa.record_batch([pa.array([], t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64())], names=["no", "lang", "word", "n"])
-
-
-def candidates(texts: DataFrame, least: int, most: int) -> DataFrame:
-    """(no, lang, phrase, shard): every phrase of texts (lang, text) that occurs least times, and some that don't, each once."""
+def dealt(texts: DataFrame, least: int, most: int) -> DataFrame:
+    """(bucket, langs, phrases, times): the stretches of texts (lang, text), with every phrase that occurs least times, and some that don't."""
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     cells = max(NARROW, (size // CELL_BYTES).bit_length())
     slices = texts.mapInArrow(_sketch(cells, least, most), "slice long, gaps binary, counts binary")
     often = staged(slices.repartition("slice").sortWithinPartitions("slice").mapInArrow(_frequent(cells, least), "cell long"), "phrase-cells")
-    first = often.where(F.col("cell") < 1 << cells)
-    parts = max(1, -(-first.count() // MAP_CELLS))
-    others = [bit_map(often.where(F.shiftright("cell", cells) == row), "cell", MAP_BITS) for row in range(1, ROWS)]
-    found = []
-    for part in range(parts):
-        shared = texts.sparkSession.sparkContext.broadcast([bit_map(first.where(F.col("cell") % parts == part), "cell", MAP_BITS), *others])
-        rows = texts.mapInArrow(_spelled(cells, most, shared, part, parts), "bucket int, langs array<string>, phrases array<string>")
-        rows = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_once, "lang string, phrase string")
-        found.append(staged(rows, "phrase-spelled"))
-    rows = reduce(DataFrame.union, found)
-    shards = max(1, -(-rows.count() // SHARD))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))
-    return staged(rows.withColumn("no", F.monotonically_increasing_id()), "phrase-candidates")
+    parts = min(MAPS, max(1, -(-often.where(F.col("cell") < 1 << cells).count() // MAP_CELLS)))
+    within = often.select(F.shiftright("cell", cells).alias("row"), F.expr(f"cell % {parts}").alias("part"), F.expr(f"cell div {parts}").alias("cell"))
+    maps = [[bit_map(within.where((F.col("row") == row) & (F.col("part") == part)), "cell", MAP_BITS) for part in range(parts)] for row in range(ROWS)]
+    shared = texts.sparkSession.sparkContext.broadcast(maps)
+    return texts.mapInArrow(_stretches(cells, most, shared, parts), "bucket int, langs array<string>, phrases array<string>, times array<long>")
 
 
 def counts(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, f) of all phrases of 2 to most words that occur least times, and of their words; and (lang, n), the number of all words.
-
-    Each shard's phrases, SHARD or about as many, pass through the driver to be broadcast, one shard at a time."""
-    cand = candidates(texts, least, most)
-    shards = [r.shard for r in cand.select("shard").distinct().collect()]  # as many as there are passes
-    found, context = [], texts.sparkSession.sparkContext
-    for shard in sorted(shards) or [None]:
-        rows = cand.where(F.col("shard") == shard).select("no", "lang", "phrase").toArrow().combine_chunks()
-        shared = context.broadcast((rows["no"].to_numpy(), *(rows[c].combine_chunks() for c in ("lang", "phrase"))))
-        sums = texts.mapInArrow(_counted(uuid.uuid4().hex, shared), "no long, lang string, word string, n long").groupBy("no", "lang", "word").agg(F.sum("n").alias("n"))
-        found.append(staged(sums, "phrase-counts"))
-        shared.unpersist()
-    sums = reduce(DataFrame.union, found)
-    phrases = sums.where("no is not null").select(F.col("no").alias("c_no"), F.col("n").alias("f")).join(cand, F.col("c_no") == F.col("no")).select("lang", "phrase", "f")
-    words = sums.where("word is not null").groupBy("lang", F.col("word").alias("phrase")).agg(F.max("n").alias("f"))  # the same in each shard
-    total = sums.where("no is null and word is null").groupBy("lang").agg(F.max("n").alias("n"))
-    return staged(phrases.union(words).where(F.col("f") >= least), "phrase-frequent"), total
+    """(lang, phrase, f) of all phrases of 2 to most words that occur least times, and of their words; and (lang, n), the number of all words."""
+    sums = dealt(texts, least, most).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(most, SHARD), "lang string, phrase string, n long")
+    sums = sums.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
+    sums = staged(sums, "phrase-frequent")
+    return sums.where("phrase != ''"), sums.where("phrase = ''").select("lang", F.col("f").alias("n"))
 
 
 def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, most: int = WORDS, share: int = SHARE, top: int = TOP) -> DataFrame:
