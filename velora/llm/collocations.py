@@ -50,6 +50,8 @@ SHARD, MAP_CELLS, MAP_BITS, MAPS = 1 << 18, MOST_BITS >> 3, 1 << 10, 4
 ROWS, DIGITS = 2, 3
 #: Lists of stretches that a task sends, and bytes of stretches that it holds.
 BUCKETS, HELD_BYTES = 512, 1 << 26
+#: Parts of a language's phrases, each of which sends its first on to the language's own ranks.
+PARTS = 32
 
 IS_STOP = np.zeros(256, bool)
 IS_STOP[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -477,6 +479,7 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     within = within.groupBy(F.col("lang").alias("i_lang"), joined(F.col("at"), F.col("m")).alias("i_phrase")).agg(F.max("f").alias("longer"))
     inside = F.expr(f"cast(longer as decimal(20, 0)) * 100 >= cast(a as decimal(20, 0)) * {share}")
     kept = scored.join(within, (F.col("lang") == F.col("i_lang")) & (F.col("phrase") == F.col("i_phrase")), "left").where(~F.coalesce(inside, F.lit(False)))
-    ranked = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    kept = kept.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
+    order = F.col("score").desc(), F.col("a").desc(), F.col("phrase")
+    for part in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))], ["lang"]):  # no task ranks all phrases of a language
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("rank") <= top)
     return kept.join(total.withColumnRenamed("lang", "t_lang"), F.col("lang") == F.col("t_lang")).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
