@@ -14,7 +14,7 @@ A phrase is 2 to WORDS consecutive words of one piece of a text. The steps:
    and letters make longer texts.)
 4. Cuts, scores, and phrases inside longer ones are joins on the table of counts.
 
-Scale: two passes over the texts, whatever their number and that of the candidates. The sketch grows with the corpus, so that a cell's other phrases stay few; what is held at once does not: a chunk of
+Scale: two passes over the texts besides one for their size, whatever their number and that of the candidates. The sketch grows with the corpus, so that a cell's other phrases stay few; what is held at once does not: a chunk of
 hashes, a slice of counters, MAPS maps of 16 MB for each row, CHUNK >> 2 stretches of a task, a shard. With over MAPS * MAP_CELLS cells the maps get fuller and let more through, at most a stretch a word.
 A task sends a counter for each different phrase of a chunk, not for each occurrence. Words and phrases are told apart by 64-bit hashes of their bytes and language.
 
