@@ -303,3 +303,17 @@ def test_cider_deals_its_texts_by_size(spark, monkeypatch):
     dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[id#\d+L?\], (\d+)", plan)]
     assert dealt and min(dealt) > 1
     assert out.count() == 20
+
+
+def test_cider_plan_stays_small(spark, monkeypatch):
+    """The driver holds the plan and a row for each task: no joins of n-grams, however many parts the texts have; ids that repeat, lack a side or are null as the definition has them."""
+    monkeypatch.setattr(metrics, "TASK_BYTES", 16)
+    preds = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b x y"), (3, "q"), (None, "a b"), (5, None)], "i long, t string")
+    refs = spark.createDataFrame([(1, 0, "a b c d"), (1, 0, "a b c d"), (1, None, "a b c d"), (2, 1, "x y z w"), (4, 1, "z w"), (None, 1, "a b c d"), (5, 1, "a")], "i long, k int, t string")
+    out = metrics.cider(preds, refs, "i", "k", "t")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") <= 2
+    got = {r.id: r.cider for r in out.collect()}
+    assert set(got) == {1, 2, 5} and got[5] is None
+    assert math.isclose(got[1], 10 * 2 / 3)  # two references equal the prediction, the one without a name counts as no match
+    assert math.isclose(got[2], 10 * (8 / math.sqrt(130) + 4 / math.sqrt(108)) / 4)  # in logs of 2: of four sets, a, z, w and `z w` are in two

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -17,7 +19,7 @@ from velora.functions.sampling import below
 from velora.functions.text import tokens
 from velora.functions.vector import distance, let
 from velora.operators.corpus import placed, placed_within
-from velora.sources.staging import staged
+from velora.sources.staging import small_batches, staged
 
 
 def _coded(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
@@ -329,45 +331,141 @@ def _pairs_at(n: DataFrame, rows: DataFrame, times: int, by: str) -> DataFrame:
 
 #: Fixed value: how far lengths may differ, in words, before a caption's score falls.
 LENGTH_SPREAD = 6.0
-#: Bytes of the texts whose n-grams a task adds up: n-grams take some fifty times as much.
+#: Bytes of the texts whose n-grams a task adds up at once: n-grams take some fifty times as much.
 TASK_BYTES = 1 << 20
+#: Odd factors of a gram's words, two for each place, and what marks its order.
+_FACTORS = np.array([int.from_bytes(hashlib.blake2b(b"velora-%d" % k, digest_size=8).digest(), "little") | 1 for k in range(64)], np.uint64).reshape(2, 32)
+
+
+def _gram_hashes(words: pa.ListArray, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each n-gram's row, order from 0, and hash in two halves. A word's digest is made once; a gram's is the sum of its words' by factors of their places."""
+    flat = words.flatten().dictionary_encode()
+    digests = b"".join(hashlib.blake2b(w.encode(), digest_size=16).digest() for w in flat.dictionary.to_pylist())
+    word = np.frombuffer(digests, np.uint64).reshape(-1, 2)[flat.indices.to_numpy()].T
+    n = pa.compute.fill_null(pa.compute.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    row, left = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n), n) - np.arange(n.sum())  # words from here to the row's end
+    rows, order, halves = [], [], []
+    sums = np.zeros_like(word)
+    for k in range(orders):
+        sums = sums[:, : word.shape[1] - k] + word[:, k:] * _FACTORS[:, k % 31, None] if word.shape[1] > k else sums[:, :0]
+        at = np.flatnonzero(left[: sums.shape[1]] > k)
+        rows, order, halves = [*rows, row[at]], [*order, np.full(len(at), k)], [*halves, sums[:, at] + _FACTORS[:, 31, None] * np.uint64(k + 1)]
+    high, low = np.concatenate(halves, axis=1).view(np.int64)
+    return np.concatenate(rows), np.concatenate(order), high, low
+
+
+def _codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Equal values have equal numbers from 0; null is -1."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.compute.fill_null(column.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _set_counts(orders: int):
+    """(part, high, low, n): in how many ids' references of a task's part an n-gram is; 0 for one that only predictions have."""
+
+    def run(batches):
+        table = list(batches)
+        if not table:
+            return
+        table = pa.Table.from_batches(table)
+        parts = table.column("part").to_numpy()
+        for part in np.unique(parts):
+            own = table.filter(pa.array(parts == part)).combine_chunks()
+            row, _, high, low = _gram_hashes(own.column("w").combine_chunks(), orders)
+            holder = np.where(own.column("pred").to_numpy(zero_copy_only=False), -1, _codes(own.column("id")))[row]
+            by = np.lexsort((holder, low, high))
+            holder, high, low = holder[by], high[by], low[by]
+            new = np.append(True, (np.diff(high) != 0) | (np.diff(low) != 0))[: len(high)]
+            once = (new | np.append(True, np.diff(holder) != 0)[: len(high)]) & (holder >= 0)
+            at = np.flatnonzero(new)
+            n = np.add.reduceat(once.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+            yield pa.record_batch([pa.array(np.full(len(at), part, np.int32)), pa.array(high[at]), pa.array(low[at]), pa.array(n)], names=["part", "high", "low", "n"])
+
+    return run
+
+
+def _cider_scores(orders: int, sets: int):
+    """(id, cider) of a part's texts (id, ref, pred, w), with the n-grams (high, df) of it that several ids' references have; the others count as one id's."""
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        words, pred, id_ = texts.column("w").combine_chunks(), texts.column("pred").to_numpy(zero_copy_only=False), _codes(texts.column("id"))
+        ref = np.where(pred, -2, _codes(texts.column("ref")))
+        (key, group), n_ids = np.unique(np.stack([id_, ref]), axis=1, return_inverse=True), int(id_.max()) + 1
+        group = group.reshape(-1)  # texts of one id and reference count as one
+        asks = np.full(n_ids, -1)
+        asks[key[0, key[1] == -2]] = np.flatnonzero(key[1] == -2)
+
+        row, order, h, _ = _gram_hashes(words, orders)
+        by_df = np.argsort(known.column("high").to_numpy(), kind="stable")
+        names, dfs = known.column("high").to_numpy()[by_df], known.column("df").to_numpy()[by_df]
+        slot = group[row] * orders + order
+        by = np.lexsort((h, slot))
+        slot, h = slot[by], h[by]
+        first = np.flatnonzero(np.append(True, (np.diff(slot) != 0) | (np.diff(h) != 0))[: len(h)])
+        tf, slot, h = np.diff(np.append(first, len(h))), slot[first], h[first]
+        df = np.ones(len(h))
+        if len(names):
+            at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            df = np.where(names[at] == h, dfs[at], 1)
+        weight = tf * (np.log(max(sets, 1)) - np.log(df))
+        length = np.sqrt(np.bincount(slot, weight * weight, len(key[0]) * orders))
+
+        mine = asks[key[0]][slot // orders] * orders + slot % orders  # the slot of the same id's prediction
+        _, code = np.unique(h, return_inverse=True)
+        place = slot * (len(h) + 1) + code
+        asked = np.flatnonzero(key[1][slot // orders] == -2)
+        by = asked[np.argsort(place[asked])]
+        there = np.flatnonzero((key[1][slot // orders] >= 0) & (mine >= 0))
+        common = np.zeros(len(length))
+        if len(by) and len(there):
+            want = mine[there] * (len(h) + 1) + code[there]
+            at = np.minimum(np.searchsorted(place[by], want), len(by) - 1)
+            met = place[by][at] == want
+            a, b = weight[by[at[met]]], weight[there[met]]
+            common = np.bincount(slot[there[met]], np.minimum(a, b) * b, len(length))
+        product = length.reshape(-1, orders) * np.where(asks[key[0]] >= 0, 1, 0)[:, None] * length.reshape(-1, orders)[asks[key[0]]]
+        cosines = np.divide(common.reshape(-1, orders), product, out=np.zeros_like(product), where=product > 0).sum(axis=1)
+
+        size = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False).astype(float)  # nan without a text
+        by = np.lexsort((~pred, id_))
+        ids, out = np.split(by, np.flatnonzero(np.diff(id_[by])) + 1), {}
+        for own in ids:
+            p, r = own[pred[own]], own[~pred[own]]
+            if not len(p) or not len(r):
+                continue
+            total = n = 0
+            for s, times in zip(*np.unique(size[p][~np.isnan(size[p])], return_counts=True)):
+                apart = s - size[r][~np.isnan(size[r])]
+                total += times * float((cosines[group[r][~np.isnan(size[r])]] * np.exp(-(apart * apart) / (2 * LENGTH_SPREAD * LENGTH_SPREAD))).sum())
+                n += times * len(apart)
+            out[int(p[0])] = 10 * total / n / orders if n else None
+        return pa.table({"id": texts.column("id").take(pa.array(list(out), pa.int64())), "cider": pa.array(list(out.values()), pa.float64())})
+
+    return run
 
 
 def cider(preds: DataFrame, refs: DataFrame, id_col: str, ref_col: str, text: str, orders: int = 4) -> DataFrame:
     """(id, cider) of predictions (id, text) against the references (id, ref, text) of the same id, ten at best.
 
     N-grams of 1 to orders words are weighed by their count and the log of how few reference sets hold them. For each order and reference: the cosine of both weights, in which
-    a prediction's weight counts up to the reference's, times a normal curve of the difference of lengths. The score is the mean over orders and references. Joins on n-grams
-    of one id; an id without a prediction has no row, one without references none either. Texts are dealt to tasks by id, so that a task has the n-grams of about TASK_BYTES."""
-    dealt = lambda df, source: df.repartition(max(1, -(-(source.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0) // TASK_BYTES)), "id")
-    cut = lambda df, *own: df.select(*own, tokens(F.col(text)).alias("w")).withColumn("size", F.size("w"))
-    p, r = dealt(cut(preds, F.col(id_col).alias("id")), preds), dealt(cut(refs, F.col(id_col).alias("id"), F.col(ref_col).alias("ref")), refs)
-
-    named = lambda n: lambda g: F.struct(F.lit(n).alias("k"), g.alias("g"))
-
-    def grams(df: DataFrame, *by: str) -> DataFrame:
-        every = F.flatten(F.array(*[F.transform(_runs("w", n, " "), named(n)) for n in range(1, orders + 1)]))
-        return df.select(*by, F.explode(every).alias("z")).select(*by, "z.k", "z.g").groupBy(*by, "k", "g").agg(F.count("*").alias("tf"))
-
-    ref_grams = grams(r, "id", "ref")
-    seen = ref_grams.select("id", "k", "g").distinct().groupBy("k", "g").agg(F.count("*").alias("df")).toDF("d_k", "d_g", "df")
-    sets = r.select("id").distinct().agg(F.count("*").alias("sets"))
-    same = (F.col("k") == F.col("d_k")) & (F.col("g") == F.col("d_g"))
-    weigh = lambda df: df.join(seen, same, "left").drop("d_k", "d_g").join(F.broadcast(sets)).withColumn("weight", F.col("tf") * (F.log("sets") - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)))))  # noqa: E731  one row
-    a, b = weigh(grams(p, "id")), weigh(ref_grams)
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
-    a_len = a.groupBy("id", "k").agg(length.alias("a_len")).toDF("al_id", "al_k", "a_len")
-    b_len = b.groupBy("id", "ref", "k").agg(length.alias("b_len")).toDF("bl_id", "bl_ref", "bl_k", "b_len")
-    met = a.select(F.col("id").alias("a_id"), F.col("k").alias("a_k"), F.col("g").alias("a_g"), F.col("weight").alias("a_w"))
-    met = met.join(b.select("id", "ref", "k", "g", "weight"), (F.col("a_id") == F.col("id")) & (F.col("a_k") == F.col("k")) & (F.col("a_g") == F.col("g")))
-    met = met.groupBy("id", "ref", "k").agg(F.sum(F.least("a_w", "weight") * F.col("weight")).alias("common"))
-    met = met.join(a_len, (F.col("id") == F.col("al_id")) & (F.col("k") == F.col("al_k"))).join(b_len, (F.col("id") == F.col("bl_id")) & (F.col("ref") == F.col("bl_ref")) & (F.col("k") == F.col("bl_k")))
-    met = met.where((F.col("a_len") > 0) & (F.col("b_len") > 0)).groupBy("id", "ref").agg(F.sum(F.col("common") / (F.col("a_len") * F.col("b_len"))).alias("cosines")).toDF("m_id", "m_ref", "cosines")
-    pairs = p.select("id", F.col("size").alias("p_size")).join(r.select(F.col("id").alias("r_id"), "ref", F.col("size").alias("r_size")), F.col("id") == F.col("r_id"))
-    apart = F.col("p_size") - F.col("r_size")
-    curve = F.exp(-(apart * apart) / (2 * LENGTH_SPREAD * LENGTH_SPREAD))
-    pairs = pairs.join(met, (F.col("id") == F.col("m_id")) & (F.col("ref") == F.col("m_ref")), "left")
-    return pairs.groupBy("id").agg((10 * F.avg(F.coalesce("cosines", F.lit(0.0)) * curve) / orders).alias("cider"))
+    a prediction's weight counts up to the reference's, times a normal curve of the difference of lengths. The score is the mean over orders and references. An id without a
+    prediction has no row, one without references none either. Texts are dealt to tasks by id, so that a task has the n-grams of about TASK_BYTES, and at least one id's.
+    Of n-grams only 128-bit hashes with counts are shuffled, one a part, and those that several ids have go back to the parts; an id's texts are scored where they are."""
+    spark = preds.sparkSession
+    small_batches(spark)
+    p = preds.select(F.col(id_col).alias("id"), F.lit(True).alias("pred"), F.col(text).alias("text"))
+    r = refs.select(F.col(id_col).alias("id"), F.lit(False).alias("pred"), F.col(text).alias("text"), F.col(ref_col).alias("ref"))
+    rows = staged(p.unionByName(r, allowMissingColumns=True).where("id is not null"), "cider-texts")
+    octets, sets = rows.agg(F.sum(F.octet_length("text").cast("long")), F.count_distinct(F.when(~F.col("pred"), F.col("id")))).first()
+    parts = max(1, -(-(octets or 0) // TASK_BYTES))
+    dealt = rows.select("id", "ref", "pred", tokens(F.col("text")).alias("w"), F.pmod(F.hash("id"), F.lit(parts)).alias("part")).repartition(parts, "id")
+    counts = dealt.select("id", "pred", "w", "part").mapInArrow(_set_counts(orders), "part int, high long, low long, n long")
+    df = F.sum("n").over(Window.partitionBy("high", "low"))  # a row for each part at most
+    known = counts.withColumn("df", df).where("df > 1").select("part", "high", "df")
+    kind = preds.schema[id_col].dataType
+    scored = dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_cider_scores(orders, sets), f"id {rows.schema['id'].dataType.simpleString()}, cider double")
+    return scored.select(F.col("id").cast(kind).alias("id"), "cider")
 
 
 def span_error(rows: DataFrame, clip: str, frame: str, error: str, part: str, ratio: float) -> DataFrame:
