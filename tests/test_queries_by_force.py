@@ -208,3 +208,10 @@ def test_inverse_kinematics(spark):
     ahead[:, 1] = 0
     faced = np.einsum("fij,fj->fi", turn[1:, 0], ahead[1:] / np.linalg.norm(ahead[1:], axis=1, keepdims=True))
     assert np.allclose(faced, [[0, 0, 1]] * 4)
+
+
+def test_context_assembly_meets_written_parts(spark):
+    """The driver holds no plan of hints and examples together: what is left to plan is the texts' joins with both."""
+    plan = catalog.QUERIES["context_assembly"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
+    assert "Window" not in plan and "Generate" not in plan and "Aggregate" not in plan
